@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from kerbside.llm._common import table
 from kerbside.llm.chat import rotate_perspectives
+from kerbside.llm import language_id, toxicity
 from kerbside.llm.sharding import shard_plan
 from kerbside.llm.token_counts import count_tokens
 
@@ -27,10 +28,35 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("mask_spans", F.array_join(spans, ","))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score_toxicity(docs.select("doc_id", "text"), model).select(
+        "doc_id",
+        toxicity.held_out(F.col("doc_id")).alias("held_out"),
+        F.col("toxicity").alias("score"),
+        (F.col("toxicity") >= 0.5).cast("int").alias("predicted"),
+        "toxic_hits",
+    )
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit_languages(docs)
+    return language_id.predict_language(docs.select("doc_id", "text"), model).select(
+        "doc_id",
+        language_id.held_out(F.col("doc_id")).alias("held_out"),
+        "lang_pred",
+        F.col("lang_score").alias("score"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_sharding": op2_sharding,
     "op4_chat_formatting": op4_chat_formatting,
+    "op5_toxicity": op5_toxicity,
+    "op6_language_id": op6_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {
