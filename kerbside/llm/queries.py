@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from kerbside.llm._common import table
 from kerbside.llm.chat import rotate_perspectives
 from kerbside.llm import language_id, toxicity
+from kerbside.llm.quality import quality_rules
 from kerbside.llm.sharding import shard_plan
 from kerbside.llm.token_counts import count_tokens
 
@@ -51,12 +52,17 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_sharding": op2_sharding,
     "op4_chat_formatting": op4_chat_formatting,
     "op5_toxicity": op5_toxicity,
     "op6_language_id": op6_language_id,
+    "op10_quality_rules": op10_quality_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {
