@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from kerbside.llm._common import table
 from kerbside.llm.chat import rotate_perspectives
 from kerbside.llm import language_id, toxicity
+from kerbside.llm.decontamination import find_items
+from kerbside.llm.near_dup import near_duplicates
 from kerbside.llm.quality import quality_rules
 from kerbside.llm.sharding import shard_plan
 from kerbside.llm.token_counts import count_tokens
@@ -52,6 +54,18 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=4).drop("_node")
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = find_items(docs, table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.explode("contained").alias("hit")).select(
+        "doc_id", "hit.item_id", "hit.n_shared", "hit.n_item", (F.col("hit.n_shared") / F.col("hit.n_item")).alias("containment")
+    )
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
@@ -62,6 +76,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_chat_formatting": op4_chat_formatting,
     "op5_toxicity": op5_toxicity,
     "op6_language_id": op6_language_id,
+    "op7_near_dup": op7_near_dup,
+    "op9_decontamination": op9_decontamination,
     "op10_quality_rules": op10_quality_rules,
 }
 
@@ -92,4 +108,20 @@ ORACLE_SQL: dict[str, str] = {
                coalesce(sum(length(body)) FILTER (WHERE speaker = perspective), 0)::BIGINT AS target_chars
         FROM placed GROUP BY conv_id, segment, perspective
     """,
+    "op9_decontamination": r"""
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), ds AS (
+            SELECT DISTINCT doc_id, array_to_string(w[i:i+4], ' ') AS s
+            FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)
+        ), b AS (
+            SELECT item_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS w FROM benchmark
+        ), bs AS (
+            SELECT DISTINCT item_id, array_to_string(w[i:i+4], ' ') AS s
+            FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS i FROM b WHERE len(w) >= 5)
+        ), n AS (SELECT item_id, count(*) AS n_item FROM bs GROUP BY item_id)
+        SELECT doc_id, item_id, count(*) AS n_shared, any_value(n_item) AS n_item, count(*) / any_value(n_item) AS containment
+        FROM ds JOIN bs USING (s) JOIN n USING (item_id)
+        GROUP BY doc_id, item_id HAVING 100 * count(*) >= 80 * any_value(n_item)
+    """,
 }
