@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kerbside.llm._common import table
 from kerbside.llm.chat import rotate_perspectives
 from kerbside.llm import language_id, toxicity
 from kerbside.llm.decontamination import find_items
+from kerbside.llm.lm_scoring import pseudo_likelihood
+from kerbside.llm.mixing import MixTree, mix
 from kerbside.llm.near_dup import near_duplicates
 from kerbside.llm.quality import quality_rules
 from kerbside.llm.sharding import shard_plan
@@ -54,6 +56,26 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Domains by source, and the weights of the production mixture.
+DOMAINS = {"web": ("src0", "src1", "src2", "src3", "src4"), "news": ("src5", "src6", "src7", "src8", "src9"), "books": ("src10", "src11", "src12", "src13")}
+WEIGHTS = {"web": 4, "news": 3, "books": 2, "other": 1, **{f"{d}/en": 3 for d in (*DOMAINS, "other")}, "web/en/src0": 2}
+
+
+def domain() -> Column:
+    out = F.lit("other")
+    for name, sources in DOMAINS.items():
+        out = F.when(F.col("source").isin(*sources), name).otherwise(out)
+    return out
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"), MixTree(WEIGHTS), domain(), share=0.8, max_epochs=2).drop("_text")
+
+
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudo_likelihood(table(spark, sf_dir, "documents"))
+
+
 def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=4).drop("_node")
 
@@ -73,10 +95,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_sharding": op2_sharding,
+    "op3_mixing": op3_mixing,
     "op4_chat_formatting": op4_chat_formatting,
     "op5_toxicity": op5_toxicity,
     "op6_language_id": op6_language_id,
     "op7_near_dup": op7_near_dup,
+    "op8_lm_scoring": op8_lm_scoring,
     "op9_decontamination": op9_decontamination,
     "op10_quality_rules": op10_quality_rules,
 }
@@ -108,6 +132,47 @@ ORACLE_SQL: dict[str, str] = {
                coalesce(sum(length(body)) FILTER (WHERE speaker = perspective), 0)::BIGINT AS target_chars
         FROM placed GROUP BY conv_id, segment, perspective
     """,
+    "op3_mixing": r"""
+        WITH r AS (
+            SELECT doc_id, coalesce(lang, 'unknown') AS lang, coalesce(source, 'unknown') AS source,
+                   CASE WHEN source IN ('src0','src1','src2','src3','src4') THEN 'web' WHEN source IN ('src5','src6','src7','src8','src9') THEN 'news'
+                        WHEN source IN ('src10','src11','src12','src13') THEN 'books' ELSE 'other' END AS domain,
+                   len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n_tokens
+            FROM documents
+        ), leaf AS (SELECT domain, lang, source, sum(n_tokens)::DOUBLE AS tokens, 2.0 * sum(n_tokens)::DOUBLE AS cap FROM r GROUP BY ALL),
+        d AS (
+            SELECT *, CASE WHEN full_ THEN capacity ELSE weight * (budget - coalesce(sum(capacity) FILTER (WHERE full_) OVER (PARTITION BY 1), 0))
+                / sum(weight) FILTER (WHERE NOT full_) OVER (PARTITION BY 1) END AS got
+            FROM (SELECT *, coalesce(sum(capacity) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+                    + capacity / weight * sum(weight) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) <= budget + 1e-6 AS full_
+                  FROM (SELECT domain, sum(cap) AS capacity, (CASE domain WHEN 'web' THEN 4 WHEN 'news' THEN 3 WHEN 'books' THEN 2 ELSE 1 END)::DOUBLE AS weight, 0.8 * (SELECT sum(tokens) FROM leaf) AS budget FROM leaf GROUP BY domain) WHERE capacity > 0 WINDOW w AS (PARTITION BY 1 ORDER BY capacity / weight, domain))
+        ),
+        l AS (
+            SELECT *, CASE WHEN full_ THEN capacity ELSE weight * (budget - coalesce(sum(capacity) FILTER (WHERE full_) OVER (PARTITION BY domain), 0))
+                / sum(weight) FILTER (WHERE NOT full_) OVER (PARTITION BY domain) END AS got
+            FROM (SELECT *, coalesce(sum(capacity) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+                    + capacity / weight * sum(weight) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) <= budget + 1e-6 AS full_
+                  FROM (SELECT domain, lang, sum(cap) AS capacity, (CASE lang WHEN 'en' THEN 3 ELSE 1 END)::DOUBLE AS weight, any_value(d.got) AS budget FROM leaf JOIN d USING (domain) GROUP BY domain, lang) WHERE capacity > 0 WINDOW w AS (PARTITION BY domain ORDER BY capacity / weight, lang))
+        ),
+        s AS (
+            SELECT *, CASE WHEN full_ THEN capacity ELSE weight * (budget - coalesce(sum(capacity) FILTER (WHERE full_) OVER (PARTITION BY domain, lang), 0))
+                / sum(weight) FILTER (WHERE NOT full_) OVER (PARTITION BY domain, lang) END AS got
+            FROM (SELECT *, coalesce(sum(capacity) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+                    + capacity / weight * sum(weight) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) <= budget + 1e-6 AS full_
+                  FROM (SELECT leaf.domain, leaf.lang, source, tokens, cap AS capacity, (CASE WHEN leaf.domain = 'web' AND leaf.lang = 'en' AND source = 'src0' THEN 2 ELSE 1 END)::DOUBLE AS weight, l.got AS budget FROM leaf JOIN l USING (domain, lang)) WHERE capacity > 0 WINDOW w AS (PARTITION BY domain, lang ORDER BY capacity / weight, source))
+        ),
+        p AS (
+            SELECT r.*, leaf_budget, epochs, leaf_budget - epochs * tokens AS rest,
+                   (('0x' || substr(md5('17:' || epochs::VARCHAR || ':' || doc_id::VARCHAR), 1, 13))::BIGINT + 0.5) / 4503599627370496 AS h
+            FROM r JOIN (SELECT domain, lang, source, tokens, floor(got + 1e-6)::BIGINT AS leaf_budget, floor(floor(got + 1e-6) / tokens)::INT AS epochs FROM s)
+                USING (domain, lang, source)
+        )
+        SELECT doc_id, domain, lang, source, n_tokens, leaf_budget, unnest(range(epochs))::INT AS epoch FROM p
+        UNION ALL
+        SELECT doc_id, domain, lang, source, n_tokens, leaf_budget, epochs AS epoch FROM (
+            SELECT *, coalesce(sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before_ FROM p
+        ) WHERE before_ < rest
+    """,
     "op9_decontamination": r"""
         WITH d AS (
             SELECT doc_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') AS w FROM documents
