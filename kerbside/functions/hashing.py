@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -22,14 +24,16 @@ def word_code(word: Column, digits: int = 12) -> Column:
     return F.conv(F.substring(F.md5(word), 1, digits), 16, 10).cast("long")
 
 
-def simhash(codes: Column, bits: int = 48) -> Column:
-    """Majority bit per place over an array of codes, lowest bit first; ties give 0."""
-    def place(b: Column) -> Column:
-        votes = F.aggregate(codes, F.lit(0), lambda acc, c: acc + F.when(F.call_function("shiftrightunsigned", c, b).bitwiseAND(F.lit(1).cast("long")) == 1, 1).otherwise(-1))
-        return F.when(votes > 0, F.call_function("shiftleft", F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long"))
+def simhash(df: DataFrame, key: str, words: Column, bits: int = 48) -> DataFrame:
+    """(key, h): majority bit per place over the codes of the distinct words, lowest bit first; ties give 0.
 
-    places = F.transform(F.sequence(F.lit(0), F.lit(bits - 1)), place)
-    return F.aggregate(places, F.lit(0).cast("long"), lambda acc, x: acc + x)
+    One row per word and an aggregate per bit: generated code, and a partial
+    sum per document before the shuffle.
+    """
+    codes = df.select(key, F.explode(F.array_distinct(words)).alias("_w")).select(key, word_code(F.col("_w")).alias("_c"))
+    votes = [F.sum(F.shiftright("_c", i).bitwiseAND(F.lit(1).cast("long")) * 2 - 1).alias(f"_b{i}") for i in range(bits)]
+    set_bits = [F.when(F.col(f"_b{i}") > 0, F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i in range(bits)]
+    return codes.groupBy(key).agg(*votes).select(key, reduce(lambda x, y: x + y, set_bits).alias("h"))
 
 
 def fraction(key: Column, seed: int) -> Column:

@@ -80,7 +80,7 @@ def losses(samples: DataFrame, cam: Camera, grid: Sequence[tuple[float, float]],
 def seed_height(samples: DataFrame, cam: Camera, bounds: tuple[float, float] = (0.4, 3.0)) -> DataFrame:
     """Median of the height that pitch 0 implies, within the bounds."""
     middle = F.median(F.when(F.col("h_px") != 0, F.col("height_m") * (F.col("v_bottom") - cam.cy) / F.col("h_px")))
-    return samples.agg(F.least(F.greatest(middle, F.lit(bounds[0])), F.lit(bounds[1])).alias("height_m"))
+    return samples.agg(F.when(middle.isNotNull(), F.least(F.greatest(middle, F.lit(bounds[0])), F.lit(bounds[1]))).alias("height_m"))
 
 
 def agreement(samples: DataFrame, cam: Camera, height: float | None = None, pitch_deg: float | None = None) -> DataFrame:

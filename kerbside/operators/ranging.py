@@ -121,7 +121,8 @@ def estimate_ranges(df: DataFrame, setup: RangingSetup | None = None, image_size
         *own,
         F.col("_z").isNotNull().alias("valid"),
         "method",
-        F.least(F.greatest("_dist", F.lit(cfg.min_range_m)), F.lit(cfg.max_range_m)).alias("distance_m"),
+        # least and greatest skip nulls, so an unknown distance needs its own case
+        F.when(F.col("_dist").isNotNull(), F.least(F.greatest("_dist", F.lit(cfg.min_range_m)), F.lit(cfg.max_range_m))).alias("distance_m"),
         (F.col("_dist") * F.col("_r")).alias("sigma_m"),
         "forward_m",
         "lateral_m",

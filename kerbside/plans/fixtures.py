@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kerbside.functions.hashing import rise_bits, simhash, word_code
+from kerbside.functions.hashing import rise_bits, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -114,9 +114,7 @@ VECTORS_SQL = """v AS (
 
 def document_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """48-bit majority hash over the distinct words of each document."""
-    words = F.array_distinct(F.split(F.lower("text"), " "))
-    coded = read(spark, sf_dir, "documents").select("doc_id", F.transform(words, lambda w: word_code(w)).alias("c"), F.size(words).alias("n"))
-    return coded.select("doc_id", simhash(F.col("c"), 48).alias("h"), "n").drop("n")
+    return simhash(read(spark, sf_dir, "documents"), "doc_id", F.split(F.lower("text"), " "), 48)
 
 
 DOCUMENTS_SQL = """w AS (

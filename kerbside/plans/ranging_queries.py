@@ -37,7 +37,7 @@ z AS (SELECT *, CASE WHEN zs IS NOT NULL AND zp IS NOT NULL THEN 'fused' WHEN zs
     ((x1 + x2) / 2 - {CAMERA.cx}) / {CAMERA.fx} AS ru, (least(y2, 1079.0::DOUBLE) - {CAMERA.cy}) / {CAMERA.fy} AS rv FROM cu),
 ranged AS (SELECT *, z * sqrt(ru ** 2 + rv ** 2 + 1) AS dist, z * ({_C!r}::DOUBLE - rv * {_S!r}::DOUBLE) AS forward_m, z * ru AS lateral_m,
     zs * sqrt(ru ** 2 + rv ** 2 + 1) AS size_m, zp * sqrt(ru ** 2 + rv ** 2 + 1) AS plane_m,
-    least(greatest(z * sqrt(ru ** 2 + rv ** 2 + 1), 0.3::DOUBLE), 80.0::DOUBLE) AS distance_m, z * sqrt(ru ** 2 + rv ** 2 + 1) * rel AS sigma_m FROM z)"""
+    CASE WHEN z IS NOT NULL THEN least(greatest(z * sqrt(ru ** 2 + rv ** 2 + 1), 0.3::DOUBLE), 80.0::DOUBLE) END AS distance_m, z * sqrt(ru ** 2 + rv ** 2 + 1) * rel AS sigma_m FROM z)"""
 
 
 def _ranged(spark: SparkSession, d: str, numbered: bool = True) -> DataFrame:

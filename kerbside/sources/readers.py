@@ -68,8 +68,8 @@ def by_basename(members: DataFrame) -> DataFrame:
 
 def csv_in_zip(spark: SparkSession, path: str, suffix: str = ".csv") -> DataFrame:
     """label_csv of the CSV files in archives."""
-    lines = zip_members(spark, path, suffix).select(F.posexplode(F.split(F.decode("content", F.lit("UTF-8")), r"\r?\n")).alias("n", "line"))
-    fields = F.from_csv(F.col("line"), F.lit(f"image_path string, label string, {', '.join(f'{c} string' for c in COORDS)}"))
+    lines = zip_members(spark, path, suffix).select(F.posexplode(F.split(F.decode("content", "UTF-8"), r"\r?\n")).alias("n", "line"))
+    fields = F.from_csv(F.col("line"), f"image_path string, label string, {', '.join(f'{c} string' for c in COORDS)}")
     return clean_label_rows(lines.where("n > 0 and line <> ''").select(fields.alias("r")).select("r.*"))
 
 
@@ -83,7 +83,7 @@ def coco(spark: SparkSession, path: str, wanted: list[str] | None = None) -> tup
 
 
 def coco_in_zip(spark: SparkSession, path: str, member: str, wanted: list[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    text = zip_members(spark, path, member).select(F.from_json(F.decode("content", F.lit("UTF-8")), F.lit(COCO)).alias("d"))
+    text = zip_members(spark, path, member).select(F.from_json(F.decode("content", "UTF-8"), COCO).alias("d"))
     return coco_tables(text.select("d.*"), wanted)
 
 
@@ -100,7 +100,7 @@ def coco_tables(doc: DataFrame, wanted: list[str] | None = None) -> tuple[DataFr
 
 def label_lines(spark: SparkSession, path: str, prefix: str = "") -> DataFrame:
     """stem, line_no, cls, cx, cy, w, h of label files (one per image); lines without exactly five numbers go."""
-    raw = spark.read.option("wholetext", True).text(path).select(file_stem(F.col("_metadata.file_path")).alias("stem"), "value")
+    raw = spark.read.text(path, wholetext=True).select(file_stem(F.col("_metadata.file_path")).alias("stem"), "value")
     return parse_label_lines(raw.where(F.col("stem").startswith(prefix)))
 
 
@@ -199,7 +199,7 @@ def json_or_none(spark: SparkSession, path: str) -> dict | None:
     from pyspark.errors import AnalysisException
 
     try:
-        rows = spark.read.option("wholetext", True).text(path).head(1)
+        rows = spark.read.text(path, wholetext=True).head(1)
         return json.loads(rows[0]["value"]) if rows else None
     except (AnalysisException, ValueError):
         return None
@@ -207,7 +207,7 @@ def json_or_none(spark: SparkSession, path: str) -> dict | None:
 
 def epoch_curve(spark: SparkSession, path: str) -> DataFrame:
     """epoch and value of a training log: the last number of every line that starts with ``all``."""
-    return parse_epochs(spark.read.option("wholetext", True).text(path))
+    return parse_epochs(spark.read.text(path, wholetext=True))
 
 
 def parse_epochs(df: DataFrame, value: str = "value") -> DataFrame:
