@@ -81,55 +81,58 @@ def estimate_ranges(df: DataFrame, setup: RangingSetup | None = None, image_size
     size, size_rel, size_flag = _size_cue(cam, cfg)
     plane, plane_rel, plane_flag = _plane_cue(cam, cfg)
     on = lambda allowed, x: F.when(known, x) if allowed else F.lit(None).cast("double")
+    use_size, use_plane = cfg.fusion != "ground_only", cfg.fusion != "size_only"
     rows = rows.withColumns(
         {
-            "_zs": on(cfg.fusion != "ground_only", size),
-            "_rs": F.when(known, size_rel),
-            "_zp": on(cfg.fusion != "size_only", plane),
-            "_rp": F.when(known, plane_rel),
+            "_zs": on(use_size, F.when(size_rel > 0, size)),
+            "_ws": on(use_size, F.when(size_rel > 0, 1 / (size_rel * size_rel))),
+            "_zp": on(use_plane, F.when(plane_rel > 0, plane)),
+            "_wp": on(use_plane, F.when(plane_rel > 0, 1 / (plane_rel * plane_rel))),
             "_fs": F.when(known, size_flag),
             "_fp": F.when(known, plane_flag),
         }
     )
-    zs, rs, zp, rp = (F.col(c) for c in ("_zs", "_rs", "_zp", "_rp"))
-    use_s, use_p = F.coalesce((zs > 0) & (rs > 0), F.lit(False)), F.coalesce((zp > 0) & (rp > 0), F.lit(False))
-    ws, wp = 1 / (rs * rs), 1 / (rp * rp)
+    # Each line below refers to a cue as rarely as it can: a filter on a result is
+    # pushed down by substitution, and repeated references would multiply there.
+    zs, ws, zp, wp = (F.col(c) for c in ("_zs", "_ws", "_zp", "_wp"))
+    zero = F.lit(0.0)
+    weight = F.coalesce(ws, zero) + F.coalesce(wp, zero)
     u, v = (F.col("x1") + F.col("x2")) * 0.5, F.least(F.col("y2"), F.lit(float(cam.height - 1)))
+    per_depth = geo.distance_of(u, v, F.lit(1.0), cam)
     rows = rows.withColumns(
         {
-            "method": F.when(use_s & use_p, "fused").when(use_s, "size").when(use_p, "plane").when(known, "none").otherwise(""),
-            "_z": F.when(use_s & use_p, F.exp((ws * F.ln(zs) + wp * F.ln(zp)) / (ws + wp))).when(use_s, zs).when(use_p, zp),
-            "_r": F.when(use_s & use_p, F.sqrt(1 / (ws + wp))).when(use_s, rs).when(use_p, rp),
-            "_ratio": F.when(use_s & use_p, F.greatest(zs, zp) / F.least(zs, zp)),
-            "size_m": geo.distance_of(u, v, zs, cam),
-            "plane_m": geo.distance_of(u, v, zp, cam),
+            "_z": F.exp(F.try_divide(F.coalesce(ws * F.ln(zs), zero) + F.coalesce(wp * F.ln(zp), zero), weight)),
+            "_r": F.sqrt(F.try_divide(F.lit(1.0), weight)),
+            "_apart": F.abs(F.ln(zs) - F.ln(zp)),
         }
     )
-    lateral, _, forward = geo.backproject(u, v, F.col("_z"), cam)
-    rows = rows.withColumns({"_dist": geo.distance_of(u, v, F.col("_z"), cam), "forward_m": forward, "lateral_m": lateral})
+    depth = F.col("_z")
+    lateral, _, forward = geo.backproject(u, v, F.lit(1.0), cam)
+    rows = rows.withColumns({"_dist": depth * per_depth, "forward_m": depth * forward, "lateral_m": depth * lateral})
     flags = F.array_compact(
         F.array(
             F.col("_fs"),
             F.col("_fp"),
-            F.when(F.col("_ratio") > 1.6, F.concat(F.lit("cue_disagreement:"), F.format_string("%.2f", F.bround("_ratio", 2)), F.lit("x"))),
+            F.when(F.col("_apart") > math.log(1.6), F.concat(F.lit("cue_disagreement:"), F.format_string("%.2f", F.bround(F.exp("_apart"), 2)), F.lit("x"))),
             F.when(F.col("_dist") > cfg.max_range_m, "range_saturated"),
             F.when(~known, F.concat(F.lit("no_prior:"), F.col("class_name"))),
+            F.when(known & F.col("_fs").isNull() & F.col("_fp").isNull() & depth.isNull(), "no_valid_cue"),
         )
     )
-    flags = F.when((F.size(flags) == 0) & F.col("_z").isNull(), F.array(F.lit("no_valid_cue"))).otherwise(flags)
+    method = F.when(zs.isNotNull() & zp.isNotNull(), "fused").when(zs.isNotNull(), "size").when(zp.isNotNull(), "plane")
     return rows.select(
         *own,
-        F.col("_z").isNotNull().alias("valid"),
-        "method",
+        depth.isNotNull().alias("valid"),
+        method.when(known, "none").otherwise("").alias("method"),
         # least and greatest skip nulls, so an unknown distance needs its own case
         F.when(F.col("_dist").isNotNull(), F.least(F.greatest("_dist", F.lit(cfg.min_range_m)), F.lit(cfg.max_range_m))).alias("distance_m"),
         (F.col("_dist") * F.col("_r")).alias("sigma_m"),
         "forward_m",
         "lateral_m",
-        "size_m",
-        F.when(use_s, F.col("size_m") * rs).alias("size_sigma_m"),
-        "plane_m",
-        F.when(use_p, F.col("plane_m") * rp).alias("plane_sigma_m"),
+        (zs * per_depth).alias("size_m"),
+        (zs * per_depth / F.sqrt(ws)).alias("size_sigma_m"),
+        (zp * per_depth).alias("plane_m"),
+        (zp * per_depth / F.sqrt(wp)).alias("plane_sigma_m"),
         flags.alias("flags"),
     )
 

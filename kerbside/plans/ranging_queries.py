@@ -63,7 +63,8 @@ def nearest_obstacle(spark, d):
         CASE WHEN dist > 80 THEN 'range_saturated' END], lambda x: x IS NOT NULL)) AS flag FROM ranged)
     SELECT class_name, flag, count(*) AS n FROM f GROUP BY class_name, flag""")
 def range_flags(spark, d):
-    rows = _ranged(spark, d, False).select("class_name", F.explode("flags").alias("flag"))
+    # the outer form, as the plain one would filter by the size of the whole flag expression below the join
+    rows = _ranged(spark, d, False).select("class_name", F.explode_outer("flags").alias("flag")).where("flag is not null")
     flag = F.when(F.col("flag").startswith("cue_disagreement"), "cue_disagreement").otherwise(F.col("flag"))
     return rows.groupBy("class_name", flag.alias("flag")).agg(F.count("*").alias("n"))
 
