@@ -41,27 +41,29 @@ def match(detections: DataFrame, truths: DataFrame, image: str = "image_id", max
         high = np.minimum(a[:, None, 3], b[None, :, 3]) - np.maximum(a[:, None, 1], b[None, :, 1])
         both = np.clip(wide, 0, None) * np.clip(high, 0, None)
         overlap = both / np.maximum(size(a)[:, None] + size(b)[None, :] - both, 1e-12)
-        out: dict[str, list] = {c: [] for c in ("class_name", "det_id", "score", "area_range", "threshold", "tp", "ignored")}
-        for name, (low, top) in AREAS.items():
-            aside = (size(b) < low) | (size(b) > top)
-            off = (size(a) < low) | (size(a) > top)
-            for t in THRESHOLDS:
-                free = np.ones(len(b), bool)
-                for i in range(len(a)):
-                    ok = free & (overlap[i] >= t - 1e-10)
-                    inner = ok & ~aside
-                    use = inner if inner.any() else ok
-                    if use.any():
-                        # the last of equals, as the public protocol keeps replacing at equal overlap
-                        at = len(b) - 1 - int(np.argmax(np.where(use, overlap[i], -1.0)[::-1]))
-                        free[at] = False
-                        tp, ignored = not aside[at], bool(aside[at])
-                    else:
-                        tp, ignored = False, bool(off[i])
-                    row = (rows["class_name"][0], int(ids[i]), float(scores[i]), name, t, tp, ignored)
-                    for c, v in zip(out, row, strict=True):
-                        out[c].append(v)
-        return out
+        # one line per area range and threshold; the choice runs down the detections for all lines at once
+        lows, tops = (np.repeat([r[k] for r in AREAS.values()], len(THRESHOLDS))[:, None] for k in (0, 1))
+        least = np.tile(THRESHOLDS, len(AREAS))[:, None] - 1e-10
+        aside = (size(b) < lows) | (size(b) > tops)
+        off = (size(a) < lows) | (size(a) > tops)
+        tp, ignored, free, lines = np.zeros(off.shape, bool), off.copy(), np.ones(aside.shape, bool), np.arange(len(lows))
+        for i in range(len(a)) if len(b) else ():
+            ok = free & (overlap[i] >= least)
+            if not ok.any():
+                continue
+            inner = ok & ~aside
+            use = np.where(inner.any(1, keepdims=True), inner, ok)
+            # the last of equals, as the public protocol keeps replacing at equal overlap
+            at = len(b) - 1 - np.where(use, overlap[i], -1.0)[:, ::-1].argmax(1)
+            hit = use[lines, at]
+            free[lines[hit], at[hit]] = False
+            tp[hit, i], ignored[hit, i] = ~aside[lines[hit], at[hit]], aside[lines[hit], at[hit]]
+        many = len(lows) * len(a)
+        return {
+            "class_name": np.full(many, rows["class_name"][0], object), "det_id": np.tile(ids, len(lows)).astype(np.int64), "score": np.tile(scores, len(lows)),
+            "area_range": np.repeat(np.array(list(AREAS), object), len(THRESHOLDS) * len(a)), "threshold": np.repeat(np.tile(THRESHOLDS, len(AREAS)), len(a)),
+            "tp": tp.ravel(), "ignored": ignored.ravel(),
+        }
 
     both = det.unionByName(gt)
     return map_runs(both, ["image", "class_name"], ["kind", F.col("score").desc(), "id"], run, MATCHES)

@@ -24,42 +24,51 @@ def prior_table(df: DataFrame, priors: tuple[Prior, ...]) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, PRIOR_SCHEMA)
 
 
-def _size_cue(cam: Camera, cfg: RangingConfig) -> tuple[Column, Column, Column]:
-    """depth, relative sigma, flag; the first gate that holds gives the flag."""
-    h_px = F.col("y2") - F.col("y1")
+def _size_gate(cam: Camera, cfg: RangingConfig) -> Column:
+    """The first gate that keeps the height of a box from giving its depth, or null."""
     margin = cfg.truncation_margin_px
-    flag = (
+    return (
         F.when(F.coalesce(F.col("height_m"), F.lit(0.0)) <= 0, "size:no_prior")
-        .when(h_px < cfg.min_box_height_px, "size:box_too_small")
+        .when(F.col("_h") < cfg.min_box_height_px, "size:box_too_small")
         .when((F.col("y1") <= margin) | (F.col("y2") >= F.lit(cam.height - margin)), "size:truncated")
     )
-    depth = F.when(flag.isNull(), cam.fy * F.col("height_m") / h_px)
-    rel = F.when(flag.isNull(), F.hypot(F.lit(math.sqrt(2) * cfg.edge_sigma_px) / h_px, F.col("height_sigma_m") / F.col("height_m")))
-    return depth, rel, flag
-
-
-def _plane_cue(cam: Camera, cfg: RangingConfig) -> tuple[Column, Column, Column]:
-    y2, mount = F.col("y2"), F.col("mount_height_m")
-    c, s = math.cos(cam.pitch), math.sin(cam.pitch)
-    plane = F.lit(cam.height_m) - mount
-    forward = geo.ground_range(y2, plane, cam)
-    vn = geo.normalised_row(y2, cam)
-    n, d = c - vn * s, vn * c + s
-    depth = plane * s + forward * c
-    flag = (
-        F.when(~F.col("ground_contact") & (mount <= 0), "plane:not_applicable")
-        .when(y2 >= F.lit(cam.height - cfg.truncation_margin_px), "plane:base_cut_off")
+
+
+def _size_cue(cam: Camera, cfg: RangingConfig) -> tuple[Column, Column]:
+    """Depth and inverse squared relative sigma, null where a gate holds."""
+    by_edge, by_height = F.lit(math.sqrt(2) * cfg.edge_sigma_px) / F.col("_h"), F.col("height_sigma_m") / F.col("height_m")
+    free = F.col("_fs").isNull()
+    return F.when(free, cam.fy * F.col("height_m") / F.col("_h")), F.when(free, F.try_divide(F.lit(1.0), by_edge * by_edge + by_height * by_height))
+
+
+def _plane_gate(cam: Camera, cfg: RangingConfig) -> Column:
+    """The first gate that keeps the foot of a box from giving its depth, or null."""
+    plane, n, d = (F.col(c) for c in ("_plane", "_n", "_d"))
+    meets = (F.abs(d) >= 1e-9) & (plane * n * d > 0)
+    return (
+        F.when(~F.col("ground_contact") & (F.col("mount_height_m") <= 0), "plane:not_applicable")
+        .when(F.col("y2") >= F.lit(cam.height - cfg.truncation_margin_px), "plane:base_cut_off")
         .when(F.abs(plane) < 0.05, "plane:degenerate_height")
-        .when(forward.isNull(), "plane:above_horizon")
-        .when((F.abs(n) < 1e-9) | (F.abs(d) < 1e-9), "plane:degenerate")
-        .when(depth <= 0, "plane:behind_camera")
+        .when(~F.coalesce(meets, F.lit(False)), "plane:above_horizon")
+        .when(F.abs(n) < 1e-9, "plane:degenerate")
+        .when(plane * d <= 0, "plane:behind_camera")
     )
-    # relative change of the depth per unit of row, plane height and pitch, times their sigmas
-    by_row = (-s / n - c / d) * (cfg.edge_sigma_px / cam.fy)
+
+
+def _plane_cue(cam: Camera, cfg: RangingConfig) -> tuple[Column, Column]:
+    """Depth and inverse squared relative sigma, null where a gate holds.
+
+    With n = cos - v sin and d = v cos + sin of the pitch and the normalised row
+    v, the depth of the ray on the plane is plane / d, as n cos + d sin = 1.  Its
+    relative change is -1 / (n d) per unit of row and -(d / n + n / d) per radian
+    of pitch, where n belongs to the horizontal range that the pitch error turns.
+    """
+    plane, n, d = (F.col(c) for c in ("_plane", "_n", "_d"))
+    by_row = F.lit(cfg.edge_sigma_px / cam.fy) / (n * d)
     by_height = F.hypot(F.lit(cam.height_sigma_m), F.col("mount_height_sigma_m")) / plane
-    by_pitch = ((-s - vn * c) / n - n / d) * math.radians(cam.pitch_sigma_deg)
-    rel = F.sqrt(by_row * by_row + by_height * by_height + by_pitch * by_pitch)
-    return F.when(flag.isNull(), depth), F.when(flag.isNull(), rel), flag
+    by_pitch = (d / n + n / d) * math.radians(cam.pitch_sigma_deg)
+    free = F.col("_fp").isNull()
+    return F.when(free, plane / d), F.when(free, F.try_divide(F.lit(1.0), by_row * by_row + by_height * by_height + by_pitch * by_pitch))
 
 
 def estimate_ranges(df: DataFrame, setup: RangingSetup | None = None, image_size: tuple[int, int] | None = None) -> DataFrame:
@@ -78,20 +87,15 @@ def estimate_ranges(df: DataFrame, setup: RangingSetup | None = None, image_size
     own = df.columns
     rows = df.join(F.broadcast(prior_table(df, setup.priors)), F.col("class_name") == F.col("prior_name"), "left")
     known = F.col("prior_name").isNotNull()
-    size, size_rel, size_flag = _size_cue(cam, cfg)
-    plane, plane_rel, plane_flag = _plane_cue(cam, cfg)
-    on = lambda allowed, x: F.when(known, x) if allowed else F.lit(None).cast("double")
-    use_size, use_plane = cfg.fusion != "ground_only", cfg.fusion != "size_only"
-    rows = rows.withColumns(
-        {
-            "_zs": on(use_size, F.when(size_rel > 0, size)),
-            "_ws": on(use_size, F.when(size_rel > 0, 1 / (size_rel * size_rel))),
-            "_zp": on(use_plane, F.when(plane_rel > 0, plane)),
-            "_wp": on(use_plane, F.when(plane_rel > 0, 1 / (plane_rel * plane_rel))),
-            "_fs": F.when(known, size_flag),
-            "_fp": F.when(known, plane_flag),
-        }
-    )
+    # What is used more than once is a column of its own: Catalyst keeps such
+    # projections apart, and the generated code stays small.
+    c, s, v = math.cos(cam.pitch), math.sin(cam.pitch), geo.normalised_row(F.col("y2"), cam)
+    rows = rows.withColumns({"_h": F.col("y2") - F.col("y1"), "_plane": F.lit(cam.height_m) - F.col("mount_height_m"), "_n": c - v * s, "_d": v * c + s})
+    # an unknown class fails the first gate of the size and, without a plane, one of the plane's
+    rows = rows.withColumns({"_fs": _size_gate(cam, cfg), "_fp": _plane_gate(cam, cfg)})
+    cues = dict(zip(("_zs", "_ws"), _size_cue(cam, cfg), strict=True)) | dict(zip(("_zp", "_wp"), _plane_cue(cam, cfg), strict=True))
+    left_out = {"ground_only": ("_zs", "_ws"), "size_only": ("_zp", "_wp")}.get(cfg.fusion, ())
+    rows = rows.withColumns(cues | {k: F.lit(None).cast("double") for k in left_out})
     # Each line below refers to a cue as rarely as it can: a filter on a result is
     # pushed down by substitution, and repeated references would multiply there.
     zs, ws, zp, wp = (F.col(c) for c in ("_zs", "_ws", "_zp", "_wp"))
@@ -111,8 +115,8 @@ def estimate_ranges(df: DataFrame, setup: RangingSetup | None = None, image_size
     rows = rows.withColumns({"_dist": depth * per_depth, "forward_m": depth * forward, "lateral_m": depth * lateral})
     flags = F.array_compact(
         F.array(
-            F.col("_fs"),
-            F.col("_fp"),
+            F.when(known, F.col("_fs")),
+            F.when(known, F.col("_fp")),
             F.when(F.col("_apart") > math.log(1.6), F.concat(F.lit("cue_disagreement:"), F.format_string("%.2f", F.bround(F.exp("_apart"), 2)), F.lit("x"))),
             F.when(F.col("_dist") > cfg.max_range_m, "range_saturated"),
             F.when(~known, F.concat(F.lit("no_prior:"), F.col("class_name"))),

@@ -39,8 +39,9 @@ def map_runs(df: DataFrame, keys: Sequence[str], order: Sequence, fn: Callable[[
             for a, b in zip(cuts, cuts[1:], strict=False):
                 out = fn({c: v[a:b] for c, v in columns.items()})
                 for c, v in (out or {}).items():
-                    made.setdefault(c, []).extend(v)
-            return made, None if whole else pdf.iloc[cuts[-1] :]
+                    made.setdefault(c, []).append(v)
+            joined = {c: np.concatenate([np.asarray(v) for v in parts]) for c, parts in made.items()}
+            return joined, None if whole else pdf.iloc[cuts[-1] :]
 
         for pdf in batches:
             if not len(pdf):
