@@ -88,14 +88,18 @@ def precision_recall(df: DataFrame, by: list[str], order: list[Column], hit: Col
 
 
 def interpolated(curve: DataFrame, by: list[str]) -> DataFrame:
-    """Average of the envelope at recalls 0, 0.01 .. 1; 0 beyond the highest recall.
+    """``ap``, the average of the envelope at recalls 0, 0.01 .. 1 with 0 beyond the highest recall, and that ``recall``.
 
-    A row covers the recall points above the recall of the row before it, up to its own.
+    The envelope at a point is the largest precision of the rows that reach it,
+    so rows are first reduced to one per group and point.
     """
-    before = F.lag("recall", 1, -1.0).over(Window.partitionBy(*by).orderBy("rank"))
     # recalls are fractions; a point counts as reached within 1e-9
-    points = F.floor(F.col("recall") * 100 + 1e-9) - F.greatest(F.floor(before * 100 + 1e-9), F.lit(-1))
-    return curve.withColumn("_k", points).groupBy(*by).agg((F.sum(F.col("envelope") * F.col("_k")) / 101).alias("ap"))
+    reached = F.floor(F.col("recall") * 100 + 1e-9)
+    steps = curve.groupBy(*by, reached.alias("_k")).agg(F.max("precision").alias("_p"), F.max("recall").alias("_r"))
+    back = Window.partitionBy(*by).orderBy(F.col("_k").desc())
+    envelope = F.max("_p").over(back.rowsBetween(Window.unboundedPreceding, 0))
+    points = F.col("_k") - F.lead("_k", 1, -1).over(back)
+    return steps.withColumn("_a", envelope * points).groupBy(*by).agg((F.sum("_a") / 101).alias("ap"), F.max("_r").alias("recall"))
 
 
 def average_precision(detections: DataFrame, truths: DataFrame, image: str = "image_id") -> DataFrame:
@@ -105,7 +109,7 @@ def average_precision(detections: DataFrame, truths: DataFrame, image: str = "im
     grid = counts.withColumn("threshold", F.explode(F.array(*map(F.lit, THRESHOLDS))))
     hits = match(detections, truths, image).where(~F.col("ignored")).join(F.broadcast(counts), ["class_name", "area_range"])
     curve = precision_recall(hits, by, [F.col("score").desc(), F.col("det_id")], F.col("tp"), F.col("n_gt"))
-    ap = interpolated(curve, by).join(curve.groupBy(*by).agg(F.max("recall").alias("recall")), by)
+    ap = interpolated(curve, by)
     return grid.join(ap, by, "left").select(*by, F.coalesce("ap", F.lit(0.0)).alias("ap"), F.coalesce("recall", F.lit(0.0)).alias("recall"))
 
 
