@@ -28,6 +28,13 @@ PERMUTATIONS, SEED, SMALLEST = 128, 7_919, 16
 HITS = "array<struct<item_id:bigint,n_shared:bigint,n_item:bigint>>"
 
 
+def folded_hashes(text: bytes):
+    """Hashes of the words in lower case, accented and non-Latin letters too; bytes that are no UTF-8 stay."""
+    from kerbside.llm._shingles import word_hashes
+
+    return word_hashes(text if text.isascii() else text.decode("utf-8", "surrogateescape").lower().encode("utf-8", "surrogateescape"))
+
+
 @dataclass
 class ItemIndex:
     """Items as (id, text); ``shingle`` words a shingle, ``percent`` of them needed."""
@@ -45,12 +52,12 @@ class ItemIndex:
             return self._built
         import numpy as np
 
-        from kerbside.llm._shingles import permutations, runs, word_hashes
+        from kerbside.llm._shingles import permutations, runs
 
         a, b = permutations(PERMUTATIONS, SEED)
         exact, short, classes = [], {}, {}
         for number, (_, text) in enumerate(self.items):
-            words = word_hashes((text or "").encode("utf-8", "surrogatepass"))
+            words = folded_hashes((text or "").encode("utf-8", "surrogateescape"))
             if len(words) < self.shingle:
                 exact.append(np.unique(runs(words, len(words))))
                 if len(words):
@@ -106,10 +113,10 @@ class ItemIndex:
         """(item_id, shared shingles, item's shingles) of every item contained in the text."""
         import numpy as np
 
-        from kerbside.llm._shingles import runs, word_hashes
+        from kerbside.llm._shingles import runs
 
         x, out = self.built(), []
-        words = word_hashes(text)
+        words = folded_hashes(text)
         hashes = runs(words, self.shingle)
         likely = [(n, hashes) for n in sorted(self.candidates(hashes))]
         for k, numbers in x["short"].items():
@@ -137,8 +144,8 @@ def find_items(
 
     All columns and rows of ``df`` stay; a column of that name is replaced.  An
     entry has item_id, n_shared and n_item.  Shingles are runs of ``shingle``
-    words, A-Z in lower case; an item with fewer words counts as one run of all
-    its words; an item without words is contained nowhere, and a null or empty
+    words in lower case, of all letters, so that a passage in capitals is found;
+    an item with fewer words counts as one run of all its words; an item without words is contained nowhere, and a null or empty
     text contains nothing.  Repeated items are reported each.  The items are
     taken in passes of about ``items_a_pass``, so what a worker holds is bounded.
     """

@@ -291,6 +291,14 @@ def test_containment_equals_brute_force(spark, docs, empty):
     assert decontamination.find_items(rows, table.limit(0)).where(F.size("contained") > 0).count() == 0
 
 
+def test_items_in_capitals_are_found():
+    item = prose(np.random.default_rng(3), "fr", 30)
+    index = decontamination.ItemIndex([(1, item.capitalize()), (2, "Élan Ñandú")])
+    for text in (item, item.upper(), "vorher " * 90 + item.title()):
+        assert [i for i, _, _ in index.search(text.encode())] == [1]
+    assert index.search(b"\xff " * 5 + "ÉLAN ÑANDÚ".encode()) == [(2, 1, 1)]
+
+
 def brute_quality(t):
     t = t or ""
     w, seen, covered = WORD.findall(t), {}, set()
