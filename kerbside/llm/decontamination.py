@@ -86,15 +86,21 @@ class ItemIndex:
         if not x["classes"] or not len(hashes):
             return found
         largest = max(x["classes"])
-        step = 4096  # shingles hashed at a time, a multiple of the block size
-        blocks = []
-        for at in range(0, len(hashes), step):
-            part = hashes[at : at + step]
-            v = part[None, :] * x["a"] + x["b"]
-            if pad := -len(part) % SMALLEST:
-                v = np.concatenate([v, np.repeat(v[:, -1:], pad, 1)], 1)
-            blocks.append(v.reshape(PERMUTATIONS, -1, SMALLEST).min(2))
-        blocks = np.concatenate(blocks, 1) if len(blocks) > 1 else blocks[0]
+        if pad := -len(hashes) % SMALLEST:
+            hashes = np.concatenate([hashes, np.repeat(hashes[-1:], pad)])
+        # line j holds the j-th shingle of every block, so the minima grow along whole lines
+        lines = np.ascontiguousarray(hashes.reshape(-1, SMALLEST).T)
+        blocks, step = np.empty((PERMUTATIONS, lines.shape[1]), np.uint64), 256
+        for at in range(0, lines.shape[1], step):
+            least = blocks[:, at : at + step]
+            value = np.empty(least.shape, np.uint64)
+            for j, line in enumerate(lines[:, at : at + step]):
+                np.multiply(line, x["a"], out=value)
+                np.add(value, x["b"], out=value)
+                if j == 0:
+                    least[:] = value
+                else:
+                    np.minimum(least, value, out=least)
         size, rows = SMALLEST, np.arange(PERMUTATIONS)[:, None]
         while True:
             if size in x["classes"]:
