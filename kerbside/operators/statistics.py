@@ -47,3 +47,19 @@ def zip_curves(a: DataFrame, b: DataFrame, order: str, value: str) -> DataFrame:
 
 def mean_lead(curves: DataFrame, warm_up: int = 3) -> DataFrame:
     return curves.where(F.col("epoch") <= warm_up).agg(F.avg("delta").alias("mean_lead"))
+
+
+def sparsity(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+    """zeros, total and their ratio, of weights as rows."""
+    made = df.groupBy(*by).agg(F.count_if(F.col(value) == 0).alias("zeros"), F.count(value).alias("total"))
+    return made.withColumn("sparsity", ratio(F.col("zeros"), F.col("total"), 0.0))
+
+
+def without_smallest(df: DataFrame, value: str, amount: float, ties: Sequence[str]) -> DataFrame:
+    """The weights with the given share of smallest magnitude, over the whole table, set to 0; equal magnitudes go by ``ties``."""
+    from kerbside.operators.annotations import numbered_globally
+
+    known = df.withColumn("_size", F.abs(value)).where("_size is not null")
+    cut_at = round(amount * known.count())
+    ranked = numbered_globally(known, "_nth", ["_size", *ties])
+    return ranked.withColumn(value, F.when(F.col("_nth") > cut_at, F.col(value)).otherwise(F.lit(0.0))).drop("_size", "_nth")
