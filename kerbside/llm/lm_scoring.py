@@ -2,7 +2,11 @@
 
 The network sees the two words on either side of a hidden word and predicts it.
 A document's score is the sum of the log-probabilities of all its words, each
-given both sides.  Counts for the vocabulary come from the whole corpus.  The
+given both sides.  Counts of every word come from the whole corpus: the network
+tells the most frequent words and the buckets of all others apart, and a word in
+a bucket has its share of the bucket's count as a second factor.  So every word
+of the corpus has a probability of its own, however many there are.  One count
+more in every bucket is held for all words that the corpus does not have.  The
 network is trained in parallel: every task takes steps on a share of the
 positions of each of its documents, from the same start, and the parameters are
 averaged by the number of positions; the next round starts from the average.
@@ -11,12 +15,12 @@ averaged by the number of positions; the next round starts from the average.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kerbside.llm._common import SPLIT_RE
+from kerbside.llm._common import SPLIT_RE, stored
 
 WORDS, BUCKETS = 448, 63
 TOKENS = WORDS + BUCKETS + 1
@@ -27,21 +31,26 @@ WIDTH, HIDDEN = 16, 32
 SHAPES = {"embed": (TOKENS, WIDTH), "w1": (len(OFFSETS) * WIDTH, HIDDEN), "b1": (HIDDEN,), "w2": (HIDDEN, TOKENS), "b2": (TOKENS,)}
 #: Outer bounds of the last layer, which keep every exponent in range.
 MAX_W2, MAX_B2 = 2.0, 12.0
+#: Spark's seed of xxhash64, so that both sides give a word the same hash.
+HASH_SEED = 42
 
 
 @dataclass(frozen=True)
 class WindowNetwork:
     vocabulary: dict
     values: dict
+    #: Counts of the words in buckets (h, n), and per bucket their sum.
+    rare: DataFrame | None = None
+    totals: tuple = (0,) * BUCKETS
 
     def ids(self, text: bytes):
         """Word numbers of a text (A-Z in lower case), with two edges at either end."""
         import numpy as np
-        from xxhash import xxh32_intdigest
+        from xxhash import xxh64_intdigest
 
         known = self.vocabulary
         words = [EDGE, EDGE]
-        words += [known[w] if w in known else WORDS + xxh32_intdigest(w) % BUCKETS for w in text.lower().split()]
+        words += [known[w] if w in known else WORDS + (xxh64_intdigest(w, HASH_SEED) >> 1) % BUCKETS for w in text.lower().split()]
         return np.array([*words, EDGE, EDGE], np.int32)
 
     def tables(self):
@@ -74,8 +83,8 @@ class WindowNetwork:
         return out
 
 
-def start(counts: list[int], seed: int) -> dict:
-    """First parameters: small random ones, and the words' log-frequencies as last offsets."""
+def start(counts: list[int], seed: int, totals: tuple | None = None) -> dict:
+    """First parameters: small random ones, and the log-frequencies of words and buckets as last offsets."""
     import numpy as np
 
     rng = np.random.default_rng(seed)
@@ -84,7 +93,7 @@ def start(counts: list[int], seed: int) -> dict:
     freq = np.ones(TOKENS)
     freq[: len(counts)] += counts
     rest = max(freq[: len(counts)].sum(), 1.0)
-    freq[WORDS : WORDS + BUCKETS] = rest / BUCKETS
+    freq[WORDS : WORDS + BUCKETS] = rest / BUCKETS if totals is None else np.array(totals) + 1.0
     made["b2"] = np.clip(np.log(freq / freq.sum()) + 4, -MAX_B2, MAX_B2).astype(np.float32)
     return made
 
@@ -130,12 +139,24 @@ class Trainer:
         return loss
 
 
-def vocabulary(df: DataFrame, text: str = "text") -> list[tuple[str, int]]:
-    """The WORDS most frequent words of all documents (A-Z in lower case) and their counts."""
+def spread(df: DataFrame, text: str, *keep: Column) -> DataFrame:
+    """One row per word (A-Z in lower case)."""
     lower = F.translate(F.col(text), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    words = df.select(F.explode(F.split(lower, SPLIT_RE)).alias("word")).where("word <> ''")
-    top = words.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "word").limit(WORDS)
-    return [(r["word"], r["n"]) for r in top.collect()]
+    return df.select(*keep, F.explode(F.split(lower, SPLIT_RE)).alias("word")).where("word <> ''")
+
+
+def bucket(h: str) -> Column:
+    return (F.shiftrightunsigned(F.col(h), 1) % BUCKETS).cast("int")
+
+
+def vocabulary(df: DataFrame, text: str = "text") -> tuple[list[tuple[str, int]], DataFrame, tuple]:
+    """The WORDS most frequent words of all documents and their counts, the hashes and counts of all others, and the sums of those by bucket."""
+    counts = stored(spread(df, text).groupBy("word").agg(F.count("*").alias("n")), "word-counts")
+    top = [(r["word"], r["n"]) for r in counts.orderBy(F.col("n").desc(), "word").limit(WORDS).collect()]
+    others = counts.where(~F.col("word").isin([w for w, _ in top])) if top else counts
+    rare = others.select(F.xxhash64("word").alias("h"), "n")
+    sums = {r["b"]: r["n"] for r in rare.groupBy(bucket("h").alias("b")).agg(F.sum("n").alias("n")).collect()}
+    return top, rare, tuple(sums.get(b, 0) for b in range(BUCKETS))
 
 
 def train(df: DataFrame, text: str = "text", rounds: int = 2, stride: int = 32, batch: int = 256, seed: int = 5) -> WindowNetwork:
@@ -143,13 +164,13 @@ def train(df: DataFrame, text: str = "text", rounds: int = 2, stride: int = 32,
 
     In each round every document gives one position in ``stride``; documents
     shorter than that give one in some round by their checksum.  What comes to
-    the driver is the vocabulary and one value per parameter.
+    the driver is the vocabulary, one sum per bucket and one value per parameter.
     """
     import numpy as np
 
-    top = vocabulary(df, text)
+    top, rare, totals = vocabulary(df, text)
     known = {w.encode(): i for i, (w, _) in enumerate(top)}
-    values = start([n for _, n in top], seed)
+    values = start([n for _, n in top], seed, totals)
     sizes = [int(np.prod(s)) for s in SHAPES.values()]
     rows = df.select(F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
     for number in range(rounds):
@@ -198,7 +219,20 @@ def train(df: DataFrame, text: str = "text", rounds: int = 2, stride: int = 32,
         flat[[r["i"] for r in mean]] = [r["v"] for r in mean]
         cuts = np.split(flat, np.cumsum(sizes)[:-1])
         values = {k: c.reshape(s) for (k, s), c in zip(SHAPES.items(), cuts, strict=True)}
-    return WindowNetwork(known, values)
+    return WindowNetwork(known, values, rare, totals)
+
+
+def shares(df: DataFrame, network: WindowNetwork, text: str) -> DataFrame:
+    """Per text with words in buckets: _id and the mean log share of these words in their buckets.
+
+    Words are joined to the counts by hash, as neither side need fit in memory.
+    """
+    words = spread(df, text, F.col("_id"))
+    if network.vocabulary:
+        words = words.where(~F.col("word").isin([w.decode() for w in network.vocabulary]))
+    whole = F.array(*[F.log(F.lit(float(n + 1))) for n in network.totals])
+    met = words.select("_id", F.xxhash64("word").alias("h")).join(network.rare.hint("shuffle_hash"), "h", "left")
+    return met.groupBy("_id").agg(F.avg(F.log(F.coalesce("n", F.lit(1)).cast("double")) - whole[bucket("h")]).alias("share"))
 
 
 def score(df: DataFrame, network: WindowNetwork, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -207,23 +241,31 @@ def score(df: DataFrame, network: WindowNetwork, key: str = "doc_id", text: str
     A null or wordless text has 0 words, log_likelihood 0 and a null mean.
     Whole texts are scored; repeated rows each; other columns are ignored.
     """
-    shared = df.sparkSession.sparkContext.broadcast(network)  # a fixed number of parameters
+    shared = df.sparkSession.sparkContext.broadcast(replace(network, rare=None))  # a fixed number of parameters
+    # rows that repeat a key and a text have the same mean share, so they may meet
+    rows = df.select(F.col(key).alias(key), F.col(text).alias("_text"), F.xxhash64(key, text).alias("_id"))
 
-    @F.pandas_udf("n bigint, s double")
+    @F.pandas_udf("n bigint, m bigint, s double")
     def judge(texts):
         import pandas as pd
 
         net = shared.value
         tables, out = net.tables(), []
         for t in texts:
-            p = net.log_probabilities(net.ids(t), tables)
-            out.append((len(p), float(p.sum())))
-        return pd.DataFrame(out, columns=["n", "s"])
-
-    judged = df.select(F.col(key).alias(key), judge(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("_j"))
+            ids = net.ids(t)
+            p = net.log_probabilities(ids, tables)
+            out.append((len(p), int(((ids >= WORDS) & (ids < EDGE)).sum()), float(p.sum())))
+        return pd.DataFrame(out, columns=["n", "m", "s"])
+
+    judged = rows.select(key, "_id", judge(F.coalesce(F.col("_text"), F.lit("")).cast("binary")).alias("_j"))
+    if network.rare is not None:
+        judged = judged.join(shares(rows, network, "_text"), "_id", "left")
+    else:
+        judged = judged.withColumn("share", F.lit(None).cast("double"))
+    total = F.col("_j.s") + F.coalesce(F.col("_j.m") * F.col("share"), F.lit(0.0))
     return judged.select(
-        key, F.col("_j.n").alias("n_words"), F.col("_j.s").alias("log_likelihood"),
-        F.when(F.col("_j.n") > 0, F.col("_j.s") / F.col("_j.n")).alias("mean_logprob"),
+        key, F.col("_j.n").alias("n_words"), total.alias("log_likelihood"),
+        F.when(F.col("_j.n") > 0, total / F.col("_j.n")).alias("mean_logprob"),
     )
 
 

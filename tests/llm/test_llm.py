@@ -404,6 +404,26 @@ def test_network_gradient_and_scores(spark, docs, empty):
     assert lm_scoring.train(empty).vocabulary == {}
 
 
+def test_every_word_has_its_own_probability(spark):
+    common = " ".join(f"w{i}" for i in range(lm_scoring.WORDS))
+    texts = [common] * 60 + ["w1 \u00c9t\u00e9 w2"] * 40 + ["w1 q%d w2" % i for i in range(300)] + ["W1 Zyx w2", "w1 Zyx w2", None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    net = lm_scoring.train(df)
+    counts = collections.Counter(w for t in texts if t for w in t.encode().lower().split())
+    number = {w: int(net.ids(w)[2]) for w in counts}
+    assert sum(net.totals) == sum(n for w, n in counts.items() if w not in net.vocabulary) > 0
+    asked = [(i, t) for i, t in enumerate(texts)] + [(0, texts[0]), (70, texts[70]), (9000, "w1 never w2 never")]
+    for r in lm_scoring.score(spark.createDataFrame(asked, "doc_id bigint, text string"), net).collect():
+        t = (dict(asked)[r.doc_id] or "").encode()
+        own = [w for w in t.lower().split() if w not in net.vocabulary]
+        want = net.log_probabilities(net.ids(t)).sum() + sum(np.log(counts.get(w, 1) / (net.totals[int(net.ids(w)[2]) - lm_scoring.WORDS] + 1)) for w in own)
+        assert abs(r.log_likelihood - want) < 1e-3 and r.n_words == len(t.split())
+    # the shares of a bucket and what is held for unknown words make up one
+    for b in range(lm_scoring.BUCKETS):
+        mine = [n for w, n in counts.items() if number[w] == lm_scoring.WORDS + b]
+        assert sum(mine) == net.totals[b]
+
+
 def test_training_beats_frequencies():
     rng = np.random.default_rng(0)
     trainer = lm_scoring.Trainer(lm_scoring.start([1] * 20, 1), rate=1e-2)
