@@ -7,8 +7,8 @@ tells the most frequent words and the buckets of all others apart, and a word in
 a bucket has its share of the bucket's count as a second factor.  So every word
 of the corpus has a probability of its own, however many there are.  One count
 more in every bucket is held for all words that the corpus does not have.  The
-network is trained in parallel: every task takes steps on a share of the
-positions of each of its documents, from the same start, and the parameters are
+network is trained in parallel: every task takes steps on the positions of its
+documents, each position once over the rounds, from the same start, and the parameters are
 averaged by the number of positions; the next round starts from the average.
 """
 
@@ -116,24 +116,35 @@ class Trainer:
         p, n = self.values, len(target)
         x = p["embed"][context].reshape(n, -1)
         h = np.tanh(x @ p["w1"] + p["b1"])
-        logits = h @ p["w2"] + p["b2"]
-        logits -= logits.max(1, keepdims=True)
-        np.exp(logits, out=logits)
-        prob = logits / logits.sum(1, keepdims=True)
-        rows = np.arange(n)
-        loss = float(-np.log(np.maximum(prob[rows, target], 1e-30)).mean())
-        prob[rows, target] -= 1
-        prob /= n
-        back = (prob @ p["w2"].T) * (1 - h * h)
-        grad = {"w2": h.T @ prob, "b2": prob.sum(0), "w1": x.T @ back, "b1": back.sum(0), "embed": np.zeros_like(p["embed"])}
-        np.add.at(grad["embed"], context.ravel(), (back @ p["w1"].T).reshape(-1, WIDTH))
+        e = h @ p["w2"]
+        e += p["b2"]
+        np.exp(e, out=e)  # the bounds keep it in range
+        total, rows = e @ np.ones(TOKENS, np.float32), np.arange(n)
+        loss = float(-np.log(np.maximum(e[rows, target] / total, 1e-30)).mean())
+        # the gradient is (e / total - hit) / n; what is the same in a row is put on the narrow side
+        e[rows, target] -= total
+        share = (1 / (total * n)).astype(np.float32)
+        back = (e @ p["w2"].T) * share[:, None] * (1 - h * h)
+        grad = {"w2": (h * share[:, None]).T @ e, "b2": share @ e, "w1": x.T @ back, "b1": back.sum(0), "embed": np.zeros_like(p["embed"])}
+        flat = context.ravel().astype(np.int16)
+        order = np.argsort(flat, kind="stable")
+        begin = np.flatnonzero(np.diff(flat[order], prepend=-1))
+        grad["embed"][flat[order[begin]]] = np.add.reduceat((back @ p["w1"].T).reshape(-1, WIDTH)[order], begin)
         self.steps += 1
         self.seen += n
+        scale = float(self.rate * np.sqrt(1 - 0.99**self.steps) / (1 - 0.9**self.steps))
         for k, g in grad.items():
-            self.m[k] += 0.1 * (g - self.m[k])
-            self.v[k] += 0.01 * (g * g - self.v[k])
-            scale = self.rate * np.sqrt(1 - 0.99**self.steps) / (1 - 0.9**self.steps)
-            p[k] -= (scale * self.m[k] / (np.sqrt(self.v[k]) + 1e-8)).astype(np.float32)
+            m, v = self.m[k], self.v[k]
+            m *= 0.9
+            v *= 0.99
+            v += np.square(g * 0.1, dtype=np.float32)
+            g *= 0.1
+            m += g
+            np.sqrt(v, out=g)
+            g += 1e-8
+            np.divide(m, g, out=g)
+            g *= scale
+            p[k] -= g
         np.clip(p["w2"], -MAX_W2, MAX_W2, out=p["w2"])
         np.clip(p["b2"], -MAX_B2, MAX_B2, out=p["b2"])
         return loss
@@ -159,11 +170,21 @@ def vocabulary(df: DataFrame, text: str = "text") -> tuple[list[tuple[str, int]]
     return top, rare, tuple(sums.get(b, 0) for b in range(BUCKETS))
 
 
-def train(df: DataFrame, text: str = "text", rounds: int = 2, stride: int = 32, batch: int = 256, seed: int = 5) -> WindowNetwork:
+def positions(text: bytes, n: int, number: int, stride: int):
+    """Which of a text's ``n`` words are targets in round ``number``."""
+    import zlib
+
+    import numpy as np
+
+    return np.arange((zlib.crc32(text) + number) % stride, n, stride)
+
+
+def train(df: DataFrame, text: str = "text", rounds: int = 2, stride: int = 2, batch: int = 256, seed: int = 5) -> WindowNetwork:
     """Counts over all documents, then ``rounds`` of parallel training.
 
-    In each round every document gives one position in ``stride``; documents
-    shorter than that give one in some round by their checksum.  What comes to
+    In each round every document gives one position in ``stride``, from an offset
+    that moves on by one each round: with as many rounds as ``stride``, every
+    word of every text is a target once.  What comes to
     the driver is the vocabulary, one sum per bucket and one value per parameter.
     """
     import numpy as np
@@ -177,8 +198,6 @@ def train(df: DataFrame, text: str = "text", rounds: int = 2, stride: int = 32,
         network = WindowNetwork(known, values)
 
         def learn(batches: Iterator, network=network, number=number) -> Iterator:
-            import zlib
-
             import pyarrow as pa
 
             trainer, held, own = Trainer(network.values), [], []
@@ -199,7 +218,7 @@ def train(df: DataFrame, text: str = "text", rounds: int = 2, stride: int = 32,
                 for value in part.column(0):
                     t = value.as_py()
                     ids = network.ids(t)
-                    at = np.arange((zlib.crc32(t) + number * (stride // 2 + 1)) % stride, len(ids) - 4, stride) + 2
+                    at = positions(t, len(ids) - 4, number, stride) + 2
                     if len(at):
                         held.append(np.stack([ids[at + o] for o in OFFSETS], 1))
                         own.append(ids[at])

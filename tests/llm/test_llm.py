@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import collections
+import inspect
 import math
 import re
 import zlib
@@ -424,6 +425,15 @@ def test_every_word_has_its_own_probability(spark):
         assert sum(mine) == net.totals[b]
 
 
+def test_every_word_is_a_target_once():
+    usual = {k: v.default for k, v in inspect.signature(lm_scoring.train).parameters.items()}
+    for n in (*range(40), 1000):
+        for salt in range(5):
+            text = b" ".join(b"t%d" % (salt + i) for i in range(n))
+            met = [lm_scoring.positions(text, n, r, usual["stride"]) for r in range(usual["rounds"])]
+            assert sorted(np.concatenate(met)) == list(range(n))
+
+
 def test_training_beats_frequencies():
     rng = np.random.default_rng(0)
     trainer = lm_scoring.Trainer(lm_scoring.start([1] * 20, 1), rate=1e-2)
