@@ -282,3 +282,12 @@ def test_reports(spark, tmp_path):
     row = spark.createDataFrame([(1, "cone", 0.9, 0.0, 0.0, 1.0, 1.0, float("nan"), None, 1.0, 1.0, "size", ["f"])], f"frame int, class_name string, score double, {BOX}, distance_m double, sigma_m double, forward_m double, lateral_m double, method string, flags array<string>")
     assert json.loads(writers.predictions_json(row, "frame").first().json)[0]["distance_m"] is None
     assert writers.markdown(labels.select("stem", "cx"), ["stem", "cx"]).count("\n") == 3
+
+
+def test_labels_of_all_boxes_have_fixed_decimals(spark):
+    from kerbside.plans.fixtures import boxes
+
+    made = boxes(spark, "/root/testdata/sf0.001").select("x1", text.frame_label(F.col("class_name"), F.col("x1")).alias("label"), text.decimals(F.col("y2"), 2).alias("shown"), "y2")
+    rows = made.collect()
+    assert any(r.x1 < 0 for r in rows) and any(r.x1 % 1 for r in rows)
+    assert all(r.label.endswith(f", {r.x1:.1f}m") and r.shown == f"{r.y2:.2f}" for r in rows)
