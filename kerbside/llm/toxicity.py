@@ -187,7 +187,7 @@ def fit_toxicity(
                     yield out()
         yield out()
 
-    least = 3 if n1 < 500 else 6
+    least = 3
     found = (
         rows.mapInArrow(count, "term string, n1 bigint, n0 bigint")
         .groupBy("term")

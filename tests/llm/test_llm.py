@@ -169,6 +169,22 @@ def test_toxicity_learns_and_holds_out(spark, docs, empty):
     assert toxicity.fit_toxicity(empty, labels.limit(0)).terms and toxicity.score_toxicity(empty, model).count() == 0
 
 
+def test_toxicity_learns_rare_terms_from_many_labels(spark):
+    rng = np.random.default_rng(4)
+    keys = [k for k in range(4000) if zlib.crc32(str(k).encode()) % 5][:1800]
+    rows, labels = [], []
+    for i, k in enumerate(keys):
+        words = prose(rng, "en", 30).split()
+        words[3:3] = ["zorvex"] if i < 4 else ["scumbo"] if i < 600 else []
+        rows.append((k, " ".join(words), "en", "s", 0))
+        labels.append((k, 1, int(i < 600)))
+    docs, labels = spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    model = toxicity.fit_toxicity(docs, labels)
+    assert any("zorvex".startswith(t) for t, *_ in model.terms)
+    found = {r.doc_id for r in toxicity.score_toxicity(docs, model).where("toxicity >= 0.5").collect()}
+    assert set(keys[4:600]) <= found <= set(keys[:600])
+
+
 def test_language_bits_and_accuracy(spark, docs, empty):
     rows, _ = labelled(spark)
     model = language_id.fit_languages(rows)
