@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kerbside.llm._common import cut
+from kerbside.llm._common import cut, split_join, stored
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -13,16 +13,17 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
 
     Large: every node hands its larger neighbours to its smallest one.  Small:
     every node hands its smaller neighbours and itself to the smallest one.
-    The smallest neighbour comes from an aggregate and goes back by a join, so
-    a node with very many neighbours is never collected.
+    The smallest neighbour comes from an aggregate and goes back by a join that
+    leaves the edges of a hub where they are, so a node with very many
+    neighbours is neither collected nor dealt to one task.
     """
     if large:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        made = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("_rows")), "stars")
+        made = split_join(both.where("b > a"), least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
-        least = edges.groupBy("a").agg(F.min("b").alias("m"))
-        moved = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = stored(edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("_rows")), "stars")
+        moved = split_join(edges, least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         made = moved.union(least.select("a", F.col("m").alias("b")))
     return made.where("a > b").distinct()
 
@@ -35,7 +36,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     now = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct())
     while True:
-        after = cut(_stars(_stars(now, True), False))
+        after = cut(_stars(cut(_stars(now, True)), False))
         same = after.count() == now.count() and after.join(now, ["a", "b"], "left_anti").isEmpty()
         now = after
         if same:

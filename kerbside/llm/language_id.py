@@ -15,9 +15,12 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kerbside.llm._common import free_names, own, stored
 from kerbside.llm.sharding import unit_hash
 
 SIZES = (3, 4)
+#: Hash functions of the filter.
+HASHES = 3
 PIECE = 400_000
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)
 _letters: list = []
@@ -95,17 +98,14 @@ class LanguageModel:
     languages: tuple[str, ...]
     filter: object = field(compare=False, repr=False)
     rates: tuple[float, ...] = ()
-    hashes: int = 3
 
     def masks(self, h):
         """Per slice the mask of the languages that contain each n-gram."""
         import numpy as np
 
-        slots = np.uint64(self.filter.shape[1])
         out = None
-        for j in range(self.hashes):
-            at = ((h * np.uint64(_MIX[j] | 1)) >> np.uint64(24)) % slots
-            got = self.filter[:, at.astype(np.int64)]
+        for j in range(HASHES):
+            got = self.filter[:, slots_of(h, j, self.filter.shape[1])]
             out = got if out is None else out & got
         return out
 
@@ -136,23 +136,36 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def slots_of(h, j: int, slots: int):
+    """Places of n-gram hashes in a filter of ``slots`` under hash function ``j``."""
+    import numpy as np
+
+    return (((h * np.uint64(_MIX[j] | 1)) >> np.uint64(24)) % np.uint64(slots)).astype(np.int64)
+
+
 def fit_languages(
     df: DataFrame,
     key: str = "doc_id",
     text: str = "text",
     lang: str = "lang",
     per_language: int = 2000,
-    max_ngrams: int = 30_000,
-    slots: int = 1 << 18,
+    slots: int | None = None,
     share_of_best: float = 0.1,
-    least: int = 3,
+    least: int = 2,
 ) -> LanguageModel | None:
     """Learn the filter from rows that are not held out; None if there are none.
 
-    About ``per_language`` rows of each language at most are read, chosen by a
-    hash of the key.  A language contains an n-gram if it has it ``least``
-    times and at ``share_of_best`` of the best language's rate or more; at most
-    ``max_ngrams`` of a language, on average, the most frequent, come to the driver.
+    About ``per_language`` rows of each language at most are read, whole, chosen
+    by a hash of the key.  By the method's rule a language contains an n-gram if
+    the sample has it ``least`` times there, at ``share_of_best`` or more of the
+    rate of the language that has it most; every such n-gram goes into the
+    filter.  The filter is put together on the executors, as the OR of masks by
+    slot; the driver gets its words alone.  Without ``slots`` there are eight to
+    sixteen for each n-gram of the language with the most, so that the size
+    follows the sample, which is bounded.
+
+    Rows with a null text, language or key: the first two teach nothing, the
+    last is never held out.  Repeated rows count each.
     """
     import numpy as np
 
@@ -164,8 +177,9 @@ def fit_languages(
         return None
     names = sorted(size, key=lambda x: (-size[x], x))
     number = {x: i for i, x in enumerate(names)}
+    slices = (len(names) + 63) // 64
     share = F.element_at(F.create_map(*[x for k, v in size.items() for x in (F.lit(k), F.lit(per_language / v))]), F.col("lang"))
-    chosen = rows.where(unit_hash(F.concat(F.lit("lang:"), F.coalesce(F.col("_id").cast("string"), F.lit("")))) < share)
+    chosen = rows.where(unit_hash(F.concat(F.lit("lang:"), F.coalesce(F.col("_id").cast("string"), F.lit("")), F.lit(":"), F.crc32("text").cast("string"))) < share)
 
     def count(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -183,36 +197,36 @@ def fit_languages(
                     )
 
     counts = chosen.select("text", "lang").mapInArrow(count, "gram bigint, lang int, n bigint").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
-    counts = stored_counts(counts)
+    counts = stored(counts, "ngrams")
     totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     if not totals:
-        return LanguageModel(tuple(names), np.zeros(((len(names) + 63) // 64, slots), np.uint64), (0.0,) * len(names))
+        return LanguageModel(tuple(names), np.zeros((slices, slots or 64), np.uint64), (0.0,) * len(names))
     per = F.element_at(F.create_map(*[x for k, v in totals.items() for x in (F.lit(k), F.lit(float(v)))]), F.col("lang"))
     rated = counts.withColumn("rate", F.col("n") / per)
     best = rated.groupBy("gram").agg(F.max("rate").alias("best"))
-    kept = (
-        rated.join(best, "gram")
-        .where((F.col("n") >= least) & (F.col("rate") >= share_of_best * F.col("best")))
-        .orderBy(F.col("rate").desc(), "gram", "lang")
-        .limit(max_ngrams * len(names))
-        .select("gram", "lang")
-        .collect()
-    )
-    table = np.zeros(((len(names) + 63) // 64, slots), np.uint64)
-    model = LanguageModel(tuple(names), table)
-    grams = np.array([r["gram"] for r in kept], np.int64).view(np.uint64)
-    own = np.array([r["lang"] for r in kept], np.int64)
-    for j in range(model.hashes):
-        at = (((grams * np.uint64(_MIX[j] | 1)) >> np.uint64(24)) % np.uint64(slots)).astype(np.int64)
-        np.bitwise_or.at(table, (own // 64, at), np.uint64(1) << (own % 64).astype(np.uint64))
-    fill = [float(((table[i // 64] >> np.uint64(i % 64)) & np.uint64(1)).mean()) for i in range(len(names))]
-    return LanguageModel(tuple(names), table, tuple(f**model.hashes for f in fill))
-
+    kept = stored(rated.join(best, "gram").where((F.col("n") >= least) & (F.col("rate") >= share_of_best * F.col("best"))).select("gram", "lang"), "contained")
+    if slots is None:
+        most = max((r["count"] for r in kept.groupBy("lang").count().collect()), default=1)
+        slots = 1 << (8 * most - 1).bit_length()
 
-def stored_counts(counts: DataFrame) -> DataFrame:
-    from kerbside.llm._common import stored
+    def spread(batches: Iterator, slots=slots) -> Iterator:
+        import pyarrow as pa
 
-    return stored(counts, "ngrams")
+        for batch in batches:
+            grams, own = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
+            at = np.concatenate([slots_of(grams, j, slots) for j in range(HASHES)])
+            bits = np.uint64(1) << (own % 64).astype(np.uint64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(at), pa.array(np.tile(own // 64, HASHES).astype(np.int32)), pa.array(np.tile(bits, HASHES).view(np.int64))],
+                names=["slot", "slice", "bits"],
+            )
+
+    words = kept.mapInArrow(spread, "slot bigint, slice int, bits bigint").groupBy("slice", "slot").agg(F.bit_or("bits").alias("mask"))
+    table = np.zeros((slices, slots), np.uint64)
+    for r in words.toLocalIterator():
+        table[r["slice"], r["slot"]] = r["mask"] % (1 << 64)
+    fill = [float(((table[i // 64] >> np.uint64(i % 64)) & np.uint64(1)).mean()) for i in range(len(names))]
+    return LanguageModel(tuple(names), table, tuple(f**HASHES for f in fill))
 
 
 def predict_language(df: DataFrame, model: LanguageModel | None, text: str = "text") -> DataFrame:
@@ -220,12 +234,16 @@ def predict_language(df: DataFrame, model: LanguageModel | None, text: str = "te
 
     ``und`` with score 0 for a null text, one without a letter, or without a
     model.  A text with letters but no known n-gram gets the most frequent
-    language with score 0; ties go to the more frequent language.
+    language with score 0; ties go to the more frequent language.  Texts are
+    read whole, long ones in pieces of PIECE characters.  The prediction depends
+    on the text alone, so repeated rows get the same; all other columns stay,
+    and an empty table gives an empty table.
     """
-    plain = df.drop("lang_pred", "lang_score", "_judged")
+    plain = df.drop("lang_pred", "lang_score")
+    (mark,) = free_names(df, "_judged")
     if model is None:
         return plain.withColumns({"lang_pred": F.lit("und"), "lang_score": F.lit(0.0)})
-    shared = df.sparkSession.sparkContext.broadcast(model)  # slots x slices x 8 bytes
+    shared = df.sparkSession.sparkContext.broadcast(model)  # slots x slices x 8 bytes, by the size of the sample
 
     @F.pandas_udf("p string, s double")
     def judge(texts):
@@ -234,5 +252,5 @@ def predict_language(df: DataFrame, model: LanguageModel | None, text: str = "te
         lang, score = shared.value.predict(list(texts))
         return pd.DataFrame({"p": lang, "s": score})
 
-    judged = plain.withColumn("_judged", judge.asNondeterministic()(F.coalesce(F.col(text), F.lit(""))))
-    return judged.select(*[F.col(f"`{c}`") for c in plain.columns], F.col("_judged.p").alias("lang_pred"), F.col("_judged.s").alias("lang_score"))
+    judged = plain.withColumn(mark, judge.asNondeterministic()(F.coalesce(F.col(text), F.lit(""))))
+    return judged.select(*own(plain), F.col(f"{mark}.p").alias("lang_pred"), F.col(f"{mark}.s").alias("lang_score"))

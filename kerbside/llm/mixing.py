@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kerbside.llm._common import WORD_RE, stored
+from kerbside.llm._common import WORD_RE, free_names, own, stored
 from kerbside.llm.sharding import unit_hash
 
 #: A plan of more leaves than this is joined by shuffle instead of broadcast.
@@ -94,16 +94,19 @@ def mix(
     share: float = 0.8,
     max_epochs: int = 2,
     seed: int = 17,
+    tokens: Column | None = None,
 ) -> DataFrame:
     """The mixture: key, domain, lang, source, n_tokens, epoch (from 0), leaf_budget, ``_text``.
 
     One row per chosen row of ``df`` and epoch.  The budget is ``share`` of all
-    tokens, which are words; ``lang`` and ``source`` are columns of ``df`` and a
+    tokens, which are words unless ``tokens`` gives a row's number of them (a
+    null there is 0); ``lang`` and ``source`` are columns of ``df`` and a
     null there, or in ``domain``, is ``unknown``.  A leaf takes its prefix until
     the tokens before a row reach the budget, in the order of a hash of seed,
     epoch and key, then of key and text.  A null text has no token; leaves
     without tokens, and those of weight 0, give nothing.  Repeated rows count
-    each.  The order is cut into hash ranges whose sums tell where the prefix
+    each, ties in the hash go by key and text, and an empty table gives none.  Texts
+    are counted whole.  The order is cut into hash ranges whose sums tell where the prefix
     ends, so only one range of a leaf is sorted, and no text is shuffled:
     ``_text`` is its hash.
     """
@@ -113,7 +116,7 @@ def mix(
         df.select(
             F.col(key).alias("_key"),
             *[F.coalesce(named.get(x, F.col(x)).cast("string"), F.lit("unknown")).alias(x) for x in levels],
-            word_count(F.col(text)).alias("n_tokens"),
+            (word_count(F.col(text)) if tokens is None else F.coalesce(tokens, F.lit(0)).cast("long")).alias("n_tokens"),
             F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_text"),
         ),
         "mix-rows",
@@ -149,11 +152,15 @@ def mix(
     return full.unionByName(sure).unionByName(edge)
 
 
-def mixed_documents(df: DataFrame, tree: MixTree, domain: Column, key: str = "doc_id", text: str = "text", share: float = 0.8, seed: int = 17) -> DataFrame:
+def mixed_documents(
+    df: DataFrame, tree: MixTree, domain: Column, key: str = "doc_id", text: str = "text", share: float = 0.8, seed: int = 17, tokens: Column | None = None
+) -> DataFrame:
     """The rows of ``df``, all columns, that a mixture of one epoch at most takes, once each.
 
     Rows equal in key and text are taken together.
     """
-    chosen = mix(df, tree, domain, key, text, share, 1, seed).select(F.col(key).alias("_k"), F.col("_text").alias("_t")).distinct()
-    marked = df.withColumn("_hash", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    return marked.join(chosen, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_hash") == F.col("_t")), "left_semi").drop("_hash")
+    mark, k, t = free_names(df, "_mix_mark", "_mix_key", "_mix_text")
+    chosen = mix(df, tree, domain, key, text, share, 1, seed, tokens).select(F.col(key).alias(k), F.col("_text").alias(t)).distinct()
+    columns = own(df)
+    marked = df.select(*columns, F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias(mark))
+    return marked.join(chosen, F.col(key).eqNullSafe(F.col(k)) & (F.col(mark) == F.col(t)), "left_semi").select(*columns)

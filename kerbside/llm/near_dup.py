@@ -23,8 +23,9 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from kerbside.llm._common import cut, stored
+from kerbside.llm._common import free_names, own, split_join, stored
 from kerbside.llm._components import connected_components
 
 #: 80 permutations give 160 values, 32 bands of 5: at a similarity of 0.8 a pair is missed 3 times in a million.
@@ -37,7 +38,13 @@ BLOCK_SHINGLES = 400_000
 
 def node_id(key: Column, text: Column) -> Column:
     """The key as a long; rows without a key get a negative number from their text."""
-    return F.coalesce(key.cast("long"), F.lit(-1).cast("long") - F.abs(F.xxhash64(F.coalesce(text, F.lit("")))))
+    return F.coalesce(key.cast("long"), F.lit(-1).cast("long") - F.shiftrightunsigned(F.xxhash64(F.coalesce(text, F.lit(""))), 1))
+
+
+def _whole_key(df: DataFrame, key: str) -> None:
+    kind = df.select(F.col(key)).schema[0].dataType
+    if not isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        raise TypeError(f"the key {key!r} must be an integer column, not {kind.simpleString()}")
 
 
 def signatures(sets: list, permutations: int = PERMUTATIONS, seed: int = SEED):
@@ -73,7 +80,7 @@ def band_keys(values, rows: int = BAND_ROWS):
 
 
 def _signed(rows: DataFrame, shingle: int) -> DataFrame:
-    """(node, text) to (node, n, set_key, bands, signature); the last three are null for empty sets."""
+    """(node, text, keyed) to (node, keyed, n, set_key, bands, signature); the last three are null for empty sets."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -110,12 +117,12 @@ def _signed(rows: DataFrame, shingle: int) -> DataFrame:
                 if held > 200_000 or i == len(texts) - 1:
                     sizes, keys, bands, sigs = sign(raw)
                     yield pa.RecordBatch.from_arrays(
-                        [nodes[at : i + 1], pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())],
-                        names=["node", "n", "set_key", "bands", "signature"],
+                        [nodes[at : i + 1], batch.column(2)[at : i + 1], pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())],
+                        names=["node", "keyed", "n", "set_key", "bands", "signature"],
                     )
                     at, raw, held = i + 1, [], 0
 
-    return rows.mapInArrow(run, "node bigint, n bigint, set_key binary, bands array<bigint>, signature binary")
+    return rows.mapInArrow(run, "node bigint, keyed boolean, n bigint, set_key binary, bands array<bigint>, signature binary")
 
 
 def _sets(rows: DataFrame, shingle: int) -> DataFrame:
@@ -156,28 +163,32 @@ def _similar(x, y, percent: int) -> bool:
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4, percent: int = 80) -> DataFrame:
     """One row per input row: key, n_shingles, component_id, kept, and ``_node``.
 
-    ``key`` is an integer.  Texts are compared by their sets of distinct
+    ``key`` is an integer column of any width, negative numbers too; another
+    type is a TypeError.  Texts are compared by their sets of distinct
     ``shingle``-word runs (A-Z in lower case); two are linked if
     100 * intersection >= ``percent`` * union.  component_id is the smallest key
     reachable by links.  A null, empty or wordless text has no shingle and no
-    link.  Rows with equal keys count as one document.  Rows without a key get
-    a negative number by their text as component_id where nothing smaller is
-    linked; their ``kept`` tells whether that number is theirs.  Other columns
-    are ignored; an empty table gives an empty table.
+    link.  Rows with equal keys are one document for the links, each with the
+    ``n_shingles`` of its own text.  Rows without a key keep a null key; they
+    stand as a negative number made from their text, which is their
+    component_id where nothing smaller is linked, and ``kept`` tells whether
+    that number is theirs.  Texts of any length are read whole.  Other columns
+    are ignored, whatever their names; an empty table gives an empty table.
     """
+    _whole_key(df, key)
     docs = df.select(F.col(key).alias(key), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    docs = docs.withColumn("node", node_id(F.col(key), F.col("text")))
-    base = stored(_signed(docs.select("node", "text"), shingle), "signatures")
-    classes = base.where("n > 0").groupBy("set_key").agg(F.min("node").alias("class_id"))
-    members = stored(
-        base.select("node", "n", "set_key").join(classes, "set_key", "left").select("node", "n", F.coalesce("class_id", "node").alias("class_id")),
-        "members",
-    )
+    docs = docs.select(node_id(F.col(key), F.col("text")).alias("node"), "text", F.col(key).isNotNull().alias("keyed"))
+    base = stored(_signed(docs, shingle), "signatures")
+    full_sets = base.where("n > 0")
+    classes = stored(full_sets.groupBy("set_key").agg(F.min("node").alias("class_id"), F.count("*").alias("_rows")), "classes")
     # one row per class of equal sets
-    firsts = base.where("n > 0").join(classes.withColumnRenamed("set_key", "k"), (F.col("set_key") == F.col("k")) & (F.col("node") == F.col("class_id")), "left_semi")
+    leaders = classes.select(F.col("set_key").alias("k"), "class_id")
+    firsts = full_sets.join(leaders, (F.col("set_key") == F.col("k")) & (F.col("node") == F.col("class_id")), "left_semi").drop("keyed")
+    firsts = stored(firsts.dropDuplicates(["node", "set_key"]), "firsts")
     entries = firsts.select("node", F.explode("bands").alias("band"))
-    shared = entries.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("band", "lo")
-    buckets = stored(entries.join(shared, "band").select("band", "node", "lo"), "buckets")
+    shared = entries.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("_rows"))
+    shared = stored(shared.where("lo < hi").select("band", "lo", "_rows"), "bands")
+    buckets = stored(split_join(entries, shared, "band").select("band", "node", "lo"), "buckets")
 
     facts = firsts.select("node", "n", "signature")
     stars = buckets.where("node > lo").select(F.col("lo").alias("a"), F.col("node").alias("b")).distinct()
@@ -186,18 +197,17 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
     sets = stored(_sets(docs.join(involved, "node", "left_semi").select("node", "text"), shingle), "sets")
     first = stored(_confirmed(pairs, sets, percent), "links")
     labels = connected_components(first)
-    rest = stored(_remaining(buckets, labels, firsts.select("node", "bands", "signature"), sets, percent), "more-links")
+    rest = stored(_remaining(buckets, labels, firsts.select("node", "n", "bands", "signature"), sets, percent), "more-links")
     if not rest.isEmpty():
         labels = connected_components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(rest))
-    placed = members.join(labels.withColumnRenamed("node", "class_id"), "class_id", "left").select(
-        F.col("node"), "n", F.coalesce("component", "class_id").alias("component_id")
-    )
-    if not df.where(F.col(key).isNull()).isEmpty():
-        placed = placed.withColumn("_key", F.when(F.col("node") < 0, F.lit(None)).otherwise(F.col("node")))
-    else:
-        placed = placed.withColumn("_key", F.col("node"))
+    # components are attached to classes, which are evenly dealt, and classes to rows, where the large ones are broadcast
+    named = classes.join(labels.withColumnRenamed("node", "class_id"), "class_id", "left")
+    named = stored(named.select("set_key", F.coalesce("component", "class_id").alias("component_id"), "_rows"), "named-classes")
+    rows = full_sets.select("node", "keyed", "n", "set_key")
+    none = base.where("n = 0").select("node", "keyed", "n", F.col("node").alias("component_id"))
+    placed = split_join(rows, named, "set_key").drop("set_key").unionByName(none)
     return placed.select(
-        F.col("_key").alias(key), F.col("n").alias("n_shingles"), "component_id",
+        F.when(F.col("keyed"), F.col("node")).cast(df.select(F.col(key)).schema[0].dataType).alias(key), F.col("n").alias("n_shingles"), "component_id",
         (F.col("node") == F.col("component_id")).alias("kept"), F.col("node").alias("_node"),
     )
 
@@ -236,20 +246,20 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _remaining(buckets: DataFrame, labels: DataFrame, facts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between components in buckets that hold several."""
-    named = buckets.select("band", "node").join(labels, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
-    mixed = named.groupBy("band").agg(F.min("component").alias("main"), F.max("component").alias("_hi")).where("main < _hi").select("band", "main")
-    own = stored(named.join(mixed, "band"), "mixed-buckets")
-    wanted = own.select("node").distinct()
-    full = facts.join(wanted, "node", "left_semi").join(sets.withColumn("n", F.length("shingles") / 8), "node")
-    rows = own.join(full, "node")
-    # blocks of about equal numbers of shingles; every two blocks of a bucket meet once
-    load = rows.groupBy("band").agg(F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    named = stored(buckets.select("band", "node").join(labels, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component")), "named-buckets")
+    mixed = named.groupBy("band").agg(F.min("component").alias("main"), F.max("component").alias("_hi"), F.count("*").alias("_rows")).where("main < _hi")
+    own = stored(split_join(named, stored(mixed.select("band", "main", "_rows"), "mixed-bands"), "band"), "mixed-buckets")
+    # blocks of about equal numbers of shingles; every two blocks of a bucket meet once.  They are dealt as numbers
+    # alone; what is compared is attached to them after that.
+    sized = stored(own.join(facts.select("node", "n"), "node"), "sized-buckets")
+    load = sized.groupBy("band").agg(F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES)).cast("int").alias("blocks"), F.count("*").alias("_rows"))
     dealt = (
-        rows.join(load, "band")
+        split_join(sized, stored(load, "bucket-loads"), "band")
         .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component", "main", "bands", "signature", "shingles")
+        .select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component", "main")
     )
+    dealt = dealt.join(facts.drop("n").join(sets, "node"), "node")
 
     def compare(pdf):
         import numpy as np
@@ -293,7 +303,16 @@ def _remaining(buckets: DataFrame, labels: DataFrame, facts: DataFrame, sets: Da
 
 
 def drop_near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``df``, all columns, that stay: one document of each component, once."""
-    kept = near_duplicates(df, key, text, shingle, percent).where("kept").select("_node").distinct()
-    marked = df.withColumn("_node", node_id(F.col(key), F.col(text))).withColumn("_text", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    return marked.join(kept, "_node", "left_semi").dropDuplicates(["_node", "_text"]).drop("_node", "_text")
+    """The rows of ``df``, all columns, that stay: one row of each component.
+
+    That is the row with the smallest key; of several rows with this key one
+    stays, of the text with the smallest hash.  Rows without shingles (null,
+    empty, wordless) stay, one per key; rows without a key stay once per text.
+    """
+    node, mark = free_names(df, "_kept_node", "_kept_mark")
+    kept = near_duplicates(df, key, text, shingle, percent).where("kept").select(F.col("_node").alias(node)).distinct()
+    columns = own(df)
+    # the text's hash comes first, so that a projection before the join may drop no text
+    marked = df.select(*columns, node_id(F.col(key), F.col(text)).alias(node), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias(mark))
+    least = marked.join(kept, node, "left_semi").groupBy(node).agg(F.min(mark).alias(mark))
+    return marked.join(least, [node, mark], "left_semi").dropDuplicates([node, mark]).select(*columns)

@@ -108,7 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op4_chat_formatting": """
         WITH m AS (
-            SELECT conv_id, coalesce(turn // 256, -1) AS segment, turn,
+            SELECT conv_id, turn,
                    coalesce(role, 'unknown') AS speaker,
                    replace(coalesce(text, ''), '<|', '< |') || '<|end|>' || chr(10) AS body
             FROM conversations WHERE conv_id IS NOT NULL
@@ -123,14 +123,14 @@ ORACLE_SQL: dict[str, str] = {
         ), placed AS (
             SELECT *, row_number() OVER w AS n,
                    sum(length(head) + length(body)) OVER (w ROWS UNBOUNDED PRECEDING) AS stop
-            FROM pieces WINDOW w AS (PARTITION BY conv_id, segment, perspective ORDER BY turn NULLS FIRST, speaker, body)
+            FROM pieces WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker, body)
         )
-        SELECT conv_id, segment, perspective, count(*) AS n_messages,
+        SELECT conv_id, perspective, count(*) AS n_messages,
                string_agg(head || body, '' ORDER BY n) AS rendered,
                coalesce(string_agg((stop - length(body))::VARCHAR || ':' || stop::VARCHAR, ',' ORDER BY n)
                    FILTER (WHERE speaker = perspective), '') AS mask_spans,
                coalesce(sum(length(body)) FILTER (WHERE speaker = perspective), 0)::BIGINT AS target_chars
-        FROM placed GROUP BY conv_id, segment, perspective
+        FROM placed GROUP BY conv_id, perspective
     """,
     "op3_mixing": r"""
         WITH r AS (

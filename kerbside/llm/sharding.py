@@ -77,13 +77,15 @@ def shard_plan(
 
     ``slot`` numbers the rows of a shard from 0 without gaps, in the order of
     (hash block, key, checksum, size).  A shard is cut into ``blocks`` hash
-    blocks: rows are numbered inside a block, and a block starts at the number
+    blocks by key and checksum, so that the rows of one key are spread too: rows
+    are numbered inside a block, and a block starts at the number
     of rows in the blocks before it, so no task sorts a whole shard.  The
     table of block starts has at most shards x blocks rows, whatever the
     input, and so can be broadcast.  Only key, size and checksum are shuffled.
 
-    A null text has size 1 and checksum 0.  Rows that are equal in key, size
-    and checksum get distinct neighbouring slots.
+    A null text has size 1 and checksum 0, like an empty one.  Rows that are
+    equal in key, size and checksum get distinct neighbouring slots.  Other
+    columns of ``df`` are ignored; an empty table gives an empty table.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     rows = assign_shards(
@@ -95,7 +97,7 @@ def shard_plan(
         key,
         weights=weights,
         grown_weights=grown_weights,
-    ).withColumn("_block", F.floor(unit_hash(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(":block"))) * blocks).cast("int"))
+    ).withColumn("_block", F.floor(unit_hash(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(":"), F.col("text_crc32").cast("string"))) * blocks).cast("int"))
     counts = rows.groupBy("shard", "_block").agg(F.count("*").alias("_n"))
     starts = counts.select(
         "shard",

@@ -3,7 +3,8 @@
 Texts and lexicon are folded alike: lower case, homoglyphs to Latin letters,
 digits and signs used as letters to those letters, invisible characters gone.
 The lexicon is a short seed list and the terms, whole words or word stems, that
-labelled documents teach.  A match inside an exception phrase does not count.
+labelled documents teach; they teach exception phrases too.  A match inside an
+exception phrase does not count.
 The summed weights, divided by a power of the number of words, go through a
 logistic curve whose three numbers are fitted on the same labelled rows.
 """
@@ -14,13 +15,13 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kerbside.llm._common import stored
+from kerbside.llm._common import free_names, own, stored
 from kerbside.llm.sharding import unit_hash
 
 # Letters that look alike, as "lookalikes: letter".
@@ -86,9 +87,25 @@ class ToxicityModel:
     def hits(self, text: str | None) -> tuple[float, int, int]:
         """Summed weights, number of words hit, number of words."""
         folded = fold(text)
-        words, found = len(folded.split()), self.automaton()
+        at = self._weights(folded)
+        return math.fsum(at.values()), len(at), len(folded.split())
+
+    def surroundings(self, text: str | None) -> Iterator[str]:
+        """Each hit's word with the word before it, and with the word after it, as they stand in the folded text."""
+        folded = fold(text)
+        words = [m.span() for m in _WORD.finditer(folded)] if (at := self._weights(folded)) else []
+        for i, (start, _) in enumerate(words):
+            if start in at:
+                if i:
+                    yield folded[words[i - 1][0] : words[i][1]]
+                if i + 1 < len(words):
+                    yield folded[words[i][0] : words[i + 1][1]]
+
+    def _weights(self, folded: str) -> dict[int, float]:
+        """Weight of the hit at each place, without those inside an exception phrase."""
+        found = self.automaton()
         if not folded or found is None:
-            return 0.0, 0, words
+            return {}
         n, at, spans = len(folded), {}, []
         for last, (size, weight, kind) in found.iter(folded):
             start = last + 1 - size
@@ -101,9 +118,9 @@ class ToxicityModel:
             elif weight > at.get(start, -1.0):
                 at[start] = weight
         for start, last in spans:
-            for p in [p for p in at if start <= p <= last]:
-                del at[p]
-        return math.fsum(at.values()), len(at), words
+            for p in range(start, last + 1):
+                at.pop(p, None)
+        return at
 
     def score(self, total: float, words: int) -> float:
         x = self.slope * total / max(words, 1) ** self.length_power + self.offset
@@ -116,7 +133,7 @@ def held_out(key: Column) -> Column:
 
 
 def _features(text: str, stems: range) -> tuple[set[str], set[str]]:
-    words = {w for w in _WORD.findall(fold(text)) if len(w) <= 40}
+    words = set(_WORD.findall(fold(text)))
     return {w for w in words if len(w) >= 3}, {w[:k] for w in words for k in stems if len(w) > k}
 
 
@@ -145,16 +162,21 @@ def fit_toxicity(
     text: str = "text",
     per_class: int = 3000,
     stem_lengths: Sequence[int] = (3, 4, 5, 6, 7, 8),
-    max_candidates: int = 20_000,
 ) -> ToxicityModel:
     """Learn terms and curve from labelled rows; without any, the seed list alone.
 
     The sample holds about ``per_class`` toxic and twice as many clean rows at
     most, so what comes to the driver (candidate terms, and per sampled toxic row
-    the candidates it holds) is bounded.  A term is a candidate if its rate in
-    toxic rows is eight times that in clean rows.  Terms are taken as long as
-    they explain toxic rows that no term so far explains, at twice the cost of
-    the clean rows that they hit.
+    the candidates it holds) is bounded by that.  A term is a candidate if three
+    toxic rows or more have it and its rate in toxic rows is eight times that in
+    clean rows.  Terms are taken as long as they explain toxic rows that no term
+    so far explains, at twice the cost of the clean rows that they hit.  Two
+    words around a hit become an exception phrase by the same rule turned round:
+    three clean rows or more have them, at eight times the rate of toxic rows.
+
+    Null keys, and labels other than 0 and 1, teach nothing; a key that is
+    labelled twice counts as toxic if one label says so, and each of its rows is
+    read.  Ties go to whole words, longer terms and then by name.
     """
     stems = range(min(stem_lengths), max(stem_lengths) + 1)
     rows = stored(training_rows(docs, labels, per_class, key, text), "toxic-sample")
@@ -194,7 +216,6 @@ def fit_toxicity(
         .agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
         .where((F.col("n1") >= least) & (F.col("n0") * (n1 / n0) * 8 <= F.col("n1")))
         .orderBy(F.col("n1").desc(), "term")
-        .limit(max_candidates)
         .collect()
     )
     names = [r["term"] for r in found]
@@ -218,6 +239,8 @@ def fit_toxicity(
     weigh = {i: math.log((found[i]["n1"] + 0.5) / (n1 + 1)) - math.log((found[i]["n0"] + 0.5) / (n0 + 1)) for i in picked}
     model = ToxicityModel(seed + tuple((names[i][1:], w, names[i][0] == "s") for i, w in weigh.items()))
 
+    model = replace(model, exceptions=model.exceptions + _learnt_exceptions(rows, model, n1, n0, least))
+
     @F.pandas_udf("total double, hits int, words int")
     def measure(texts):
         import pandas as pd
@@ -228,6 +251,20 @@ def fit_toxicity(
     return _calibrated(model, [(r["total"], r["words"], r["toxic"]) for r in seen])
 
 
+def _learnt_exceptions(rows: DataFrame, model: ToxicityModel, n1: int, n0: int, least: int) -> tuple[str, ...]:
+    """Pairs of neighbouring words around hits of the model that are harmless by the labelled rows."""
+
+    @F.pandas_udf("array<string>")
+    def around(texts):
+        import pandas as pd
+
+        return pd.Series([sorted(set(model.surroundings(t))) for t in texts])
+
+    met = rows.select(F.explode(around("text")).alias("phrase"), "toxic").groupBy("phrase").agg(F.sum("toxic").alias("y"), F.sum(1 - F.col("toxic")).alias("n"))
+    good = met.where((F.col("n") >= least) & (F.col("y") * (n0 / n1) * 8 <= F.col("n")))
+    return tuple(r["phrase"] for r in good.orderBy("phrase").collect())
+
+
 def _cover(names: list[str], covered: list[set[int]], least: int, cost: list[float]) -> list[int]:
     """Greedy cover of the toxic rows; ties go to whole words, then to longer terms."""
     import heapq
@@ -285,8 +322,9 @@ def _calibrated(model: ToxicityModel, rows: list[tuple[float, int, int]]) -> Tox
 def score_toxicity(df: DataFrame, model: ToxicityModel, text: str = "text") -> DataFrame:
     """Add ``toxicity`` (0 to 1) and ``toxic_hits`` (int) to every row, replacing columns so named.
 
-    Whole texts are read.  A null or empty text scores as a text without a
-    hit.  The score depends on the text alone.
+    Whole texts are read, long ones too.  A null or empty text scores as a text
+    without a hit.  The score depends on the text alone, so repeated rows score
+    alike; all other columns stay, and an empty table gives an empty table.
     """
 
     @F.pandas_udf("s double, h int")
@@ -299,7 +337,8 @@ def score_toxicity(df: DataFrame, model: ToxicityModel, text: str = "text") -> D
             out.append((model.score(total, words), hits))
         return pd.DataFrame(out, columns=["s", "h"])
 
-    plain = df.drop("toxicity", "toxic_hits", "_judged")
+    plain = df.drop("toxicity", "toxic_hits")
+    (mark,) = free_names(df, "_judged")
     # not deterministic for the planner only, so that a filter on the score does not run the matcher twice
-    judged = plain.withColumn("_judged", judge.asNondeterministic()(F.coalesce(F.col(text), F.lit(""))))
-    return judged.select(*[F.col(f"`{c}`") for c in plain.columns], F.col("_judged.s").alias("toxicity"), F.col("_judged.h").alias("toxic_hits"))
+    judged = plain.withColumn(mark, judge.asNondeterministic()(F.coalesce(F.col(text), F.lit(""))))
+    return judged.select(*own(plain), F.col(f"{mark}.s").alias("toxicity"), F.col(f"{mark}.h").alias("toxic_hits"))
