@@ -2,292 +2,556 @@
 
 The network sees the two words on either side of a hidden word and predicts it.
 A document's score is the sum of the log-probabilities of all its words, each
-given both sides.  Counts of every word come from the whole corpus: the network
-tells the most frequent words and the buckets of all others apart, and a word in
-a bucket has its share of the bucket's count as a second factor.  So every word
-of the corpus has a probability of its own, however many there are.  One count
-more in every bucket is held for all words that the corpus does not have.  The
-network is trained in parallel: every task takes steps on the positions of its
-documents, each position once over the rounds, from the same start, and the parameters are
-averaged by the number of positions; the next round starts from the average.
+given both sides.
+
+The last layer is a binary tree over words (a Huffman code of their counts in
+the whole corpus): a word's probability is the product of the turns on its way
+from the root, each a logistic function of the hidden layer.  So the
+``WORDS`` most frequent words have outputs of their own, and a word costs as
+many products as its code has bits, about a dozen.  All other words go to
+``RARE`` leaves by hash, and there a word has its share of the leaf's count in
+the corpus; one count more in every such leaf is held for words that the corpus
+does not have.  Probabilities of all words sum to one, and before training they
+are the corpus's relative frequencies.
+
+Training deals the documents to groups by a hash of key and text, and orders
+them by it, so the result does not depend on partitions.  Each group is one
+task, which takes steps on every position of its documents.  Groups of one
+round start alike; after it, each row of parameters becomes the mean over the
+groups that used it, weighed by their uses and summed in the order of groups.
+Every group works in one round, so every word of every document is a target once.
+The number of groups follows the square root of the number of words: tasks and
+the exchange of parameters both grow slower than the corpus.
 """
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
+from itertools import groupby, repeat
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kerbside.llm._common import SPLIT_RE, stored
+from kerbside.llm._common import stored
 
-WORDS, BUCKETS = 448, 63
-TOKENS = WORDS + BUCKETS + 1
-EDGE = TOKENS - 1
+#: Leaves of single words, at most, and leaves that share all other words.
+WORDS, RARE = 1 << 18, 64
+#: Most frequent words with an input vector of their own; the others share vectors by hash.
+INPUTS, SHARED = 1 << 14, 1 << 10
 OFFSETS = (-2, -1, 1, 2)
-WIDTH, HIDDEN = 16, 32
-#: In the order in which parameters are numbered.
-SHAPES = {"embed": (TOKENS, WIDTH), "w1": (len(OFFSETS) * WIDTH, HIDDEN), "b1": (HIDDEN,), "w2": (HIDDEN, TOKENS), "b2": (TOKENS,)}
-#: Outer bounds of the last layer, which keep every exponent in range.
-MAX_W2, MAX_B2 = 2.0, 12.0
+#: Nodes nearest to the root by weight, whose odds are taken as one matrix product.
+UPPER = 256
+WIDTH, HIDDEN = 16, 24
+#: Positions of a training step, and of a block of texts that is shuffled.
+BATCH, SHUFFLED = 2048, 1 << 17
+#: Words a group would have if the corpus were one group.
+GROUP_WORDS = 100_000
+#: Rows of parameters that travel together.
+BLOCK = 2048
+RATE = 0.1
 #: Spark's seed of xxhash64, so that both sides give a word the same hash.
 HASH_SEED = 42
 
 
-@dataclass(frozen=True)
-class WindowNetwork:
-    vocabulary: dict
-    values: dict
-    #: Counts of the words in buckets (h, n), and per bucket their sum.
-    rare: DataFrame | None = None
-    totals: tuple = (0,) * BUCKETS
+def huffman(weights):
+    """Code of leaves with the given positive weights, largest first: (at, nodes, right, bias).
 
-    def ids(self, text: bytes):
-        """Word numbers of a text (A-Z in lower case), with two edges at either end."""
-        import numpy as np
-        from xxhash import xxh64_intdigest
+    The way to leaf i is nodes[at[i] : at[i + 1]], from the root (node 0) down;
+    ``right`` tells which turn it takes, and ``bias`` has for each node the log
+    odds of a right turn by the weights.
+    """
+    import numpy as np
 
-        known = self.vocabulary
-        words = [EDGE, EDGE]
-        words += [known[w] if w in known else WORDS + (xxh64_intdigest(w, HASH_SEED) >> 1) % BUCKETS for w in text.lower().split()]
-        return np.array([*words, EDGE, EDGE], np.int32)
+    n = len(weights)
+    weight = np.concatenate([np.asarray(weights, float)[::-1], np.zeros(max(n - 1, 0))]).tolist()  # leaves, smallest first, then inner nodes
+    parent, leaf, inner = [0] * len(weight), 0, n
+    for made in range(n, len(weight)):
+        for _ in range(2):
+            # of equals the leaf goes first
+            if inner >= made or (leaf < n and weight[leaf] <= weight[inner]):
+                child, leaf = leaf, leaf + 1
+            else:
+                child, inner = inner, inner + 1
+            parent[child] = made
+            weight[made] += weight[child]
+    parent, weight = np.array(parent), np.array(weight)
+    root = len(weight) - 1
+    second = np.zeros(len(weight), bool)  # of two siblings, the one made later turns right
+    order = np.lexsort((np.arange(root), parent[:root]))
+    second[order[1::2]] = True
+    bias = np.log(weight[order[1::2]] / weight[order[::2]])[::-1] if n > 1 else np.zeros(0)
+    now, ways, turns = np.arange(n), [], []
+    while (now < root).any():
+        up = now < root
+        ways.append(np.where(up, root - parent[now], -1))
+        turns.append(second[now])
+        now = np.where(up, parent[now], root)
+    ways = np.array(ways[::-1]).reshape(-1, n).T[::-1]  # one line per leaf, root first
+    turns = np.array(turns[::-1]).reshape(-1, n).T[::-1]
+    real = ways >= 0
+    at = np.concatenate([[0], np.cumsum(real.sum(1))])
+    return at, ways[real].astype(np.int32), turns[real], bias.astype(np.float32)
 
-    def tables(self):
-        """Per offset what each word adds to the hidden layer."""
-        e, w1 = self.values["embed"], self.values["w1"]
-        return [e @ w1[j * WIDTH : (j + 1) * WIDTH] for j in range(len(OFFSETS))]
 
-    def log_probabilities(self, ids, tables=None, block: int = 2048):
-        """One value per word of ``ids`` (edges included there, not in the result)."""
+@dataclass(frozen=True)
+class Vocabulary:
+    """words: those with leaves of their own, most frequent first, and their counts; totals: counts of the rare leaves."""
+
+    words: list
+    counts: object
+    totals: tuple
+    #: Words of the corpus, and distinct ones without a leaf of their own.
+    size: int = 0
+    others: int = 0
+
+    def tables(self) -> dict:
+        """Arrays that say all about word numbers: ``inputs``, the input vector of each, the edge of a text as the last; ``start``,
+        ``upper`` and ``size``, where in ``turns`` the way to its leaf begins, its nodes near the root, and all of them;
+        ``turns``, nodes times two, one more for a turn to the right; ``bias`` by node."""
         import numpy as np
+        from xxhash import xxh64_intdigest
 
-        tables = tables or self.tables()
-        n = len(ids) - 4
-        out = np.empty(max(n, 0), np.float64)
-        # the last offsets are one more row of the last layer, and a constant one more hidden value
-        last, b1 = np.vstack([self.values["w2"], self.values["b2"][None]]), self.values["b1"]
-        size = min(block, max(n, 1))
-        hidden, room, ones = np.ones((size, HIDDEN + 1), np.float32), np.empty((size, TOKENS), np.float32), np.ones(TOKENS, np.float32)
-        for at in range(0, n, block):
-            stop = min(n, at + block)
-            h, logits = hidden[: stop - at], room[: stop - at]
-            z = b1 + tables[0][ids[at:stop]]
-            for j in range(1, len(OFFSETS)):
-                z += tables[j][ids[at + 2 + OFFSETS[j] : stop + 2 + OFFSETS[j]]]
-            np.tanh(z, out=h[:, :HIDDEN])
-            np.matmul(h, last, out=logits)
-            own = logits[np.arange(stop - at), ids[at + 2 : stop + 2]].astype(np.float64)
-            np.exp(logits, out=logits)
-            out[at:stop] = own - np.log((logits @ ones).astype(np.float64))
+        shared = [INPUTS + xxh64_intdigest(w, HASH_SEED) % SHARED for w in self.words[INPUTS:]]
+        inputs = np.concatenate([np.arange(min(INPUTS, len(self.words))), shared, INPUTS + SHARED + np.arange(RARE + 1)]).astype(np.int32)
+        weights = np.concatenate([self.counts, np.array(self.totals) + 1])
+        order = np.argsort(-weights, kind="stable")
+        at, nodes, right, bias = huffman(weights[order])
+        # nodes are numbered from the heaviest on, so on every way the upper ones come first
+        upper = np.add.reduceat((nodes < UPPER).astype(np.int64), at[:-1]) if len(nodes) else np.zeros(len(order), np.int64)
+        out = {"inputs": inputs, "bias": bias, "turns": nodes * 2 + right.astype(np.int32)}
+        for name, by_weight in (("start", at[:-1]), ("size", np.diff(at)), ("upper", upper)):
+            out[name] = np.empty(len(order), np.int64)
+            out[name][order] = by_weight
         return out
 
 
-def start(counts: list[int], seed: int, totals: tuple | None = None) -> dict:
-    """First parameters: small random ones, and the log-frequencies of words and buckets as last offsets."""
+def numbers(text: bytes, known: dict):
+    """Numbers of the words of a text (A-Z in lower case), and the hashes of those without a leaf of their own."""
+    import numpy as np
+    from xxhash import xxh64_intdigest
+
+    words = text.lower().split()
+    out = np.fromiter(map(known.get, words, repeat(-1)), np.int32, len(words))
+    new = np.flatnonzero(out < 0)
+    rare = np.array([xxh64_intdigest(words[i], HASH_SEED) for i in new], np.uint64)
+    out[new] = len(known) + (rare % np.uint64(RARE)).astype(np.int32)
+    return out, rare
+
+
+def first_values(bias, seed: int) -> dict:
+    """Parameters before training: rows of input vectors, first layer (its last row the offsets) and tree (its last column the offsets)."""
     import numpy as np
 
     rng = np.random.default_rng(seed)
-    made = {k: (rng.standard_normal(s) * 0.1).astype(np.float32) for k, s in SHAPES.items()}
-    made["b1"] = np.zeros(SHAPES["b1"], np.float32)
-    freq = np.ones(TOKENS)
-    freq[: len(counts)] += counts
-    rest = max(freq[: len(counts)].sum(), 1.0)
-    freq[WORDS : WORDS + BUCKETS] = rest / BUCKETS if totals is None else np.array(totals) + 1.0
-    made["b2"] = np.clip(np.log(freq / freq.sum()) + 4, -MAX_B2, MAX_B2).astype(np.float32)
-    return made
+    return {
+        "embed": (rng.standard_normal((INPUTS + SHARED + RARE + 1, WIDTH)) * 0.3).astype(np.float32),
+        "layer": np.vstack([rng.standard_normal((len(OFFSETS) * WIDTH, HIDDEN)) * 0.2, np.zeros((1, HIDDEN))]).astype(np.float32),
+        "tree": np.hstack([np.zeros((len(bias), HIDDEN)), bias[:, None]]).astype(np.float32),
+    }
+
+
+def sums(rows, begin, size):
+    """Sums of runs of lines, the runs one after the other and none empty."""
+    import numpy as np
+
+    out, live = rows.take(begin, 0), np.flatnonzero(size > 1)
+    for k in range(1, 5):  # most runs are short
+        if not len(live):
+            return out
+        out[live] = out.take(live, 0) + rows.take(begin.take(live) + k, 0)
+        live = live[size.take(live) > k + 1]
+    if len(live):
+        many = size.take(live) - 5
+        flat = np.arange(many.sum()) + np.repeat(begin.take(live) + 5 - (np.cumsum(many) - many), many)
+        out[live] = out.take(live, 0) + np.add.reduceat(rows.take(flat, 0), np.cumsum(many) - many)
+    return out
+
+
+class Network:
+    """The window network on word numbers; ``tables`` from Vocabulary.tables."""
+
+    def __init__(self, tables: dict, values: dict) -> None:
+        self.tables, self.values = tables, values
+
+    def windows(self, ids):
+        """Input vectors around each word of a text, one line a word; beyond the text's ends lies the edge."""
+        import numpy as np
+
+        edge = len(self.tables["inputs"]) - 1
+        wide = self.tables["inputs"].take(np.concatenate([[edge, edge], ids, [edge, edge]]))
+        return np.stack([wide[2 + o : len(wide) - 2 + o] for o in OFFSETS], 1)
+
+    def ways(self, leaves):
+        """The ways to leaves in two parts, near the root and beyond: nodes, turns (1 right, -1 left), the leaf's place of each, and their number by leaf."""
+        import numpy as np
+
+        start, size, upper = (self.tables[k].take(leaves) for k in ("start", "size", "upper"))
+        out, places = [], np.arange(len(leaves))
+        for first, many in ((start, upper), (start + upper, size - upper)):
+            flat = np.repeat(first - (np.cumsum(many) - many), many)
+            flat += np.arange(len(flat))
+            turns = self.tables["turns"].take(flat)
+            out.append((turns >> 1, ((turns & 1) * 2 - 1).astype(np.float32), np.repeat(places, many), many))
+        return out
+
+    def hidden(self, context):
+        """Inputs and hidden layer, with a last column of ones."""
+        import numpy as np
+
+        layer = self.values["layer"]
+        x = self.values["embed"].take(context, 0).reshape(len(context), -1)
+        h = np.ones((len(context), HIDDEN + 1), np.float32)
+        np.tanh(x @ layer[:-1] + layer[-1], out=h[:, :-1])
+        return x, h
+
+    def odds(self, h, upper, lower):
+        """Log odds of the turns of both parts; for the second also the hidden layer and the node beside each turn."""
+        import numpy as np
+
+        tree = self.values["tree"]
+        top = (h @ tree[:UPPER].T).ravel()
+        place = upper[2] * min(UPPER, len(tree)) + upper[0]
+        mine, theirs = np.repeat(h, lower[3], 0), tree.take(lower[0], 0)
+        return top.take(place) * upper[1], np.einsum("ij,ij->i", theirs, mine) * lower[1], place, mine, theirs
+
+    def log_probabilities(self, ids, block: int = 4096):
+        """One value per word number of a text."""
+        import numpy as np
+
+        context, out = self.windows(ids), np.zeros(len(ids), np.float64)
+        for at in range(0, len(ids), block):
+            _, h = self.hidden(context[at : at + block])
+            ways = self.ways(ids[at : at + block])
+            for way, odds in zip(ways, self.odds(h, *ways), strict=False):
+                cost = np.log(1 + np.exp(np.minimum(-odds, np.float32(60))))
+                out[at : at + block] -= np.bincount(way[2], cost, len(h))
+        return out
+
 
+class Trainer(Network):
+    """Adagrad by rows on mini-batches of positions; counts how often a row of parameters was used."""
 
-class Trainer:
-    """Adam on mini-batches of positions."""
+    def __init__(self, tables: dict, values: dict, rate: float = RATE) -> None:
+        import numpy as np
+
+        super().__init__(tables, {k: v.copy() for k, v in values.items()})
+        self.power = {k: np.zeros(len(v), np.float32) for k, v in values.items()}
+        self.uses = {k: np.zeros(len(v), np.float32) for k, v in values.items()}
+        self.rate = rate
+
+    def _move(self, name: str, rows, uses, grad) -> None:
+        import numpy as np
+
+        power = self.power[name].take(rows) + np.einsum("ij,ij->i", grad, grad) / np.float32(grad.shape[1])
+        self.power[name][rows] = power
+        grad *= (np.float32(self.rate) / np.sqrt(power + np.float32(1e-8)))[:, None]
+        self.values[name][rows] = self.values[name].take(rows, 0) - grad
+        self.uses[name][rows] += uses
 
-    def __init__(self, values: dict, rate: float = 3e-3):
+    def _gathered(self, name: str, places, grad) -> None:
+        """Sum the lines of ``grad`` by the row they belong to, and move those rows."""
         import numpy as np
 
-        self.values = {k: v.copy() for k, v in values.items()}
-        self.m = {k: np.zeros_like(v) for k, v in values.items()}
-        self.v = {k: np.zeros_like(v) for k, v in values.items()}
-        self.rate, self.steps, self.seen = rate, 0, 0
+        packed = np.sort(places.astype(np.int64) << 32 | np.arange(len(places)))
+        order, places = packed & 0xFFFFFFFF, packed >> 32
+        begin = np.flatnonzero(np.diff(places, prepend=-1))
+        uses = np.diff(begin, append=len(places))
+        self._move(name, places[begin], uses, sums(grad.take(order, 0), begin, uses))
 
-    def step(self, context, target) -> float:
-        """context: n x 4 word numbers, target: n.  Returns the mean loss before the step."""
+    def step(self, context, leaves) -> None:
+        """context: n x 4 input vectors, leaves: n."""
         import numpy as np
 
-        p, n = self.values, len(target)
-        x = p["embed"][context].reshape(n, -1)
-        h = np.tanh(x @ p["w1"] + p["b1"])
-        e = h @ p["w2"]
-        e += p["b2"]
-        np.exp(e, out=e)  # the bounds keep it in range
-        total, rows = e @ np.ones(TOKENS, np.float32), np.arange(n)
-        loss = float(-np.log(np.maximum(e[rows, target] / total, 1e-30)).mean())
-        # the gradient is (e / total - hit) / n; what is the same in a row is put on the narrow side
-        e[rows, target] -= total
-        share = (1 / (total * n)).astype(np.float32)
-        back = (e @ p["w2"].T) * share[:, None] * (1 - h * h)
-        grad = {"w2": (h * share[:, None]).T @ e, "b2": share @ e, "w1": x.T @ back, "b1": back.sum(0), "embed": np.zeros_like(p["embed"])}
-        flat = context.ravel().astype(np.int16)
-        order = np.argsort(flat, kind="stable")
-        begin = np.flatnonzero(np.diff(flat[order], prepend=-1))
-        grad["embed"][flat[order[begin]]] = np.add.reduceat((back @ p["w1"].T).reshape(-1, WIDTH)[order], begin)
-        self.steps += 1
-        self.seen += n
-        scale = float(self.rate * np.sqrt(1 - 0.99**self.steps) / (1 - 0.9**self.steps))
-        for k, g in grad.items():
-            m, v = self.m[k], self.v[k]
-            m *= 0.9
-            v *= 0.99
-            v += np.square(g * 0.1, dtype=np.float32)
-            g *= 0.1
-            m += g
-            np.sqrt(v, out=g)
-            g += 1e-8
-            np.divide(m, g, out=g)
-            g *= scale
-            p[k] -= g
-        np.clip(p["w2"], -MAX_W2, MAX_W2, out=p["w2"])
-        np.clip(p["b2"], -MAX_B2, MAX_B2, out=p["b2"])
-        return loss
-
-
-def spread(df: DataFrame, text: str, *keep: Column) -> DataFrame:
-    """One row per word (A-Z in lower case)."""
-    lower = F.translate(F.col(text), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return df.select(*keep, F.explode(F.split(lower, SPLIT_RE)).alias("word")).where("word <> ''")
-
-
-def bucket(h: str) -> Column:
-    return (F.shiftrightunsigned(F.col(h), 1) % BUCKETS).cast("int")
-
-
-def vocabulary(df: DataFrame, text: str = "text") -> tuple[list[tuple[str, int]], DataFrame, tuple]:
-    """The WORDS most frequent words of all documents and their counts, the hashes and counts of all others, and the sums of those by bucket."""
-    counts = stored(spread(df, text).groupBy("word").agg(F.count("*").alias("n")), "word-counts")
-    top = [(r["word"], r["n"]) for r in counts.orderBy(F.col("n").desc(), "word").limit(WORDS).collect()]
-    others = counts.where(~F.col("word").isin([w for w, _ in top])) if top else counts
-    rare = others.select(F.xxhash64("word").alias("h"), "n")
-    sums = {r["b"]: r["n"] for r in rare.groupBy(bucket("h").alias("b")).agg(F.sum("n").alias("n")).collect()}
-    return top, rare, tuple(sums.get(b, 0) for b in range(BUCKETS))
-
-
-def positions(text: bytes, n: int, number: int, stride: int):
-    """Which of a text's ``n`` words are targets in round ``number``."""
-    import zlib
+        n, layer, tree = len(leaves), self.values["layer"], self.values["tree"]
+        if not len(tree):
+            return
+        x, h = self.hidden(context)
+        upper, lower = self.ways(leaves)
+        top, low, place, mine, theirs = self.odds(h, upper, lower)
+        # what is missing of each turn's probability, towards the other side
+        missed = [-way[1] / (1 + np.exp(np.clip(odds, -30, 30))) for odds, way in ((top, upper), (low, lower))]
+        width = min(UPPER, len(tree))
+        share = np.zeros(n * width, np.float32)
+        share[place] = missed[0]
+        share = share.reshape(n, width)
+        back = share @ tree[:width, :-1]
+        uses = np.bincount(upper[0], minlength=width)
+        used = np.flatnonzero(uses)
+        grad = share.T @ h
+        if len(low):
+            theirs *= missed[1][:, None]
+            mine *= missed[1][:, None]
+            deep = np.flatnonzero(lower[3])
+            many = lower[3].take(deep)
+            back[deep] = back.take(deep, 0) + sums(theirs, np.cumsum(many) - many, many)[:, :-1]
+            self._gathered("tree", lower[0], mine)
+        self._move("tree", used, uses[used], grad.take(used, 0))
+        back *= 1 - h[:, :-1] ** 2
+        inputs = (back @ layer[:-1].T).reshape(-1, WIDTH)
+        self._move("layer", np.arange(len(layer)), n, np.vstack([x.T @ back, back.sum(0)[None]]))
+        self._gathered("embed", context.ravel(), inputs)
+
+    def learn(self, texts: Iterator, seed: int) -> None:
+        """Steps on every position of every text (word numbers), shuffled within blocks of texts."""
+        import numpy as np
+
+        rng, held, own, size = np.random.default_rng(seed), [], [], 0
+
+        def flush() -> None:
+            context, leaves = np.concatenate(held), np.concatenate(own)
+            order = rng.permutation(len(leaves))
+            for at in range(0, len(order), BATCH):
+                some = order[at : at + BATCH]
+                self.step(context[some], leaves[some])
+            held.clear()
+            own.clear()
+
+        for ids in texts:
+            # pieces of a long text are cut by its own positions, so no batch border of the engine shows
+            context = self.windows(ids)
+            for at in range(0, len(ids), SHUFFLED):
+                held.append(context[at : at + SHUFFLED])
+                own.append(ids[at : at + SHUFFLED])
+                size += len(own[-1])
+                if size >= SHUFFLED:
+                    flush()
+                    size = 0
+        if size:
+            flush()
+
 
+def count_words(df: DataFrame, text: str = "text") -> DataFrame:
+    """(word, n, h): every word of all documents as bytes, A-Z in lower case, how often it occurs, and its hash."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        held: Counter = Counter()
+
+        def out():
+            made = pa.RecordBatch.from_arrays([pa.array(list(held.keys()), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
+            held.clear()
+            return made
+
+        for batch in batches:
+            for value in batch.column(0):
+                held.update(value.as_py().lower().split())
+                if len(held) > 500_000:
+                    yield out()
+        yield out()
+
+    rows = df.where(F.col(text).isNotNull()).select(F.col(text).cast("binary").alias("text"))
+    made = rows.mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return made.withColumn("h", F.xxhash64("word"))
+
+
+def vocabulary(counts: DataFrame, words: int = WORDS) -> Vocabulary:
+    """The ``words`` most frequent words, ties by their bytes, and the sums of the others by rare leaf.
+
+    What comes to the driver is one word and count per leaf.
+    """
     import numpy as np
 
-    return np.arange((zlib.crc32(text) + number) % stride, n, stride)
+    total, distinct = counts.agg(F.sum("n"), F.count("*")).first()
+    top = counts.orderBy(F.col("n").desc(), "word").limit(words).select("word", "n").collect()
+    sums_ = [0] * RARE
+    if distinct > len(top):
+        least, last = top[-1]["n"], F.lit(bytes(top[-1]["word"]))
+        others = counts.where((F.col("n") < least) | ((F.col("n") == least) & (F.col("word") > last)))
+        for r in others.groupBy(leaf("h").alias("b")).agg(F.sum("n").alias("n")).collect():
+            sums_[r["b"]] = r["n"]
+    return Vocabulary([bytes(r["word"]) for r in top], np.array([r["n"] for r in top], np.int64), tuple(sums_), total or 0, distinct - len(top))
 
 
-def train(df: DataFrame, text: str = "text", rounds: int = 2, stride: int = 2, batch: int = 256, seed: int = 5) -> WindowNetwork:
-    """Counts over all documents, then ``rounds`` of parallel training.
+def leaf(h: str) -> Column:
+    """Rare leaf of a word's hash; the low bits, so that the sign does not matter."""
+    return F.col(h).bitwiseAND(F.lit(RARE - 1)).cast("int")
 
-    In each round every document gives one position in ``stride``, from an offset
-    that moves on by one each round: with as many rounds as ``stride``, every
-    word of every text is a target once.  What comes to
-    the driver is the vocabulary, one sum per bucket and one value per parameter.
+
+@dataclass(frozen=True)
+class LanguageModel:
+    vocabulary: Vocabulary
+    values: dict
+    #: Counts of all words of the corpus; None where every word has its own leaf.
+    counts: DataFrame | None = None
+
+
+
+def encoded(df: DataFrame, words: Vocabulary, key: str, text: str) -> DataFrame:
+    """Per row: key, _id (a hash of key and text), ids (word numbers as bytes), rare (hashes of the words in rare leaves)."""
+    shared = df.sparkSession.sparkContext.broadcast(words.words)  # WORDS at most
+    kind = df.select(F.col(key)).schema[0].dataType.simpleString()
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        known = {w: i for i, w in enumerate(shared.value)}
+        for batch in batches:
+            texts, at, held, made = batch.column(2).cast(pa.large_binary()), 0, 0, []
+            for i, value in enumerate(texts):
+                made.append(numbers(value.as_py(), known))
+                held += len(made[-1][0])
+                if held > 2_000_000 or i == len(texts) - 1:
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0)[at : i + 1], batch.column(1)[at : i + 1], pa.array([x.tobytes() for x, _ in made], pa.binary()), pa.array([r.view("int64") for _, r in made], pa.list_(pa.int64()))],
+                        names=[key, "_id", "ids", "rare"],
+                    )
+                    at, held, made = i + 1, 0, []
+
+    rows = df.select(F.col(key).alias(key), F.xxhash64(key, text).alias("_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
+    return rows.mapInArrow(run, f"`{key}` {kind}, _id bigint, ids binary, rare array<bigint>")
+
+
+def train(rows: DataFrame, words: Vocabulary, rounds: int = 2, group_words: int = GROUP_WORDS, seed: int = 5) -> dict:
+    """Parameters after ``rounds`` of parallel training on encoded rows.
+
+    A group is one task and reads its rows in the order of their hash, as
+    they stream in; rows that are equal in key and text are in one group.
     """
     import numpy as np
 
-    top, rare, totals = vocabulary(df, text)
-    known = {w.encode(): i for i, (w, _) in enumerate(top)}
-    values = start([n for _, n in top], seed, totals)
-    sizes = [int(np.prod(s)) for s in SHAPES.values()]
-    rows = df.select(F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
+    tables = words.tables()
+    values = first_values(tables["bias"], seed)
+    if not words.size:
+        return values
+    context = rows.sparkSession.sparkContext
+    groups = max(rounds * 6, math.ceil(math.sqrt(words.size / group_words)))
+    groups += -groups % rounds
+    dealt = rows.where(F.length("ids") > 0).select(F.pmod(F.shiftrightunsigned("_id", 1), F.lit(groups)).cast("int").alias("_group"), "_id", "ids")
+    code = context.broadcast(tables)  # bounded by WORDS
     for number in range(rounds):
-        network = WindowNetwork(known, values)
+        start = context.broadcast(values)  # a bounded number of parameters
 
-        def learn(batches: Iterator, network=network, number=number) -> Iterator:
+        def learn(batches: Iterator, start=start) -> Iterator:
             import pyarrow as pa
 
-            trainer, held, own = Trainer(network.values), [], []
-            rng = np.random.default_rng(seed + number)
-
-            def flush(least: int) -> None:
-                if sum(map(len, own)) < max(least, 1):
-                    return
-                context, target = np.concatenate(held), np.concatenate(own)
-                order = rng.permutation(len(target))
-                for at in range(0, len(order), batch):
-                    some = order[at : at + batch]
-                    trainer.step(context[some], target[some])
-                held.clear()
-                own.clear()
-
-            for part in batches:
-                for value in part.column(0):
-                    t = value.as_py()
-                    ids = network.ids(t)
-                    at = positions(t, len(ids) - 4, number, stride) + 2
-                    if len(at):
-                        held.append(np.stack([ids[at + o] for o in OFFSETS], 1))
-                        own.append(ids[at])
-                flush(16 * batch)
-            flush(1)
-            if trainer.seen:
-                flat = np.concatenate([trainer.values[k].ravel() for k in SHAPES]).astype(np.float64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat * trainer.seen), pa.array(np.full(len(flat), trainer.seen, np.int64))],
-                    names=["i", "v", "n"],
-                )
-
-        mean = rows.mapInArrow(learn, "i int, v double, n bigint").groupBy("i").agg((F.sum("v") / F.sum("n")).alias("v")).collect()
-        if not mean:
-            break
-        flat = np.zeros(sum(sizes), np.float32)
-        flat[[r["i"] for r in mean]] = [r["v"] for r in mean]
-        cuts = np.split(flat, np.cumsum(sizes)[:-1])
-        values = {k: c.reshape(s) for (k, s), c in zip(SHAPES.items(), cuts, strict=True)}
-    return WindowNetwork(known, values, rare, totals)
-
-
-def shares(df: DataFrame, network: WindowNetwork, text: str) -> DataFrame:
-    """Per text with words in buckets: _id and the mean log share of these words in their buckets.
-
-    Words are joined to the counts by hash, as neither side need fit in memory.
-    """
-    words = spread(df, text, F.col("_id"))
-    if network.vocabulary:
-        words = words.where(~F.col("word").isin([w.decode() for w in network.vocabulary]))
-    whole = F.array(*[F.log(F.lit(float(n + 1))) for n in network.totals])
-    met = words.select("_id", F.xxhash64("word").alias("h")).join(network.rare.hint("shuffle_hash"), "h", "left")
-    return met.groupBy("_id").agg(F.avg(F.log(F.coalesce("n", F.lit(1)).cast("double")) - whole[bucket("h")]).alias("share"))
+            trainer = None
+
+            def texts():
+                for batch in batches:
+                    for g, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                        yield g, np.frombuffer(x.as_py(), np.int32)
+
+            def out(group: int):
+                for kind, v in trainer.values.items():
+                    used = np.flatnonzero(trainer.uses[kind])
+                    for block in np.unique(used // BLOCK):
+                        own = used[used // BLOCK == block]
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([kind]), pa.array([int(block)], pa.int32()), pa.array([group], pa.int32()),
+                             pa.array([(own % BLOCK).astype(np.int32).tobytes()]), pa.array([trainer.uses[kind][own].tobytes()]), pa.array([v[own].tobytes()])],
+                            names=["kind", "block", "group", "rows", "uses", "values"],
+                        )
+
+            for group, part in groupby(texts(), key=lambda x: x[0]):
+                trainer = Trainer(code.value, start.value)
+                trainer.learn((ids for _, ids in part), seed + group)
+                yield from out(group)
+
+        mine = dealt.where(F.col("_group") % rounds == number)
+        spread = mine.repartitionById(groups // rounds, F.floor(F.col("_group") / rounds).cast("int"))
+        made = spread.sortWithinPartitions("_group", "_id").select("_group", "ids").mapInArrow(
+            learn, "kind string, block int, group int, rows binary, uses binary, values binary"
+        )
+        values = _averaged(made, values)
+        start.unpersist()
+    return values
+
+
+def _averaged(made: DataFrame, values: dict) -> dict:
+    """Rows of parameters as means over groups, summed block by block in the order of groups."""
+    import numpy as np
 
+    width = {k: v.shape[1] for k, v in values.items()}
+
+    def merge(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        now, total, uses = None, None, None
+
+        def out():
+            rows = np.flatnonzero(uses)
+            mean = (total[rows] / uses[rows][:, None]).astype(np.float32)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([now[0]]), pa.array([now[1]], pa.int32()), pa.array([rows.astype(np.int32).tobytes()]), pa.array([mean.tobytes()])],
+                names=["kind", "block", "rows", "values"],
+            )
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                if (r["kind"], r["block"]) != now:
+                    if now:
+                        yield out()
+                    now, total, uses = (r["kind"], r["block"]), np.zeros((BLOCK, width[r["kind"]])), np.zeros(BLOCK)
+                rows, n = np.frombuffer(r["rows"], np.int32), np.frombuffer(r["uses"], np.float32).astype(float)
+                total[rows] += np.frombuffer(r["values"], np.float32).reshape(len(rows), -1) * n[:, None]
+                uses[rows] += n
+        if now:
+            yield out()
+
+    dealt = made.repartition("kind", "block").sortWithinPartitions("kind", "block", "group")
+    out = {k: v.copy() for k, v in values.items()}
+    for r in dealt.mapInArrow(merge, "kind string, block int, rows binary, values binary").toLocalIterator():
+        rows = np.frombuffer(r["rows"], np.int32) + r["block"] * BLOCK
+        out[r["kind"]][rows] = np.frombuffer(r["values"], np.float32).reshape(len(rows), -1)
+    return out
+
+
+def fit(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, **training) -> tuple[LanguageModel, DataFrame]:
+    """Counts over all documents, training on all positions; the model, and the encoded documents for ``score_encoded``."""
+    counts = stored(count_words(df, text), "word-counts")
+    known = vocabulary(counts, words)
+    rows = stored(encoded(df, known, key, text), "word-numbers")
+    return LanguageModel(known, train(rows, known, **training), counts if known.others else None), rows
+
+
+def score_encoded(rows: DataFrame, model: LanguageModel, key: str) -> DataFrame:
+    shared = rows.sparkSession.sparkContext.broadcast((model.vocabulary.tables(), model.values))  # bounded by WORDS
+    kind = rows.select(F.col(key)).schema[0].dataType.simpleString()
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        net = Network(*shared.value)
+        for batch in batches:
+            n, s = [], []
+            for value in batch.column(2):
+                p = net.log_probabilities(np.frombuffer(value.as_py(), np.int32))
+                n.append(len(p))
+                s.append(float(p.sum()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(s, pa.float64()), batch.column(3)], names=[key, "_id", "n", "s", "m"])
+
+    judged = rows.select(key, "_id", "ids", F.size("rare").cast("long").alias("m")).mapInArrow(run, f"`{key}` {kind}, _id bigint, n bigint, s double, m bigint")
+    whole = F.array(*[F.log(F.lit(float(n + 1))) for n in model.vocabulary.totals])
+    met = rows.where(F.size("rare") > 0).select("_id", F.explode("rare").alias("h"))
+    met = met.withColumn("_whole", whole[leaf("h")])
+    if model.counts is None:  # the corpus has no such word
+        met = met.withColumn("n", F.lit(1).cast("long"))
+    else:
+        # by hash, as neither side need fit in memory
+        met = met.join(model.counts.select("h", "n").hint("shuffle_hash"), "h", "left")
+    # rows that are equal in key and text have the same mean share, so they may meet
+    share = met.groupBy("_id").agg(F.avg(F.log(F.coalesce("n", F.lit(1)).cast("double")) - F.col("_whole")).alias("_share"))
+    placed = judged.join(share, "_id", "left")
+    total = F.col("s") + F.coalesce(F.col("m") * F.col("_share"), F.lit(0.0))
+    return placed.select(key, F.col("n").alias("n_words"), total.alias("log_likelihood"), F.when(F.col("n") > 0, total / F.col("n")).alias("mean_logprob"))
 
-def score(df: DataFrame, network: WindowNetwork, key: str = "doc_id", text: str = "text") -> DataFrame:
+
+def score(df: DataFrame, model: LanguageModel, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: key, n_words, log_likelihood (sum over all words), mean_logprob.
 
     A null or wordless text has 0 words, log_likelihood 0 and a null mean.
-    Whole texts are scored; repeated rows each; other columns are ignored.
+    Whole texts are scored, of any length; repeated rows each; other columns are
+    ignored, whatever their names; an empty table gives an empty table.
     """
-    shared = df.sparkSession.sparkContext.broadcast(replace(network, rare=None))  # a fixed number of parameters
-    # rows that repeat a key and a text have the same mean share, so they may meet
-    rows = df.select(F.col(key).alias(key), F.col(text).alias("_text"), F.xxhash64(key, text).alias("_id"))
-
-    @F.pandas_udf("n bigint, m bigint, s double")
-    def judge(texts):
-        import pandas as pd
-
-        net = shared.value
-        tables, out = net.tables(), []
-        for t in texts:
-            ids = net.ids(t)
-            p = net.log_probabilities(ids, tables)
-            out.append((len(p), int(((ids >= WORDS) & (ids < EDGE)).sum()), float(p.sum())))
-        return pd.DataFrame(out, columns=["n", "m", "s"])
-
-    judged = rows.select(key, "_id", judge(F.coalesce(F.col("_text"), F.lit("")).cast("binary")).alias("_j"))
-    if network.rare is not None:
-        judged = judged.join(shares(rows, network, "_text"), "_id", "left")
-    else:
-        judged = judged.withColumn("share", F.lit(None).cast("double"))
-    total = F.col("_j.s") + F.coalesce(F.col("_j.m") * F.col("share"), F.lit(0.0))
-    return judged.select(
-        key, F.col("_j.n").alias("n_words"), total.alias("log_likelihood"),
-        F.when(F.col("_j.n") > 0, total / F.col("_j.n")).alias("mean_logprob"),
-    )
+    return score_encoded(encoded(df, model.vocabulary, key, text), model, key)
 
 
 def pseudo_likelihood(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Train on all rows and score all rows."""
-    return score(df, train(df, text), key, text)
+    """Fit on all rows and score all rows, as ``score`` does."""
+    model, rows = fit(df, key, text)
+    return score_encoded(rows, model, key)

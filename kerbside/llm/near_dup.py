@@ -37,8 +37,8 @@ BLOCK_SHINGLES = 400_000
 
 
 def node_id(key: Column, text: Column) -> Column:
-    """The key as a long; rows without a key get a negative number from their text."""
-    return F.coalesce(key.cast("long"), F.lit(-1).cast("long") - F.shiftrightunsigned(F.xxhash64(F.coalesce(text, F.lit(""))), 1))
+    """The key as a long; rows without a key get a number of 2**62 or more from their text, so that any usual key is smaller."""
+    return F.coalesce(key.cast("long"), F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(F.coalesce(text, F.lit(""))), 2))
 
 
 def _whole_key(df: DataFrame, key: str) -> None:
@@ -170,7 +170,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
     reachable by links.  A null, empty or wordless text has no shingle and no
     link.  Rows with equal keys are one document for the links, each with the
     ``n_shingles`` of its own text.  Rows without a key keep a null key; they
-    stand as a negative number made from their text, which is their
+    stand as a number of 2**62 or more made from their text, which is their
     component_id where nothing smaller is linked, and ``kept`` tells whether
     that number is theirs.  Texts of any length are read whole.  Other columns
     are ignored, whatever their names; an empty table gives an empty table.

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import collections
-import inspect
 import math
 import re
 import zlib
@@ -11,6 +10,7 @@ import zlib
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from kerbside.llm import chat, decontamination, language_id, lm_scoring, mixing, near_dup, quality, sharding, token_counts, toxicity
 from kerbside.llm._components import connected_components
@@ -115,22 +115,39 @@ def test_rendezvous_weights_and_changes(spark):
 
 def chat_rows(spark):
     rows = [(1, 0, "system", "be <|kind"), (1, 1, "ann", "hi"), (1, 2, "bob", "yo"), (1, 3, "ann", None), (1, 3, "ann", None), (1, 700, "cem", "late"), (2, None, None, ""), (None, 0, "ann", "lost"), (None, 1, "ann", "lost"), (3, 0, "system", "alone")]
-    return spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").withColumn("segment", F.lit("clash"))
+    return spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").withColumns({"perspective": F.lit("clash"), "_conv": F.lit(1)})
 
 
 def test_perspectives(spark):
     out = chat.rotate_perspectives(chat_rows(spark)).collect()
-    by = {(r.conv_id, r.segment, r.perspective): r for r in out if r.conv_id is not None}
-    assert set(by) == {(1, s, p) for s in (0, 2) for p in ("ann", "bob", "cem")} | {(2, -1, "unknown")}
+    by = {(r.conv_id, r.perspective): r for r in out if r.conv_id is not None}
+    assert set(by) == {(1, p) for p in ("ann", "bob", "cem")} | {(2, "unknown")}
     assert sum(r.conv_id is None for r in out) == 2 and all(r.n_messages == 1 for r in out if r.conv_id is None)
-    ann = by[1, 0, "ann"]
-    assert ann.rendered == "<|system|>\nbe < |kind<|end|>\n<|assistant|>\nhi<|end|>\n<|user name=bob|>\nyo<|end|>\n" + "<|assistant|>\n<|end|>\n" * 2
+    ann = by[1, "ann"]
+    tail = "<|user name=cem|>\nlate<|end|>\n"
+    assert ann.rendered == "<|system|>\nbe < |kind<|end|>\n<|assistant|>\nhi<|end|>\n<|user name=bob|>\nyo<|end|>\n" + "<|assistant|>\n<|end|>\n" * 2 + tail
     assert [ann.rendered[s.start : s.end] for s in ann.mask_spans] == ["hi<|end|>\n", "<|end|>\n", "<|end|>\n"]
     assert all(r.target_chars == sum(s.end - s.start for s in r.mask_spans) for r in out)
-    assert by[1, 2, "ann"].mask_spans == [] and by[1, 2, "cem"].target_chars == len("late<|end|>\n")
+    assert by[1, "cem"].target_chars == len("late<|end|>\n") and by[2, "unknown"].rendered == "<|assistant|>\n<|end|>\n"
     assert chat.rotate_perspectives(chat_rows(spark).limit(0)).count() == 0
 
 
+def test_long_dialogues_stay_whole(spark):
+    """Thousands of turns, many without a number, repeated rows and a very long text, against a plain rendering."""
+    rows = [(4, i if i % 3 else None, f"p{i % 4}", f"é{i % 1000}" * (40_000 if i == 77 else 1)) for i in range(2500)] + [(4, 9, "p1", "twice")] * 2
+    out = {r.perspective: r for r in chat.rotate_perspectives(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").repartition(5)).collect()}
+    assert set(out) == {f"p{k}" for k in range(4)}
+    ordered = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2], r[3]))
+    for name, r in out.items():
+        whole, spans = "", []
+        for _, _, who, text in ordered:
+            whole += "<|assistant|>\n" if who == name else f"<|user name={who}|>\n"
+            if who == name:
+                spans.append((len(whole), len(whole) + len(text) + len(chat.END)))
+            whole += text + chat.END
+        assert r.rendered == whole and [(s.start, s.end) for s in r.mask_spans] == spans and r.n_messages == len(rows)
+
+
 def test_toxicity_folding_and_exceptions():
     model = toxicity.ToxicityModel((("idiot", 4.0, False), ("scum", 3.0, False), ("wurz", 2.0, True)))
     hit = lambda t: model.hits(t)[:2]
@@ -199,6 +216,7 @@ def test_language_bits_and_accuracy(spark, docs, empty):
 def test_language_filter_has_no_false_negative(spark):
     rows, _ = labelled(spark, 90)
     model = language_id.fit_languages(rows, least=1, share_of_best=0.0)
+    assert model.filter.shape[1] >= 8 and max(model.rates) < 0.1
     for lang in ("en", "de", "fr"):
         text = [r.text for r in rows.where((F.col("lang") == lang) & ~language_id.held_out(F.col("doc_id"))).collect()]
         bits = (model.masks(language_id.ngrams(text)[0])[0] >> np.uint64(model.languages.index(lang))) & np.uint64(1)
@@ -251,7 +269,23 @@ def test_one_document_of_each_group_stays(docs):
     out = near_dup.drop_near_duplicates(docs)
     want = brute_components(docs.select("doc_id", "text").collect(), 5, 80)
     assert sorted(r.doc_id for r in out.where("doc_id is not null").collect()) == sorted({c for _, c in want.values()})
-    assert out.columns == [c for c in docs.columns if c != "_node"] and out.where("doc_id is null").count() == 1
+    assert out.columns == docs.columns and out.where("doc_id is null").count() == 1
+
+
+def test_keys_come_back_as_given(spark):
+    text = " ".join(f"w{i}" for i in range(50))
+    rows = [(-5, text), (7, text + " x"), (None, "lone"), (None, text + " y"), (9, None), (9, ""), (11, "one text"), (11, "another text of four words")]
+    df = spark.createDataFrame(rows, "doc_id int, text string").withColumn("node", F.lit("clash"))
+    out = near_dup.near_duplicates(df)
+    assert dict(out.dtypes)["doc_id"] == "int"
+    rows = out.collect()
+    got = collections.Counter((r.doc_id, r.n_shingles, r.kept) for r in rows)
+    assert got == collections.Counter([(-5, 47, True), (7, 48, False), (None, 1, True), (None, 48, False), (9, 0, True), (9, 0, True), (11, 1, True), (11, 2, True)])
+    assert {r.component_id for r in rows if r.n_shingles > 40} == {-5}
+    kept = near_dup.drop_near_duplicates(df)
+    assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()).count(9) == 1 and kept.columns == df.columns
+    with pytest.raises(TypeError):
+        near_dup.near_duplicates(df.withColumn("doc_id", F.lit("x")))
 
 
 def test_blocks_of_a_bucket_find_the_same(docs, monkeypatch):
@@ -407,57 +441,100 @@ def test_mixture_takes_seeded_prefixes(docs, empty):
     assert kept.columns == docs.columns and 0 < kept.count() < docs.count()
 
 
-def test_network_gradient_and_scores(spark, docs, empty):
-    net = lm_scoring.train(docs, rounds=1, stride=2)
-    ids = net.ids(b"The tion ing THE ou wh st")
-    p, tables = net.log_probabilities(ids), net.tables()
-    for i in range(len(p)):  # each word from both sides, by the plain formula
-        z = net.values["b1"] + sum(tables[j][ids[i + 2 + o]] for j, o in enumerate(lm_scoring.OFFSETS))
-        logits = np.tanh(z) @ net.values["w2"] + net.values["b2"]
-        assert abs(p[i] - (logits[ids[i + 2]] - np.log(np.exp(logits.astype(float)).sum()))) < 1e-4
-    out = {r.doc_id: r for r in lm_scoring.score(docs, net).collect()}
-    assert out[160].n_words == out[161].n_words == 0 and out[160].log_likelihood == 0 and out[160].mean_logprob is None
-    assert out[163].n_words == 20_000 and lm_scoring.score(empty, net).count() == 0
-    assert lm_scoring.train(empty).vocabulary == {}
-
-
-def test_every_word_has_its_own_probability(spark):
-    common = " ".join(f"w{i}" for i in range(lm_scoring.WORDS))
-    texts = [common] * 60 + ["w1 \u00c9t\u00e9 w2"] * 40 + ["w1 q%d w2" % i for i in range(300)] + ["W1 Zyx w2", "w1 Zyx w2", None, ""]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
-    net = lm_scoring.train(df)
-    counts = collections.Counter(w for t in texts if t for w in t.encode().lower().split())
-    number = {w: int(net.ids(w)[2]) for w in counts}
-    assert sum(net.totals) == sum(n for w, n in counts.items() if w not in net.vocabulary) > 0
-    asked = [(i, t) for i, t in enumerate(texts)] + [(0, texts[0]), (70, texts[70]), (9000, "w1 never w2 never")]
-    for r in lm_scoring.score(spark.createDataFrame(asked, "doc_id bigint, text string"), net).collect():
-        t = (dict(asked)[r.doc_id] or "").encode()
-        own = [w for w in t.lower().split() if w not in net.vocabulary]
-        want = net.log_probabilities(net.ids(t)).sum() + sum(np.log(counts.get(w, 1) / (net.totals[int(net.ids(w)[2]) - lm_scoring.WORDS] + 1)) for w in own)
-        assert abs(r.log_likelihood - want) < 1e-3 and r.n_words == len(t.split())
-    # the shares of a bucket and what is held for unknown words make up one
-    for b in range(lm_scoring.BUCKETS):
-        mine = [n for w, n in counts.items() if number[w] == lm_scoring.WORDS + b]
-        assert sum(mine) == net.totals[b]
-
-
-def test_every_word_is_a_target_once():
-    usual = {k: v.default for k, v in inspect.signature(lm_scoring.train).parameters.items()}
-    for n in (*range(40), 1000):
-        for salt in range(5):
-            text = b" ".join(b"t%d" % (salt + i) for i in range(n))
-            met = [lm_scoring.positions(text, n, r, usual["stride"]) for r in range(usual["rounds"])]
-            assert sorted(np.concatenate(met)) == list(range(n))
-
-
-def test_training_beats_frequencies():
+def plain_score(net, vocabulary, counts, text):
+    """A document's score by the formula, word by word and turn by turn."""
+    known, t = {w: i for i, w in enumerate(vocabulary.words)}, net.tables
+    edge, total = len(t["inputs"]) - 1, 0.0
+    words = text.encode().lower().split()
+    number = [known[w] if w in known else len(known) + xxh64_intdigest(w, 42) % lm_scoring.RARE for w in words]
+    for i, w in enumerate(words):
+        around = [number[i + o] if 0 <= i + o < len(words) else edge for o in lm_scoring.OFFSETS]
+        x = np.concatenate([net.values["embed"][t["inputs"][k]] for k in around]).astype(float)
+        h = np.append(np.tanh(x @ net.values["layer"][:-1] + net.values["layer"][-1]), 1.0)
+        for turn in t["turns"][t["start"][number[i]] :][: t["size"][number[i]]]:
+            odds = h @ net.values["tree"][turn >> 1].astype(float)
+            total -= math.log1p(math.exp(-odds if turn & 1 else odds))
+        if w not in known:
+            total += math.log(counts.get(w, 1) / (vocabulary.totals[number[i] - len(known)] + 1))
+    return total, len(words)
+
+
+@pytest.fixture(scope="module")
+def fitted(docs):
+    """A model whose vocabulary holds part of the words."""
+    return lm_scoring.fit(docs, words=300)
+
+
+def test_scores_equal_the_formula(spark, docs, empty, fitted):
+    model, rows = fitted
+    net = lm_scoring.Network(model.vocabulary.tables(), model.values)
+    texts = [r.text for r in docs.select("text").collect() if r.text]
+    counts = collections.Counter(w for t in texts for w in t.encode().lower().split())
+    assert sum(counts.values()) == model.vocabulary.size and len(counts) == 300 + model.vocabulary.others
+    assert sum(model.vocabulary.totals) == sum(counts.values()) - sum(int(n) for n in model.vocabulary.counts) > 0
+    more = spark.createDataFrame([(9000, "THE never \u00c9t\u00e9 met", "en", "s", 0)], DOCS)
+    asked = docs.unionByName(more, allowMissingColumns=True).where("length(text) < 2000 or text is null")
+    out = lm_scoring.score(asked, model).collect()
+    want = {r.doc_id: plain_score(net, model.vocabulary, counts, r.text or "") for r in asked.collect()}
+    assert all(abs(r.log_likelihood - want[r.doc_id][0]) < 1e-3 * (1 + r.n_words) and r.n_words == want[r.doc_id][1] for r in out)
+    by = {r.doc_id: r for r in out}
+    assert by[160].n_words == by[161].n_words == 0 and by[160].log_likelihood == 0 and by[160].mean_logprob is None
+    whole = {r.doc_id: r for r in lm_scoring.score_encoded(rows, model, "doc_id").collect()}
+    assert len(out) == asked.count() and whole[163].n_words == 20_000 and abs(whole[5].mean_logprob - by[5].mean_logprob) < 1e-9
+    assert lm_scoring.score(empty, model).count() == 0 and lm_scoring.pseudo_likelihood(empty).count() == 0
+
+
+def test_probabilities_of_all_words_sum_to_one(fitted):
+    model, _ = fitted
+    net = lm_scoring.Network(model.vocabulary.tables(), model.values)
+    leaves = 300 + lm_scoring.RARE
+    for around in (0, 7, 299, 310):
+        ids = [np.array([around, 3, k, 5, around], np.int32) for k in range(leaves)]
+        assert abs(sum(math.exp(net.log_probabilities(x)[2]) for x in ids) - 1) < 1e-4
+
+
+def test_code_follows_the_weights():
+    at, nodes, right, bias = lm_scoring.huffman([8, 4, 2, 1, 1])
+    assert np.diff(at).tolist() == [1, 2, 3, 4, 4] and nodes[at[:-1]].tolist() == [0] * 5
+    for i, w in enumerate([8, 4, 2, 1, 1]):
+        chance = np.prod([1 / (1 + math.exp(-b if r else b)) for b, r in zip(bias[nodes[at[i] : at[i + 1]]], right[at[i] : at[i + 1]], strict=True)])
+        assert abs(chance - w / 16) < 1e-6
+    assert lm_scoring.huffman([3])[0].tolist() == [0, 0]
+
+
+def test_sums_of_runs():
+    rng = np.random.default_rng(0)
+    size = np.array([1, 3, 9, 2, 1, 40, 5])
+    begin, rows = np.cumsum(size) - size, rng.standard_normal((size.sum(), 3)).astype(np.float32)
+    assert np.allclose(lm_scoring.sums(rows, begin, size), [rows[b : b + n].sum(0) for b, n in zip(begin, size, strict=True)], atol=1e-5)
+
+
+def test_scores_do_not_depend_on_partitions(docs):
+    made = [{(r.doc_id, r.n_words): r.log_likelihood for r in lm_scoring.pseudo_likelihood(docs.repartition(n)).collect()} for n in (2, 16)]
+    assert made[0].keys() == made[1].keys() and all(abs(v - made[1][k]) < 1e-6 for k, v in made[0].items())
+
+
+def test_every_word_is_a_target_once(docs):
+    texts = [t.encode() for t in ("a b c a", "", "b", " ".join(f"w{i % 7}" for i in range(5000)))]
+    words = sorted({w for t in texts for w in t.split()})
+    known = lm_scoring.Vocabulary(words, np.ones(len(words), np.int64), (0,) * lm_scoring.RARE, 1, 0)
+    ids = [lm_scoring.numbers(t, {w: i for i, w in enumerate(words)})[0] for t in texts]
+    trainer = lm_scoring.Trainer(known.tables(), lm_scoring.first_values(known.tables()["bias"], 1))
+    trainer.learn((x for x in ids if len(x)), 3)
+    assert trainer.uses["layer"][0] == sum(map(len, ids)) == trainer.uses["tree"][0]
+    assert trainer.uses["embed"].sum() == 4 * sum(map(len, ids))
+
+
+def test_gradient_lowers_the_cost():
+    words = [b"w%d" % i for i in range(40)]
+    known = lm_scoring.Vocabulary(words, np.ones(40, np.int64), (0,) * lm_scoring.RARE, 40, 0)
+    trainer = lm_scoring.Trainer(known.tables(), lm_scoring.first_values(known.tables()["bias"], 1))
     rng = np.random.default_rng(0)
-    trainer = lm_scoring.Trainer(lm_scoring.start([1] * 20, 1), rate=1e-2)
-    losses = []
-    for _ in range(150):  # the hidden word is the sum of its neighbours
-        context = rng.integers(0, 10, (256, 4))
-        losses.append(trainer.step(context, context[:, 1] + context[:, 2]))
-    assert losses[-1] < 0.6 * losses[20]
+    text = lambda: np.stack([a := rng.integers(0, 18, 300), a + 20, rng.integers(0, 40, 300)], 1).ravel().astype(np.int32)
+    test, cost = text(), lambda: -trainer.log_probabilities(test)[1::3].mean()
+    before = cost()  # the middle word of three is that before it plus 20
+    trainer.learn((text() for _ in range(300)), 1)
+    assert cost() < 0.6 * before
 
 
 def test_pipeline_stages(spark, tmp_path):
