@@ -27,10 +27,10 @@ the exchange of parameters both grow slower than the corpus.
 from __future__ import annotations
 
 import math
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import groupby, repeat
+from itertools import count, groupby, repeat
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,8 +45,10 @@ OFFSETS = (-2, -1, 1, 2)
 #: Nodes nearest to the root by weight, whose odds are taken as one matrix product.
 UPPER = 256
 WIDTH, HIDDEN = 16, 24
-#: Positions of a training step, and of a block of texts that is shuffled.
-BATCH, SHUFFLED = 2048, 1 << 17
+#: Hidden values that the nodes beyond the upper ones see, the last of all.
+NARROW = 8
+#: Positions of a training step, about.
+BATCH = 2048
 #: Words a group would have if the corpus were one group.
 GROUP_WORDS = 100_000
 #: Rows of parameters that travel together.
@@ -128,28 +130,29 @@ class Vocabulary:
         return out
 
 
-def numbers(text: bytes, known: dict):
-    """Numbers of the words of a text (A-Z in lower case), and the hashes of those without a leaf of their own."""
+def numbers(words: list, known: dict):
+    """Numbers of words (bytes in lower case), and the hashes of those in rare leaves, 0 for the others."""
     import numpy as np
     from xxhash import xxh64_intdigest
 
-    words = text.lower().split()
-    out = np.fromiter(map(known.get, words, repeat(-1)), np.int32, len(words))
+    out, h = np.fromiter(map(known.get, words, repeat(-1)), np.int32, len(words)), np.zeros(len(words), np.uint64)
     new = np.flatnonzero(out < 0)
-    rare = np.array([xxh64_intdigest(words[i], HASH_SEED) for i in new], np.uint64)
-    out[new] = len(known) + (rare % np.uint64(RARE)).astype(np.int32)
-    return out, rare
+    h[new] = np.array([xxh64_intdigest(words[i], HASH_SEED) for i in new], np.uint64)
+    out[new] = len(known) + (h[new] % np.uint64(RARE)).astype(np.int32)
+    return out, h
 
 
 def first_values(bias, seed: int) -> dict:
-    """Parameters before training: rows of input vectors, first layer (its last row the offsets) and tree (its last column the offsets)."""
+    """Parameters before training: rows of input vectors, the first layer (its last row the offsets), and the tree near the root and beyond (the last columns are the offsets)."""
     import numpy as np
 
     rng = np.random.default_rng(seed)
+    tree = lambda b, width: np.hstack([np.zeros((len(b), width)), b[:, None]]).astype(np.float32)
     return {
         "embed": (rng.standard_normal((INPUTS + SHARED + RARE + 1, WIDTH)) * 0.3).astype(np.float32),
         "layer": np.vstack([rng.standard_normal((len(OFFSETS) * WIDTH, HIDDEN)) * 0.2, np.zeros((1, HIDDEN))]).astype(np.float32),
-        "tree": np.hstack([np.zeros((len(bias), HIDDEN)), bias[:, None]]).astype(np.float32),
+        "upper": tree(bias[:UPPER], HIDDEN),
+        "lower": tree(bias[UPPER:], NARROW),
     }
 
 
@@ -176,13 +179,12 @@ class Network:
     def __init__(self, tables: dict, values: dict) -> None:
         self.tables, self.values = tables, values
 
-    def windows(self, ids):
-        """Input vectors around each word of a text, one line a word; beyond the text's ends lies the edge."""
+    def stream(self, texts: list):
+        """Input vectors of texts (word numbers) one after the other, with two edges before, between and after them."""
         import numpy as np
 
-        edge = len(self.tables["inputs"]) - 1
-        wide = self.tables["inputs"].take(np.concatenate([[edge, edge], ids, [edge, edge]]))
-        return np.stack([wide[2 + o : len(wide) - 2 + o] for o in OFFSETS], 1)
+        edge = np.full(2, len(self.tables["inputs"]) - 1, np.int32)
+        return self.tables["inputs"].take(np.concatenate([edge, *(x for t in texts for x in (t, edge))]))
 
     def ways(self, leaves):
         """The ways to leaves in two parts, near the root and beyond: nodes, turns (1 right, -1 left), the leaf's place of each, and their number by leaf."""
@@ -197,34 +199,36 @@ class Network:
             out.append((turns >> 1, ((turns & 1) * 2 - 1).astype(np.float32), np.repeat(places, many), many))
         return out
 
-    def hidden(self, context):
-        """Inputs and hidden layer, with a last column of ones."""
+    def hidden(self, wide):
+        """Inputs and hidden layer of all places of a stream but the two at either end; the layer has a last column of ones."""
         import numpy as np
 
-        layer = self.values["layer"]
-        x = self.values["embed"].take(context, 0).reshape(len(context), -1)
-        h = np.ones((len(context), HIDDEN + 1), np.float32)
+        layer, n = self.values["layer"], len(wide) - 4
+        e = self.values["embed"].take(wide, 0)
+        x = np.concatenate([e[2 + o : 2 + o + n] for o in OFFSETS], 1)
+        h = np.ones((n, HIDDEN + 1), np.float32)
         np.tanh(x @ layer[:-1] + layer[-1], out=h[:, :-1])
         return x, h
 
     def odds(self, h, upper, lower):
-        """Log odds of the turns of both parts; for the second also the hidden layer and the node beside each turn."""
+        """Log odds of the turns of both parts, the places of the first among all odds, and for the second the hidden values and the node beside each turn."""
         import numpy as np
 
-        tree = self.values["tree"]
-        top = (h @ tree[:UPPER].T).ravel()
-        place = upper[2] * min(UPPER, len(tree)) + upper[0]
-        mine, theirs = np.repeat(h, lower[3], 0), tree.take(lower[0], 0)
-        return top.take(place) * upper[1], np.einsum("ij,ij->i", theirs, mine) * lower[1], place, mine, theirs
+        near, far = self.values["upper"], self.values["lower"]
+        place = upper[2] * len(near) + upper[0]
+        top = (h @ near.T).ravel().take(place)
+        mine, theirs = np.repeat(h[:, HIDDEN - NARROW :], lower[3], 0), far.take(lower[0] - UPPER, 0)
+        return top * upper[1], np.einsum("ij,ij->i", theirs, mine) * lower[1], place, mine, theirs
 
     def log_probabilities(self, ids, block: int = 4096):
         """One value per word number of a text."""
         import numpy as np
 
-        context, out = self.windows(ids), np.zeros(len(ids), np.float64)
+        wide, out = self.stream([ids]), np.zeros(len(ids), np.float64)
         for at in range(0, len(ids), block):
-            _, h = self.hidden(context[at : at + block])
+            _, h = self.hidden(wide[at : at + block + 4])
             ways = self.ways(ids[at : at + block])
+            h = h[: len(ids) - at]
             for way, odds in zip(ways, self.odds(h, *ways), strict=False):
                 cost = np.log(1 + np.exp(np.minimum(-odds, np.float32(60))))
                 out[at : at + block] -= np.bincount(way[2], cost, len(h))
@@ -261,91 +265,112 @@ class Trainer(Network):
         uses = np.diff(begin, append=len(places))
         self._move(name, places[begin], uses, sums(grad.take(order, 0), begin, uses))
 
-    def step(self, context, leaves) -> None:
-        """context: n x 4 input vectors, leaves: n."""
+    def step(self, wide, leaves) -> None:
+        """wide: input vectors of a stream; leaves: the word of each place between its ends of two, -1 at an edge."""
         import numpy as np
 
-        n, layer, tree = len(leaves), self.values["layer"], self.values["tree"]
-        if not len(tree):
-            return
-        x, h = self.hidden(context)
-        upper, lower = self.ways(leaves)
-        top, low, place, mine, theirs = self.odds(h, upper, lower)
+        n, layer, near = len(leaves), self.values["layer"], self.values["upper"]
+        x, h = self.hidden(wide)
+        own = np.flatnonzero(leaves >= 0)
+        mine_h = h.take(own, 0)
+        upper, lower = self.ways(leaves.take(own))
+        top, low, place, mine, theirs = self.odds(mine_h, upper, lower)
         # what is missing of each turn's probability, towards the other side
         missed = [-way[1] / (1 + np.exp(np.clip(odds, -30, 30))) for odds, way in ((top, upper), (low, lower))]
-        width = min(UPPER, len(tree))
-        share = np.zeros(n * width, np.float32)
+        share = np.zeros(len(own) * len(near), np.float32)
         share[place] = missed[0]
-        share = share.reshape(n, width)
-        back = share @ tree[:width, :-1]
-        uses = np.bincount(upper[0], minlength=width)
+        share = share.reshape(len(own), len(near))
+        some = share @ near[:, :-1]
+        uses = np.bincount(upper[0], minlength=len(near))
         used = np.flatnonzero(uses)
-        grad = share.T @ h
+        grad = share.T @ mine_h
         if len(low):
             theirs *= missed[1][:, None]
             mine *= missed[1][:, None]
             deep = np.flatnonzero(lower[3])
             many = lower[3].take(deep)
-            back[deep] = back.take(deep, 0) + sums(theirs, np.cumsum(many) - many, many)[:, :-1]
-            self._gathered("tree", lower[0], mine)
-        self._move("tree", used, uses[used], grad.take(used, 0))
+            some[deep, HIDDEN - NARROW :] += sums(theirs, np.cumsum(many) - many, many)[:, :-1]
+            self._gathered("lower", lower[0] - UPPER, mine)
+        if len(used):
+            self._move("upper", used, uses[used], grad.take(used, 0))
+        back = np.zeros((n, HIDDEN), np.float32)
+        back[own] = some
         back *= 1 - h[:, :-1] ** 2
-        inputs = (back @ layer[:-1].T).reshape(-1, WIDTH)
-        self._move("layer", np.arange(len(layer)), n, np.vstack([x.T @ back, back.sum(0)[None]]))
-        self._gathered("embed", context.ravel(), inputs)
-
-    def learn(self, texts: Iterator, seed: int) -> None:
-        """Steps on every position of every text (word numbers), shuffled within blocks of texts."""
+        inputs, around = back @ layer[:-1].T, np.zeros((n + 4, WIDTH), np.float32)
+        for j, o in enumerate(OFFSETS):
+            around[2 + o : 2 + o + n] += inputs[:, j * WIDTH : (j + 1) * WIDTH]
+        self._move("layer", np.arange(len(layer)), len(own), np.vstack([x.T @ back, back.sum(0)[None]]))
+        self._gathered("embed", wide, around)
+
+    def learn(self, texts: Iterator) -> None:
+        """Steps on every position of every text (word numbers), in their order."""
         import numpy as np
 
-        rng, held, own, size = np.random.default_rng(seed), [], [], 0
+        held, size, edge = [], 0, np.full(2, -1, np.int32)
 
         def flush() -> None:
-            context, leaves = np.concatenate(held), np.concatenate(own)
-            order = rng.permutation(len(leaves))
-            for at in range(0, len(order), BATCH):
-                some = order[at : at + BATCH]
-                self.step(context[some], leaves[some])
+            wide, leaves = self.stream(held), np.concatenate([x for t in held for x in (t, edge)])[:-2]
+            cuts = np.linspace(0, len(leaves), max(1, round(len(leaves) / BATCH)) + 1).astype(int)
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                self.step(wide[a : b + 4], leaves[a:b])
             held.clear()
-            own.clear()
 
         for ids in texts:
-            # pieces of a long text are cut by its own positions, so no batch border of the engine shows
-            context = self.windows(ids)
-            for at in range(0, len(ids), SHUFFLED):
-                held.append(context[at : at + SHUFFLED])
-                own.append(ids[at : at + SHUFFLED])
-                size += len(own[-1])
-                if size >= SHUFFLED:
-                    flush()
-                    size = 0
+            if len(ids):
+                held.append(ids)
+                size += len(ids)
+            if size >= BATCH:
+                flush()
+                size = 0
         if size:
             flush()
 
 
-def count_words(df: DataFrame, text: str = "text") -> DataFrame:
-    """(word, n, h): every word of all documents as bytes, A-Z in lower case, how often it occurs, and its hash."""
+def tokenised(df: DataFrame, key: str, text: str, chunk: int = 1_000_000) -> DataFrame:
+    """The texts in chunks of ``chunk`` words or one text more: keys, marks (hashes of key and text), texts (of word
+    numbers, as bytes), and the words that the numbers stand for (bytes, A-Z in lower case) with their counts."""
+    kind = df.select(F.col(key)).schema[0].dataType.simpleString()
+    rows = df.select(F.col(key).alias("key"), F.xxhash64(key, text).alias("mark"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
 
     def run(batches: Iterator) -> Iterator:
+        import numpy as np
         import pyarrow as pa
 
-        held: Counter = Counter()
+        keys, marks, texts, size, seen = [], [], [], 0, defaultdict(count().__next__)
+        type_ = None
 
         def out():
-            made = pa.RecordBatch.from_arrays([pa.array(list(held.keys()), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
-            held.clear()
+            n = np.bincount(np.concatenate(texts), minlength=len(seen)) if size else np.zeros(0, np.int64)
+            made = pa.RecordBatch.from_arrays(
+                [pa.array([keys], pa.list_(type_)), pa.array([marks], pa.list_(pa.int64())), pa.array([[t.tobytes() for t in texts]], pa.list_(pa.binary())),
+                 pa.array([list(seen)], pa.list_(pa.binary())), pa.array([n], pa.list_(pa.int64()))],
+                names=["keys", "marks", "texts", "words", "counts"],
+            )
+            for x in (keys, marks, texts):
+                x.clear()
             return made
 
         for batch in batches:
-            for value in batch.column(0):
-                held.update(value.as_py().lower().split())
-                if len(held) > 500_000:
+            type_ = batch.column(0).type
+            for k, m, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                words = value.as_py().lower().split()
+                keys.append(k)
+                marks.append(m)
+                texts.append(np.fromiter(map(seen.__getitem__, words), np.int32, len(words)))
+                size += len(words)
+                if size >= chunk:
                     yield out()
-        yield out()
+                    size, seen = 0, defaultdict(count().__next__)
+        if keys:
+            yield out()
 
-    rows = df.where(F.col(text).isNotNull()).select(F.col(text).cast("binary").alias("text"))
-    made = rows.mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    return made.withColumn("h", F.xxhash64("word"))
+    return rows.mapInArrow(run, f"keys array<{kind}>, marks array<bigint>, texts array<binary>, words array<binary>, counts array<bigint>")
+
+
+def count_words(chunks: DataFrame) -> DataFrame:
+    """(word, n, h): every word of all chunks, how often it occurs, and its hash."""
+    met = chunks.select(F.explode(F.arrays_zip("words", "counts")).alias("w")).select(F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
+    return met.groupBy("word").agg(F.sum("n").alias("n")).withColumn("h", F.xxhash64("word"))
 
 
 def vocabulary(counts: DataFrame, words: int = WORDS) -> Vocabulary:
@@ -380,29 +405,35 @@ class LanguageModel:
 
 
 
-def encoded(df: DataFrame, words: Vocabulary, key: str, text: str) -> DataFrame:
-    """Per row: key, _id (a hash of key and text), ids (word numbers as bytes), rare (hashes of the words in rare leaves)."""
-    shared = df.sparkSession.sparkContext.broadcast(words.words)  # WORDS at most
-    kind = df.select(F.col(key)).schema[0].dataType.simpleString()
+def encoded(chunks: DataFrame, words: Vocabulary, key: str) -> DataFrame:
+    """Per text of the chunks: key, _id (the mark), ids (word numbers as bytes), rare (hashes of the words in rare leaves)."""
+    shared = chunks.sparkSession.sparkContext.broadcast(words.words)  # WORDS at most
+    kind = chunks.schema["keys"].dataType.elementType.simpleString()
 
     def run(batches: Iterator) -> Iterator:
+        import numpy as np
         import pyarrow as pa
 
         known = {w: i for i, w in enumerate(shared.value)}
         for batch in batches:
-            texts, at, held, made = batch.column(2).cast(pa.large_binary()), 0, 0, []
-            for i, value in enumerate(texts):
-                made.append(numbers(value.as_py(), known))
-                held += len(made[-1][0])
-                if held > 2_000_000 or i == len(texts) - 1:
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0)[at : i + 1], batch.column(1)[at : i + 1], pa.array([x.tobytes() for x, _ in made], pa.binary()), pa.array([r.view("int64") for _, r in made], pa.list_(pa.int64()))],
-                        names=[key, "_id", "ids", "rare"],
-                    )
-                    at, held, made = i + 1, 0, []
+            for row in range(batch.num_rows):
+                keys, marks, texts, local = (batch.column(c)[row].values for c in range(4))
+                number, h = numbers(local.to_pylist(), known)
+                h = h.view(np.int64)
+                ids, rare, size, at = [], [], 0, 0
+                for i, value in enumerate(texts):
+                    own = np.frombuffer(value.as_py(), np.int32)
+                    ids.append(number.take(own))
+                    rare.append(h.take(own[ids[-1] >= len(known)]))
+                    size += len(own)
+                    if size > 1_000_000 or i == len(texts) - 1:
+                        yield pa.RecordBatch.from_arrays(
+                            [keys[at : i + 1], marks[at : i + 1], pa.array([x.tobytes() for x in ids], pa.binary()), pa.array(rare, pa.list_(pa.int64()))],
+                            names=[key, "_id", "ids", "rare"],
+                        )
+                        ids, rare, size, at = [], [], 0, i + 1
 
-    rows = df.select(F.col(key).alias(key), F.xxhash64(key, text).alias("_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
-    return rows.mapInArrow(run, f"`{key}` {kind}, _id bigint, ids binary, rare array<bigint>")
+    return chunks.select("keys", "marks", "texts", "words").mapInArrow(run, f"`{key}` {kind}, _id bigint, ids binary, rare array<bigint>")
 
 
 def train(rows: DataFrame, words: Vocabulary, rounds: int = 2, group_words: int = GROUP_WORDS, seed: int = 5) -> dict:
@@ -448,7 +479,7 @@ def train(rows: DataFrame, words: Vocabulary, rounds: int = 2, group_words: int
 
             for group, part in groupby(texts(), key=lambda x: x[0]):
                 trainer = Trainer(code.value, start.value)
-                trainer.learn((ids for _, ids in part), seed + group)
+                trainer.learn(ids for _, ids in part)
                 yield from out(group)
 
         mine = dealt.where(F.col("_group") % rounds == number)
@@ -502,9 +533,10 @@ def _averaged(made: DataFrame, values: dict) -> dict:
 
 def fit(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, **training) -> tuple[LanguageModel, DataFrame]:
     """Counts over all documents, training on all positions; the model, and the encoded documents for ``score_encoded``."""
-    counts = stored(count_words(df, text), "word-counts")
+    chunks = stored(tokenised(df, key, text), "word-chunks")
+    counts = stored(count_words(chunks), "word-counts")
     known = vocabulary(counts, words)
-    rows = stored(encoded(df, known, key, text), "word-numbers")
+    rows = stored(encoded(chunks, known, key), "word-numbers")
     return LanguageModel(known, train(rows, known, **training), counts if known.others else None), rows
 
 
@@ -548,7 +580,7 @@ def score(df: DataFrame, model: LanguageModel, key: str = "doc_id", text: str =
     Whole texts are scored, of any length; repeated rows each; other columns are
     ignored, whatever their names; an empty table gives an empty table.
     """
-    return score_encoded(encoded(df, model.vocabulary, key, text), model, key)
+    return score_encoded(encoded(tokenised(df, key, text), model.vocabulary, key), model, key)
 
 
 def pseudo_likelihood(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -452,7 +452,10 @@ def plain_score(net, vocabulary, counts, text):
         x = np.concatenate([net.values["embed"][t["inputs"][k]] for k in around]).astype(float)
         h = np.append(np.tanh(x @ net.values["layer"][:-1] + net.values["layer"][-1]), 1.0)
         for turn in t["turns"][t["start"][number[i]] :][: t["size"][number[i]]]:
-            odds = h @ net.values["tree"][turn >> 1].astype(float)
+            node = turn >> 1
+            near = node < lm_scoring.UPPER
+            row = net.values["upper"][node] if near else net.values["lower"][node - lm_scoring.UPPER]
+            odds = (h if near else h[lm_scoring.HIDDEN - lm_scoring.NARROW :]) @ row.astype(float)
             total -= math.log1p(math.exp(-odds if turn & 1 else odds))
         if w not in known:
             total += math.log(counts.get(w, 1) / (vocabulary.totals[number[i] - len(known)] + 1))
@@ -518,11 +521,10 @@ def test_every_word_is_a_target_once(docs):
     texts = [t.encode() for t in ("a b c a", "", "b", " ".join(f"w{i % 7}" for i in range(5000)))]
     words = sorted({w for t in texts for w in t.split()})
     known = lm_scoring.Vocabulary(words, np.ones(len(words), np.int64), (0,) * lm_scoring.RARE, 1, 0)
-    ids = [lm_scoring.numbers(t, {w: i for i, w in enumerate(words)})[0] for t in texts]
+    ids = [lm_scoring.numbers(t.split(), {w: i for i, w in enumerate(words)})[0] for t in texts]
     trainer = lm_scoring.Trainer(known.tables(), lm_scoring.first_values(known.tables()["bias"], 1))
-    trainer.learn((x for x in ids if len(x)), 3)
-    assert trainer.uses["layer"][0] == sum(map(len, ids)) == trainer.uses["tree"][0]
-    assert trainer.uses["embed"].sum() == 4 * sum(map(len, ids))
+    trainer.learn(ids)
+    assert trainer.uses["layer"][0] == sum(map(len, ids)) == trainer.uses["upper"][0]
 
 
 def test_gradient_lowers_the_cost():
@@ -533,7 +535,7 @@ def test_gradient_lowers_the_cost():
     text = lambda: np.stack([a := rng.integers(0, 18, 300), a + 20, rng.integers(0, 40, 300)], 1).ravel().astype(np.int32)
     test, cost = text(), lambda: -trainer.log_probabilities(test)[1::3].mean()
     before = cost()  # the middle word of three is that before it plus 20
-    trainer.learn((text() for _ in range(300)), 1)
+    trainer.learn(text() for _ in range(300))
     assert cost() < 0.6 * before
 
 
