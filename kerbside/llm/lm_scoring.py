@@ -35,7 +35,7 @@ from itertools import count, groupby, repeat
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kerbside.llm._common import stored
+from kerbside.llm._common import discard, stored
 
 #: Leaves of single words, at most, and leaves that share all other words.
 WORDS, RARE = 1 << 18, 64
@@ -43,17 +43,17 @@ WORDS, RARE = 1 << 18, 64
 INPUTS, SHARED = 1 << 14, 1 << 10
 OFFSETS = (-2, -1, 1, 2)
 #: Nodes nearest to the root by weight, whose odds are taken as one matrix product.
-UPPER = 256
-WIDTH, HIDDEN = 16, 24
+UPPER = 64
+WIDTH, HIDDEN = 16, 16
 #: Hidden values that the nodes beyond the upper ones see, the last of all.
 NARROW = 8
 #: Positions of a training step, about.
-BATCH = 2048
+BATCH = 4096
 #: Words a group would have if the corpus were one group.
-GROUP_WORDS = 100_000
+GROUP_WORDS = 200_000
 #: Rows of parameters that travel together.
 BLOCK = 2048
-RATE = 0.1
+RATE = 0.2
 #: Spark's seed of xxhash64, so that both sides give a word the same hash.
 HASH_SEED = 42
 
@@ -537,6 +537,7 @@ def fit(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WOR
     counts = stored(count_words(chunks), "word-counts")
     known = vocabulary(counts, words)
     rows = stored(encoded(chunks, known, key), "word-numbers")
+    discard(chunks)
     return LanguageModel(known, train(rows, known, **training), counts if known.others else None), rows
 
 
