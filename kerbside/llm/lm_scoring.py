@@ -381,14 +381,15 @@ def vocabulary(counts: DataFrame, words: int = WORDS) -> Vocabulary:
     import numpy as np
 
     total, distinct = counts.agg(F.sum("n"), F.count("*")).first()
-    top = counts.orderBy(F.col("n").desc(), "word").limit(words).select("word", "n").collect()
+    top = counts.orderBy(F.col("n").desc(), "word").limit(words).select("word", "n").toArrow()
     sums_ = [0] * RARE
-    if distinct > len(top):
-        least, last = top[-1]["n"], F.lit(bytes(top[-1]["word"]))
+    names, number = top.column("word").to_pylist(), top.column("n").to_numpy()
+    if distinct > len(names):
+        least, last = int(number[-1]), F.lit(names[-1])
         others = counts.where((F.col("n") < least) | ((F.col("n") == least) & (F.col("word") > last)))
         for r in others.groupBy(leaf("h").alias("b")).agg(F.sum("n").alias("n")).collect():
             sums_[r["b"]] = r["n"]
-    return Vocabulary([bytes(r["word"]) for r in top], np.array([r["n"] for r in top], np.int64), tuple(sums_), total or 0, distinct - len(top))
+    return Vocabulary(names, number.astype(np.int64), tuple(sums_), total or 0, distinct - len(names))
 
 
 def leaf(h: str) -> Column:

@@ -1,28 +1,18 @@
 """Quality rules: base counts, and divergence from language references.
 
 Every document's histograms of character classes and of its language's common
-words are compared with the language's reference, the same histograms over all
+words, which are learnt from the corpus, are compared with the language's reference, the same histograms over all
 documents of the language that pass the base rules, by the Jensen-Shannon
 distance.  Built-in expressions only.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbside.llm._common import SPLIT_RE, stored
 
-# Frequent short words of each language.
-COMMON_WORDS: Mapping[str, Sequence[str]] = {
-    "de": ("auf", "das", "dem", "den", "der", "des", "die", "ein", "eine", "für", "im", "in", "ist", "mit", "nicht", "sich", "und", "von", "zu"),
-    "en": ("a", "and", "are", "as", "be", "by", "for", "from", "he", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with"),
-    "es": ("al", "como", "con", "de", "del", "el", "en", "es", "la", "las", "los", "no", "para", "por", "que", "se", "su", "un", "una", "y"),
-    "fr": ("au", "avec", "dans", "de", "des", "du", "elle", "en", "est", "et", "il", "la", "le", "les", "par", "pour", "que", "qui", "sur", "un", "une"),
-}
 SYMBOLS = "#*$%&|<>"
 #: Character classes, by the patterns of their members; all other word characters make one more class.
 CLASSES = {
@@ -90,39 +80,51 @@ def base_counts(df: DataFrame, text: str = "text") -> DataFrame:
     return with_repeated_words(made).withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
 
 
-def _common(lang: Column, common: Mapping[str, Sequence[str]]) -> Column:
-    out = F.lit(None).cast("array<string>")
-    for name, words in sorted(common.items()):
-        out = F.when(lang == name, F.array(*map(F.lit, words))).otherwise(out)
-    return out
+def _tokens(text: Column) -> Column:
+    return F.split(F.lower(text), _TOKEN_RE)
+
 
+def common_words(df: DataFrame, lang: str, text: str, words: int = 20) -> DataFrame:
+    """(lang, common): the ``words`` most frequent words of all documents of each language, as an array, ties by the word.
+
+    Counts are aggregated before they are shuffled, and a language's words are
+    cut to the most frequent before they meet in one task.
+    """
+    met = df.where(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.explode(_tokens(F.col(text))).alias("word")).where("word <> ''")
+    counts = met.groupBy("lang", "word").agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "word"))
+    best = counts.withColumn("place", place).where(F.col("place") <= words)
+    return best.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("place", "word")))["word"].alias("common"))
 
-def histograms(df: DataFrame, lang: str, common: Mapping[str, Sequence[str]]) -> DataFrame:
-    """Add ``_chars`` (per class, and the rest of the word characters) and
-    ``_common`` (per common word, and all other words), arrays of long."""
+
+def histograms(df: DataFrame, common: str, words: int = 20) -> DataFrame:
+    """Add ``_chars`` (per class, and the rest of the word characters) and, for
+    rows with an array ``common``, ``_common`` (per common word, and all other
+    words), arrays of long."""
     body = F.col("_body")
+    # every word becomes one letter, "@" if it is no common one; letters are counted by what is left without them
+    letters = F.array_join(F.transform(F.array_remove(_tokens(body), ""), lambda w: F.char(F.array_position(common, w) + 64)), "")
     made = df.withColumns(
         {
             "_classes": F.array(*[_removed(body, pattern) for pattern in CLASSES.values()]),
-            "_list": _common(F.col(lang), common),
-            "_tokens": F.array_remove(F.split(F.lower(body), _TOKEN_RE), ""),
+            "_letters": F.when(F.col(common).isNotNull(), letters),
         }
     )
-    found = F.transform("_tokens", lambda w: F.array_position("_list", w).cast("int"))
-    made = made.withColumn("_places", F.array_remove(found, 0))
-    width = max([len(w) for w in common.values()], default=0)
-    # array_remove runs in generated code, a filter does not
-    counts = F.array(*[(F.size("_places") - F.size(F.array_remove("_places", k))).cast("long") for k in range(1, width + 1)])
-    rest = (F.size("_tokens") - F.size("_places")).cast("long")
+    of = lambda k: (F.length("_letters") - F.length(F.replace(F.col("_letters"), F.lit(chr(64 + k)), F.lit("")))).cast("long")
     others = F.col("word_chars") - F.aggregate("_classes", F.lit(0).cast("long"), lambda a, x: a + x)
     return made.withColumns(
         {
             "_chars": F.concat("_classes", F.array(F.greatest(F.lit(0).cast("long"), others))),
-            "_common": F.when(F.col("_list").isNotNull(), F.concat(F.slice(counts, F.lit(1), F.size("_list")), F.array(rest))),
+            "_common": F.when(F.col(common).isNotNull(), F.array(*map(of, [*range(1, words + 1), 0]))),
         }
     )
 
 
+def _small(df: DataFrame, rows: int = 10_000) -> DataFrame:
+    """A stored table with a row per language, as a broadcast if it has ``rows`` at most."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def js_distance(p: Column, q: Column) -> Column:
     """Jensen-Shannon distance, base 2, of two arrays of counts; null if either has no mass."""
     total = lambda x: F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
@@ -142,7 +144,7 @@ def quality_rules(
     key: str = "doc_id",
     text: str = "text",
     lang: str = "lang",
-    common: Mapping[str, Sequence[str]] = COMMON_WORDS,
+    words: int = 20,
     max_char_distance: float = 0.33,
     max_word_distance: float = 0.35,
     min_chars: int = 200,
@@ -152,28 +154,31 @@ def quality_rules(
     """One row per input row: key, the base counts, ``base_failed``, the two
     distances (null where a guard holds) and ``kept``.
 
-    Guards: texts shorter than ``min_chars`` word characters or ``min_words``
-    words, rows without a language, languages without a word list, and
+    A language's common words are the ``words`` (60 at most) most frequent ones
+    of all its documents; its references are the summed histograms of those
+    that pass the base rules.  Guards: texts shorter than ``min_chars`` word characters or ``min_words``
+    words, rows without a language, and
     languages with fewer than ``min_reference_docs`` reference documents are
     not judged by the distance concerned.  ``kept`` is false for rows that fail
     the base rules and for those beyond a distance.  Null and empty texts fail
-    the base rules.  Repeated rows are judged each; columns of ``df`` with
-    other names are ignored.  References cover all documents; their table has
-    a row per language, and only languages of ``common`` have word references.
+    the base rules.  Texts are read whole, however long.  Repeated rows are judged each; other columns of ``df``
+    are ignored, whatever their names; an empty table gives an empty table.
+    Tables with a row per language are broadcast up to 10 000 rows, so the documents are not dealt by language.
     """
+    if not 0 < words <= 60:
+        raise ValueError("words must be from 1 to 60")
     rows = df.select(F.col(key).alias(key), F.col(text).alias("_text"), F.col(lang).alias("_lang"))
-    counted = base_counts(rows, "_text")
+    known = stored(common_words(rows, "_lang", "_text", words).select(F.col("lang").alias("_lang"), F.col("common").alias("_list")), "common-words")
+    counted = base_counts(rows.join(_small(known), "_lang", "left"), "_text")
     # the per-document numbers, without the texts, are kept; references and verdicts both read them
     facts = stored(
-        histograms(counted, "_lang", common).select(
+        histograms(counted, "_list", words).select(
             key, "_lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "_chars", "_common"
         ),
         "quality",
     )
-    width = max([len(w) for w in common.values()], default=0) + 1
     sums = [F.sum(F.get("_chars", F.lit(i))).alias(f"_c{i}") for i in range(len(CLASSES) + 1)]
-    sums += [F.sum(F.get("_common", F.lit(i))).alias(f"_w{i}") for i in range(width)]
-    sizes = reduce(lambda out, item: F.when(F.col("_lang") == item[0], len(item[1]) + 1).otherwise(out), common.items(), F.lit(0))
+    sums += [F.sum(F.get("_common", F.lit(i))).alias(f"_w{i}") for i in range(words + 1)]
     references = (
         facts.where(~F.col("base_failed") & F.col("_lang").isNotNull())
         .groupBy("_lang")
@@ -182,11 +187,11 @@ def quality_rules(
         .select(
             "_lang",
             F.array(*[f"_c{i}" for i in range(len(CLASSES) + 1)]).alias("_ref_chars"),
-            F.slice(F.array(*[f"_w{i}" for i in range(width)]), F.lit(1), sizes).alias("_ref_common"),
+            F.array(*[f"_w{i}" for i in range(words + 1)]).alias("_ref_common"),
         )
     )
     as_double = lambda x: F.col(x).cast("array<double>")
-    judged = facts.join(references, "_lang", "left").withColumns(
+    judged = facts.join(_small(stored(references, "references")), "_lang", "left").withColumns(
         {
             "char_distance": F.when(F.col("word_chars") >= min_chars, js_distance(as_double("_chars"), as_double("_ref_chars"))),
             "word_distance": F.when(

@@ -89,7 +89,8 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(table(spark, sf_dir, "documents"))
+    out = quality_rules(table(spark, sf_dir, "documents"))
+    return out.withColumns({c: F.round(c, 6) + 0.0 for c in ("char_distance", "word_distance")})
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -189,4 +190,75 @@ ORACLE_SQL: dict[str, str] = {
         FROM ds JOIN bs USING (s) JOIN n USING (item_id)
         GROUP BY doc_id, item_id HAVING 100 * count(*) >= 80 * any_value(n_item)
     """,
+    "op10_quality_rules": r"""
+        WITH d AS (
+            SELECT doc_id, lang, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
+                   list_filter(regexp_split_to_array(lower(t), '[\x20\x09-\x0D.,;:!?]+'), lambda x: x <> '') AS tok,
+                   list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS li
+            FROM (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents)
+        ), g AS (
+            SELECT doc_id, i, array_to_string(w[i:i+4], ' ') AS s
+            FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)
+        ), rep AS (
+            SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words
+            FROM (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, s) > 1), (SELECT unnest(range(5)) AS k) GROUP BY doc_id
+        ), cl AS (
+            SELECT doc_id, [length(t) - length(regexp_replace(t, '\p{Lu}+', '', 'g')), length(t) - length(regexp_replace(t, '[0-9]+', '', 'g')),
+                            length(t) - length(regexp_replace(t, '[.,;:!?''"()\-]+', '', 'g')), length(t) - length(regexp_replace(t, '[#*$%&|<>{}\[\]=+/\\_@^~`]+', '', 'g'))] AS c
+            FROM d
+        ), f AS (
+            SELECT doc_id, lang, tok, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]+', '', 'g')) AS n_symbols,
+                   len(li) - len(list_distinct(li)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+                   len(w) < 10 OR 100 * coalesce(n_repeat_words, 0) > 20 * len(w) AS base_failed, c
+            FROM d LEFT JOIN rep USING (doc_id) JOIN cl USING (doc_id)
+        ), tw AS (SELECT doc_id, lang, unnest(tok) AS word FROM d WHERE lang IS NOT NULL),
+        cw AS (SELECT lang, word, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, word) AS k FROM tw GROUP BY lang, word QUALIFY k <= 20),
+        hit AS (SELECT doc_id, k, count(*) AS n FROM tw JOIN cw USING (lang, word) GROUP BY doc_id, k),
+        hw AS (
+            SELECT f.doc_id, lang, base_failed, x.k, coalesce(hit.n, 0) AS n FROM f JOIN (SELECT unnest(range(1, 21)) AS k) x ON f.lang IN (SELECT lang FROM cw) LEFT JOIN hit ON hit.doc_id = f.doc_id AND hit.k = x.k
+            UNION ALL
+            SELECT doc_id, lang, base_failed, 0, len(tok) - coalesce((SELECT sum(n) FROM hit WHERE hit.doc_id = f.doc_id), 0) FROM f WHERE lang IN (SELECT lang FROM cw)
+        ),
+        hc AS (
+            SELECT doc_id, lang, base_failed, unnest(range(5)) AS k, unnest(list_append(c, greatest(0, word_chars - list_sum(c)))) AS n FROM f
+        ),
+        h AS (SELECT 'c' AS kind, * FROM hc UNION ALL SELECT 'w', * FROM hw),
+        ref AS (
+            SELECT kind, lang, k, sum(n) AS n FROM h WHERE NOT base_failed AND lang IN (SELECT lang FROM f WHERE NOT base_failed GROUP BY lang HAVING count(*) >= 20) GROUP BY kind, lang, k
+        ),
+        z AS (
+            SELECT h.kind, doc_id, h.n / sum(h.n) OVER o AS x, ref.n / sum(ref.n) OVER o AS y, sum(h.n) OVER o AS sx, sum(ref.n) OVER o AS sy
+            FROM h JOIN ref USING (kind, lang, k) WINDOW o AS (PARTITION BY h.kind, doc_id)
+        ),
+        js AS (
+            SELECT kind, doc_id, sqrt(greatest(0, sum(CASE WHEN x > 0 THEN x * log2(2 * x / (x + y)) ELSE 0 END + CASE WHEN y > 0 THEN y * log2(2 * y / (x + y)) ELSE 0 END) / 2)) AS dist
+            FROM z WHERE sx > 0 AND sy > 0 GROUP BY kind, doc_id
+        ),
+        v AS (
+            SELECT f.*, CASE WHEN word_chars >= 200 THEN jc.dist END AS cd, CASE WHEN n_words >= 60 THEN jw.dist END AS wd
+            FROM f LEFT JOIN js jc ON jc.doc_id = f.doc_id AND jc.kind = 'c' LEFT JOIN js jw ON jw.doc_id = f.doc_id AND jw.kind = 'w'
+        )
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(cd, 6) + 0.0 AS char_distance, round(wd, 6) + 0.0 AS word_distance,
+               NOT base_failed AND coalesce(cd, 0) <= 0.33 AND coalesce(wd, 0) <= 0.35 AS kept FROM v
+    """,
+    "op2_sharding": r"""
+        WITH RECURSIVE p(i, c, n) AS (
+            SELECT i, i, 0 FROM (SELECT unnest(range(256)) AS i)
+            UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n + 1 FROM p WHERE n < 8
+        ),
+        tab AS (SELECT list(c ORDER BY i) AS tab FROM p WHERE n = 8),
+        d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        b AS (SELECT doc_id, octet_length(encode(t))::BIGINT + 1 AS size, list_transform(regexp_extract_all(hex(encode(t)), '..'), lambda x: ('0x' || x)::BIGINT) AS bytes FROM d),
+        c AS (
+            SELECT doc_id, size, xor(list_reduce(list_prepend(4294967295, bytes), lambda a, x: xor(a >> 8, tab[(xor(a, x) & 255) + 1])), 4294967295) AS text_crc32 FROM b, tab
+        ),
+        u AS (
+            SELECT c.*, i, -1.0 / ln((('0x' || substr(md5(doc_id::VARCHAR || ':' || i::VARCHAR), 1, 13))::BIGINT + 0.5) / 4503599627370496) AS score FROM c, (SELECT unnest(range(9)) AS i)
+        ),
+        s AS (
+            SELECT doc_id, any_value(size) AS size, any_value(text_crc32) AS text_crc32, (arg_max(i, score) FILTER (WHERE i < 8))::INT AS shard, arg_max(i, score)::INT AS grown_shard FROM u GROUP BY doc_id
+        ),
+        o AS (SELECT *, floor((('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || text_crc32::VARCHAR), 1, 13))::BIGINT + 0.5) / 4503599627370496 * 512) AS block FROM s)
+        SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY block, doc_id, text_crc32, size) - 1 AS slot, grown_shard FROM o
+    """,
 }

@@ -382,12 +382,69 @@ def test_js_distance(spark):
     assert abs(got.d - math.sqrt((kl(a) + kl(b)) / 2)) < 1e-12 and got.z == 0 and got.n is None
 
 
-def test_quality_rejects_divergent_text(spark):
+def brute_verdicts(rows, words=20, least=5):
+    """(distances, kept) by document, in plain Python."""
+    token = re.compile(r"[\x20\x09-\x0D.,;:!?]+")
+    classes = [str.isupper, lambda c: c in "0123456789", lambda c: c in ".,;:!?'\"()-", lambda c: c in "#*$%&|<>{}[]=+/\\_@^~`"]
+    facts, seen, refs = {}, collections.defaultdict(collections.Counter), {}
+    for k, (text, lang) in rows.items():
+        tokens = [w for w in token.split((text or "").lower()) if w]
+        if lang is not None:
+            seen[lang].update(tokens)
+        facts[k] = (tokens, brute_quality(text), [sum(map(of, text or "")) for of in classes])
+    common = {x: [w for w, _ in sorted(c.items(), key=lambda i: (-i[1], i[0].encode()))[:words]] for x, c in seen.items()}
+    hist = {}
+    for k, (tokens, base, own) in facts.items():
+        lang, met = rows[k][1], collections.Counter(tokens)
+        listed = [met[w] for w in common[lang]] if lang in common else None
+        hist[k] = ([*own, max(0, base[1] - sum(own))], None if listed is None else [*listed, len(tokens) - sum(listed)])
+    for lang in common:
+        good = [hist[k] for k in rows if rows[k][1] == lang and not facts[k][1][5]]
+        if len(good) >= least:
+            refs[lang] = [np.sum([h[i] for h in good], 0) for i in (0, 1)]
+
+    def distance(p, q):
+        p, q = np.array(p, float), np.array(q, float)
+        if not p.sum() or not q.sum():
+            return None
+        p, q = p / p.sum(), q / q.sum()
+        m = (p + q) / 2
+        return math.sqrt(max(0.0, sum(float((x[x > 0] * np.log2(x[x > 0] / m[x > 0])).sum()) for x in (p, q)) / 2))
+
+    out = {}
+    for k, (_, base, _) in facts.items():
+        ref = refs.get(rows[k][1])
+        chars = distance(hist[k][0], ref[0]) if ref and base[1] >= 200 else None
+        listed = distance(hist[k][1], ref[1]) if ref and base[0] >= 60 else None
+        out[k] = (chars, listed, not base[5] and (chars or 0) <= 0.33 and (listed or 0) <= 0.35)
+    return out
+
+
+def test_quality_verdicts_equal_brute_force(spark):
     rng = np.random.default_rng(8)
-    good = [(i, " ".join(f"the {w}{i}{j}" for j, w in enumerate(prose(rng, "en", 120).split())), "en", "s", 0) for i in range(60)]
-    bad = [(99, "### ".join(f"{w}Q{j}" for j, w in enumerate(prose(rng, "en", 150).upper().split())), "en", "s", 0), (98, "### ".join(prose(rng, "en", 15).upper().split()), "en", "s", 0), (97, "### ".join(f"{w}{j}" for j, w in enumerate(prose(rng, "en", 150).split())), None, "s", 0)]
-    kept = {r.doc_id: r.kept for r in quality.quality_rules(spark.createDataFrame(good + bad, DOCS)).collect()}
-    assert all(kept[i] for i in range(60)) and not kept[99] and kept[98] and kept[97]
+    rows = {i: (" ".join(f"The {w}, {w[:2]}{j % 30}." for j, w in enumerate(prose(rng, ("en", "de")[i % 2], int(rng.integers(5, 90))).split())), ("en", "de")[i % 2]) for i in range(60)}
+    rows |= {
+        90: ("", "en"), 91: (None, None), 92: (None, "en"), 93: ("### ".join(prose(rng, "en", 150).upper().split()), "en"), 94: ("### ".join(prose(rng, "en", 15).upper().split()), "en"),
+        95: (prose(rng, "fr", 200), "en"), 96: (prose(rng, "fr", 200), None), 97: (prose(rng, "fr", 200), "fr"), 98: (" ".join(["the same"] * 300), "de"), 99: (prose(rng, "en", 20_000), "en"),
+    }
+    df = spark.createDataFrame([(k, t, x, "s", 0) for k, (t, x) in rows.items()], DOCS)
+    clash = df.withColumns({c: F.lit("x") for c in ("_text", "_lang", "_body", "_words", "_chars", "_common", "_list", "common", "n_words", "kept")})
+    want = brute_verdicts(rows)
+    for out in (quality.quality_rules(df, min_reference_docs=5), quality.quality_rules(clash.repartition(7), min_reference_docs=5)):
+        got = {r.doc_id: r for r in out.collect()}
+        assert got.keys() == want.keys()
+        for k, (chars, words, kept) in want.items():
+            assert got[k].kept == kept and (got[k].char_distance is None) == (chars is None) and (got[k].word_distance is None) == (words is None), k
+            assert chars is None or abs(got[k].char_distance - chars) < 1e-9
+            assert words is None or abs(got[k].word_distance - words) < 1e-9
+    assert not want[93][2] and want[94][2] and not want[95][2] and want[97][2] and sum(v[2] for v in want.values()) > 40
+    with pytest.raises(ValueError):
+        quality.quality_rules(df, words=61)
+
+
+def test_quality_deals_no_document_by_language(spark, docs):
+    plan = quality.quality_rules(docs, min_reference_docs=5)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
 
 
 def brute_fill(children, budget):
