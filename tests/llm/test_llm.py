@@ -335,13 +335,31 @@ def test_containment_equals_brute_force(spark, docs, empty):
             if own and 100 * len(own & grams(r.text, k)) >= 80 * len(own):
                 want.add((r.doc_id, i, len(own)))
     for at_a_time in (5000, 10):
-        found = decontamination.find_items(rows, table, items_a_pass=at_a_time)
+        found = decontamination.find_items(rows, table, items_a_part=at_a_time)
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
         got = {(r.doc_id, h.item_id, h.n_item) for r in found.collect() for h in r.contained}
         assert got == want and found.count() == rows.count()
     assert len(want) > 30 and decontamination.find_items(empty, table).count() == 0
     assert decontamination.find_items(rows, table.limit(0)).where(F.size("contained") > 0).count() == 0
 
 
+@pytest.mark.parametrize("stretch", [64, 256])
+def test_long_documents_are_searched_in_stretches(monkeypatch, stretch):
+    monkeypatch.setattr(decontamination, "STRETCH", stretch)
+    rng = np.random.default_rng(6)
+    items = [(i, " ".join(f"{i}v{j}" for j in range(n))) for i, n in enumerate((4, 5, 6, 7, 8, 9, 12, 20, 40, 90, 150))]
+    whole = decontamination.ItemIndex(items)
+    halves = [decontamination.ItemIndex(items[:5]), decontamination.ItemIndex(items[5:])]
+    sizes = sorted({s for x in halves for s in x.built()["classes"]})
+    texts, want = [], []
+    for k in range(60):
+        own = sorted(rng.choice(len(items), 3, replace=False).tolist())
+        texts.append("  ".join(x for i in own for x in (prose(rng, "de", int(rng.integers(0, 300))), items[i][1])).encode())
+        want.append(own)
+    assert [sorted(i for i, _, _ in whole.search(t)) for t in texts] == want
+    assert [[i for i, _, _ in e] for e in decontamination.search_all(texts, [lambda x=x: x for x in halves], sizes, 5)] == want
+
+
 def test_items_in_capitals_are_found():
     item = prose(np.random.default_rng(3), "fr", 30)
     index = decontamination.ItemIndex([(1, item.capitalize()), (2, "Élan Ñandú")])
