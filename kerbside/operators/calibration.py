@@ -8,12 +8,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kerbside.config import Camera
+from kerbside.config import Camera, Pose, resized
 
 #: Minimum box height and the fraction of the image below which the base has to be.
 SENSITIVITY = ((0, 0.0), (40, 0.0), (60, 0.62), (80, 0.76), (120, 0.83), (160, 0.86))
@@ -38,10 +38,10 @@ def modal_size(df: DataFrame, width: str, height: str, order: str) -> DataFrame:
 
 def height_sensitivity(samples: DataFrame, cam: Camera, thresholds: Sequence[tuple[float, float]] = SENSITIVITY, least: int = 25) -> DataFrame:
     """Quartiles of the implied camera height under each pair of thresholds with ``least`` samples; one pass."""
-    implied = F.col("height_m") * (F.col("v_bottom") - cam.cy) / F.col("h_px")
+    implied = F.col("height_m") * (F.col("v_bottom") - cam.centre[1]) / F.col("h_px")
     rungs = F.array(*[F.struct(F.lit(i).alias("step"), F.lit(float(h)).alias("min_box_px"), F.lit(float(b)).alias("min_base_frac")) for i, (h, b) in enumerate(thresholds)])
     rows = samples.select("h_px", "v_bottom", implied.alias("_m"), F.explode(rungs).alias("_t")).select("*", "_t.*")
-    rows = rows.where((F.col("h_px") >= F.col("min_box_px")) & (F.col("v_bottom") >= F.col("min_base_frac") * cam.height))
+    rows = rows.where((F.col("h_px") >= F.col("min_box_px")) & (F.col("v_bottom") >= F.col("min_base_frac") * cam.size[1]))
     q = F.percentile("_m", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     made = rows.groupBy("step", "min_box_px", "min_base_frac").agg(F.count("*").alias("n"), q.alias("_q")).where(F.col("n") >= least)
     return made.select("step", "min_box_px", "min_base_frac", "n", *[F.get("_q", F.lit(i)).alias(x) for i, x in enumerate(("q25", "median", "q75"))])
@@ -57,10 +57,10 @@ def log_ratio(cam: Camera, height: Column | float, pitch_deg: Column | float) ->
     as_col = lambda x: x if isinstance(x, Column) else F.lit(float(x))
     h, t = as_col(height), F.radians(as_col(pitch_deg))
     c, s = F.cos(t), F.sin(t)
-    vn = (F.col("v_bottom") - cam.cy) / cam.fy
+    vn = (F.col("v_bottom") - cam.centre[1]) / cam.focal[1]
     den = vn * c + s
     plane = h * s + F.when(den != 0, h * (c - vn * s) / den) * c
-    return F.ln(cam.fy * F.col("height_m") / F.col("h_px")) - F.when(plane > 1e-6, F.ln(plane))
+    return F.ln(cam.focal[1] * F.col("height_m") / F.col("h_px")) - F.when(plane > 1e-6, F.ln(plane))
 
 
 def huber(r: Column, delta: float = 0.25) -> Column:
@@ -79,13 +79,13 @@ def losses(samples: DataFrame, cam: Camera, grid: Sequence[tuple[float, float]],
 
 def seed_height(samples: DataFrame, cam: Camera, bounds: tuple[float, float] = (0.4, 3.0)) -> DataFrame:
     """Median of the height that pitch 0 implies, within the bounds."""
-    middle = F.median(F.when(F.col("h_px") != 0, F.col("height_m") * (F.col("v_bottom") - cam.cy) / F.col("h_px")))
+    middle = F.median(F.when(F.col("h_px") != 0, F.col("height_m") * (F.col("v_bottom") - cam.centre[1]) / F.col("h_px")))
     return samples.agg(F.when(middle.isNotNull(), F.least(F.greatest(middle, F.lit(bounds[0])), F.lit(bounds[1]))).alias("height_m"))
 
 
 def agreement(samples: DataFrame, cam: Camera, height: float | None = None, pitch_deg: float | None = None) -> DataFrame:
     """One row: n, median_ratio, median_abs_log_ratio, p90_abs_log_ratio over samples with both cues."""
-    r = log_ratio(cam, cam.height_m if height is None else height, cam.pitch_deg if pitch_deg is None else pitch_deg)
+    r = log_ratio(cam, cam.pose.height_m if height is None else height, cam.pose.pitch_deg if pitch_deg is None else pitch_deg)
     rows = samples.select(r.alias("_r"))
     return rows.agg(
         F.count("_r").alias("n"), F.exp(F.median("_r")).alias("median_ratio"),
@@ -94,9 +94,8 @@ def agreement(samples: DataFrame, cam: Camera, height: float | None = None, pitc
 
 
 @dataclass(frozen=True)
-class Pose:
-    height_m: float
-    pitch_deg: float
+class Fit:
+    pose: Pose
     loss: float
 
 
@@ -109,7 +108,7 @@ def fit_pose(
     rounds: int = 6,
     side: int = 9,
     least: int = 50,
-) -> Pose:
+) -> Fit:
     """Pose with the least loss, by a grid that closes in around the best point.
 
     Each round is one job that sends ``side`` (squared, if the height is free)
@@ -120,17 +119,46 @@ def fit_pose(
     (h0, h1), (p0, p1) = height_bounds, pitch_bounds
     kept = samples.persist()
     try:
-        best = Pose(math.nan, math.nan, math.inf)
+        best = Fit(Pose(math.nan, math.nan), math.inf)
         for _ in range(rounds):
             step = lambda lo, hi: [lo + (hi - lo) * i / (side - 1) for i in range(side)]
             heights = [fixed_height] if fixed_height else step(h0, h1)
             found = losses(kept, cam, [(h, p) for h in heights for p in step(p0, p1)]).agg(F.min(F.struct("loss", "height", "pitch_deg")).alias("m")).first()["m"]
             if found["loss"] < best.loss:
-                best = Pose(found["height"], found["pitch_deg"], found["loss"])
+                best = Fit(Pose(found["height"], found["pitch_deg"]), found["loss"])
             # two cells on either side, within the bounds
             dh, dp = 2 * (h1 - h0) / (side - 1), 2 * (p1 - p0) / (side - 1)
-            h0, h1 = max(height_bounds[0], best.height_m - dh), min(height_bounds[1], best.height_m + dh)
-            p0, p1 = max(pitch_bounds[0], best.pitch_deg - dp), min(pitch_bounds[1], best.pitch_deg + dp)
+            h0, h1 = max(height_bounds[0], best.pose.height_m - dh), min(height_bounds[1], best.pose.height_m + dh)
+            p0, p1 = max(pitch_bounds[0], best.pose.pitch_deg - dp), min(pitch_bounds[1], best.pose.pitch_deg + dp)
         return best
     finally:
         kept.unpersist()
+
+
+@dataclass(frozen=True)
+class Calibration:
+    """The camera with its new pose, quartiles of the implied height, and how far the two cues agree before and after, on rows not fitted."""
+
+    camera: Camera
+    sensitivity: DataFrame
+    before: DataFrame
+    after: DataFrame
+    loss: float
+
+
+def calibrate(samples: DataFrame, cam: Camera, image_size: tuple[int, int] | None = None, held_out: Column | None = None, fix_height: bool = True) -> Calibration:
+    """Fit a camera's pose to samples (v_bottom, h_px, height_m) and check it on the ``held_out`` ones.
+
+    ``image_size`` is that of the samples, if it is not the camera's.  With
+    ``fix_height`` the height is that of the strictest thresholds with enough
+    samples, where there is one, and only the pitch is fitted.  The camera comes
+    back at its own size, and keeps its sigmas.
+    """
+    view = resized(cam, image_size) if image_size else cam
+    apart = held_out if held_out is not None else F.lit(False)
+    used, check = samples.where(~apart), samples.where(apart) if held_out is not None else samples
+    rungs = height_sensitivity(used, view)
+    height = last_usable(rungs).first()["height_m"] if fix_height else None
+    fit = fit_pose(used, view, fixed_height=height)
+    made = replace(cam, pose=fit.pose, source="auto_calibrated")
+    return Calibration(made, rungs, agreement(check, view), agreement(check, replace(view, pose=fit.pose)), fit.loss)

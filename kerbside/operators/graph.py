@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,23 +17,24 @@ def exact_groups(df: DataFrame, key: str, content: Column) -> DataFrame:
     return df.groupBy(F.md5(content).alias("digest")).agg(F.min(key).alias("first_key"), F.count("*").alias("n")).where("n > 1")
 
 
-def band_pairs(df: DataFrame, key: str, code: str, bits: int = 64, bands: int = 4, within: int = 3, max_bucket: int | None = None) -> DataFrame:
+def band_pairs(df: DataFrame, key: str, code: str, bits: int = 64, blocks: int | None = None, within: int = 3) -> DataFrame:
     """Pairs (a, b) with a < b whose codes differ in at most ``within`` bits, with their ``distance``.
 
-    Codes are cut into bands; fewer differing bits than bands leave one band
-    equal, so nothing is lost.  ``max_bucket`` leaves out larger buckets and with
-    them some pairs; the default keeps all.  Rows with equal codes are paired
-    with the smallest of them alone, and codes are compared once each.
+    A code is cut into ``blocks`` (twice ``within``, where none is given).  As many
+    differing bits leave all but ``within`` blocks equal, so pairs meet under
+    every choice of that many blocks, and nothing is lost.  The keys are half a
+    code long, so buckets stay small as the table grows.  Rows with equal codes
+    are paired with the smallest of them alone, and codes are compared once each.
     """
-    if within >= bands:
-        raise ValueError("more differing bits than bands allow")
-    width = bits // bands
+    blocks = 2 * within if blocks is None else blocks
+    if not within < blocks <= bits:
+        raise ValueError("there must be more blocks than differing bits, and no more than bits")
+    edges = [bits * i // blocks for i in range(blocks + 1)]
+    part = [F.shiftrightunsigned("_h", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)) for lo, hi in zip(edges, edges[1:], strict=False)]
     codes = df.where(F.col(code).isNotNull()).groupBy(F.col(code).alias("_h")).agg(F.min(key).alias("_k"))
-    parts = F.array(*[F.struct(F.lit(i).alias("i"), F.shiftrightunsigned("_h", i * width).bitwiseAND(F.lit((1 << width) - 1)).alias("v")) for i in range(bands)])
-    placed = codes.withColumn("_p", F.explode(parts)).select("_k", "_h", "_p.i", "_p.v")
-    if max_bucket is not None:
-        small = placed.groupBy("i", "v").agg(F.count("*").alias("_n")).where(F.col("_n").between(2, max_bucket))
-        placed = placed.join(small.drop("_n"), ["i", "v"])
+    chosen = list(combinations(range(blocks), blocks - within))
+    keys = F.array(*[F.struct(F.lit(i).alias("i"), F.xxhash64(*[part[j] for j in some]).alias("v")) for i, some in enumerate(chosen)])
+    placed = codes.withColumn("_p", F.explode(keys)).select("_k", "_h", "_p.i", "_p.v")
     other = placed.select("i", "v", F.col("_k").alias("b"), F.col("_h").alias("_g"))
     near = (
         placed.join(other, ["i", "v"])
@@ -44,20 +46,34 @@ def band_pairs(df: DataFrame, key: str, code: str, bits: int = 64, bands: int =
     return near.unionByName(same.select(F.col("_k").alias("a"), "b", F.lit(0).alias("distance")))
 
 
-def nearest_codes(queries: DataFrame, corpus: DataFrame, key: str, code: str, within: int | None = None) -> DataFrame:
-    """Per query the corpus row with the fewest differing bits, the smallest key of equals.
+def compared(queries: DataFrame, corpus: DataFrame, key: str, code: str, best: int = 1, block: int = 100_000) -> DataFrame:
+    """Per query the ``best`` corpus rows with the fewest differing bits, smaller keys first: query, place, match, distance.
 
-    A stated query set against all rows: the queries are the small side and are
-    broadcast after a check of their number; the corpus streams past them and a
-    partial aggregate keeps one best row per query.
+    A stated query set against all rows.  The queries go in blocks of about
+    ``block``, each small enough to be broadcast, so any number of them works;
+    the corpus streams past a block, and a partial aggregate keeps the best rows
+    per query.
     """
-    if queries.count() > 100_000:
-        raise ValueError("take the queries in blocks of 100000 at most")
     q = queries.where(F.col(code).isNotNull()).select(F.col(key).alias("query"), F.col(code).alias("_q"))
     c = corpus.where(F.col(code).isNotNull()).select(F.col(key).alias("_k"), F.col(code).alias("_c"))
-    pairs = c.join(F.broadcast(q), F.col("_k") != F.col("query"))
-    best = pairs.groupBy("query").agg(F.min(F.struct(hamming(F.col("_q"), F.col("_c")).alias("distance"), F.col("_k").alias("match"))).alias("_b"))
-    out = best.select("query", "_b.match", "_b.distance")
+    count, out = max(1, -(-q.count() // block)), None
+    for n in range(count):
+        some = q if count == 1 else q.where(F.pmod(F.xxhash64("query"), F.lit(count)) == n)
+        pairs = c.join(F.broadcast(some), F.col("_k") != F.col("query"))
+        found = F.struct(hamming(F.col("_q"), F.col("_c")).alias("distance"), F.col("_k").alias("match"))
+        if best == 1:
+            top = pairs.groupBy("query").agg(F.array(F.min(found)).alias("_b"))
+        else:
+            place = F.row_number().over(Window.partitionBy("query").orderBy("_f"))
+            top = pairs.select("query", found.alias("_f")).withColumn("_n", place).where(F.col("_n") <= best).groupBy("query").agg(F.sort_array(F.collect_list("_f")).alias("_b"))
+        made = top.select("query", F.posexplode("_b").alias("place", "_f")).select("query", "place", "_f.match", "_f.distance")
+        out = made if out is None else out.unionByName(made)
+    return out
+
+
+def nearest_codes(queries: DataFrame, corpus: DataFrame, key: str, code: str, within: int | None = None, block: int = 100_000) -> DataFrame:
+    """Per query the corpus row with the fewest differing bits, the smallest key of equals."""
+    out = compared(queries, corpus, key, code, 1, block).drop("place")
     return out if within is None else out.where(F.col("distance") <= within)
 
 
@@ -81,8 +97,55 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def merge_groups(members: DataFrame, labels: DataFrame, key: str, group: Sequence[str]) -> DataFrame:
-    """Replace the group of each member by the smallest group of its component."""
-    joined = members.join(labels.withColumnRenamed("node", key), key, "left").withColumn("_g", F.struct(*group))
-    least = F.min("_g").over(Window.partitionBy("component"))
-    merged = joined.withColumn("_g", F.when(F.col("component").isNull(), F.col("_g")).otherwise(least))
+    """Replace the group of each member by the smallest group of its component; members without one keep theirs.
+
+    The smallest group of a component is an aggregate over the labelled members
+    and goes back to their keys, so members without a component, most of them, are never dealt by it.
+    """
+    placed = members.select(F.col(key), F.struct(*group).alias("_g")).join(labels.withColumnRenamed("node", key), key)
+    least = placed.groupBy("component").agg(F.min("_g").alias("_least"))
+    named = labels.withColumnRenamed("node", key).join(least, "component").select(key, "_least")
+    merged = members.join(named, key, "left").withColumn("_g", F.coalesce("_least", F.struct(*group)))
     return merged.select(*[c for c in members.columns if c not in group], *[F.col(f"_g.{g}").alias(g) for g in group])
+
+
+def holding(docs: DataFrame, items: DataFrame, key: str, text: str, item: str, run: int = 5, small: int = 10_000) -> DataFrame:
+    """Keys of the documents that contain the text of an item, each once.
+
+    An item's inner words stand whole in a document that contains it, so a run
+    of up to ``run`` of them (its anchor) is sought among the document's runs by
+    hash, and what is found is compared with ``contains``.  Items without an
+    inner word have no anchor; up to ``small`` of them are broadcast and compared with each document.
+    """
+    known = items.where(F.col(item).isNotNull()).select(F.col(item).alias("_item")).distinct()
+    known = cut(known.select("_item", *[c.alias(n) for c, n in ((F.size(inner_of("_item", run)), "_m"), (F.xxhash64(inner_of("_item", run)), "_h"))]))
+    sizes = sorted(r["_m"] for r in known.where("_m > 0").select("_m").distinct().collect())
+    own = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+    listed = own.withColumn("_w", F.filter(F.split("_text", r"\s+"), lambda w: w != ""))
+
+    def runs_of(m: int) -> Column:
+        at = F.sequence(F.lit(1), F.size("_w") - (m - 1))
+        made = F.transform(at, lambda i: F.struct(F.lit(m).alias("_m"), F.xxhash64(F.slice("_w", i, m)).alias("_h")))
+        return F.when(F.size("_w") >= m, made).otherwise(F.array().cast("array<struct<_m:int,_h:bigint>>"))
+
+    runs = [runs_of(m) for m in sizes]
+    found = docs.select(F.col(key)).limit(0)
+    if runs:
+        places = listed.select("_key", F.explode(F.array_distinct(F.flatten(F.array(*runs)))).alias("_r")).select("_key", "_r.*")
+        anchors = known.where("_m > 0").select("_m", "_h")
+        few = anchors.limit(small + 1).count() <= small
+        likely = places.join(F.broadcast(anchors.distinct()) if few else anchors.distinct(), ["_m", "_h"]).distinct()
+        pairs = likely.join(known, ["_m", "_h"]).join(own, "_key")
+        found = found.union(pairs.where(F.col("_text").contains(F.col("_item"))).select("_key"))
+    bare = known.where("_m = 0").select("_item")
+    if (number := bare.limit(small + 1).count()) > small:
+        raise ValueError(f"more than {small} items have no inner word")
+    if number:
+        found = found.union(own.join(F.broadcast(bare), F.col("_text").contains(F.col("_item")), "left_semi").select("_key"))
+    return found.distinct()
+
+
+def inner_of(item: str, run: int) -> Column:
+    """The first ``run`` words of a text but its first and last, which may be parts of words."""
+    words = F.filter(F.split(F.col(item), r"\s+"), lambda w: w != "")
+    return F.slice(words, F.lit(2), F.least(F.lit(run), F.greatest(F.size(words) - 2, F.lit(0))))

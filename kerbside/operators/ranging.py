@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kerbside.config import Camera, Prior, RangingConfig, RangingSetup
+from kerbside.config import Camera, Prior, RangingConfig, RangingSetup, resized
 from kerbside.functions import geometry as geo
 
 PRIOR_SCHEMA = (
@@ -30,7 +30,7 @@ def _size_gate(cam: Camera, cfg: RangingConfig) -> Column:
     return (
         F.when(F.coalesce(F.col("height_m"), F.lit(0.0)) <= 0, "size:no_prior")
         .when(F.col("_h") < cfg.min_box_height_px, "size:box_too_small")
-        .when((F.col("y1") <= margin) | (F.col("y2") >= F.lit(cam.height - margin)), "size:truncated")
+        .when((F.col("y1") <= margin) | (F.col("y2") >= F.lit(cam.size[1] - margin)), "size:truncated")
     )
 
 
@@ -38,7 +38,7 @@ def _size_cue(cam: Camera, cfg: RangingConfig) -> tuple[Column, Column]:
     """Depth and inverse squared relative sigma, null where a gate holds."""
     by_edge, by_height = F.lit(math.sqrt(2) * cfg.edge_sigma_px) / F.col("_h"), F.col("height_sigma_m") / F.col("height_m")
     free = F.col("_fs").isNull()
-    return F.when(free, cam.fy * F.col("height_m") / F.col("_h")), F.when(free, F.try_divide(F.lit(1.0), by_edge * by_edge + by_height * by_height))
+    return F.when(free, cam.focal[1] * F.col("height_m") / F.col("_h")), F.when(free, F.try_divide(F.lit(1.0), by_edge * by_edge + by_height * by_height))
 
 
 def _plane_gate(cam: Camera, cfg: RangingConfig) -> Column:
@@ -47,7 +47,7 @@ def _plane_gate(cam: Camera, cfg: RangingConfig) -> Column:
     meets = (F.abs(d) >= 1e-9) & (plane * n * d > 0)
     return (
         F.when(~F.col("ground_contact") & (F.col("mount_height_m") <= 0), "plane:not_applicable")
-        .when(F.col("y2") >= F.lit(cam.height - cfg.truncation_margin_px), "plane:base_cut_off")
+        .when(F.col("y2") >= F.lit(cam.size[1] - cfg.truncation_margin_px), "plane:base_cut_off")
         .when(F.abs(plane) < 0.05, "plane:degenerate_height")
         .when(~F.coalesce(meets, F.lit(False)), "plane:above_horizon")
         .when(F.abs(n) < 1e-9, "plane:degenerate")
@@ -64,9 +64,9 @@ def _plane_cue(cam: Camera, cfg: RangingConfig) -> tuple[Column, Column]:
     of pitch, where n belongs to the horizontal range that the pitch error turns.
     """
     plane, n, d = (F.col(c) for c in ("_plane", "_n", "_d"))
-    by_row = F.lit(cfg.edge_sigma_px / cam.fy) / (n * d)
-    by_height = F.hypot(F.lit(cam.height_sigma_m), F.col("mount_height_sigma_m")) / plane
-    by_pitch = (d / n + n / d) * math.radians(cam.pitch_sigma_deg)
+    by_row = F.lit(cfg.edge_sigma_px / cam.focal[1]) / (n * d)
+    by_height = F.hypot(F.lit(cam.sigma.height_m), F.col("mount_height_sigma_m")) / plane
+    by_pitch = (d / n + n / d) * math.radians(cam.sigma.pitch_deg)
     free = F.col("_fp").isNull()
     return F.when(free, plane / d), F.when(free, F.try_divide(F.lit(1.0), by_row * by_row + by_height * by_height + by_pitch * by_pitch))
 
@@ -83,14 +83,14 @@ def estimate_ranges(df: DataFrame, setup: RangingSetup | None = None, image_size
     """
     setup = setup or RangingSetup()
     cfg = setup.config
-    cam = setup.camera.rescaled(*image_size) if image_size else setup.camera
+    cam = resized(setup.camera, image_size) if image_size else setup.camera
     own = df.columns
     rows = df.join(F.broadcast(prior_table(df, setup.priors)), F.col("class_name") == F.col("prior_name"), "left")
     known = F.col("prior_name").isNotNull()
     # What is used more than once is a column of its own: Catalyst keeps such
     # projections apart, and the generated code stays small.
-    c, s, v = math.cos(cam.pitch), math.sin(cam.pitch), geo.normalised_row(F.col("y2"), cam)
-    rows = rows.withColumns({"_h": F.col("y2") - F.col("y1"), "_plane": F.lit(cam.height_m) - F.col("mount_height_m"), "_n": c - v * s, "_d": v * c + s})
+    c, s, v = math.cos(cam.pose.pitch), math.sin(cam.pose.pitch), geo.normalised_row(F.col("y2"), cam)
+    rows = rows.withColumns({"_h": F.col("y2") - F.col("y1"), "_plane": F.lit(cam.pose.height_m) - F.col("mount_height_m"), "_n": c - v * s, "_d": v * c + s})
     # an unknown class fails the first gate of the size and, without a plane, one of the plane's
     rows = rows.withColumns({"_fs": _size_gate(cam, cfg), "_fp": _plane_gate(cam, cfg)})
     cues = dict(zip(("_zs", "_ws"), _size_cue(cam, cfg), strict=True)) | dict(zip(("_zp", "_wp"), _plane_cue(cam, cfg), strict=True))
@@ -101,7 +101,7 @@ def estimate_ranges(df: DataFrame, setup: RangingSetup | None = None, image_size
     zs, ws, zp, wp = (F.col(c) for c in ("_zs", "_ws", "_zp", "_wp"))
     zero = F.lit(0.0)
     weight = F.coalesce(ws, zero) + F.coalesce(wp, zero)
-    u, v = (F.col("x1") + F.col("x2")) * 0.5, F.least(F.col("y2"), F.lit(float(cam.height - 1)))
+    u, v = (F.col("x1") + F.col("x2")) * 0.5, F.least(F.col("y2"), F.lit(float(cam.size[1] - 1)))
     per_depth = geo.distance_of(u, v, F.lit(1.0), cam)
     rows = rows.withColumns(
         {

@@ -22,37 +22,37 @@ def map_runs(df: DataFrame, keys: Sequence[str], order: Sequence, fn: Callable[[
         import numpy as np
         import pandas as pd
 
-        held = None
+        pieces: list = []  # of the run that is still open
+        last = None
 
-        def work(pdf, whole: bool):
-            """Results of the complete runs, and the rows of the last one unless all are complete."""
-            change = np.zeros(len(pdf), bool)
-            for k in keys:
-                # a key compares as text, so that nulls equal each other
-                v = pdf[k].astype("string").fillna("\0").to_numpy()
-                change[1:] |= v[1:] != v[:-1]
-            cuts = [0, *np.flatnonzero(change), len(pdf)]
-            if not whole:
-                cuts = cuts[:-1]
-            columns = {c: pdf[c].to_numpy() for c in pdf.columns}
-            made: dict[str, list] = {}
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                out = fn({c: v[a:b] for c, v in columns.items()})
-                for c, v in (out or {}).items():
-                    made.setdefault(c, []).append(v)
-            joined = {c: np.concatenate([np.asarray(v) for v in parts]) for c, parts in made.items()}
-            return joined, None if whole else pdf.iloc[cuts[-1] :]
+        def result(parts: list) -> dict:
+            whole = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
+            return fn({c: whole[c].to_numpy() for c in whole.columns}) or {}
+
+        def frame(made: list):
+            names = {c for m in made for c in m}
+            return pd.DataFrame({c: np.concatenate([np.asarray(m[c]) for m in made if c in m]) for c in names}) if names else None
 
         for pdf in batches:
             if not len(pdf):
                 continue
-            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
-            made, held = work(pdf, False)
-            if made:
-                yield pd.DataFrame(made)
-        if held is not None and len(held):
-            made, _ = work(held, True)
-            if made:
-                yield pd.DataFrame(made)
+            # a key compares as text, so that nulls equal each other
+            text = [pdf[k].astype("string").fillna("\0").to_numpy() for k in keys]
+            change = np.zeros(len(pdf), bool)
+            for v in text:
+                change[1:] |= v[1:] != v[:-1]
+            change[0] = bool(pieces) and last != [v[0] for v in text]
+            last = [v[-1] for v in text]
+            made, begin = [], 0
+            for cut in np.flatnonzero(change):
+                if cut > begin:
+                    pieces.append(pdf.iloc[begin:cut])
+                made.append(result(pieces))
+                pieces, begin = [], cut
+            pieces.append(pdf.iloc[begin:])
+            if (out := frame(made)) is not None:
+                yield out
+        if pieces and (out := frame([result(pieces)])) is not None:
+            yield out
 
     return dealt.mapInPandas(run, schema)

@@ -53,3 +53,8 @@ def embargo(df: DataFrame, segment: Sequence[str], idx: str, ties: Sequence[str]
     back = Window.partitionBy(*segment).orderBy(F.col(idx).desc(), *[F.col(t).desc() for t in ties])
     size = F.count("*").over(Window.partitionBy(*segment))
     return df.withColumn("dropped", (size > longer_than) & (F.row_number().over(back) <= tail))
+
+
+def longest_first(made: DataFrame) -> DataFrame:
+    """Clips with the most frames first, equals by key."""
+    return made.orderBy(F.col("length").desc(), "clip_key")

@@ -63,3 +63,21 @@ def without_smallest(df: DataFrame, value: str, amount: float, ties: Sequence[st
     cut_at = round(amount * known.count())
     ranked = numbered_globally(known, "_nth", ["_size", *ties])
     return ranked.withColumn(value, F.when(F.col("_nth") > cut_at, F.col(value)).otherwise(F.lit(0.0))).drop("_size", "_nth")
+
+
+def parameter_counts(df: DataFrame, layer: str, value: str) -> DataFrame:
+    """Per layer, and over all (a null layer), how many weights there are and how many are trained away to 0."""
+    made = df.rollup(layer).agg(F.count(value).alias("parameters"), F.count_if(F.col(value) == 0).alias("zeros"))
+    return made.withColumn("nonzero", F.col("parameters") - F.col("zeros"))
+
+
+def headline(metrics: DataFrame, name: str, value: str, wanted: Sequence[str]) -> DataFrame:
+    """One row with the wanted metrics as columns, of a table of names and values; null where one is missing or not finite."""
+    at = lambda m: F.max(F.when(F.col(name) == m, F.col(value)))
+    fine = lambda c: F.when(~F.isnan(c) & (F.abs(c) < float("inf")), c)
+    return metrics.agg(*[fine(at(m)).alias(m) for m in wanted])
+
+
+def tail(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
+    """The last ``n`` rows in ``order``."""
+    return df.orderBy(*[F.col(c).desc() for c in order]).limit(n)

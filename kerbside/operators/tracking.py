@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,85 +45,115 @@ def endpoints(df: DataFrame, track: str, time: str, distance: str, ties: Sequenc
     return rows.groupBy(track, "hits").agg(F.max_by(distance, known).alias("first_distance"), F.min_by(distance, known).alias("last_distance"))
 
 
-def overlap(a: Sequence[float], b: Sequence[float]) -> float:
-    wide, high = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
-    both = max(wide, 0.0) * max(high, 0.0)
-    union = (a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - both
-    return both / union if union > 0 else 0.0
-
-
-@dataclass
-class Track:
-    track_id: int
-    class_name: str
-    box: tuple[float, float, float, float]
-    age: int = 0
-    hits: int = 1
-    misses: int = 0
-    evicted: bool = False
-    seen: list[tuple[float, float | None]] = field(default_factory=list)
-
-    def see(self, time: float, distance: float | None) -> None:
-        self.seen = [*self.seen, (time, distance)][-BUFFER:]
-
-    def rate(self) -> float | None:
-        known = [(t, z) for t, z in self.seen if z is not None]
-        if len(known) < 4:
-            return None
-        mt, mz = (sum(x) / len(known) for x in zip(*known, strict=True))
-        spread = sum((t - mt) ** 2 for t, _ in known)
-        if max(t for t, _ in known) - min(t for t, _ in known) < 1e-6:
-            return None
-        return sum((t - mt) * (z - mz) for t, z in known) / spread
-
-    def last(self) -> float | None:
-        return next((z for _, z in reversed(self.seen) if z is not None), None)
-
-    def row(self) -> tuple:
-        rate, z = self.rate(), self.last()
-        ttc = z / -rate if rate is not None and rate < -1e-3 and z is not None else None
-        return (self.track_id, self.class_name, *map(float, self.box), self.age, self.hits, self.misses, self.evicted, rate, z, ttc)
-
-
-@dataclass
-class Tracker:
-    """Greedy one-to-one association by overlap, in the order in which tracks were made.
-
-    ``flow`` of an update gives the shift of a track's centre by image motion,
-    where it is known; such kernels stay outside.
+class Tracks:
+    """All tracks of a clip as arrays, a line each in the order in which they were made.
+
+    A frame moves all lines at once: what the boxes and tracks share is one
+    matrix, from which the lines take their best free box of their class one
+    after the other.  ``evicted`` lines stay until ``drop_evicted``.
     """
 
-    min_overlap: float = 0.2
-    max_misses: int = 8
-    tracks: list[Track] = field(default_factory=list)
-    gone: list[Track] = field(default_factory=list)
-    next_id: int = 1
-
-    def update(self, boxes: Sequence[tuple[str, Sequence[float], float | None]], time: float, flow=None) -> None:
-        free = list(range(len(boxes)))
-        for track in self.tracks:
-            if flow is not None and (shift := flow(track)) is not None:
-                dx, dy = shift
-                track.box = (track.box[0] + dx, track.box[1] + dy, track.box[2] + dx, track.box[3] + dy)
-            track.age += 1
-            ranked = [(overlap(track.box, boxes[i][1]), -i) for i in free if boxes[i][0] == track.class_name]
-            best = max(ranked, default=(0.0, 0))
-            if best[0] <= self.min_overlap:
-                track.misses += 1
-                continue
-            i = -best[1]
-            free.remove(i)
-            track.box, track.hits, track.misses = tuple(boxes[i][1]), track.hits + 1, 0
-            track.see(time, boxes[i][2])
-        for i in free:
-            made = Track(self.next_id, boxes[i][0], tuple(boxes[i][1]))
-            made.see(time, boxes[i][2])
-            self.tracks.append(made)
-            self.next_id += 1
-        for track in [t for t in self.tracks if t.misses > self.max_misses]:
-            track.evicted = True
-            self.gone.append(track)
-        self.tracks = [t for t in self.tracks if not t.evicted]
+    NUMBERS = ("track_id", "age", "hits", "misses")
+
+    def __init__(self, min_overlap: float = 0.2, max_misses: int = 8) -> None:
+        import numpy as np
+
+        self.min_overlap, self.max_misses, self.next_id = min_overlap, max_misses, 1
+        self.box, self.class_name, self.evicted = np.zeros((0, 4)), np.zeros(0, object), np.zeros(0, bool)
+        self.counts = {k: np.zeros(0, np.int64) for k in self.NUMBERS}
+        # the last BUFFER sightings, the newest last; places not yet used and unknown distances are NaN
+        self.times, self.distances = np.full((0, BUFFER), np.nan), np.full((0, BUFFER), np.nan)
+
+    def advance(self, class_name, box, distance, time: float, shift=None) -> None:
+        """One frame of boxes (n x 4), their classes and distances (NaN where unknown).
+
+        ``shift`` (one line of dx, dy per live track) moves the tracks first, where
+        image motion is known; such kernels stay outside.
+        """
+        import numpy as np
+
+        live = np.flatnonzero(~self.evicted)
+        if shift is not None:
+            self.box[live] += np.tile(shift, 2)
+        self.counts["age"][live] += 1
+        shared = _shared(self.box[live], box)
+        shared[self.class_name[live][:, None] != class_name[None, :]] = 0
+        took = np.full(len(live), -1)
+        for line in range(len(live) if len(box) else 0):
+            best = int(shared[line].argmax())  # the first of equals
+            if shared[line, best] > self.min_overlap:
+                took[line] = best
+                shared[:, best] = 0
+        seen, found = live[took >= 0], took[took >= 0]
+        self.box[seen] = box[found]
+        self.counts["hits"][seen] += 1
+        self.counts["misses"][live] = np.where(took >= 0, 0, self.counts["misses"][live] + 1)
+        self._remember(seen, distance[found], time)
+        self.evicted |= self.counts["misses"] > self.max_misses
+        self._add(np.setdiff1d(np.arange(len(box)), found), class_name, box, distance, time)
+
+    def _remember(self, lines, distance, time: float) -> None:
+        for kept, new in ((self.times, time), (self.distances, distance)):
+            kept[lines, :-1] = kept[lines, 1:]
+            kept[lines, -1] = new
+
+    def _add(self, which, class_name, box, distance, time: float) -> None:
+        import numpy as np
+
+        n, start = len(which), len(self.box)
+        self.box = np.vstack([self.box, box[which]])
+        self.class_name, self.evicted = np.append(self.class_name, class_name[which]), np.append(self.evicted, np.zeros(n, bool))
+        for name, first in (("track_id", self.next_id + np.arange(n)), ("age", 0), ("hits", 1), ("misses", 0)):
+            self.counts[name] = np.append(self.counts[name], np.broadcast_to(first, n))
+        self.times, self.distances = (np.vstack([x, np.full((n, BUFFER), np.nan)]) for x in (self.times, self.distances))
+        self._remember(start + np.arange(n), distance[which], time)
+        self.next_id += n
+
+    def drop_evicted(self) -> None:
+        keep = ~self.evicted
+        for name in ("box", "class_name", "times", "distances", "evicted"):
+            setattr(self, name, getattr(self, name)[keep])
+        self.counts = {k: v[keep] for k, v in self.counts.items()}
+
+    def columns(self) -> dict:
+        """Columns of TRACKS; the rate is the least-squares slope of four known distances or more over some time."""
+        import numpy as np
+
+        known = ~np.isnan(self.distances)
+        n = known.sum(1)
+        mean = lambda x: np.where(known, x, 0).sum(1) / np.maximum(n, 1)
+        t, z = (np.where(known, x - mean(x)[:, None], 0) for x in (self.times, self.distances))
+        with np.errstate(invalid="ignore", divide="ignore"):
+            rate = np.where((n >= 4) & (t.max(1, initial=0) - t.min(1, initial=0) >= 1e-6), (t * z).sum(1) / (t * t).sum(1), np.nan)
+            newest = BUFFER - 1 - known[:, ::-1].argmax(1)
+            last = np.where(n > 0, self.distances[np.arange(len(n)), newest], np.nan)
+            ttc = np.where(rate < -1e-3, -last / rate, np.nan)
+        none = lambda x: [None if np.isnan(v) else float(v) for v in x]
+        edges = {e: self.box[:, i] for i, e in enumerate(("x1", "y1", "x2", "y2"))}
+        return {
+            "track_id": self.counts["track_id"], "class_name": self.class_name, **edges, "age": self.counts["age"], "hits": self.counts["hits"],
+            "misses": self.counts["misses"], "evicted": self.evicted, "range_rate": none(rate), "last_distance": none(last), "ttc": none(ttc),
+        }
+
+
+def _shared(a, b):
+    """Intersection over union of every two boxes, 0 without a union."""
+    import numpy as np
+
+    low, high = np.maximum(a[:, None, :2], b[None, :, :2]), np.minimum(a[:, None, 2:], b[None, :, 2:])
+    both = np.prod(np.maximum(high - low, 0), 2)
+    union = np.prod(a[:, 2:] - a[:, :2], 1)[:, None] + np.prod(b[:, 2:] - b[:, :2], 1)[None, :] - both
+    return np.divide(both, union, out=np.zeros(both.shape), where=union > 0)
+
+
+def frame_arrays(rows: dict, at) -> tuple:
+    """Classes, boxes and distances of the rows ``at`` that hold a box."""
+    import numpy as np
+    import pandas as pd
+
+    at = at[~pd.isna(rows["class_name"][at])]
+    box = np.stack([rows[e][at].astype(float) for e in ("x1", "y1", "x2", "y2")], 1)
+    return rows["class_name"][at], box, pd.to_numeric(pd.Series(rows["distance_m"][at])).to_numpy(float)
 
 
 def track(df: DataFrame, clip: str, frame: str, order: str, frames: DataFrame | None = None, dt: float = 1.0, **options) -> DataFrame:
@@ -141,21 +170,14 @@ def track(df: DataFrame, clip: str, frame: str, order: str, frames: DataFrame |
     key_type = dict(df.dtypes)[clip]
 
     def run(rows):
-        import pandas as pd
-
-        tracker = Tracker(**options)
-        at = rows[frame]
-        starts = [0, *[i for i in range(1, len(at)) if at[i] != at[i - 1]], len(at)]
-        for n, (a, b) in enumerate(zip(starts, starts[1:], strict=False)):
-            found = []
-            for i in range(a, b):
-                if not pd.isna(rows["class_name"][i]):
-                    z = rows["distance_m"][i]
-                    found.append((rows["class_name"][i], tuple(float(rows[e][i]) for e in ("x1", "y1", "x2", "y2")), None if pd.isna(z) else float(z)))
-            tracker.update(found, n * dt)
-        made = [t.row() for t in sorted(tracker.tracks + tracker.gone, key=lambda t: t.track_id)]
-        names = [c.split()[0] for c in TRACKS.split(", ")]
-        return {clip: [rows[clip][0]] * len(made)} | {c: [r[i] for r in made] for i, c in enumerate(names)}
+        import numpy as np
+
+        tracks, at = Tracks(**options), rows[frame]
+        starts = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+        for n, lines in enumerate(np.split(np.arange(len(at)), starts[1:])):
+            tracks.advance(*frame_arrays(rows, lines), n * dt)
+        made = tracks.columns()
+        return {clip: [rows[clip][0]] * len(tracks.box)} | made
 
     return map_runs(rows, [clip], [frame, order], run, f"`{clip}` {key_type}, {TRACKS}")
 

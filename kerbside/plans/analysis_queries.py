@@ -77,8 +77,9 @@ def track_endpoints(spark, d):
 
 @book.add()
 def tracker(spark, d):
-    """Boxes of one supplier's lines as a clip, its orders as frames."""
-    rows = read(spark, d, "lineitem").select((F.col("l_suppkey") % 50).alias("clip"), F.col("l_orderkey").alias("frame_no"), "l_linenumber", "l_quantity", "l_returnflag")
+    """A supplier's lines of one month of shipping as a clip, their orders as frames; so clips do not grow with the table's suppliers or years."""
+    clip = F.concat_ws("/", F.col("l_suppkey").cast("string"), F.date_format("l_shipdate", "yyyy-MM"))
+    rows = read(spark, d, "lineitem").select(clip.alias("clip"), F.col("l_orderkey").alias("frame_no"), "l_linenumber", "l_quantity", "l_returnflag")
     box = rows.select(
         "clip", "frame_no", F.col("l_linenumber").alias("n"), F.when(F.col("l_returnflag") == "A", "cone").otherwise("barrier").alias("class_name"),
         (100.0 + 40 * F.col("l_linenumber")).alias("x1"), F.lit(100.0).alias("y1"), (160.0 + 40 * F.col("l_linenumber")).alias("x2"), F.lit(180.0).alias("y2"), F.col("l_quantity").alias("distance_m"),

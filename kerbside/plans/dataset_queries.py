@@ -146,12 +146,12 @@ def mining_statistics(spark, d):
 
 
 @book.add(f"""WITH {BOXES_SQL}, p AS (SELECT frame, (x1 + x2) / 2 AS u, (y1 + y2) / 2 AS v, score FROM b)
-    SELECT b.frame, b.det, count(*) AS n_points, round(median(p.score), 6) + 0.0 AS median_value FROM b JOIN p ON b.frame = p.frame AND u BETWEEN x1 AND x2 AND v BETWEEN y1 AND y2 GROUP BY b.frame, b.det HAVING count(*) >= 2""")
+    SELECT b.frame, b.det, count(*) AS n_points, round(median(p.score), 6) + 0.0 AS median_value FROM b JOIN p ON b.frame = p.frame AND u BETWEEN x1 AND x2 AND v BETWEEN y1 AND y2 GROUP BY b.frame, b.det HAVING count(*) >= 3""")
 def points_in_boxes(spark, d):
     rows = boxes(spark, d, True)
     u, v = bx.centre(bx.columns())
     points = rows.select("frame", u.alias("u"), v.alias("v"), "score")
-    return matching.points_in_boxes(points, rows.drop("score"), "frame", "det", "score", 2).withColumn("median_value", r6("median_value"))
+    return matching.points_in_boxes(points, rows.drop("score"), "frame", "det", "score", 3).withColumn("median_value", r6("median_value"))
 
 
 @book.add(f"""WITH {BOXES_SQL}, k AS (SELECT frame, class_name, det FROM b) SELECT frame, count(*) AS n, string_agg(class_name || ':' || det, ',' ORDER BY class_name, det) AS listed,
@@ -219,7 +219,7 @@ def split_summary(spark, d):
 def leakage_audit(spark, d):
     items = read(spark, d, "benchmark").select(F.col("text").alias("item"))
     docs = read(spark, d, "documents").select("doc_id", "source", "text")
-    hit = docs.join(F.broadcast(items) if items.count() <= 10_000 else items, F.col("text").contains(F.col("item")), "left_semi").select("doc_id").withColumn("_v", F.lit(1))
+    hit = graph.holding(docs, items, "doc_id", "text", "item").withColumn("_v", F.lit(1))
     placed = docs.drop("text").join(hit, "doc_id", "left").withColumn("split", F.when(F.col("_v") == 1, "val").otherwise("train"))
     made = splits.affected(placed, "source")
     return made.select("shared", "affected", r6("affected_pct").alias("affected_pct"), (F.col("shared") > 0).alias("leaked"))
@@ -260,11 +260,13 @@ def clip_sequences(spark, d):
     return made.select("clip_key", "length", F.get("frame_ids", F.lit(0)).alias("first_ms"), F.array_join(F.col("frame_ids").cast("array<string>"), ",").alias("frame_ids"))
 
 
-@book.add(f"""WITH {_CLIPS_SQL}, l AS (SELECT clip_key, lead(frame_ms) OVER (PARTITION BY clip_key ORDER BY frame_ms, stem) - frame_ms AS gap FROM c),
+@book.add(f"""WITH {_CLIPS_SQL}, l AS (SELECT clip_key, lead(frame_ms) OVER (PARTITION BY clip_key ORDER BY frame_ms, stem) - frame_ms AS gap FROM (SELECT clip_key, frame_ms // 2000 AS frame_ms, stem FROM c)),
     m AS (SELECT clip_key, list(gap ORDER BY gap) FILTER (WHERE gap > 0) AS gaps FROM l GROUP BY clip_key)
-    SELECT clip_key, round(CASE WHEN gaps[len(gaps) // 2 + 1] / 1000 BETWEEN 0.005 AND 4000 THEN gaps[len(gaps) // 2 + 1] / 1000 ELSE 1 / 30 END, 6) + 0.0 AS interval_s FROM m""")
+    SELECT clip_key, round(CASE WHEN gaps[len(gaps) // 2 + 1] / 1000 BETWEEN 0.005 AND 2 THEN gaps[len(gaps) // 2 + 1] / 1000 ELSE 1 / 30 END, 6) + 0.0 AS interval_s FROM m""")
 def frame_interval(spark, d):
-    made = sequences.frame_intervals(sequences.clip_frames(clip_stems(spark, d)), 30.0, 0.005, 4000.0)
+    # the events' days as clips of two seconds to a millisecond, so that steps fall inside and outside the bounds
+    frames_ = sequences.clip_frames(clip_stems(spark, d)).withColumn("frame_ms", F.floor(F.col("frame_ms") / 2000))
+    made = sequences.frame_intervals(frames_)
     return made.withColumn("interval_s", r6("interval_s"))
 
 
@@ -302,13 +304,8 @@ def hamming_nn(spark, d):
     FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)
     SELECT query, match, d1, d2 FROM (SELECT query, max(match) FILTER (WHERE n = 1) AS match, max(dist) FILTER (WHERE n = 1) AS d1, max(dist) FILTER (WHERE n = 2) AS d2 FROM k WHERE n <= 2 GROUP BY query) WHERE d1 < 0.95 * d2""")
 def ratio_test(spark, d):
-    from kerbside.functions.hashing import hamming
-
     rows = vector_hashes(spark, d)
-    q = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("h").alias("q"))
-    if q.count() > 100_000:
-        raise ValueError("take the queries in blocks")
-    pairs = rows.join(F.broadcast(q), F.col("vec_id") != F.col("query")).select("query", F.col("vec_id").alias("match"), hamming(F.col("h"), F.col("q")).alias("dist"))
+    pairs = graph.compared(rows.where("vec_id % 50 = 0"), rows, "vec_id", "h", best=2).withColumnRenamed("distance", "dist").drop("place")
     return matching.ratio_test(pairs, "query", "match", "dist", 0.95)
 
 

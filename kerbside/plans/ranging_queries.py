@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbside.config import CAMERA, PRIORS, Camera
+from kerbside.config import CAMERA, PRIORS, pinhole
 from kerbside.functions import boxes as bx
 from kerbside.functions import geometry as geo
 from kerbside.functions.text import decimals, frame_label, pretty
@@ -15,26 +15,26 @@ from kerbside.operators import calibration, ranging, statistics, stereo
 from kerbside.plans.fixtures import BOXES_SQL, Book, boxes, r6, read
 
 book = Book()
-_C, _S = math.cos(CAMERA.pitch), math.sin(CAMERA.pitch)
+_C, _S = math.cos(CAMERA.pose.pitch), math.sin(CAMERA.pose.pitch)
 _PRIORS = ", ".join(
     f"('{p.name}', {p.height_m}::DOUBLE, {p.height_sigma_m}::DOUBLE, {str(p.ground_contact).lower()}, {p.mount_height_m}::DOUBLE, {p.mount_height_sigma_m}::DOUBLE)" for p in PRIORS
 )
 RANGED_SQL = f"""{BOXES_SQL}, p(name, hm, hs, ground, mount, ms) AS (VALUES {_PRIORS}),
-q AS (SELECT b.*, p.*, y2 - y1 AS hpx, (y2 - {CAMERA.cy}) / {CAMERA.fy} AS vn, {CAMERA.height_m} - mount AS plane FROM b JOIN p ON class_name = name),
+q AS (SELECT b.*, p.*, y2 - y1 AS hpx, (y2 - {CAMERA.centre[1]}) / {CAMERA.focal[1]} AS vn, {CAMERA.pose.height_m} - mount AS plane FROM b JOIN p ON class_name = name),
 g AS (SELECT *, {_C!r}::DOUBLE - vn * {_S!r}::DOUBLE AS n_, vn * {_C!r}::DOUBLE + {_S!r}::DOUBLE AS d_ FROM q),
 fw AS (SELECT *, CASE WHEN abs(d_) >= 1e-9 AND plane * n_ * d_ > 0 THEN plane * n_ / d_ END AS fwd FROM g),
 fl AS (SELECT *, CASE WHEN hpx < 8 THEN 'size:box_too_small' WHEN y1 <= 4 OR y2 >= 1076 THEN 'size:truncated' END AS fs,
     CASE WHEN NOT ground AND mount <= 0 THEN 'plane:not_applicable' WHEN y2 >= 1076 THEN 'plane:base_cut_off' WHEN abs(plane) < 0.05 THEN 'plane:degenerate_height'
          WHEN fwd IS NULL THEN 'plane:above_horizon' WHEN abs(n_) < 1e-9 OR abs(d_) < 1e-9 THEN 'plane:degenerate'
          WHEN plane * {_S!r}::DOUBLE + fwd * {_C!r}::DOUBLE <= 0 THEN 'plane:behind_camera' END AS fp FROM fw),
-cu AS (SELECT *, CASE WHEN fs IS NULL THEN {CAMERA.fy} * hm / hpx END AS zs, CASE WHEN fs IS NULL THEN sqrt((sqrt(2.0) * 2.5 / hpx) ** 2 + (hs / hm) ** 2) END AS rs,
+cu AS (SELECT *, CASE WHEN fs IS NULL THEN {CAMERA.focal[1]} * hm / hpx END AS zs, CASE WHEN fs IS NULL THEN sqrt((sqrt(2.0) * 2.5 / hpx) ** 2 + (hs / hm) ** 2) END AS rs,
     CASE WHEN fp IS NULL THEN plane * {_S!r}::DOUBLE + fwd * {_C!r}::DOUBLE END AS zp,
-    CASE WHEN fp IS NULL THEN sqrt(((-({_S!r}::DOUBLE) / n_ - {_C!r}::DOUBLE / d_) * 2.5 / {CAMERA.fy}) ** 2 + (sqrt(0.15 ** 2 + ms ** 2) / plane) ** 2
+    CASE WHEN fp IS NULL THEN sqrt(((-({_S!r}::DOUBLE) / n_ - {_C!r}::DOUBLE / d_) * 2.5 / {CAMERA.focal[1]}) ** 2 + (sqrt(0.15 ** 2 + ms ** 2) / plane) ** 2
         + (((-({_S!r}::DOUBLE) - vn * {_C!r}::DOUBLE) / n_ - n_ / d_) * radians(1.5)) ** 2) END AS rp FROM fl),
 z AS (SELECT *, CASE WHEN zs IS NOT NULL AND zp IS NOT NULL THEN 'fused' WHEN zs IS NOT NULL THEN 'size' WHEN zp IS NOT NULL THEN 'plane' ELSE 'none' END AS method,
     CASE WHEN zs IS NOT NULL AND zp IS NOT NULL THEN exp((ln(zs) / rs ** 2 + ln(zp) / rp ** 2) / (1 / rs ** 2 + 1 / rp ** 2)) ELSE coalesce(zs, zp) END AS z,
     CASE WHEN zs IS NOT NULL AND zp IS NOT NULL THEN sqrt(1 / (1 / rs ** 2 + 1 / rp ** 2)) ELSE coalesce(rs, rp) END AS rel,
-    ((x1 + x2) / 2 - {CAMERA.cx}) / {CAMERA.fx} AS ru, (least(y2, 1079.0::DOUBLE) - {CAMERA.cy}) / {CAMERA.fy} AS rv FROM cu),
+    ((x1 + x2) / 2 - {CAMERA.centre[0]}) / {CAMERA.focal[0]} AS ru, (least(y2, 1079.0::DOUBLE) - {CAMERA.centre[1]}) / {CAMERA.focal[1]} AS rv FROM cu),
 ranged AS (SELECT *, z * sqrt(ru ** 2 + rv ** 2 + 1) AS dist, z * ({_C!r}::DOUBLE - rv * {_S!r}::DOUBLE) AS forward_m, z * ru AS lateral_m,
     zs * sqrt(ru ** 2 + rv ** 2 + 1) AS size_m, zp * sqrt(ru ** 2 + rv ** 2 + 1) AS plane_m,
     CASE WHEN z IS NOT NULL THEN least(greatest(z * sqrt(ru ** 2 + rv ** 2 + 1), 0.3::DOUBLE), 80.0::DOUBLE) END AS distance_m, z * sqrt(ru ** 2 + rv ** 2 + 1) * rel AS sigma_m FROM z)"""
@@ -95,14 +95,15 @@ def pipeline_frame(spark, d):
         round(fx / 2, 6) + 0.0 AS half_fx, round(10 * cos(radians(pitch)), 6) + 0.0 AS forward_of_10,
         round(cos(radians(pitch)), 6) + 0.0 AS r11, round(sin(radians(pitch)), 6) + 0.0 AS r12 FROM k""")
 def camera_variants(spark, d):
-    made = []
-    for name, w, h, fov, up, pitch in (("a", 1920, 1080, 60.0, 1.3, -7.0), ("b", 1280, 720, 90.0, 1.5, 0.0), ("c", 640, 480, 45.0, 1.1, 8.0)):
-        cam = Camera.from_hfov(w, h, fov, height_m=up, pitch_deg=pitch)
-        rot = cam.level_rotation()
-        made.append((name, cam.fx, cam.hfov_deg, cam.horizon_row, cam.rescaled(w // 2, h // 2).fx, 10 * math.cos(cam.pitch), rot[1][1], rot[1][2]))
-    cols = ("fx", "hfov", "horizon", "half_fx", "forward_of_10", "r11", "r12")
-    rows = spark.createDataFrame(made, "name string, " + ", ".join(f"{c} double" for c in cols))
-    return rows.select("name", *[r6(c).alias(c) for c in cols])
+    rows = [("a", 1920, 1080, 60.0, 1.3, -7.0), ("b", 1280, 720, 90.0, 1.5, 0.0), ("c", 640, 480, 45.0, 1.1, 8.0)]
+    cams = spark.createDataFrame(rows, "name string, width int, height int, hfov double, h double, pitch double")
+    focal = geo.focal_of_view(F.col("width"), F.col("hfov"))
+    _, across, ahead = geo.levelled(F.lit(0.0), F.lit(1.0), F.lit(0.0), F.col("pitch"))
+    out = {
+        "fx": focal, "hfov": geo.view_of_focal(F.col("width"), focal), "horizon": geo.horizon_of_pitch(F.col("height") / 2, focal, F.col("pitch")),
+        "half_fx": geo.focal_of_view(F.floor(F.col("width") / 2), F.col("hfov")), "forward_of_10": geo.depth_to_forward(F.lit(10.0), F.col("pitch")), "r11": across, "r12": -ahead,
+    }
+    return cams.select("name", *[r6(v).alias(k) for k, v in out.items()])
 
 
 @book.add("""SELECT v::INT AS row_no, round(CASE WHEN den > 1e-9 THEN least(1.3 / den, 150.0) ELSE 150.0 END, 6) + 0.0 AS depth_m,
@@ -110,9 +111,9 @@ def camera_variants(spark, d):
         round(degrees(atan((540.0 - v) / 1662.77)), 6) + 0.0 AS horizon_pitch
     FROM (SELECT v, (v - 540.0::DOUBLE) / (960.0::DOUBLE / tan(radians(30.0::DOUBLE))) AS den FROM (SELECT unnest(range(1080))::DOUBLE AS v))""")
 def row_depth_fog(spark, d):
-    cam = Camera.from_hfov(1920, 1080, 60.0, height_m=1.3)
+    cam = pinhole((1920, 1080), 60.0)
     v = F.col("row_no").cast("double")
-    depth = F.least(F.coalesce(geo.ground_range(v, F.lit(cam.height_m), cam), F.lit(150.0)), F.lit(150.0))
+    depth = F.least(F.coalesce(geo.ground_range(v, F.lit(cam.pose.height_m), cam), F.lit(150.0)), F.lit(150.0))
     rows = spark.range(1080).select(F.col("id").cast("int").alias("row_no"))
     return rows.select("row_no", r6(depth).alias("depth_m"), r6(geo.fog_transmission(depth, 0.07)).alias("transmission"), r6(geo.pitch_from_horizon(v, CAMERA)).alias("horizon_pitch"))
 
@@ -121,25 +122,24 @@ def row_depth_fog(spark, d):
         trunc(180 + lateral_m / 10.0 * 180)::INT AS panel_x, trunc(380 - forward_m / 40.0 * 360)::INT AS panel_y
     FROM (SELECT frame, det, round(lateral_m, 6) + 0.0 AS lateral_m, round(forward_m, 6) + 0.0 AS forward_m FROM ranged) WHERE forward_m BETWEEN 0.5 AND 40 AND lateral_m BETWEEN -10 AND 10""")
 def bev_visible(spark, d):
-    eye = geo.BirdsEye(CAMERA)
     rows = _ranged(spark, d).withColumns({c: r6(c) for c in ("lateral_m", "forward_m")})
-    rows = rows.where(eye.visible(F.col("lateral_m"), F.col("forward_m")))
-    px, py = eye.pixel(F.col("lateral_m"), F.col("forward_m"))
+    rows = rows.where(geo.on_raster(F.col("lateral_m"), F.col("forward_m")))
+    px, py = geo.raster_pixel(F.col("lateral_m"), F.col("forward_m"))
     qx, qy = geo.panel_pixel(F.col("lateral_m"), F.col("forward_m"), 360, 400, 40.0, 10.0)
     return rows.select("frame", "det", px.alias("px"), py.alias("py"), qx.alias("panel_x"), qy.alias("panel_y"))
 
 
-@book.add(f"""WITH {BOXES_SQL}, g AS (SELECT *, (y2 - {CAMERA.cy}) / {CAMERA.fy} AS vn FROM b),
-    k AS (SELECT frame, det, y2, (x1 + x2) / 2 AS u, CASE WHEN vn * {_C!r}::DOUBLE + {_S!r}::DOUBLE > 1e-9 THEN {CAMERA.height_m} * ({_C!r}::DOUBLE - vn * {_S!r}::DOUBLE) / (vn * {_C!r}::DOUBLE + {_S!r}::DOUBLE) END AS z FROM g)
+@book.add(f"""WITH {BOXES_SQL}, g AS (SELECT *, (y2 - {CAMERA.centre[1]}) / {CAMERA.focal[1]} AS vn FROM b),
+    k AS (SELECT frame, det, y2, (x1 + x2) / 2 AS u, CASE WHEN vn * {_C!r}::DOUBLE + {_S!r}::DOUBLE > 1e-9 THEN {CAMERA.pose.height_m} * ({_C!r}::DOUBLE - vn * {_S!r}::DOUBLE) / (vn * {_C!r}::DOUBLE + {_S!r}::DOUBLE) END AS z FROM g)
     SELECT frame, det, round(z, 6) + 0.0 AS forward_m,
-        round({CAMERA.cy} + {CAMERA.fy} * ({CAMERA.height_m} * {_C!r}::DOUBLE - z * {_S!r}::DOUBLE) / ({CAMERA.height_m} * {_S!r}::DOUBLE + z * {_C!r}::DOUBLE), 6) + 0.0 AS row_back,
-        round(({CAMERA.height_m} * {_S!r}::DOUBLE + z * {_C!r}::DOUBLE) * (u - {CAMERA.cx}) / {CAMERA.fx}, 6) + 0.0 AS lateral_m FROM k WHERE z IS NOT NULL""")
+        round({CAMERA.centre[1]} + {CAMERA.focal[1]} * ({CAMERA.pose.height_m} * {_C!r}::DOUBLE - z * {_S!r}::DOUBLE) / ({CAMERA.pose.height_m} * {_S!r}::DOUBLE + z * {_C!r}::DOUBLE), 6) + 0.0 AS row_back,
+        round(({CAMERA.pose.height_m} * {_S!r}::DOUBLE + z * {_C!r}::DOUBLE) * (u - {CAMERA.centre[0]}) / {CAMERA.focal[0]}, 6) + 0.0 AS lateral_m FROM k WHERE z IS NOT NULL""")
 def bev_points(spark, d):
-    z = geo.ground_range(F.col("y2"), F.lit(CAMERA.height_m), CAMERA)
+    z = geo.ground_range(F.col("y2"), F.lit(CAMERA.pose.height_m), CAMERA)
     rows = boxes(spark, d, True).withColumn("_z", z).where("_z is not null")
-    depth = CAMERA.height_m * _S + F.col("_z") * _C
+    depth = CAMERA.pose.height_m * _S + F.col("_z") * _C
     x, _, forward = geo.backproject((F.col("x1") + F.col("x2")) / 2, F.col("y2"), depth, CAMERA)
-    return rows.select("frame", "det", r6(forward).alias("forward_m"), r6(geo.row_of_forward(F.col("_z"), F.lit(CAMERA.height_m), CAMERA)).alias("row_back"), r6(x).alias("lateral_m"))
+    return rows.select("frame", "det", r6(forward).alias("forward_m"), r6(geo.row_of_forward(F.col("_z"), F.lit(CAMERA.pose.height_m), CAMERA)).alias("row_back"), r6(x).alias("lateral_m"))
 
 
 _F = [[0.0, -0.0004, 0.12], [0.0005, 0.0, -0.31], [-0.11, 0.29, 4.0]]
@@ -204,7 +204,7 @@ def _samples(spark: SparkSession, d: str) -> DataFrame:
 
 _SAMPLES_SQL = f"{BOXES_SQL}, s AS (SELECT y2 AS v_bottom, y2 - y1 AS h_px, 0.75::DOUBLE AS height_m FROM b WHERE class_name = 'cone' AND y2 < 1074)"
 _RUNGS_SQL = f"""{_SAMPLES_SQL}, r(step, min_box_px, min_base_frac) AS (VALUES (0, 0.0::DOUBLE, 0.0::DOUBLE), (1, 40.0, 0.0), (2, 60.0, 0.62), (3, 80.0, 0.76), (4, 120.0, 0.83), (5, 160.0, 0.86)),
-    k AS (SELECT step, min_box_px, min_base_frac, count(*) AS n, quantile_cont(0.75 * (v_bottom - {CAMERA.cy}) / h_px, [0.25, 0.5, 0.75]) AS q
+    k AS (SELECT step, min_box_px, min_base_frac, count(*) AS n, quantile_cont(0.75 * (v_bottom - {CAMERA.centre[1]}) / h_px, [0.25, 0.5, 0.75]) AS q
           FROM s JOIN r ON h_px >= min_box_px AND v_bottom >= min_base_frac * 1080 GROUP BY ALL HAVING count(*) >= 25)"""
 
 
@@ -215,7 +215,7 @@ def calibration_quantiles(spark, d):
 
 
 @book.add(f"""WITH {_RUNGS_SQL} SELECT round(arg_max(q[2], step), 6) + 0.0 AS height_m,
-    (SELECT round(least(greatest(median(0.75 * (v_bottom - {CAMERA.cy}) / h_px), 0.4::DOUBLE), 3.0::DOUBLE), 6) + 0.0 FROM s) AS seed_m FROM k WHERE n >= 300""")
+    (SELECT round(least(greatest(median(0.75 * (v_bottom - {CAMERA.centre[1]}) / h_px), 0.4::DOUBLE), 3.0::DOUBLE), 6) + 0.0 FROM s) AS seed_m FROM k WHERE n >= 300""")
 def fit_best_start(spark, d):
     rows = _samples(spark, d)
     height = calibration.last_usable(calibration.height_sensitivity(rows, CAMERA))
@@ -224,8 +224,8 @@ def fit_best_start(spark, d):
 
 
 _LOSS_SQL = f"""{_SAMPLES_SQL}, g(height, pitch_deg) AS (SELECT h, p FROM (VALUES (1.0::DOUBLE), (1.3), (1.6)) a(h), (VALUES (-4.0::DOUBLE), (0.0), (4.0)) b(p)),
-    u AS (SELECT height, pitch_deg, h_px, height_m, cos(radians(pitch_deg)) AS c, sin(radians(pitch_deg)) AS si, (v_bottom - {CAMERA.cy}) / {CAMERA.fy} AS vn FROM s, g),
-    z AS (SELECT height, pitch_deg, {CAMERA.fy} * height_m / h_px AS zs, height * si + height * (c - vn * si) / nullif(vn * c + si, 0) * c AS zp FROM u),
+    u AS (SELECT height, pitch_deg, h_px, height_m, cos(radians(pitch_deg)) AS c, sin(radians(pitch_deg)) AS si, (v_bottom - {CAMERA.centre[1]}) / {CAMERA.focal[1]} AS vn FROM s, g),
+    z AS (SELECT height, pitch_deg, {CAMERA.focal[1]} * height_m / h_px AS zs, height * si + height * (c - vn * si) / nullif(vn * c + si, 0) * c AS zp FROM u),
     l AS (SELECT height, pitch_deg, CASE WHEN zp > 1e-6 THEN abs(ln(zs) - ln(zp)) END AS a FROM z)"""
 
 
@@ -235,8 +235,8 @@ def huber_grid_fit(spark, d):
     return calibration.losses(_samples(spark, d), CAMERA, grid).select("height", "pitch_deg", r6("loss").alias("loss"))
 
 
-@book.add(f"""WITH {_SAMPLES_SQL}, z AS (SELECT {CAMERA.fy} * height_m / h_px AS zs, (v_bottom - {CAMERA.cy}) / {CAMERA.fy} AS vn FROM s),
-    p AS (SELECT zs, {CAMERA.height_m} * {_S!r}::DOUBLE + {CAMERA.height_m} * ({_C!r}::DOUBLE - vn * {_S!r}::DOUBLE) / nullif(vn * {_C!r}::DOUBLE + {_S!r}::DOUBLE, 0) * {_C!r}::DOUBLE AS zp FROM z),
+@book.add(f"""WITH {_SAMPLES_SQL}, z AS (SELECT {CAMERA.focal[1]} * height_m / h_px AS zs, (v_bottom - {CAMERA.centre[1]}) / {CAMERA.focal[1]} AS vn FROM s),
+    p AS (SELECT zs, {CAMERA.pose.height_m} * {_S!r}::DOUBLE + {CAMERA.pose.height_m} * ({_C!r}::DOUBLE - vn * {_S!r}::DOUBLE) / nullif(vn * {_C!r}::DOUBLE + {_S!r}::DOUBLE, 0) * {_C!r}::DOUBLE AS zp FROM z),
     r AS (SELECT CASE WHEN zp > 1e-6 THEN ln(zs) - ln(zp) END AS r FROM p)
     SELECT count(r) AS n, round(exp(median(r)), 6) + 0.0 AS median_ratio, round(median(abs(r)), 6) + 0.0 AS median_abs_log_ratio, round(quantile_cont(abs(r), 0.9), 6) + 0.0 AS p90_abs_log_ratio FROM r""")
 def cue_agreement(spark, d):
@@ -256,13 +256,15 @@ def letterbox_inverse(spark, d):
     return p.select("page_id", r6("r").alias("scale"), F.col("l").cast("int").alias("pad_left"), F.col("t").cast("int").alias("pad_top"), r6(back[0]).alias("x1"), r6(back[3]).alias("y2"))
 
 
-@book.add(f"""WITH {BOXES_SQL} SELECT frame, det, CASE class_name WHEN 'stop_sign' THEN 'Stop Sign' WHEN 'cone' THEN 'Cone' ELSE 'Barrier' END AS pretty_name,
-    CASE class_name WHEN 'stop_sign' THEN 'Stop Sign' WHEN 'cone' THEN 'Cone' ELSE 'Barrier' END || ', ' || (x1::BIGINT)::VARCHAR || '.0m' AS label,
-    CASE WHEN x1 > 900 THEN '-' ELSE (y2::BIGINT)::VARCHAR || '.00' END AS shown FROM b WHERE x1 = floor(x1) AND x1 >= 0""")
+@book.add(f"""WITH {BOXES_SQL}, p AS (SELECT *, CASE class_name WHEN 'stop_sign' THEN 'Stop Sign' WHEN 'cone' THEN 'Cone' ELSE 'Barrier' END AS name FROM b)
+    SELECT frame, det, name AS pretty_name, name || ', ' || printf('%.1f', round_even(x1, 1)) || 'm' AS label,
+    name || ', ' || printf('%.1f', round_even(x1, 1)) || 'm +/-' || printf('%.1f', round_even(y2, 1)) || ', size, ' || printf('%.2f', round_even(score, 2)) AS full_label,
+    CASE WHEN x1 > 900 THEN '-' ELSE printf('%.2f', round_even(y2, 2)) END AS shown FROM p""")
 def annotation_text(spark, d):
-    rows = boxes(spark, d, True).where("x1 = floor(x1) and x1 >= 0")
+    rows = boxes(spark, d, True)
     shown = decimals(F.when(F.col("x1") <= 900, F.col("y2")), 2)
-    return rows.select("frame", "det", pretty(F.col("class_name")).alias("pretty_name"), frame_label(F.col("class_name"), F.col("x1")).alias("label"), shown.alias("shown"))
+    full = frame_label(F.col("class_name"), F.col("x1"), F.col("y2"), F.lit("size"), F.col("score"))
+    return rows.select("frame", "det", pretty(F.col("class_name")).alias("pretty_name"), frame_label(F.col("class_name"), F.col("x1")).alias("label"), full.alias("full_label"), shown.alias("shown"))
 
 
 @book.add("""WITH m AS (SELECT event_type AS variant, count(*) AS n, quantile_cont(value, 0.5) AS p50, avg(value) AS mean, quantile_cont(value, 0.9) AS p90 FROM events GROUP BY event_type)

@@ -67,3 +67,9 @@ def markdown(df: DataFrame, columns: list[str], places: int = 4, limit: int = 10
     show = lambda v: "-" if v is None else f"{v:.{places}f}" if isinstance(v, float) else str(v)
     lines = [columns, ["---"] * len(columns), *[[show(v) for v in r] for r in rows]]
     return "\n".join(f"| {' | '.join(line)} |" for line in lines)
+
+
+def report(title: str, sections: list[tuple[str, DataFrame, list[str]]], places: int = 4) -> str:
+    """A Markdown report: a title, and per section its heading and a table of the columns named."""
+    parts = [f"# {title}", *(f"## {heading}\n\n{markdown(df, columns, places)}" for heading, df, columns in sections)]
+    return "\n\n".join(parts) + "\n"

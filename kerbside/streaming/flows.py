@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kerbside.operators.tracking import TRACKS, Track, Tracker
+from kerbside.operators.tracking import TRACKS, Tracks, frame_arrays
 
 
 def with_event_time(df: DataFrame, column: str, late: str | None = None) -> DataFrame:
@@ -34,37 +34,43 @@ def deduplicated(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.dropDuplicatesWithinWatermark(keys) if df.isStreaming else df.dropDuplicates(keys)
 
 
-def track_stream(df: DataFrame, clip: str, frame: str, order: str, dt: float = 1.0, **options) -> DataFrame:
+def track_stream(df: DataFrame, clip: str, frame: str, order: str, dt: float = 1.0, idle: str | None = None, **options) -> DataFrame:
     """Tracks after each micro-batch: every live or just evicted track of the clips in it, in update mode.
 
     A clip's frames must come in order over the batches; a batch may hold
-    several.  The state of a clip is its live tracks and frame counter.
+    several.  The state of a clip is its live tracks and frame counter; with
+    ``idle`` (milliseconds) it is dropped that long after the clip's last frame.
     """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     key_type = dict(df.dtypes)[clip]
-    state_schema = "frames bigint, next_id bigint, blob binary"
 
     def run(key: tuple, parts: Iterator, state: GroupState) -> Iterator:
         import pickle
 
+        import numpy as np
         import pandas as pd
 
-        frames, next_id, blob = state.get if state.exists else (0, 1, b"")
-        tracker = Tracker(**options)
-        tracker.tracks, tracker.next_id = (pickle.loads(blob) if blob else []), next_id
+        if state.hasTimedOut:
+            state.remove()
+            return
+        frames, blob = state.get if state.exists else (0, b"")
+        tracks = pickle.loads(blob) if blob else Tracks(**options)
+        tracks.drop_evicted()
         pdf = pd.concat(list(parts)).sort_values([frame, order], kind="stable")
-        for _, part in pdf.groupby(frame, sort=True):
-            found = [(r.class_name, (r.x1, r.y1, r.x2, r.y2), None if pd.isna(r.distance_m) else float(r.distance_m)) for r in part.itertuples()]
-            tracker.update(found, frames * dt)
+        rows = {c: pdf[c].to_numpy() for c in pdf.columns}
+        for lines in np.split(np.arange(len(pdf)), np.flatnonzero(rows[frame][1:] != rows[frame][:-1]) + 1):
+            tracks.advance(*frame_arrays(rows, lines), frames * dt)
             frames += 1
-        state.update((frames, tracker.next_id, pickle.dumps(tracker.tracks)))
-        out: list[Track] = sorted(tracker.tracks + tracker.gone, key=lambda t: t.track_id)
-        made = pd.DataFrame([t.row() for t in out], columns=[c.split()[0] for c in TRACKS.split(", ")])
+        state.update((frames, pickle.dumps(tracks)))
+        if idle is not None:
+            state.setTimeoutDuration(int(idle))
+        made = pd.DataFrame(tracks.columns())
         made.insert(0, clip, key[0])
         yield made
 
-    return df.groupBy(clip).applyInPandasWithState(run, f"`{clip}` {key_type}, {TRACKS}", state_schema, "update", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.NoTimeout if idle is None else GroupStateTimeout.ProcessingTimeTimeout
+    return df.groupBy(clip).applyInPandasWithState(run, f"`{clip}` {key_type}, {TRACKS}", "frames bigint, blob binary", "update", timeout)
 
 
 def each_batch(stream: DataFrame, on_frame: Callable[[DataFrame, int], None], checkpoint: str, once: bool = True):

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kerbside.functions import hashing, text
-from kerbside.operators import annotations, evaluation, graph, matching, pixels, sequences, splits, tracking
+from kerbside.operators import annotations, evaluation, graph, matching, pixels, runs, sequences, splits, statistics, tracking
 from kerbside.sources import readers, writers
 from kerbside.streaming import flows
 
@@ -36,6 +36,65 @@ def test_matching_is_greedy_by_score(spark):
     assert rows[2, 0.9] and not rows[1, 0.9] and rows[1, 0.95] and not rows[2, 0.95] and not rows[3, 0.5]
 
 
+def plain_iou(a, b):
+    wide, high = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
+    both = max(wide, 0) * max(high, 0)
+    union = (a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - both
+    return both / union if union > 0 else 0.0
+
+
+def plain_metric(det, gt):
+    """Average precision by class, area range and threshold, in plain loops after the public protocol."""
+    out, size = {}, lambda b: (b[2] - b[0]) * (b[3] - b[1])
+    for name in {g[1] for g in gt}:
+        for area, (lo, hi) in evaluation.AREAS.items():
+            n = sum(g[1] == name and lo <= size(g[3:]) <= hi for g in gt)
+            for t in evaluation.THRESHOLDS if n else ():
+                scored = []
+                for image in {d[0] for d in det}:
+                    mine = sorted((d for d in det if d[:2] == (image, name)), key=lambda d: (-d[3], d[2]))[:100]
+                    truth = [(g, not lo <= size(g[3:]) <= hi) for g in gt if g[:2] == (image, name)]
+                    used = set()
+                    for d in mine:
+                        best, at = t - 1e-10, None
+                        for aside in (False, True):  # truths inside the range first
+                            for j, (g, off) in enumerate(truth):
+                                if at is None or truth[at][1] == aside:
+                                    if off == aside and j not in used and plain_iou(d[4:], g[3:]) >= best:
+                                        best, at = plain_iou(d[4:], g[3:]), j
+                            if at is not None:
+                                break
+                        if at is not None:
+                            used.add(at)
+                        if not (truth[at][1] if at is not None else not lo <= size(d[4:]) <= hi):
+                            scored.append((-d[3], d[2], at is not None))
+                tp, points = 0, []
+                for k, (_, _, hit) in enumerate(sorted(scored), 1):
+                    tp += hit
+                    points.append((tp / n, tp / k))
+                out[name, area, t] = sum(max((p for r, p in points if r >= x / 100 - 1e-11), default=0.0) for x in range(101)) / 101
+    return out
+
+
+def test_average_precision_equals_plain_loops(spark):
+    rng = random.Random(9)
+    gt, det = [], []
+    for image in range(14):
+        for j in range(rng.randint(0, 6)):
+            side, x, y = rng.choice([12, 25, 40, 80, 120, 200]), rng.uniform(0, 300), rng.uniform(0, 300)
+            name = rng.choice(["cone", "barrier"])
+            gt.append((image, name, image * 100 + j, x, y, x + side, y + side))
+            for _ in range(rng.randint(0, 3)):
+                dx, dy = rng.uniform(-0.25, 0.25) * side, rng.uniform(-0.25, 0.25) * side
+                det.append((image, rng.choice([name, name, "cone"]), len(det), round(rng.random(), 1), x + dx, y + dy, x + dx + side, y + dy + side * rng.uniform(0.8, 1.2)))
+        det.append((image, "cone", len(det), 0.35, 1.0, 1.0, 30.0, 30.0))
+    truths = spark.createDataFrame(gt, f"image_id int, class_name string, gt_id int, {BOX}")
+    found = spark.createDataFrame(det, f"image_id int, class_name string, det_id int, score double, {BOX}")
+    got = {(r.class_name, r.area_range, r.threshold): r.ap for r in evaluation.average_precision(found, truths).collect()}
+    want = plain_metric(det, gt)
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(v, abs=1e-9) for k, v in want.items()) and 0 < sum(want.values()) < len(want)
+
+
 def test_suppression_equals_a_plain_loop(spark):
     rng = random.Random(1)
     rows = []
@@ -48,7 +107,7 @@ def test_suppression_equals_a_plain_loop(spark):
     for f in range(12):
         kept = []
         for r in sorted((r for r in rows if r[0] == f), key=lambda r: (-r[2], r[1])):
-            if all(tracking.overlap(r[3:], k[3:]) <= 0.45 for k in kept):
+            if all(plain_iou(r[3:], k[3:]) <= 0.45 for k in kept):
                 kept.append(r)
         want |= {(f, r[1]) for r in kept}
     assert got == want
@@ -115,8 +174,28 @@ def test_banding_finds_all_pairs_within_three_bits(spark):
     near = graph.nearest_codes(rows.where("k < 5"), rows, "k", "h").collect()
     for r in near:
         assert (r.distance, r.match) == min((bin(codes[r.query] ^ c).count("1"), j) for j, c in enumerate(codes) if j != r.query)
+    some = sorted(map(tuple, graph.compared(rows.where("k < 40"), rows, "k", "h", best=2).collect()))
+    assert some == sorted(map(tuple, graph.compared(rows.where("k < 40"), rows, "k", "h", best=2, block=7).collect())) and len(some) == 80
     with pytest.raises(ValueError):
-        graph.band_pairs(rows, "k", "h", within=4)
+        graph.band_pairs(rows, "k", "h", blocks=3)
+
+
+def test_groups_of_duplicates_merge(spark):
+    members = spark.createDataFrame([(i, f"s{i % 3}", f"g{9 - i}", i) for i in range(10)], "k bigint, source string, grp string, n int")
+    labels = spark.createDataFrame([(1, 1), (4, 1), (7, 1), (2, 2), (3, 2)], "node bigint, component bigint")
+    got = {r.k: (r.source, r.grp, r.n) for r in graph.merge_groups(members, labels, "k", ["source", "grp"]).collect()}
+    assert got == {i: (f"s{i % 3}", f"g{9 - i}", i) for i in (0, 5, 6, 8, 9)} | {i: ("s1", "g2", i) for i in (1, 4, 7)} | {i: ("s0", "g6", i) for i in (2, 3)}
+
+
+def test_documents_that_hold_items(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.randint(1, 3)))
+    docs = [(i, " ".join(word() for _ in range(rng.randint(0, 60))) if i else None) for i in range(60)]
+    items = [" ".join(docs[i][1].split(" ")[3 : 3 + n])[1:] for i, n in ((9, 9), (12, 4), (17, 3), (23, 6), (29, 12)) if docs[i][1]] + ["b c", "zz", "a b zz c", None]
+    rows, wanted = spark.createDataFrame(docs, "k int, t string"), spark.createDataFrame([(x,) for x in items], "item string")
+    want = {k for k, t in docs if t and any(x is not None and x in t for x in items)}
+    assert {r.k for r in graph.holding(rows, wanted, "k", "t", "item").collect()} == want and want
+    assert graph.holding(rows.limit(0), wanted, "k", "t", "item").count() == graph.holding(rows, wanted.limit(0), "k", "t", "item").count() == 0
 
 
 def test_components_of_a_long_chain(spark):
@@ -137,6 +216,64 @@ def test_tracker_ages_evicts_and_measures(spark):
     assert [r.track_id for r in tracking.confirmed(out).collect()] == [1] == [r.track_id for r in tracking.surviving(out).collect()]
 
 
+def plain_tracks(frames, min_overlap=0.2, max_misses=8):
+    """(id, class, box, hits, misses, evicted) of all tracks, one box at a time."""
+    live, gone, made = [], [], 0
+    for boxes in frames:
+        free = dict(enumerate(boxes))
+        for t in live:
+            scored = [(plain_iou(t["box"], b[1]), -i) for i, b in free.items() if b[0] == t["class"]]
+            share, i = max(scored, default=(0, 0))
+            if share > min_overlap:
+                t.update(box=free.pop(-i)[1], hits=t["hits"] + 1, misses=0)
+            else:
+                t["misses"] += 1
+        gone += [t for t in live if t["misses"] > max_misses]
+        live = [t for t in live if t["misses"] <= max_misses]
+        for _, b in sorted(free.items()):
+            made += 1
+            live.append({"id": made, "class": b[0], "box": b[1], "hits": 1, "misses": 0})
+    return {(t["id"], t["class"], t["box"], t["hits"], t["misses"], t in gone) for t in live + gone}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_tracks_equal_a_plain_loop(spark, seed):
+    rng, rows, frames = random.Random(seed), [], []
+    for f in range(40):
+        boxes = []
+        for n in range(rng.randint(0, 5)):
+            x, y = rng.choice([0, 20, 60, 150]) + rng.uniform(-6, 6) + f / 2, rng.uniform(0, 15)
+            boxes.append((rng.choice(["cone", "barrier"]), (x, y, x + 30, y + 30)))
+            rows.append(("c", f, n, boxes[-1][0], *boxes[-1][1], None if rng.random() < 0.2 else rng.uniform(1, 9)))
+        frames.append(boxes)
+    table = spark.createDataFrame(rows, f"clip string, frame int, n int, class_name string, {BOX}, distance_m double")
+    every = spark.createDataFrame([("c", f) for f in range(40)], "clip string, frame int")
+    got = {(r.track_id, r.class_name, (r.x1, r.y1, r.x2, r.y2), r.hits, r.misses, r.evicted) for r in tracking.track(table, "clip", "frame", "n", every).collect()}
+    assert got == plain_tracks(frames) and any(t[5] for t in got) and any(t[3] > 5 for t in got)
+
+
+def test_runs_cross_batches(spark):
+    rows = spark.createDataFrame([(k, i, float(i)) for k in ("a", None, "b", "c") for i in range(57)], "k string, i int, v double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        made = runs.map_runs(rows.repartition(5), ["k"], ["i"], lambda r: {"k": [r["k"][0]], "n": [len(r["i"])], "s": [(r["i"][1:] > r["i"][:-1]).all() * r["v"].sum()]}, "k string, n int, s double").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {(r.k, r.n, r.s) for r in made} == {(k, 57, 57 * 28.0) for k in ("a", None, "b", "c")} and len(made) == 4
+
+
+def test_small_statistics(spark):
+    weights = spark.createDataFrame([("a", 0.0), ("a", 1.0), ("b", 2.0)], "layer string, w double")
+    assert {(r.layer, r.parameters, r.zeros, r.nonzero) for r in statistics.parameter_counts(weights, "layer", "w").collect()} == {("a", 2, 1, 1), ("b", 1, 0, 1), (None, 3, 1, 2)}
+    names = spark.createDataFrame([("map", 0.5), ("p", float("nan"))], "name string, v double")
+    assert tuple(statistics.headline(names, "name", "v", ["map", "p", "r"]).first()) == (0.5, None, None)
+    assert [r.id for r in statistics.tail(spark.range(50), ["id"], 3).collect()] == [49, 48, 47]
+    with pytest.raises(ValueError):
+        pixels.detector("weights.abc")
+    with pytest.raises(ValueError):
+        pixels.detector("weights.onnx")
+
+
 def test_stream_tracks_equal_batch_tracks(spark, tmp_path):
     schema = f"clip string, frame int, n int, class_name string, {BOX}, distance_m double"
     rows = [(c, f, 0, "cone", 10.0 + f, 10.0, 50.0 + f, 50.0, 20.0 - f) for c in "ab" for f in range(6)]
