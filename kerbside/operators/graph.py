@@ -131,7 +131,7 @@ def holding(docs: DataFrame, items: DataFrame, key: str, text: str, item: str, r
     runs = [runs_of(m) for m in sizes]
     found = docs.select(F.col(key)).limit(0)
     if runs:
-        places = listed.select("_key", F.explode(F.array_distinct(F.flatten(F.array(*runs)))).alias("_r")).select("_key", "_r.*")
+        places = listed.select("_key", F.explode(F.flatten(F.array(*runs))).alias("_r")).select("_key", "_r.*")
         anchors = known.where("_m > 0").select("_m", "_h")
         few = anchors.limit(small + 1).count() <= small
         likely = places.join(F.broadcast(anchors.distinct()) if few else anchors.distinct(), ["_m", "_h"]).distinct()
