@@ -21,8 +21,12 @@ CLASSES = {
     "mark": r"[.,;:!?'\"()\-]+",
     "symbol": r"[#*$%&|<>{}\[\]=+/\\_@^~`]+",
 }
+#: Characters in no class above and not among SYMBOLS, which need not be read once for each class.
+_PLAIN_RE = r"[a-z\x20\x09-\x0D]+"
 #: What separates the tokens in which common words are sought.
 _TOKEN_RE = r"[\x20\x09-\x0D.,;:!?]+"
+#: Slots of the table that finds a common word by its hash, a power of two.
+SLOTS = 512
 
 
 def _removed(text: Column, pattern: str) -> Column:
@@ -33,14 +37,17 @@ def _removed(text: Column, pattern: str) -> Column:
 def with_repeated_words(df: DataFrame, words: str = "_words", window: int = 5) -> DataFrame:
     """Add ``n_repeat_words``: words in windows of ``window`` words that a text has twice or more, each word once.
 
-    Windows are compared by 64-bit hashes of their word sequence.  Only where
-    there is a repetition are they sorted, once, so the cost is n log n.
+    Every word is hashed once, and windows are compared by 64-bit hashes of their
+    words' hashes in order.  Only where there is a repetition are they sorted,
+    once, so the cost is n log n.
     """
-    step = df.withColumn(
+    step = df.withColumn("_marks", F.transform(words, lambda w: F.xxhash64(w)))
+    step = step.withColumn(
         "_hashes",
-        F.when(F.size(words) >= window, F.transform(F.sequence(F.lit(1), F.size(words) - (window - 1)), lambda i: F.xxhash64(F.slice(words, i, window)))).otherwise(
-            F.array().cast("array<bigint>")
-        ),
+        F.when(
+            F.size("_marks") >= window,
+            F.transform(F.sequence(F.lit(0), F.size("_marks") - window), lambda i: F.xxhash64(*[F.get("_marks", i + k) for k in range(window)])),
+        ).otherwise(F.array().cast("array<bigint>")),
     ).withColumn("_repeats", F.size(F.array_distinct("_hashes")) < F.size("_hashes"))
     step = step.withColumn(
         "_sorted",
@@ -59,21 +66,22 @@ def with_repeated_words(df: DataFrame, words: str = "_words", window: int = 5) -
         F.struct(F.lit(0).alias("n"), F.lit(-window).alias("last")),
         lambda acc, p: F.struct((acc["n"] + F.least(F.lit(window), p - acc["last"])).cast("int").alias("n"), p.cast("int").alias("last")),
     )["n"]
-    return step.withColumn("n_repeat_words", covered.cast("long")).drop("_hashes", "_repeats", "_sorted", "_pairs", "_same")
+    return step.withColumn("n_repeat_words", covered.cast("long")).drop("_marks", "_hashes", "_repeats", "_sorted", "_pairs", "_same")
 
 
 def base_counts(df: DataFrame, text: str = "text") -> DataFrame:
     """Add n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed
-    and the helper array ``_words``; a null text counts as the empty one."""
+    and the helpers ``_body`` (the text), ``_rest`` (its characters that may be in
+    a class) and ``_words``; a null text counts as the empty one."""
     body = F.coalesce(F.col(text), F.lit(""))
-    made = df.withColumn("_body", body).withColumn("_words", F.filter(F.split("_body", SPLIT_RE), lambda x: x != ""))
+    made = df.withColumn("_body", body).withColumn("_rest", F.regexp_replace("_body", _PLAIN_RE, "")).withColumn("_words", F.array_remove(F.split("_body", SPLIT_RE), ""))
     body, words = F.col("_body"), F.col("_words")
     made = made.withColumn("_lines", F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     made = made.withColumns(
         {
             "n_words": F.size(words).cast("long"),
             "word_chars": F.length(F.array_join(words, "")).cast("long"),
-            "n_symbols": _removed(body, f"[{SYMBOLS}]+"),
+            "n_symbols": _removed(F.col("_rest"), f"[{SYMBOLS}]+"),
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
         }
     ).drop("_lines")
@@ -97,17 +105,34 @@ def common_words(df: DataFrame, lang: str, text: str, words: int = 20) -> DataFr
     return best.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("place", "word")))["word"].alias("common"))
 
 
-def histograms(df: DataFrame, common: str, words: int = 20) -> DataFrame:
+def _slot(word: Column) -> Column:
+    return F.xxhash64(word).bitwiseAND(F.lit(SLOTS - 1)).cast("int")
+
+
+def word_slots(common: str) -> Column:
+    """Per slot the place, from 1, of the first word of the array ``common`` whose hash leads there, or 0."""
+    taken = F.transform(common, _slot)
+    return F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda s: F.array_position(taken, s).cast("tinyint"))
+
+
+def histograms(df: DataFrame, common: str, slots: str, words: int = 20) -> DataFrame:
     """Add ``_chars`` (per class, and the rest of the word characters) and, for
-    rows with an array ``common``, ``_common`` (per common word, and all other
-    words), arrays of long."""
-    body = F.col("_body")
-    # every word becomes one letter, "@" if it is no common one; letters are counted by what is left without them
-    letters = F.array_join(F.transform(F.array_remove(_tokens(body), ""), lambda w: F.char(F.array_position(common, w) + 64)), "")
-    made = df.withColumns(
+    rows with an array ``common`` and its ``word_slots``, ``_common`` (per common
+    word, and all other words), arrays of long."""
+    known = F.col(common).isNotNull()
+    made = df.withColumn("_tokens", F.when(known, F.array_remove(_tokens(F.col("_body")), "")))
+    places = F.transform("_tokens", lambda w: F.get(slots, _slot(w)))
+
+    def letter(w: Column, place: Column) -> Column:
+        """One letter for a word, "@" if it is no common one; two common words in one slot are told apart by search."""
+        found = F.when(F.get(common, place - 1) == w, place).otherwise(F.array_position(common, w))
+        return F.when(place == 0, F.lit("@")).otherwise(F.char(found + 64))
+
+    # letters are counted by what is left without them
+    made = made.withColumns(
         {
-            "_classes": F.array(*[_removed(body, pattern) for pattern in CLASSES.values()]),
-            "_letters": F.when(F.col(common).isNotNull(), letters),
+            "_classes": F.array(*[_removed(F.col("_rest"), pattern) for pattern in CLASSES.values()]),
+            "_letters": F.when(known, F.array_join(F.zip_with("_tokens", places, letter), "")),
         }
     )
     of = lambda k: (F.length("_letters") - F.length(F.replace(F.col("_letters"), F.lit(chr(64 + k)), F.lit("")))).cast("long")
@@ -168,11 +193,12 @@ def quality_rules(
     if not 0 < words <= 60:
         raise ValueError("words must be from 1 to 60")
     rows = df.select(F.col(key).alias(key), F.col(text).alias("_text"), F.col(lang).alias("_lang"))
-    known = stored(common_words(rows, "_lang", "_text", words).select(F.col("lang").alias("_lang"), F.col("common").alias("_list")), "common-words")
+    learnt = common_words(rows, "_lang", "_text", words).select(F.col("lang").alias("_lang"), F.col("common").alias("_list"))
+    known = stored(learnt.withColumn("_slots", word_slots("_list")), "common-words")
     counted = base_counts(rows.join(_small(known), "_lang", "left"), "_text")
     # the per-document numbers, without the texts, are kept; references and verdicts both read them
     facts = stored(
-        histograms(counted, "_list", words).select(
+        histograms(counted, "_list", "_slots", words).select(
             key, "_lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "_chars", "_common"
         ),
         "quality",
