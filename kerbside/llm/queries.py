@@ -15,6 +15,7 @@ from kerbside.llm.lm_scoring import pseudo_likelihood
 from kerbside.llm.mixing import MixTree, mix
 from kerbside.llm.near_dup import near_duplicates
 from kerbside.llm.quality import quality_rules
+from kerbside.llm.repair import repair_report
 from kerbside.llm.sharding import shard_plan
 from kerbside.llm.token_counts import count_tokens
 
@@ -93,6 +94,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({c: F.round(c, 6) + 0.0 for c in ("char_distance", "word_distance")})
 
 
+def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_report(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_sharding": op2_sharding,
@@ -104,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_decontamination": op9_decontamination,
     "op10_quality_rules": op10_quality_rules,
+    "op11_structure_repair": op11_structure_repair,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -241,6 +247,59 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(cd, 6) + 0.0 AS char_distance, round(wd, 6) + 0.0 AS word_distance,
                NOT base_failed AND coalesce(cd, 0) <= 0.33 AND coalesce(wd, 0) <= 0.35 AS kept FROM v
     """,
+    "op11_structure_repair": r"""
+        WITH RECURSIVE p(i, c, n) AS (
+            SELECT i, i, 0 FROM (SELECT unnest(range(256)) AS i)
+            UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n + 1 FROM p WHERE n < 8
+        ),
+        tab AS (SELECT list(c ORDER BY i) AS tab FROM p WHERE n = 8),
+        b AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                   list_transform(regexp_extract_all(hex(encode(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))), '..'), lambda x: ('0x' || x)::BIGINT) AS bytes FROM conversations
+        ),
+        d AS (SELECT b.*, xor(list_reduce(list_prepend(4294967295, bytes), lambda a, x: xor(a >> 8, tab[(xor(a, x) & 255) + 1])), 4294967295) % 20 AS fault FROM b, tab),
+        r AS (
+            SELECT conv_id, turn, CASE fault WHEN 4 THEN 'user' ELSE role END AS role,
+                   CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE fault WHEN 3 THEN [0, 1] ELSE [0] END) AS copy
+            FROM d WHERE fault <> 0
+        ),
+        o AS (SELECT *, row_number() OVER w AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again, left(role, 1) AS k1, lead(left(role, 1)) OVER w AS k2,
+                     NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, right(rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) NOT IN ('.', '!', '?') AS cut_off
+              FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(role)::VARCHAR || ':' || role || text), copy)),
+        o2 AS (SELECT *, blank OR again AS must_go, NOT blank AND NOT again AND cut_off AS truncated FROM o),
+        m AS (
+            SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE again AND NOT blank) AS duplicate,
+                   count(*) FILTER (WHERE truncated) AS truncated, count(*) FILTER (WHERE k2 IS NOT NULL AND k1 || k2 NOT IN ('su', 'ua', 'au')) AS illegal
+            FROM o2 GROUP BY conv_id
+        ),
+        fill(q, mid, ins, said) AS (
+            VALUES (0, 0, '', ''), (0, 2, 'I', 'user:' || chr(10)), (0, 3, 'II', 'user:' || chr(10) || 'assistant:' || chr(10)), (1, 1, '', ''), (1, 2, 'I', 'user:' || chr(10)), (1, 3, 'II', 'user:' || chr(10) || 'assistant:' || chr(10)),
+                   (2, 2, '', ''), (2, 3, 'I', 'assistant:' || chr(10)), (2, 2, 'II', 'assistant:' || chr(10) || 'user:' || chr(10)), (3, 3, '', ''), (3, 2, 'I', 'user:' || chr(10)), (3, 3, 'II', 'user:' || chr(10) || 'assistant:' || chr(10))
+        ),
+        op(mid, letter, kind, nxt, price) AS (
+            VALUES (0, 'D', NULL, 0, 4), (1, 'D', NULL, 1, 4), (2, 'D', NULL, 2, 4), (3, 'D', NULL, 3, 4), (0, 'K', 's', 1, 0), (0, 'K', 'u', 2, 0), (1, 'K', 'u', 2, 0), (2, 'K', 'a', 3, 0), (3, 'K', 'u', 2, 0),
+                   (0, 'R', NULL, 2, 3), (1, 'R', NULL, 2, 3), (2, 'R', NULL, 3, 3), (3, 'R', NULL, 2, 3)
+        ),
+        step AS (
+            SELECT q, op.nxt, kind, letter, ins || letter AS letters, said, price + 3 * length(ins) AS price FROM fill JOIN op USING (mid)
+        ),
+        s(conv_id, k, q, best) AS (
+            SELECT conv_id, 0, 0, {'c': 0, 'a': '', 't': ''} FROM m
+            UNION ALL
+            SELECT s.conv_id, s.k + 1, step.nxt, min({'c': best.c + price + CASE WHEN letter <> 'D' AND truncated THEN 3 ELSE 0 END, 'a': best.a || letters,
+                   't': best.t || said || CASE letter WHEN 'D' THEN '' WHEN 'K' THEN role || ':' || text || chr(10) WHEN 'R' THEN CASE step.nxt WHEN 2 THEN 'user:' ELSE 'assistant:' END || text || chr(10) END})
+            FROM s JOIN o2 ON o2.conv_id IS NOT DISTINCT FROM s.conv_id AND o2.i = s.k + 1 JOIN step ON step.q = s.q AND (letter = 'D' OR NOT must_go AND (kind IS NULL OR kind = k1))
+            GROUP BY s.conv_id, s.k, step.nxt
+        ),
+        done AS (
+            SELECT s.conv_id, min({'c': best.c + 3 * length(e.ins), 'a': best.a || e.ins, 't': best.t || e.said}) AS best
+            FROM s JOIN m ON m.conv_id IS NOT DISTINCT FROM s.conv_id AND m.n = s.k
+            JOIN (VALUES (0, '', ''), (1, 'II', 'user:' || chr(10) || 'assistant:' || chr(10)), (2, 'I', 'assistant:' || chr(10)), (3, '', '')) e(q, ins, said) ON e.q = s.q GROUP BY s.conv_id, m.n
+        )
+        SELECT a.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+               coalesce(best.c, 0)::BIGINT AS cost, coalesce(best.a, '') AS audit, sha256(coalesce(left(best.t, length(best.t) - 1), '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN m ON m.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN done ON done.conv_id IS NOT DISTINCT FROM a.conv_id
+    """,
     "op2_sharding": r"""
         WITH RECURSIVE p(i, c, n) AS (
             SELECT i, i, 0 FROM (SELECT unnest(range(256)) AS i)
