@@ -11,6 +11,7 @@ from kerbside.llm._common import table
 from kerbside.llm.chat import rotate_perspectives
 from kerbside.llm import language_id, toxicity
 from kerbside.llm.decontamination import find_items
+from kerbside.llm.hard_negatives import mine
 from kerbside.llm.lm_scoring import pseudo_likelihood
 from kerbside.llm.mixing import MixTree, mix
 from kerbside.llm.near_dup import near_duplicates
@@ -98,6 +99,15 @@ def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_report(table(spark, sf_dir, "conversations"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    # from 2**53 on a double is whole already; what is not finite stays so, and its row takes no part
+    whole = lambda x: F.when(F.abs(x) < 2.0**53, F.floor(x).cast("double")).otherwise(x)
+    vectors = F.transform("embedding", lambda x: whole(x.cast("double") * 256))
+    return mine(rows.select("vec_id", label.alias("label"), vectors.alias("embedding")), F.col("id") % 50 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_sharding": op2_sharding,
@@ -110,6 +120,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": op9_decontamination,
     "op10_quality_rules": op10_quality_rules,
     "op11_structure_repair": op11_structure_repair,
+    "op12_hard_negatives": op12_hard_negatives,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -300,6 +311,18 @@ ORACLE_SQL: dict[str, str] = {
                coalesce(best.c, 0)::BIGINT AS cost, coalesce(best.a, '') AS audit, sha256(coalesce(left(best.t, length(best.t) - 1), '')) AS repaired_sha256
         FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN m ON m.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN done ON done.conv_id IS NOT DISTINCT FROM a.conv_id
     """,
+    "op12_hard_negatives": """
+        WITH e AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+            FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ),
+        s AS (
+            SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id, list_inner_product(a.v, b.v)::BIGINT AS score FROM e a JOIN e b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
+        ),
+        p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+        SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+        FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score QUALIFY rank <= 3
+    """,
     "op2_sharding": r"""
         WITH RECURSIVE p(i, c, n) AS (
             SELECT i, i, 0 FROM (SELECT unnest(range(256)) AS i)
