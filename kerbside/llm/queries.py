@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kerbside.llm._common import table
 from kerbside.llm.chat import rotate_perspectives
-from kerbside.llm import language_id, toxicity
+from kerbside.llm import language_id, passage_quality, toxicity
 from kerbside.llm.decontamination import find_items
 from kerbside.llm.hard_negatives import mine
 from kerbside.llm.lm_scoring import pseudo_likelihood
@@ -108,6 +108,17 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine(rows.select("vec_id", label.alias("label"), vectors.alias("embedding")), F.col("id") % 50 == 0)
 
 
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = passage_quality.fit_quality(docs, table(spark, sf_dir, "labels"))
+    return passage_quality.score_quality(docs.select("doc_id", "text"), model).select(
+        "doc_id",
+        passage_quality.held_out(F.col("doc_id")).alias("held_out"),
+        F.col("quality_score").alias("score"),
+        (F.col("quality_score") >= 0.7).cast("int").alias("predicted"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_sharding": op2_sharding,
@@ -121,6 +132,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_rules": op10_quality_rules,
     "op11_structure_repair": op11_structure_repair,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_quality_classifier": op13_quality_classifier,
 }
 
 ORACLE_SQL: dict[str, str] = {
