@@ -114,14 +114,14 @@ def numbered(df: DataFrame, name: str, order: Sequence[str], by: Sequence[str] =
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
 
 
-def numbered_globally(df: DataFrame, name: str, order: Sequence[str], partitions: int = 64) -> DataFrame:
-    """Ids from 1 over the whole table: range partitions are numbered inside, after what comes before them.
+def numbered_globally(df: DataFrame, name: str, order: Sequence[str]) -> DataFrame:
+    """Ids from 1 over the whole table: range partitions, as many as the session deals, are numbered inside, after what comes before them.
 
     The sort is done once and its rows are kept in the shared folder, so both passes see the same partitions.
     """
     from kerbside.storage import cut
 
-    placed = cut(df.repartitionByRange(partitions, *order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()))
+    placed = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()))
     placed = placed.withColumn("_place", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33))
     sizes = placed.groupBy("_p").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kerbside.functions import boxes
 from kerbside.operators.runs import map_runs
+from kerbside.operators.scans import Ordered
 
 THRESHOLDS = tuple(round(0.5 + 0.05 * i, 2) for i in range(10))
 #: Area ranges in square pixels, both ends included as in the public protocol.
@@ -76,15 +77,18 @@ def truth_counts(truths: DataFrame) -> DataFrame:
     return truths.select("class_name", F.explode(F.array_compact(inside)).alias("area_range")).groupBy("class_name", "area_range").agg(F.count("*").alias("n_gt"))
 
 
-def precision_recall(df: DataFrame, by: list[str], order: list[Column], hit: Column, total: Column) -> DataFrame:
-    """Add rank, recall and the precision envelope: the largest precision at this recall or more."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    running = w.rowsBetween(Window.unboundedPreceding, 0)
-    made = df.withColumns({"rank": F.row_number().over(w), "_tp": F.sum(hit.cast("long")).over(running)})
-    made = made.withColumns({"precision": F.col("_tp") / F.col("rank"), "recall": F.col("_tp") / total})
-    # the envelope looks ahead, which is a running maximum from the other end
-    back = Window.partitionBy(*by).orderBy(F.col("rank").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    return made.withColumn("envelope", F.max("precision").over(back)).drop("_tp")
+def precision_recall(df: DataFrame, by: list[str], order: list[str], hit: Column, total: Column | None = None) -> DataFrame:
+    """Add rank, precision, recall and the precision envelope: the largest precision at this recall or more.
+
+    ``order`` are names, with a minus for descending.  ``total`` is the number of
+    hits there are to find, by default those of the group.  A group of any size
+    is split over tasks; the envelope looks ahead, which is a running maximum from the other end.
+    """
+    made = Ordered.of(df.withColumn("_hit", F.coalesce(hit.cast("long"), F.lit(0))), by, order).running(sums={"rank": F.lit(1), "_tp": F.col("_hit")})
+    made = made.with_columns({"precision": F.col("_tp") / F.col("rank")})
+    made = made.running(tops={"envelope": F.col("precision")}, sums={"_rest": F.col("_hit")}, back=True).done()
+    found = F.col("_tp") + F.col("_rest") - F.col("_hit") if total is None else total
+    return made.withColumn("recall", F.when(found != 0, F.col("_tp") / found)).drop("_hit", "_tp", "_rest")
 
 
 def interpolated(curve: DataFrame, by: list[str]) -> DataFrame:
@@ -108,7 +112,7 @@ def average_precision(detections: DataFrame, truths: DataFrame, image: str = "im
     counts = truth_counts(truths)
     grid = counts.withColumn("threshold", F.explode(F.array(*map(F.lit, THRESHOLDS))))
     hits = match(detections, truths, image).where(~F.col("ignored")).join(F.broadcast(counts), ["class_name", "area_range"])
-    curve = precision_recall(hits, by, [F.col("score").desc(), F.col("det_id")], F.col("tp"), F.col("n_gt"))
+    curve = precision_recall(hits, by, ["-score", "det_id"], F.col("tp"), F.col("n_gt"))
     ap = interpolated(curve, by)
     return grid.join(ap, by, "left").select(*by, F.coalesce("ap", F.lit(0.0)).alias("ap"), F.coalesce("recall", F.lit(0.0)).alias("recall"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbside.functions.text import clip_parts
+from kerbside.operators.scans import Ordered
 
 
 def clip_frames(df: DataFrame, stem: str = "stem") -> DataFrame:
@@ -39,20 +40,22 @@ def load_clip(frames: DataFrame, clip_key: str, limit: int | None = None) -> Dat
 
 
 def segment_runs(df: DataFrame, prefix: str, idx: str, ties: Sequence[str] = (), max_gap: int = 10, max_run: int = 250) -> DataFrame:
-    """Add ``island`` (from 0, a new one after a gap over ``max_gap``) and ``chunk`` (every ``max_run`` rows of an island)."""
-    order = Window.partitionBy(prefix).orderBy(idx, *ties)
-    jump = F.when(F.col(idx) - F.lag(idx).over(order) > max_gap, 1).otherwise(0)
-    made = df.withColumn("_jump", jump)
-    made = made.withColumn("island", F.sum("_jump").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    place = F.row_number().over(Window.partitionBy(prefix, "island").orderBy(idx, *ties)) - 1
-    return made.withColumn("chunk", F.floor(place / F.lit(max_run)).cast("int")).drop("_jump")
+    """Add ``island`` (from 0, a new one after a gap over ``max_gap``) and ``chunk`` (every ``max_run`` rows of an island).
+
+    A prefix of any size is split over tasks (see ``scans``).
+    """
+    made = Ordered.of(df, [prefix], [idx, *ties]).running(lags={"_previous": F.col(idx)}, sums={"_n": F.lit(1)})
+    made = made.with_columns({"_jump": F.when(F.col(idx) - F.col("_previous") > max_gap, 1).otherwise(0)})
+    made = made.running(sums={"island": F.col("_jump")}, tops={"_start": F.when(F.col("_jump") == 1, F.col("_n")).otherwise(1)})
+    place = F.col("_n") - F.col("_start")
+    return made.done().withColumn("chunk", F.floor(place / F.lit(max_run)).cast("int")).drop("_jump", "_previous", "_n", "_start")
 
 
 def embargo(df: DataFrame, segment: Sequence[str], idx: str, ties: Sequence[str] = (), tail: int = 8, longer_than: int = 16) -> DataFrame:
     """Add ``dropped``: the last ``tail`` rows of every segment of more than ``longer_than``."""
-    back = Window.partitionBy(*segment).orderBy(F.col(idx).desc(), *[F.col(t).desc() for t in ties])
-    size = F.count("*").over(Window.partitionBy(*segment))
-    return df.withColumn("dropped", (size > longer_than) & (F.row_number().over(back) <= tail))
+    one = F.lit(1)
+    made = Ordered.of(df, segment, [idx, *ties]).running(sums={"_n": one}).running(sums={"_back": one}, back=True).done()
+    return made.withColumn("dropped", (F.col("_n") + F.col("_back") - 1 > longer_than) & (F.col("_back") <= tail)).drop("_n", "_back")
 
 
 def longest_first(made: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbside.functions.hashing import fraction
+from kerbside.operators.scans import Ordered
 
 
 def hash_split(df: DataFrame, key: Column, share: float, seed: int = 0) -> DataFrame:
@@ -17,11 +18,10 @@ def hash_split(df: DataFrame, key: Column, share: float, seed: int = 0) -> DataF
 
 def greedy_fill(groups: DataFrame, source: str, rank: Column, size: str, share: float, ties: Sequence[str]) -> DataFrame:
     """Add ``split``: groups go to val in the order of ``rank`` while those before them hold less than the share of their source."""
-    order = Window.partitionBy(source).orderBy("_rank", *ties).rowsBetween(Window.unboundedPreceding, -1)
-    made = groups.withColumn("_rank", rank)
-    before = F.coalesce(F.sum(size).over(order), F.lit(0))
-    total = F.sum(size).over(Window.partitionBy(source))
-    return made.withColumn("split", F.when(before < share * total, "val").otherwise("train")).drop("_rank")
+    made = Ordered.of(groups.withColumns({"_rank": rank, "_own": F.coalesce(F.col(size), F.lit(0))}), [source], ["_rank", *ties])
+    made = made.running(sums={"_upto": F.col("_own")}).running(sums={"_from": F.col("_own")}, back=True).done()
+    before, total = F.col("_upto") - F.col("_own"), F.col("_upto") + F.col("_from") - F.col("_own")
+    return made.withColumn("split", F.when(before < share * total, "val").otherwise("train")).drop("_rank", "_own", "_upto", "_from")
 
 
 def split_summary(groups: DataFrame, source: str, size: str) -> DataFrame:

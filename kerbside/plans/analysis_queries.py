@@ -18,11 +18,8 @@ _CURVE_SQL = """s AS (SELECT d.doc_id, d.lang, d.n_chars AS score, l.quality AS
 @book.add(f"""WITH {_CURVE_SQL}, p AS (SELECT unnest(range(101)) / 100 AS pt)
     SELECT lang, round(avg(coalesce(best, 0)), 6) + 0.0 AS ap FROM (SELECT l.lang, pt, (SELECT max(envelope) FROM r WHERE r.lang = l.lang AND recall >= pt - 1e-11) AS best FROM (SELECT DISTINCT lang FROM r) l, p) GROUP BY lang""")
 def average_precision(spark, d):
-    from pyspark.sql import Window
-
     rows = read(spark, d, "documents").join(read(spark, d, "labels"), "doc_id").select("doc_id", "lang", F.col("n_chars").alias("score"), F.col("quality").alias("y"))
-    rows = rows.withColumn("_total", F.sum("y").over(Window.partitionBy("lang"))).where("_total > 0")
-    curve = evaluation.precision_recall(rows, ["lang"], [F.col("score").desc(), F.col("doc_id")], F.col("y") == 1, F.col("_total"))
+    curve = evaluation.precision_recall(rows, ["lang"], ["-score", "doc_id"], F.col("y") == 1).where("recall is not null")
     return evaluation.interpolated(curve, ["lang"]).select("lang", r6("ap").alias("ap"))
 
 
