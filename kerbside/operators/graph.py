@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from itertools import combinations
 
@@ -77,6 +78,79 @@ def nearest_codes(queries: DataFrame, corpus: DataFrame, key: str, code: str, wi
     return out if within is None else out.where(F.col("distance") <= within)
 
 
+def _near_blocks(code: str, edges: Sequence[int], flips: Sequence[int]) -> Column:
+    """Array of (i, v): every block of the code with every choice of so many of its bits turned round."""
+
+    def turned(i: int, lo: int, hi: int) -> Column:
+        part = F.shiftrightunsigned(code, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1))
+        masks = ",".join(str(sum(1 << b for b in some)) for n in flips for some in combinations(range(hi - lo), n))
+        masks = F.split(F.lit(masks), ",").cast("array<bigint>")  # one literal once it is folded
+        return F.transform(masks, lambda m: F.struct(F.lit(i).alias("i"), part.bitwiseXOR(m).alias("v")))
+
+    return F.flatten(F.array(*[turned(i, lo, hi) for i, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False))]))
+
+
+def nearest_by_radius(queries: DataFrame, corpus: DataFrame, key: str, code: str, bits: int = 64, within: int | None = None, share: float = 0.5, block: int = 100_000) -> DataFrame:
+    """query, match, distance: for every query the other corpus row with the fewest differing bits, the smallest key of equals.
+
+    Exact, and without comparing all pairs.  Codes are cut into m blocks of about
+    as many bits as it takes to number them.  If two codes differ in less than
+    m (s + 1) bits, some block differs in s at most, so after the blocks that
+    differ in up to 1, 2 .. s bits have been looked up, a best match at less than
+    m (s + 1) is final and its query is done; only the others go on to s + 1.
+    Half of the s bits are turned round on either side, which keeps both small.
+    With ``within`` the search ends there, and queries without such a match have no row.
+    When the next step would compare more than ``share`` of all pairs, the codes
+    still open are compared with all others, in blocks of ``block``.
+
+    Equal codes are searched once.  A key has one code; null codes match nothing.
+    """
+    q = queries.where(F.col(code).isNotNull()).select(F.col(key).alias("query"), F.col(code).alias("_q"))
+    c = corpus.where(F.col(code).isNotNull()).select(F.col(key).alias("_k"), F.col(code).alias("_h"))
+    q, c = cut(q), cut(c)
+    first = c.groupBy("_h").agg(F.min("_k").alias("_k1"), F.max("_k").alias("_max"))
+    # a row whose code others have too matches the smallest of them, which for the smallest itself is the second
+    second = c.join(first.where("_max <> _k1").select(F.col("_h"), "_k1"), "_h").where("_k <> _k1").groupBy("_h").agg(F.min("_k").alias("_k2"))
+    codes = cut(first.drop("_max").join(second, "_h", "left"))
+    equal = q.join(codes.withColumnRenamed("_h", "_q"), "_q", "left")
+    equal = cut(equal.select("query", "_q", F.when(F.col("_k1") != F.col("query"), F.col("_k1")).otherwise(F.col("_k2")).alias("match")))
+    out = equal.where("match is not null").select("query", "match", F.lit(0).alias("distance"))
+    waiting = equal.where("match is null").select("query", "_q")
+    none = F.lit(None).cast(f"struct<distance:int,match:{dict(codes.dtypes)['_k1']}>")
+    state, count = cut(waiting.select("_q").distinct().withColumn("_b", none)), codes.count()
+    blocks = max(2, bits // max(16, (max(count, 2) - 1).bit_length()))
+    edges = [bits * i // blocks for i in range(blocks + 1)]
+    widest = max(hi - lo for lo, hi in zip(edges, edges[1:], strict=False))
+    found = F.min(F.struct(hamming(F.col("_q"), F.col("_h")).alias("distance"), F.col("_k1").alias("match"))).alias("_b")
+    answers = None
+    # blocks that are equal or differ in one bit are looked up together
+    for s in range(1, widest + 1):
+        open_ = state.select("_q")
+        if state.isEmpty():
+            break
+        if blocks * math.comb(widest, s) / 2**widest > share:
+            if count < 2:
+                break
+            parts = -(-open_.count() // block)
+            for n in range(parts):
+                some = open_.where(F.pmod(F.xxhash64("_q"), F.lit(parts)) == n)
+                made = codes.join(F.broadcast(some), F.col("_h") != F.col("_q")).groupBy("_q").agg(found)
+                answers = made if answers is None else answers.unionByName(made)
+            break
+        probes = open_.select("_q", F.inline(_near_blocks("_q", edges, [0, 1] if s == 1 else [s - s // 2])))
+        index = codes.select("_h", "_k1", F.inline(_near_blocks("_h", edges, [s // 2])))
+        seen = probes.join(index, ["i", "v"]).where("_q <> _h").groupBy("_q").agg(found)
+        state = cut(state.unionByName(seen).groupBy("_q").agg(F.min("_b").alias("_b")))
+        final = F.coalesce(F.col("_b.distance") < blocks * (s + 1), F.lit(False))
+        answers = state.where(final) if answers is None else answers.unionByName(state.where(final))
+        if within is not None and blocks * (s + 1) > within:
+            break
+        state = state.where(~final)
+    if answers is not None:
+        out = out.unionByName(waiting.join(answers, "_q").select("query", "_b.match", "_b.distance"))
+    return out if within is None else out.where(F.col("distance") <= within)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) with the smallest node reachable, of edges (a, b).
 

@@ -300,6 +300,24 @@ def hamming_nn(spark, d):
     return graph.nearest_codes(rows.where("vec_id % 50 = 0"), rows, "vec_id", "h")
 
 
+_NEAREST_SQL = f"""WITH {VECTORS_SQL}, k AS (SELECT a.vec_id AS query, b.vec_id AS match, bit_count(xor(a.h, b.h))::INT AS distance FROM v a JOIN v b ON a.vec_id <> b.vec_id
+    QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY bit_count(xor(a.h, b.h)), b.vec_id) = 1) SELECT query, match, distance FROM k"""
+
+
+@book.add(_NEAREST_SQL)
+def hamming_nn_all(spark, d):
+    rows = vector_hashes(spark, d)
+    return graph.nearest_by_radius(rows, rows, "vec_id", "h")
+
+
+@book.add(f"""WITH {DOCUMENTS_SQL}, s AS (SELECT doc_id, h, doc_id % 5 = 0 AS val FROM dh), k AS (SELECT a.doc_id AS query, b.doc_id AS match, bit_count(xor(a.h, b.h))::INT AS distance FROM s a JOIN s b ON a.val AND NOT b.val AND bit_count(xor(a.h, b.h)) <= 6
+    QUALIFY row_number() OVER (PARTITION BY a.doc_id ORDER BY bit_count(xor(a.h, b.h)), b.doc_id) = 1) SELECT query, match, distance FROM k""")
+def hamming_nn_within(spark, d):
+    """Documents of a validation split with a training document at six bits or less."""
+    rows = document_hashes(spark, d).withColumn("val", F.col("doc_id") % 5 == 0)
+    return graph.nearest_by_radius(rows.where("val"), rows.where("not val"), "doc_id", "h", bits=48, within=6)
+
+
 @book.add(f"""WITH {VECTORS_SQL}, k AS (SELECT a.vec_id AS query, b.vec_id AS match, bit_count(xor(a.h, b.h))::INT AS dist, row_number() OVER (PARTITION BY a.vec_id ORDER BY bit_count(xor(a.h, b.h)), b.vec_id) AS n
     FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)
     SELECT query, match, d1, d2 FROM (SELECT query, max(match) FILTER (WHERE n = 1) AS match, max(dist) FILTER (WHERE n = 1) AS d1, max(dist) FILTER (WHERE n = 2) AS d2 FROM k WHERE n <= 2 GROUP BY query) WHERE d1 < 0.95 * d2""")
