@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kerbside.operators.quantiles import percentiles
+
 
 def last_pass(df: DataFrame, variant: str, number: str) -> DataFrame:
     """The measurements of the last pass of each variant; earlier ones warm up."""
@@ -15,11 +17,9 @@ def last_pass(df: DataFrame, variant: str, number: str) -> DataFrame:
 
 def latency(df: DataFrame, variant: Sequence[str], ms: str) -> DataFrame:
     """Per variant: n, p50_ms, mean_ms, p90_ms, fps (from the median; infinite at 0)."""
-    made = df.groupBy(*variant).agg(
-        F.count("*").alias("n"), F.percentile(ms, F.array(F.lit(0.5), F.lit(0.9))).alias("_q"), F.avg(ms).alias("mean_ms")
-    )
-    p50 = F.get("_q", F.lit(0))
-    return made.select(*variant, "n", p50.alias("p50_ms"), "mean_ms", F.get("_q", F.lit(1)).alias("p90_ms"), frames_per_second(p50).alias("fps"))
+    made = percentiles(df, variant, F.col(ms), [0.5, 0.9], aggregates=[F.count("*").alias("_all"), F.avg(ms).alias("mean_ms")])
+    p50 = F.get("q", F.lit(0))
+    return made.select(*variant, F.col("_all").alias("n"), p50.alias("p50_ms"), "mean_ms", F.get("q", F.lit(1)).alias("p90_ms"), frames_per_second(p50).alias("fps"))
 
 
 def frames_per_second(ms: Column) -> Column:

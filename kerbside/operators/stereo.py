@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kerbside.functions import geometry as geo
+from kerbside.operators.quantiles import percentiles
 
 
 def design_table(spark, focal: float, baseline: float, ranges: Sequence[float] = (2, 5, 10, 20, 30, 50), sigma: float = 0.25) -> DataFrame:
@@ -46,7 +47,8 @@ def valid_depths(df: DataFrame, z: str = "Z", scale: float = 1.0) -> DataFrame:
 
 def median_epipolar_error(df: DataFrame, f, points: Sequence[str] = ("u1", "v1", "u2", "v2")) -> DataFrame:
     error = geo.symmetric_epipolar_error(f, *[F.col(p) for p in points])
-    return df.agg(F.count("*").alias("n"), F.median(error).alias("median_error_px"))
+    made = percentiles(df, [], error, [0.5], aggregates=[F.count("*").alias("_all")])
+    return made.select(F.col("_all").alias("n"), F.get("q", F.lit(0)).alias("median_error_px"))
 
 
 def anchored(df: DataFrame, frame: str, depth: str, distance: str, tie: str) -> DataFrame:

@@ -235,6 +235,22 @@ def huber_grid_fit(spark, d):
     return calibration.losses(_samples(spark, d), CAMERA, grid).select("height", "pitch_deg", r6("loss").alias("loss"))
 
 
+# the same loss on a grid that is narrowed twice around its best pitch
+_PITCH_LOSS = f"""{_SAMPLES_SQL}, t AS (SELECT ln({CAMERA.focal[1]} * height_m / h_px) AS zs, (v_bottom - {CAMERA.centre[1]}) / {CAMERA.focal[1]} AS vn FROM s),
+    g1(p) AS (SELECT -12.0::DOUBLE + k * 0.25 FROM (SELECT unnest(range(97)) AS k)),
+    l1 AS (SELECT p, avg(0.5 * least(a, 0.25) ** 2 + 0.25 * (a - least(a, 0.25))) AS loss FROM (SELECT p, abs(zs - ln(CASE WHEN zp > 1e-6 THEN zp END)) AS a
+        FROM (SELECT p, zs, 1.3 * sin(radians(p)) + 1.3 * (cos(radians(p)) - vn * sin(radians(p))) / nullif(vn * cos(radians(p)) + sin(radians(p)), 0) * cos(radians(p)) AS zp FROM t, g1)) GROUP BY p),
+    g2(p) AS (SELECT b + (k - 100) * 0.0025 FROM (SELECT arg_min(p, loss) AS b FROM l1 WHERE loss IS NOT NULL), (SELECT unnest(range(201)) AS k)),
+    l2 AS (SELECT p, avg(0.5 * least(a, 0.25) ** 2 + 0.25 * (a - least(a, 0.25))) AS loss FROM (SELECT p, abs(zs - ln(CASE WHEN zp > 1e-6 THEN zp END)) AS a
+        FROM (SELECT p, zs, 1.3 * sin(radians(p)) + 1.3 * (cos(radians(p)) - vn * sin(radians(p))) / nullif(vn * cos(radians(p)) + sin(radians(p)), 0) * cos(radians(p)) AS zp FROM t, g2 WHERE p BETWEEN -12 AND 12)) GROUP BY p)"""
+
+
+@book.add(f"WITH {_PITCH_LOSS} SELECT 1.3::DOUBLE AS height_m, round(arg_min(p, loss), 1) + 0.0 AS pitch_deg, round(min(loss), 4) + 0.0 AS loss FROM l2")
+def simplex_fit(spark, d):
+    fit = calibration.fit_pose_by_simplex(_samples(spark, d), CAMERA, fixed_height=1.3)
+    return spark.createDataFrame([(fit.pose.height_m, round(fit.pose.pitch_deg, 1) + 0.0, round(fit.loss, 4))], "height_m double, pitch_deg double, loss double")
+
+
 @book.add(f"""WITH {_SAMPLES_SQL}, z AS (SELECT {CAMERA.focal[1]} * height_m / h_px AS zs, (v_bottom - {CAMERA.centre[1]}) / {CAMERA.focal[1]} AS vn FROM s),
     p AS (SELECT zs, {CAMERA.pose.height_m} * {_S!r}::DOUBLE + {CAMERA.pose.height_m} * ({_C!r}::DOUBLE - vn * {_S!r}::DOUBLE) / nullif(vn * {_C!r}::DOUBLE + {_S!r}::DOUBLE, 0) * {_C!r}::DOUBLE AS zp FROM z),
     r AS (SELECT CASE WHEN zp > 1e-6 THEN ln(zs) - ln(zp) END AS r FROM p)

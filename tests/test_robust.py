@@ -86,3 +86,28 @@ def test_fetch(spark, tmp_path):
     assert all(r.done for r in fetch.fetch_ranges(plan, "f", str(parts), longest_wait=0.01, get=flaky).collect())
     assert b"".join(p.read_bytes() for p in sorted(parts.iterdir())) == b"0123456789"
     assert fetch.byte_ranges(spark, 10, 4, plan.where("chunk < 2")).count() == 1
+
+
+def test_seventy_percent_outliers():
+    rng = np.random.default_rng(7)
+    h = np.array([[0.9, 0.05, 12], [0.02, 1.05, 8], [-5e-5, 8e-5, 1]])
+    for seed in range(5):
+        a = rng.uniform(0, 600, (200, 2))
+        b = robust._moved(h, a)
+        b[:140] = rng.uniform(0, 600, (140, 2))
+        found, inlier = robust.fit_homography(a, b, seed=seed)
+        assert np.allclose(found, h, rtol=1e-4, atol=1e-6) and inlier[140:].all() and inlier.sum() <= 65
+    world = np.column_stack([rng.uniform(-4, 4, 200), rng.uniform(-3, 3, 200), rng.uniform(5, 20, 200)])
+    r, t = turned(0.03, -0.06, 0.02), np.array([0.6, 0.1, 0.79])
+    p1, p2 = seen(world), seen(world, r, t)
+    p2[:140] += rng.choice([-1, 1], (140, 2)) * rng.uniform(15, 200, (140, 2))
+    got = robust.fit_pose(p1, p2, K, limit=0.5)
+    assert got is not None and np.allclose(got[0], r, atol=5e-3) and got[4][140:].mean() > 0.95
+
+
+def test_few_draws_where_all_agree(monkeypatch):
+    drawn, plain = [], robust._samples
+    monkeypatch.setattr(robust, "_samples", lambda *a: drawn.append(1) or plain(*a))
+    a = np.random.default_rng(1).uniform(0, 100, (40, 2))
+    robust.fit_homography(a, a + 3.0)
+    assert len(drawn) == 1
