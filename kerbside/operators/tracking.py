@@ -16,6 +16,9 @@ TRACKS = (
     "evicted boolean, range_rate double, last_distance double, ttc double"
 )
 
+#: A live track in the state of a stream.
+STATE = "class_name string, x1 double, y1 double, x2 double, y2 double, age bigint, hits bigint, misses bigint, times array<double>, distances array<double>"
+
 
 def range_rates(df: DataFrame, track: str, time: str, distance: str, ties: Sequence[str] = ()) -> DataFrame:
     """Add range_rate, last_distance and ttc over the last 12 rows of the track.
@@ -109,6 +112,24 @@ class Tracks:
         self._remember(start + np.arange(n), distance[which], time)
         self.next_id += n
 
+    def rows(self) -> dict[int, tuple]:
+        """Each track's class, box, counts and buffers by its id, as plain values in the order of STATE."""
+        plain = zip(self.class_name, self.box.tolist(), *(self.counts[k].tolist() for k in self.NUMBERS), self.times.tolist(), self.distances.tolist(), strict=True)
+        return {k: (name, *box, age, hits, misses, times, distances) for name, box, k, age, hits, misses, times, distances in plain}
+
+    def restore(self, next_id: int, rows: dict[int, tuple]) -> Tracks:
+        """Live tracks as ``rows`` gave them, in the order of their ids."""
+        import numpy as np
+
+        ids = sorted(rows)
+        lines = [rows[k] for k in ids]
+        self.next_id, self.evicted = next_id, np.zeros(len(ids), bool)
+        self.class_name = np.array([r[0] for r in lines], object)
+        self.box = np.array([r[1:5] for r in lines], float).reshape(len(ids), 4)
+        self.counts = {"track_id": np.array(ids, np.int64)} | {k: np.array([r[5 + i] for r in lines], np.int64) for i, k in enumerate(self.NUMBERS[1:])}
+        self.times, self.distances = (np.array([r[i] for r in lines], float).reshape(len(ids), BUFFER) for i in (8, 9))
+        return self
+
     def drop_evicted(self) -> None:
         keep = ~self.evicted
         for name in ("box", "class_name", "times", "distances", "evicted"):

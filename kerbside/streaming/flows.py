@@ -6,8 +6,9 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
-from kerbside.operators.tracking import TRACKS, Tracks, frame_arrays
+from kerbside.operators.tracking import STATE, TRACKS, Tracks, frame_arrays
 
 
 def with_event_time(df: DataFrame, column: str, late: str | None = None) -> DataFrame:
@@ -34,43 +35,68 @@ def deduplicated(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.dropDuplicatesWithinWatermark(keys) if df.isStreaming else df.dropDuplicates(keys)
 
 
-def track_stream(df: DataFrame, clip: str, frame: str, order: str, dt: float = 1.0, idle: str | None = None, **options) -> DataFrame:
-    """Tracks after each micro-batch: every live or just evicted track of the clips in it, in update mode.
-
-    A clip's frames must come in order over the batches; a batch may hold
-    several.  The state of a clip is its live tracks and frame counter; with
-    ``idle`` (milliseconds) it is dropped that long after the clip's last frame.
-    """
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+class ClipTracker(StatefulProcessor):
+    """The tracks of one clip: a row of typed state per live track, one for the clip, and a timer at the clip's end."""
 
-    key_type = dict(df.dtypes)[clip]
+    def __init__(self, clip: str, frame: str, order: str, time: str | None, idle_ms: int | None, dt: float, options: dict):
+        self.clip, self.frame, self.order, self.time, self.idle_ms, self.dt, self.options = clip, frame, order, time, idle_ms, dt, options
 
-    def run(key: tuple, parts: Iterator, state: GroupState) -> Iterator:
-        import pickle
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.clock = handle.getValueState("clip", "frames bigint, next_id bigint, last_ms bigint")
+        self.live = handle.getMapState("tracks", "track_id bigint", STATE)
 
+    def handleInputRows(self, key, rows, timerValues) -> Iterator:
         import numpy as np
         import pandas as pd
 
-        if state.hasTimedOut:
-            state.remove()
-            return
-        frames, blob = state.get if state.exists else (0, b"")
-        tracks = pickle.loads(blob) if blob else Tracks(**options)
-        tracks.drop_evicted()
-        pdf = pd.concat(list(parts)).sort_values([frame, order], kind="stable")
-        rows = {c: pdf[c].to_numpy() for c in pdf.columns}
-        for lines in np.split(np.arange(len(pdf)), np.flatnonzero(rows[frame][1:] != rows[frame][:-1]) + 1):
-            tracks.advance(*frame_arrays(rows, lines), frames * dt)
+        pdf = pd.concat(list(rows)).sort_values([self.frame, self.order], kind="stable")
+        frames, next_id, last_ms = self.clock.get() if self.clock.exists() else (0, 1, -1)
+        before = {k[0]: tuple(v) for k, v in self.live.iterator()}
+        tracks = Tracks(**self.options).restore(next_id, before)
+        columns = {c: pdf[c].to_numpy() for c in pdf.columns}
+        for lines in np.split(np.arange(len(pdf)), np.flatnonzero(columns[self.frame][1:] != columns[self.frame][:-1]) + 1):
+            tracks.advance(*frame_arrays(columns, lines), frames * self.dt)
             frames += 1
-        state.update((frames, pickle.dumps(tracks)))
-        if idle is not None:
-            state.setTimeoutDuration(int(idle))
         made = pd.DataFrame(tracks.columns())
-        made.insert(0, clip, key[0])
+        made.insert(0, self.clip, key[0])
+        tracks.drop_evicted()
+        after = tracks.rows()
+        for gone in before.keys() - after.keys():
+            self.live.removeKey((gone,))
+        for k, row in after.items():
+            self.live.updateValue((k,), row)
+        if self.idle_ms is not None:
+            for old in list(self.handle.listTimers()):
+                self.handle.deleteTimer(old)
+            last_ms = max(last_ms, int(pd.Timestamp(pdf[self.time].max()).timestamp() * 1000))
+            self.handle.registerTimer(last_ms + self.idle_ms)
+        self.clock.update((frames, tracks.next_id, last_ms))
         yield made
 
-    timeout = GroupStateTimeout.NoTimeout if idle is None else GroupStateTimeout.ProcessingTimeTimeout
-    return df.groupBy(clip).applyInPandasWithState(run, f"`{clip}` {key_type}, {TRACKS}", "frames bigint, blob binary", "update", timeout)
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
+        self.clock.clear()
+        self.live.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def track_stream(df: DataFrame, clip: str, frame: str, order: str, dt: float = 1.0, time: str | None = None, idle_ms: int | None = None, **options) -> DataFrame:
+    """Tracks after each micro-batch: every live or just evicted track of the clips in it, in update mode.
+
+    A clip's frames must come in order over the batches; a batch may hold
+    several.  The state of a clip is a row per live track and its counters, so a
+    batch writes what it changed.  With ``idle_ms`` and an event ``time`` (with a watermark) the state of a clip
+    goes when the watermark is that far behind its last frame; without, it stays.
+    Needs the RocksDB state store.
+    """
+    if (time is None) != (idle_ms is None):
+        raise ValueError("an idle time needs the column of the event time, and the other way round")
+    key_type = dict(df.dtypes)[clip]
+    processor = ClipTracker(clip, frame, order, time, idle_ms, dt, options)
+    return df.groupBy(clip).transformWithStateInPandas(processor, f"`{clip}` {key_type}, {TRACKS}", "Update", "None" if time is None else "EventTime")
 
 
 def each_batch(stream: DataFrame, on_frame: Callable[[DataFrame, int], None], checkpoint: str, once: bool = True):
