@@ -189,7 +189,7 @@ def holding(docs: DataFrame, items: DataFrame, key: str, text: str, item: str, r
     An item's inner words stand whole in a document that contains it, so a run
     of up to ``run`` of them (its anchor) is sought among the document's runs by
     hash, and what is found is compared with ``contains``.  Items without an
-    inner word have no anchor; up to ``small`` of them are broadcast and compared with each document.
+    inner word have no anchor; they are broadcast in blocks of about ``small`` and compared with each document.
     """
     known = items.where(F.col(item).isNotNull()).select(F.col(item).alias("_item")).distinct()
     known = cut(known.select("_item", *[c.alias(n) for c, n in ((F.size(inner_of("_item", run)), "_m"), (F.xxhash64(inner_of("_item", run)), "_h"))]))
@@ -212,10 +212,10 @@ def holding(docs: DataFrame, items: DataFrame, key: str, text: str, item: str, r
         pairs = likely.join(known, ["_m", "_h"]).join(own, "_key")
         found = found.union(pairs.where(F.col("_text").contains(F.col("_item"))).select("_key"))
     bare = known.where("_m = 0").select("_item")
-    if (number := bare.limit(small + 1).count()) > small:
-        raise ValueError(f"more than {small} items have no inner word")
-    if number:
-        found = found.union(own.join(F.broadcast(bare), F.col("_text").contains(F.col("_item")), "left_semi").select("_key"))
+    blocks = -(-bare.count() // small)
+    for n in range(blocks):
+        some = bare.where(F.pmod(F.xxhash64("_item"), F.lit(blocks)) == n)
+        found = found.union(own.join(F.broadcast(some), F.col("_text").contains(F.col("_item")), "left_semi").select("_key"))
     return found.distinct()
 
 

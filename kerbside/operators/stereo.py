@@ -13,7 +13,11 @@ from kerbside.operators.quantiles import percentiles
 
 def design_table(spark, focal: float, baseline: float, ranges: Sequence[float] = (2, 5, 10, 20, 30, 50), sigma: float = 0.25) -> DataFrame:
     """range_m, disparity_px, sigma_m and relative_error at some ranges."""
-    rows = spark.createDataFrame([(float(r),) for r in ranges], "range_m double")
+    return design(spark.createDataFrame([(float(r),) for r in ranges], "range_m double"), focal, baseline, sigma)
+
+
+def design(rows: DataFrame, focal: float, baseline: float, sigma: float = 0.25) -> DataFrame:
+    """Add disparity_px, sigma_m and relative_error to rows with a ``range_m``."""
     z = F.col("range_m")
     made = rows.withColumns({"disparity_px": geo.depth_to_disparity(z, focal, baseline), "sigma_m": geo.depth_sigma(z, focal, baseline, sigma)})
     return made.withColumn("relative_error", F.col("sigma_m") / z)

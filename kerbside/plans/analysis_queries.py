@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kerbside.operators import evaluation, statistics, tracking
-from kerbside.plans.fixtures import TRACKS_SQL, Book, boxes, r6, read, tracks
+from kerbside.plans.fixtures import BOXES_SQL, SUPPRESSED_SQL, TRACKS_SQL, Book, boxes, r6, read, tracks
 from kerbside.streaming import flows
 
 book = Book()
@@ -107,7 +107,10 @@ def event_sessions(spark, d):
     return made.select("user_id", F.unix_micros("session_start").alias("session_start"), F.unix_micros("session_end").alias("session_end"), "n")
 
 
-@book.add()
+@book.add(f"""WITH RECURSIVE {BOXES_SQL}, h AS (SELECT frame, det AS anchor, greatest(score - 0.3, score - 0.5) AS score, x1 / 3 AS cx, y2 / 3 + 140 AS cy, (x2 - x1) / 3 AS w, (y2 - y1) / 3 AS h FROM b),
+    e AS (SELECT *, cx - w / 2 AS ex1, cy - h / 2 AS ey1 FROM h WHERE score > 0.25),
+    o AS (SELECT frame, anchor, score, ex1 AS x1, ey1 AS y1, ex1 + w AS x2, ey1 + h AS y2, row_number() OVER (PARTITION BY frame ORDER BY score DESC, anchor) AS n FROM e), {SUPPRESSED_SQL}
+    SELECT frame, anchor, 0 AS class_id, round(score, 6) + 0.0 AS score, {", ".join(f"round(least(greatest(({e} - {pad}) / (1 / 3.0::DOUBLE), 0), {top}), 3) + 0.0 AS {e}" for e, pad, top in (("x1", 0, 1919), ("y1", 140, 1079), ("x2", 0, 1919), ("y2", 140, 1079)))} FROM kept""")
 def letterboxed_heads(spark, d):
     """Synthetic network outputs decoded to boxes."""
     from kerbside.operators.matching import decode_head
@@ -116,4 +119,5 @@ def letterboxed_heads(spark, d):
         F.col("frame"), F.col("det").alias("anchor"), F.lit(1920).alias("width"), F.lit(1080).alias("height"), (F.col("x1") / 3).alias("cx"), (F.col("y2") / 3 + 140).alias("cy"),
         ((F.col("x2") - F.col("x1")) / 3).alias("w"), ((F.col("y2") - F.col("y1")) / 3).alias("h"), F.array(F.col("score") - 0.3, F.col("score") - 0.5).alias("scores"),
     )
-    return decode_head(rows, "frame").select("frame", "anchor", "class_id", "score", "x1", "y1", "x2", "y2")
+    made = decode_head(rows, "frame")
+    return made.select("frame", "anchor", "class_id", r6("score").alias("score"), *[(F.round(F.col(e).cast("double"), 3) + 0.0).alias(e) for e in ("x1", "y1", "x2", "y2")])

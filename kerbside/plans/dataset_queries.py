@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from kerbside.functions import boxes as bx
 from kerbside.functions.hashing import fraction
 from kerbside.functions.text import audit_key, clip_parts, file_stem, group_key, name_prefix, run_parts
-from kerbside.operators import annotations, evaluation, graph, matching, sequences, splits
+from kerbside.operators import annotations, datasets, evaluation, graph, matching, sequences, splits
 from kerbside.plans.fixtures import (
-    BOXES_SQL, DOCUMENTS_SQL, STEMS_SQL, VECTORS_SQL, Book, boxes, clip_stems, document_hashes, frames, index_runs, r6, read, split_groups, vector_hashes,
+    BOXES_SQL, DOCUMENTS_SQL, STEMS_SQL, SUPPRESSED_SQL, VECTORS_SQL, Book, boxes, clip_stems, document_hashes, frames, index_runs, r6, read, split_groups, vector_hashes,
 )
 from kerbside.sources import readers
 
@@ -65,11 +65,76 @@ def class_balance(spark, d):
     return made.select("split", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("barrier", "cone", "stop_sign")])
 
 
-@book.add(f"""WITH {BOXES_SQL}, k(class_name) AS (VALUES ('cone'), ('barrier'), ('stop_sign'), ('drum'))
-    SELECT class_name, coalesce(n, 0)::BIGINT AS n FROM k LEFT JOIN (SELECT class_name, count(*) AS n FROM b WHERE score > 0.99 GROUP BY class_name) USING (class_name) WHERE coalesce(n, 0) < 500000""")
+@book.add(f"""WITH {BOXES_SQL}, f AS (SELECT o_orderkey AS frame, o_orderstatus AS split FROM orders), c AS (SELECT class_name, count(*) AS n FROM b JOIN f USING (frame) WHERE split = 'P' GROUP BY class_name),
+    k(class_name) AS (VALUES ('cone'), ('barrier'), ('stop_sign'), ('drum'))
+    SELECT class_name, coalesce(n, 0)::BIGINT AS n FROM k LEFT JOIN c USING (class_name) WHERE coalesce(n, 0) < (SELECT sum(n) // 3 FROM c)""")
 def thin_classes(spark, d):
-    counts = boxes(spark, d).where("score > 0.99").groupBy("class_name").agg(F.count("*").alias("n"))
-    return annotations.thin_classes(counts, ["cone", "barrier", "stop_sign", "drum"], "class_name", 500_000)
+    """Classes of one split with less than a third of its boxes."""
+    rows = boxes(spark, d).join(frames(spark, d).where("split = 'P'").select("frame"), "frame")
+    counts = rows.groupBy("class_name").agg(F.count("*").alias("n"))
+    least = (counts.agg(F.sum("n")).first()[0] or 0) // 3
+    return annotations.thin_classes(counts, ["cone", "barrier", "stop_sign", "drum"], "class_name", least)
+
+
+_CONVERT_SQL = f"""{BOXES_SQL}, a AS (SELECT frame, CASE class_name WHEN 'cone' THEN 0 ELSE 1 END AS cls, class_name, x1 * 2 / 3 AS x1, y1 * 2 / 3 AS y1, x2 * 2 / 3 AS x2, y2 * 2 / 3 AS y2
+        FROM b WHERE score <= 0.95 AND class_name IN ('cone', 'barrier') AND x2 - x1 >= 6 AND y2 - y1 >= 6),
+    c AS (SELECT frame, cls, class_name, least(greatest(x1, 0), 1279) AS x1, least(greatest(y1, 0), 719) AS y1, least(greatest(x2, 0), 1279) AS x2, least(greatest(y2, 0), 719) AS y2 FROM a),
+    l AS (SELECT o_orderstatus AS split, 'im_' || frame AS stem, class_name, cls, (x1 + x2) / 2 / 1280 AS cx, (y1 + y2) / 2 / 720 AS cy, (x2 - x1) / 1280 AS w, (y2 - y1) / 720 AS h
+        FROM c JOIN orders ON o_orderkey = frame WHERE x2 - x1 >= 2 AND y2 - y1 >= 2)"""
+
+
+def _converted(spark, d):
+    images = frames(spark, d).select(F.col("frame").alias("image_id"), "split", F.concat(F.lit("im_"), F.col("frame").cast("string")).alias("stem"), "width", "height")
+    found = boxes(spark, d).select(F.col("frame").alias("image_id"), F.col("class_name").alias("category"), *bx.EDGES, F.when(F.col("score") > 0.95, 1).otherwise(0).alias("iscrowd"))
+    return datasets.convert(images, found, {"cone": "cone", "barrier": "barrier"}, ["cone", "barrier"])
+
+
+@book.add(f"WITH {_CONVERT_SQL} SELECT split, stem, cls, round(cx, 6) + 0.0 AS cx, round(cy, 6) + 0.0 AS cy, round(w, 6) + 0.0 AS w, round(h, 6) + 0.0 AS h FROM l")
+def converted_labels(spark, d):
+    return _converted(spark, d).labels.select("split", "stem", "cls", *[r6(c).alias(c) for c in ("cx", "cy", "w", "h")])
+
+
+@book.add(f"""WITH {_CONVERT_SQL}, n AS (SELECT stem, count(*) AS n FROM l GROUP BY stem), i AS (SELECT o_orderstatus AS split, n FROM orders LEFT JOIN n ON stem = 'im_' || o_orderkey)
+    SELECT split, class_name, count(*) AS n FROM l GROUP BY ALL UNION ALL SELECT split, '__images__', count(*) FROM i GROUP BY split UNION ALL SELECT split, '__negatives__', count(*) FILTER (WHERE n IS NULL) FROM i GROUP BY split""")
+def converted_counts(spark, d):
+    return _converted(spark, d).counts
+
+
+_MIXED_SQL = f"""{STEMS_SQL}, j AS (SELECT event_type AS prefix, event_id AS idx, CASE WHEN event_id - lag(event_id) OVER (PARTITION BY event_type ORDER BY event_id) > 10 THEN 1 ELSE 0 END AS jump FROM events WHERE event_id % 2 = 1),
+    i AS (SELECT prefix, idx, sum(jump) OVER (PARTITION BY prefix ORDER BY idx)::BIGINT AS island FROM j),
+    r AS (SELECT *, ((row_number() OVER (PARTITION BY prefix, island ORDER BY idx) - 1) // 250)::INT AS chunk FROM i),
+    e AS (SELECT *, count(*) OVER (PARTITION BY prefix, island, chunk) > 16 AND row_number() OVER (PARTITION BY prefix, island, chunk ORDER BY idx DESC) <= 8 AS dropped FROM r),
+    m AS (SELECT stem, city || '/' || video || '/' || seq AS grp FROM s WHERE event_id % 2 = 0 UNION ALL SELECT 'rw_' || prefix || '_' || idx, prefix || '/' || island || '/' || chunk FROM e WHERE NOT dropped),
+    g AS (SELECT grp, count(*) AS n FROM m GROUP BY grp), k AS (SELECT *, ('0x' || substr(md5('0:rw/' || grp), 1, 13))::BIGINT / 4503599627370496 AS rank FROM g),
+    f AS (SELECT grp, n, CASE WHEN coalesce(sum(n) OVER (ORDER BY rank, grp ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 0.27 * sum(n) OVER () THEN 'val' ELSE 'train' END AS split FROM k)"""
+
+
+def _mixed_stems(spark, d):
+    """Clip frames of every other event, numbered frames of the rest."""
+    clips = clip_stems(spark, d).where("event_id % 2 = 0").select("stem")
+    runs = index_runs(spark, d).where("idx % 2 = 1").select(F.concat_ws("_", F.lit("rw"), "prefix", F.col("idx").cast("string")).alias("stem"))
+    return clips.unionByName(runs)
+
+
+@book.add(f"WITH {_MIXED_SQL} SELECT stem, 'rw' AS source, grp, split FROM m JOIN f USING (grp)")
+def resplit_assignment(spark, d):
+    return datasets.resplit(_mixed_stems(spark, d)).assignment.select("stem", "source", "grp", "split")
+
+
+@book.add(f"""WITH {_MIXED_SQL} SELECT 'rw' AS source, count(*) AS groups, count(*) FILTER (WHERE split = 'val') AS val_groups, sum(n)::BIGINT AS images, coalesce(sum(n) FILTER (WHERE split = 'val'), 0)::BIGINT AS val_images,
+    round(coalesce(sum(n) FILTER (WHERE split = 'val'), 0) / sum(n), 4) AS fraction FROM f""")
+def resplit_summary(spark, d):
+    return datasets.resplit(_mixed_stems(spark, d)).summary
+
+
+@book.add(f"""WITH {STEMS_SQL}, k AS (SELECT stem, 'rw::' || city || '/' || video || '/' || seq AS grp, CASE WHEN event_id % 4 = 0 THEN 'val' ELSE 'train' END AS split FROM s),
+    d AS (SELECT count(*) FILTER (WHERE n > 1) AS duplicate_stems FROM (SELECT stem, count(DISTINCT split) AS n FROM k GROUP BY stem)),
+    v AS (SELECT grp, count(*) AS n FROM k WHERE split = 'val' GROUP BY grp), t AS (SELECT DISTINCT grp FROM k WHERE split = 'train'),
+    a AS (SELECT count(t.grp) AS shared, coalesce(sum(n) FILTER (WHERE t.grp IS NOT NULL), 0)::BIGINT AS affected, round(coalesce(100.0 * sum(n) FILTER (WHERE t.grp IS NOT NULL) / sum(n), 0), 6) + 0.0 AS affected_pct FROM v LEFT JOIN t USING (grp))
+    SELECT *, 0::BIGINT AS near_pairs, duplicate_stems > 0 OR shared > 0 AS leaked FROM d, a""")
+def leakage_report(spark, d):
+    rows = clip_stems(spark, d).select("stem", F.when(F.col("event_id") % 4 == 0, "val").otherwise("train").alias("split"))
+    return datasets.leakage_check(rows).withColumn("affected_pct", r6("affected_pct"))
 
 
 @book.add(f"""WITH {BOXES_SQL}, s AS (SELECT class_name, CASE WHEN (x2 - x1) * (y2 - y1) < 1024 THEN 'small' WHEN (x2 - x1) * (y2 - y1) < 9216 THEN 'medium' ELSE 'large' END AS band FROM b)
@@ -367,7 +432,7 @@ def bad_rows_skipped(spark, d):
     return readers.clean_label_rows(raw).groupBy("image_path").agg(F.count("*").alias("n"), r6(F.sum("x2")).alias("xmax_sum"))
 
 
-@book.add()
+@book.add(f"""WITH RECURSIVE {BOXES_SQL}, o AS (SELECT frame, class_name, x1, y1, x2, y2, score, side, det, row_number() OVER (PARTITION BY frame ORDER BY score DESC, det) AS n FROM b), {SUPPRESSED_SQL} SELECT * EXCLUDE (n) FROM kept""")
 def nms(spark, d):
     return matching.suppress(boxes(spark, d, True), "frame", "det")
 

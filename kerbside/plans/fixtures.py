@@ -79,6 +79,15 @@ BOXES_SQL = f"""b AS (
         FROM lineitem))"""
 
 
+#: Greedy suppression of boxes o (frame, n by rank, x1 .. y2): the ranks kept so far go from box to box of a frame.  Needs WITH RECURSIVE.
+SUPPRESSED_SQL = """near AS (SELECT a.frame, a.n, list(c.n) AS before_ FROM o a JOIN o c ON a.frame = c.frame AND c.n < a.n
+        AND greatest(least(a.x2, c.x2) - greatest(a.x1, c.x1), 0) * greatest(least(a.y2, c.y2) - greatest(a.y1, c.y1), 0) > 0.45 * greatest((a.x2 - a.x1) * (a.y2 - a.y1) + (c.x2 - c.x1) * (c.y2 - c.y1)
+        - greatest(least(a.x2, c.x2) - greatest(a.x1, c.x1), 0) * greatest(least(a.y2, c.y2) - greatest(a.y1, c.y1), 0), 1e-12) GROUP BY a.frame, a.n),
+    walk(frame, n, held) AS (SELECT frame, 0::BIGINT, []::BIGINT[] FROM o WHERE n = 1
+        UNION ALL SELECT w.frame, o.n, CASE WHEN list_has_any(w.held, coalesce(near.before_, [])) THEN w.held ELSE list_append(w.held, o.n) END FROM walk w JOIN o ON o.frame = w.frame AND o.n = w.n + 1 LEFT JOIN near ON near.frame = o.frame AND near.n = o.n),
+    kept AS (SELECT o.* FROM o JOIN walk w ON w.frame = o.frame AND w.n = o.n AND list_contains(w.held, o.n))"""
+
+
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("frame"), F.lit(1920).alias("width"), F.lit(1080).alias("height"), F.col("o_orderstatus").alias("split"))
 

@@ -89,33 +89,33 @@ def pipeline_frame(spark, d):
     return ranked.select("frame", "rank", "det", "class_name", r6("distance_m").alias("distance_m"), back.alias("draw_order"))
 
 
-@book.add("""WITH c(name, width, height, hfov, h, pitch) AS (VALUES ('a', 1920, 1080, 60.0::DOUBLE, 1.3::DOUBLE, -7.0::DOUBLE), ('b', 1280, 720, 90.0::DOUBLE, 1.5::DOUBLE, 0.0::DOUBLE), ('c', 640, 480, 45.0::DOUBLE, 1.1::DOUBLE, 8.0::DOUBLE)),
+@book.add("""WITH c AS (SELECT page_id, 320 + page_id * 131 % 1600 AS width, 240 + page_id * 77 % 1200 AS height, (40 + page_id % 60)::DOUBLE AS hfov, (page_id % 31 - 15)::DOUBLE AS pitch FROM pages),
     k AS (SELECT *, width / 2.0::DOUBLE / tan(radians(hfov) / 2) AS fx FROM c)
-    SELECT name, round(fx, 6) + 0.0 AS fx, round(degrees(2 * atan(width / 2.0::DOUBLE / fx)), 6) + 0.0 AS hfov, round(height / 2.0::DOUBLE - fx * tan(radians(pitch)), 6) + 0.0 AS horizon,
-        round(fx / 2, 6) + 0.0 AS half_fx, round(10 * cos(radians(pitch)), 6) + 0.0 AS forward_of_10,
+    SELECT page_id, round(fx, 6) + 0.0 AS fx, round(degrees(2 * atan(width / 2.0::DOUBLE / fx)), 6) + 0.0 AS hfov, round(height / 2.0::DOUBLE - fx * tan(radians(pitch)), 6) + 0.0 AS horizon,
+        round(width // 2 / 2.0::DOUBLE / tan(radians(hfov) / 2), 6) + 0.0 AS half_fx, round(10 * cos(radians(pitch)), 6) + 0.0 AS forward_of_10,
         round(cos(radians(pitch)), 6) + 0.0 AS r11, round(sin(radians(pitch)), 6) + 0.0 AS r12 FROM k""")
 def camera_variants(spark, d):
-    rows = [("a", 1920, 1080, 60.0, 1.3, -7.0), ("b", 1280, 720, 90.0, 1.5, 0.0), ("c", 640, 480, 45.0, 1.1, 8.0)]
-    cams = spark.createDataFrame(rows, "name string, width int, height int, hfov double, h double, pitch double")
+    """A camera for every page, by its number."""
+    n = F.col("page_id")
+    cams = read(spark, d, "pages").select(n, (320 + n * 131 % 1600).alias("width"), (240 + n * 77 % 1200).alias("height"), (40 + n % 60).cast("double").alias("hfov"), (n % 31 - 15).cast("double").alias("pitch"))
     focal = geo.focal_of_view(F.col("width"), F.col("hfov"))
     _, across, ahead = geo.levelled(F.lit(0.0), F.lit(1.0), F.lit(0.0), F.col("pitch"))
     out = {
         "fx": focal, "hfov": geo.view_of_focal(F.col("width"), focal), "horizon": geo.horizon_of_pitch(F.col("height") / 2, focal, F.col("pitch")),
         "half_fx": geo.focal_of_view(F.floor(F.col("width") / 2), F.col("hfov")), "forward_of_10": geo.depth_to_forward(F.lit(10.0), F.col("pitch")), "r11": across, "r12": -ahead,
     }
-    return cams.select("name", *[r6(v).alias(k) for k, v in out.items()])
+    return cams.select("page_id", *[r6(v).alias(k) for k, v in out.items()])
 
 
-@book.add("""SELECT v::INT AS row_no, round(CASE WHEN den > 1e-9 THEN least(1.3 / den, 150.0) ELSE 150.0 END, 6) + 0.0 AS depth_m,
-        round(exp(-0.07 * CASE WHEN den > 1e-9 THEN least(1.3 / den, 150.0) ELSE 150.0 END), 6) + 0.0 AS transmission,
-        round(degrees(atan((540.0 - v) / 1662.77)), 6) + 0.0 AS horizon_pitch
-    FROM (SELECT v, (v - 540.0::DOUBLE) / (960.0::DOUBLE / tan(radians(30.0::DOUBLE))) AS den FROM (SELECT unnest(range(1080))::DOUBLE AS v))""")
+@book.add(f"""WITH {BOXES_SQL}, v AS (SELECT frame, det, y2 AS v, (y2 - 540.0::DOUBLE) / (960.0::DOUBLE / tan(radians(30.0::DOUBLE))) AS den FROM b),
+    z AS (SELECT *, CASE WHEN den > 1e-9 THEN least(1.3 / den, 150.0) ELSE 150.0 END AS z FROM v)
+    SELECT frame, det, round(z, 6) + 0.0 AS depth_m, round(exp(-0.07 * z), 6) + 0.0 AS transmission, round(degrees(atan((540.0 - v) / 1662.77)), 6) + 0.0 AS horizon_pitch FROM z""")
 def row_depth_fog(spark, d):
+    """Depth, fog and pitch at the bottom row of every box."""
     cam = pinhole((1920, 1080), 60.0)
-    v = F.col("row_no").cast("double")
+    v = F.col("y2")
     depth = F.least(F.coalesce(geo.ground_range(v, F.lit(cam.pose.height_m), cam), F.lit(150.0)), F.lit(150.0))
-    rows = spark.range(1080).select(F.col("id").cast("int").alias("row_no"))
-    return rows.select("row_no", r6(depth).alias("depth_m"), r6(geo.fog_transmission(depth, 0.07)).alias("transmission"), r6(geo.pitch_from_horizon(v, CAMERA)).alias("horizon_pitch"))
+    return boxes(spark, d, True).select("frame", "det", r6(depth).alias("depth_m"), r6(geo.fog_transmission(depth, 0.07)).alias("transmission"), r6(geo.pitch_from_horizon(v, CAMERA)).alias("horizon_pitch"))
 
 
 @book.add(f"""WITH {RANGED_SQL} SELECT frame, det, round_even((lateral_m + 10.0) * 12.0, 0)::INT AS px, round_even((40.0 - forward_m) * 12.0, 0)::INT AS py,
@@ -163,9 +163,11 @@ def epipolar_median(spark, d):
 
 
 @book.add("""SELECT r AS range_m, round(84.0 / r, 6) + 0.0 AS disparity_px, round(r * r * 0.25 / 84.0, 6) + 0.0 AS sigma_m, round(r * 0.25 / 84.0, 6) + 0.0 AS relative_error,
-    round(0.1 * 84.0 / 0.25, 6) + 0.0 AS useful_m FROM (VALUES (2.0::DOUBLE), (5.0), (10.0), (20.0), (30.0), (50.0)) t(r)""")
+    round(0.1 * 84.0 / 0.25, 6) + 0.0 AS useful_m FROM (SELECT DISTINCT l_quantity::DOUBLE AS r FROM lineitem WHERE l_quantity > 0)""")
 def stereo_table(spark, d):
-    made = stereo.design_table(spark, 700.0, 0.12)
+    """What a pair of cameras can tell at the distances that the lines' quantities name."""
+    ranges = read(spark, d, "lineitem").select(F.col("l_quantity").cast("double").alias("range_m")).where("range_m > 0").distinct()
+    made = stereo.design(ranges, 700.0, 0.12)
     return made.select("range_m", *[r6(c).alias(c) for c in ("disparity_px", "sigma_m", "relative_error")], r6(F.lit(geo.max_useful_range(700.0, 0.12))).alias("useful_m"))
 
 
