@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kerbside.functions import boxes
 from kerbside.operators.runs import map_runs
 from kerbside.operators.scans import Ordered
+from kerbside.storage import cut
 
 THRESHOLDS = tuple(round(0.5 + 0.05 * i, 2) for i in range(10))
 #: Area ranges in square pixels, both ends included as in the public protocol.
@@ -111,7 +112,8 @@ def average_precision(detections: DataFrame, truths: DataFrame, image: str = "im
     by = ["class_name", "area_range", "threshold"]
     counts = truth_counts(truths)
     grid = counts.withColumn("threshold", F.explode(F.array(*map(F.lit, THRESHOLDS))))
-    hits = match(detections, truths, image).where(~F.col("ignored")).join(F.broadcast(counts), ["class_name", "area_range"])
+    # kept, as the choice is made in Python and what follows reads it more than once
+    hits = cut(match(detections, truths, image).where(~F.col("ignored")).drop("ignored")).join(F.broadcast(counts), ["class_name", "area_range"])
     curve = precision_recall(hits, by, ["-score", "det_id"], F.col("tp"), F.col("n_gt"))
     ap = interpolated(curve, by)
     return grid.join(ap, by, "left").select(*by, F.coalesce("ap", F.lit(0.0)).alias("ap"), F.coalesce("recall", F.lit(0.0)).alias("recall"))

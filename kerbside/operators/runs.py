@@ -26,8 +26,7 @@ def map_runs(df: DataFrame, keys: Sequence[str], order: Sequence, fn: Callable[[
         last = None
 
         def result(parts: list) -> dict:
-            whole = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
-            return fn({c: whole[c].to_numpy() for c in whole.columns}) or {}
+            return fn(parts[0] if len(parts) == 1 else {c: np.concatenate([p[c] for p in parts]) for c in parts[0]}) or {}
 
         def frame(made: list):
             names = {c for m in made for c in m}
@@ -38,6 +37,8 @@ def map_runs(df: DataFrame, keys: Sequence[str], order: Sequence, fn: Callable[[
                 continue
             # a key compares as text, so that nulls equal each other
             text = [pdf[k].astype("string").fillna("\0").to_numpy() for k in keys]
+            arrays = {c: pdf[c].to_numpy() for c in pdf.columns}
+            some = lambda a, b: {c: v[a:b] for c, v in arrays.items()}  # noqa: B023, E731
             change = np.zeros(len(pdf), bool)
             for v in text:
                 change[1:] |= v[1:] != v[:-1]
@@ -46,10 +47,10 @@ def map_runs(df: DataFrame, keys: Sequence[str], order: Sequence, fn: Callable[[
             made, begin = [], 0
             for cut in np.flatnonzero(change):
                 if cut > begin:
-                    pieces.append(pdf.iloc[begin:cut])
+                    pieces.append(some(begin, cut))
                 made.append(result(pieces))
                 pieces, begin = [], cut
-            pieces.append(pdf.iloc[begin:])
+            pieces.append(some(begin, None))
             if (out := frame(made)) is not None:
                 yield out
         if pieces and (out := frame([result(pieces)])) is not None:

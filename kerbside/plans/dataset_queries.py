@@ -437,14 +437,46 @@ def nms(spark, d):
     return matching.suppress(boxes(spark, d, True), "frame", "det")
 
 
-@book.add()
+_COCO_SQL = f"""{BOXES_SQL}, ar(area_range, lo, hi) AS (VALUES ('all', 0.0::DOUBLE, 1e10::DOUBLE), ('small', 0.0, 1024.0), ('medium', 1024.0, 9216.0), ('large', 9216.0, 1e10)),
+    th AS (SELECT round(0.5 + 0.05 * k, 2)::DOUBLE AS threshold FROM (SELECT unnest(range(10)) AS k)),
+    q AS (SELECT frame, class_name, frame * 1000 + det AS id, score, side, x1, y1, x2, y2, (x2 - x1) * (y2 - y1) AS size, row_number() OVER (PARTITION BY frame, class_name, side ORDER BY CASE side WHEN 'F' THEN -score END, frame * 1000 + det) AS n FROM b),
+    dt AS (SELECT * FROM q WHERE side = 'F'), gt AS (SELECT * FROM q WHERE side = 'O'),
+    iv AS (SELECT d.frame, d.class_name, d.n, g.n AS m, g.size, greatest(least(d.x2, g.x2) - greatest(d.x1, g.x1), 0) * greatest(least(d.y2, g.y2) - greatest(d.y1, g.y1), 0) AS both_, d.size + g.size AS two
+        FROM dt d JOIN gt g USING (frame, class_name)),
+    ca AS (SELECT frame, class_name, n, list({{'iou': both_ / greatest(two - both_, 1e-12), 'm': m, 'size': size}}) AS c FROM iv GROUP BY ALL),
+    st AS (SELECT dt.*, coalesce(c, []) AS c FROM dt LEFT JOIN ca USING (frame, class_name, n)),
+    walk(frame, class_name, area_range, lo, hi, threshold, n, id, score, size, taken, pick) AS (
+        SELECT frame, class_name, area_range, lo, hi, threshold, 0::BIGINT, 0::BIGINT, 0::DOUBLE, 0::DOUBLE, []::BIGINT[], NULL::STRUCT(iou DOUBLE, m BIGINT, size DOUBLE) FROM dt, ar, th WHERE n = 1
+        UNION ALL
+        SELECT frame, class_name, area_range, lo, hi, threshold, n, id, score, size, CASE WHEN p IS NULL THEN taken ELSE list_append(taken, p.m) END, p
+        FROM (SELECT *, coalesce(list_sort(list_filter(free, lambda x: x.size >= lo AND x.size <= hi))[-1], list_sort(free)[-1]) AS p
+              FROM (SELECT w.frame, w.class_name, w.area_range, w.lo, w.hi, w.threshold, st.n, st.id, st.score, st.size, w.taken, list_filter(st.c, lambda x: x.iou >= w.threshold - 1e-10 AND NOT list_contains(w.taken, x.m)) AS free
+                    FROM walk w JOIN st ON st.frame = w.frame AND st.class_name = w.class_name AND st.n = w.n + 1))),
+    ng AS (SELECT class_name, area_range, count(*) AS n_gt FROM gt, ar WHERE size BETWEEN lo AND hi GROUP BY ALL),
+    ht AS (SELECT w.class_name, w.area_range, threshold, id, score, n_gt, (pick IS NOT NULL)::INT AS tp FROM walk w JOIN ng USING (class_name, area_range)
+        WHERE n > 0 AND CASE WHEN pick IS NULL THEN size BETWEEN lo AND hi ELSE pick.size BETWEEN lo AND hi END),
+    cu AS (SELECT *, sum(tp) OVER v AS hits, row_number() OVER v AS place FROM ht WINDOW v AS (PARTITION BY class_name, area_range, threshold ORDER BY score DESC, id ROWS UNBOUNDED PRECEDING)),
+    rk AS (SELECT class_name, area_range, threshold, floor(hits / n_gt * 100 + 1e-9) AS k, max(hits / place) AS p, max(hits / n_gt) AS r FROM cu GROUP BY ALL),
+    en AS (SELECT *, max(p) OVER v AS e, k - coalesce(lead(k) OVER v, -1) AS points FROM rk WINDOW v AS (PARTITION BY class_name, area_range, threshold ORDER BY k DESC)),
+    ap AS (SELECT class_name, area_range, threshold, sum(e * points) / 101 AS ap, max(r) AS recall FROM en GROUP BY ALL),
+    cm AS (SELECT class_name, area_range, threshold, coalesce(ap, 0) AS ap, coalesce(recall, 0) AS recall FROM (SELECT class_name, area_range, threshold FROM ng, th) LEFT JOIN ap USING (class_name, area_range, threshold))"""
+
+
+@book.add(f"WITH RECURSIVE {_COCO_SQL} SELECT class_name, area_range, threshold, round(ap, 6) + 0.0 AS ap, round(recall, 6) + 0.0 AS recall FROM cm")
 def coco_map(spark, d):
+    return _coco(spark, d).withColumns({c: r6(c) for c in ("ap", "recall")})
+
+
+def _coco(spark, d):
     truths, detections = _truth_and_detections(spark, d)
     det = detections.withColumn("det_id", F.col("frame") * 1000 + F.col("det"))
     gt = truths.withColumn("gt_id", F.col("frame") * 1000 + F.col("det"))
     return evaluation.average_precision(det, gt, "frame")
 
 
-@book.add()
+@book.add(f"""WITH RECURSIVE {_COCO_SQL} SELECT round(avg(ap) FILTER (WHERE area_range = 'all'), 6) + 0.0 AS map_50_95, round(avg(ap) FILTER (WHERE area_range = 'all' AND threshold = 0.5), 6) + 0.0 AS map_50,
+    round(avg(ap) FILTER (WHERE area_range = 'all' AND threshold = 0.75), 6) + 0.0 AS map_75, round(avg(ap) FILTER (WHERE area_range = 'small'), 6) + 0.0 AS map_small,
+    round(avg(ap) FILTER (WHERE area_range = 'medium'), 6) + 0.0 AS map_medium, round(avg(ap) FILTER (WHERE area_range = 'large'), 6) + 0.0 AS map_large, round(avg(recall) FILTER (WHERE area_range = 'all'), 6) + 0.0 AS ar_100 FROM cm""")
 def coco_summary(spark, d):
-    return evaluation.summary(coco_map(spark, d))
+    made = evaluation.summary(_coco(spark, d))
+    return made.select(*[r6(c).alias(c) for c in made.columns])
