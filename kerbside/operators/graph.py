@@ -128,7 +128,8 @@ def nearest_by_radius(queries: DataFrame, corpus: DataFrame, key: str, code: str
         open_ = state.select("_q")
         if state.isEmpty():
             break
-        if blocks * math.comb(widest, s) / 2**widest > share:
+        # a pair whose block differs in s bits meets under every choice of the half that is turned round
+        if blocks * math.comb(widest, s) * math.comb(s, s // 2) / 2**widest > share:
             if count < 2:
                 break
             parts = -(-open_.count() // block)

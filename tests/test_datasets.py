@@ -99,6 +99,7 @@ def test_clips_and_json(spark, tmp_path):
 def test_command_line(spark, tmp_path, capsys):
     assert main([]) == 0 and "nearest_obstacle" in capsys.readouterr().out
     assert main(["stereo_table", "/root/testdata/sf0.001", "--out", str(tmp_path / "o")]) == 0
-    assert spark.read.parquet(str(tmp_path / "o")).count() == 6
+    quantities = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").select("l_quantity").distinct().count()
+    assert spark.read.parquet(str(tmp_path / "o")).count() == quantities > 6
     with pytest.raises(SystemExit):
         main(["nothing", "here"])

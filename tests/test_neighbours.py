@@ -39,12 +39,12 @@ def found(df) -> dict:
     return {r.query: (r.match, r.distance) for r in got}
 
 
-@pytest.mark.parametrize("share", [0.5, 0.0])
+@pytest.mark.parametrize("share", [100.0, 0.5, 0.0])
 def test_nearest_of_all_rows(spark, rows, share):
     df = spark.createDataFrame(rows, "id bigint, code bigint").repartition(3)
     made = graph.nearest_by_radius(df, df, "id", "code", share=share, block=40)
     assert found(made) == brute(rows, rows)
-    if share:
+    if share > 1:
         assert "NestedLoop" not in made._jdf.queryExecution().toString()
 
 
