@@ -140,7 +140,10 @@ def nearest_by_radius(queries: DataFrame, corpus: DataFrame, key: str, code: str
             break
         probes = open_.select("_q", F.inline(_near_blocks("_q", edges, [0, 1] if s == 1 else [s - s // 2])))
         index = codes.select("_h", "_k1", F.inline(_near_blocks("_h", edges, [s // 2])))
-        seen = probes.join(index, ["i", "v"]).where("_q <> _h").groupBy("_q").agg(found)
+        pairs = probes.join(index, ["i", "v"]).where("_q <> _h")
+        # what lies farther than asked for need not be gathered
+        pairs = pairs if within is None else pairs.where(hamming(F.col("_q"), F.col("_h")) <= within)
+        seen = pairs.groupBy("_q").agg(found)
         state = cut(state.unionByName(seen).groupBy("_q").agg(F.min("_b").alias("_b")))
         final = F.coalesce(F.col("_b.distance") < blocks * (s + 1), F.lit(False))
         answers = state.where(final) if answers is None else answers.unionByName(state.where(final))
