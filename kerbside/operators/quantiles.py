@@ -29,15 +29,16 @@ def percentiles(df: DataFrame, by: Sequence[str], value: Column, probs: Sequence
     """
     limit = GROUP_VALUES if group_values is None else group_values
     rows = df.withColumn("_v", value.cast("double") + F.lit(0.0))
+    whole = F.percentile("_v", F.array(*map(F.lit, map(float, probs)))).alias("q")
+    if rows.groupBy(*by).agg(F.count("_v").alias("n")).where(F.col("n") > limit).isEmpty():
+        return rows.groupBy(*by).agg(F.count("_v").alias("n"), whole, *aggregates)
     sizes = cut(rows.groupBy(*by).agg(F.count("_v").alias("n"), *aggregates))
     wide = sizes.withColumn("_g", F.struct(*by) if by else F.struct(F.lit(0).alias("_")))
     values = rows.where("_v is not null").select((F.struct(*by) if by else F.struct(F.lit(0).alias("_"))).alias("_g"), "_v")
     # at most one large group for every ``limit`` rows
     large = F.broadcast(wide.where(F.col("n") > limit).select("_g"))
-    small = values if sizes.where(F.col("n") > limit).isEmpty() else values.join(large, "_g", "left_anti")
-    q = small.groupBy("_g").agg(F.percentile("_v", F.array(*map(F.lit, map(float, probs)))).alias("q"))
-    if small is not values:
-        q = q.unionByName(_searched(values.join(large, "_g"), wide.where(F.col("n") > limit), probs, limit))
+    small = values.join(large, "_g", "left_anti").groupBy("_g").agg(whole)
+    q = small.unionByName(_searched(values.join(large, "_g"), wide.where(F.col("n") > limit), probs, limit))
     return wide.join(q, "_g", "left").select(*by, "n", "q", *[c for c in sizes.columns if c not in ("n", *by)])
 
 
