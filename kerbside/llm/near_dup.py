@@ -191,7 +191,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
     buckets = stored(split_join(entries, shared, "band").select("band", "node", "lo"), "buckets")
 
     facts = firsts.select("node", "n", "signature")
-    stars = buckets.where("node > lo").select(F.col("lo").alias("a"), F.col("node").alias("b")).distinct()
+    stars = stored(buckets.where("node > lo").select(F.col("lo").alias("a"), F.col("node").alias("b")).distinct(), "stars")
     pairs = stored(_agreeing(stars, facts, percent), "pairs")
     involved = buckets.select("node").distinct()
     sets = stored(_sets(docs.join(involved, "node", "left_semi").select("node", "text"), shingle), "sets")
@@ -226,12 +226,18 @@ def _agreeing(stars: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
         return pd.Series((left == right).mean(1) >= LEAST_AGREEMENT)
 
     of = lambda s: facts.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("signature").alias(f"s{s}"))
-    both = stars.join(of("a"), "a").join(of("b"), "b")
-    return both.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).where(agree("sa", "sb")).select("a", "b")
+    # a node is b in as many stars as there are bands at most, but a in as many as there are other nodes
+    weighed = stored(stars.groupBy("a").agg(F.count("*").alias("_rows")).join(of("a"), "a"), "hubs")
+    both = split_join(stars, weighed, "a").join(of("b"), "b")
+    return both.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).where(agree("sa", "sb")).select("a", "b", "nb")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that are similar by their full sets."""
+    """The pairs (a, b), with nb shingles of b, that are similar by their full sets.
+
+    A node a whose partners hold more than BLOCK_SHINGLES is a hub: its partners
+    are dealt to parts of about that size, and each part gets its set once.
+    """
 
     @F.pandas_udf("boolean")
     def similar(x, y):
@@ -240,8 +246,21 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
         return pd.Series([_similar(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), percent) for a, b in zip(x, y, strict=True)], dtype=bool)
 
+    def against(hub, part):
+        import numpy as np
+
+        own = [np.frombuffer(x, np.uint64) for x in hub["sa"]]  # one, but for a key that stands with several texts
+        return part.loc[[any(_similar(x, np.frombuffer(y, np.uint64), percent) for x in own) for y in part["sb"]], ["a", "b"]]
+
     of = lambda s: sets.select(F.col("node").alias(s), F.col("shingles").alias(f"s{s}"))
-    return pairs.join(of("a"), "a").join(of("b"), "b").where(similar("sa", "sb")).select("a", "b").distinct()
+    load = pairs.groupBy("a").agg(F.ceil(F.sum("nb") / F.lit(BLOCK_SHINGLES)).cast("int").alias("parts"), F.count("*").alias("_rows"))
+    load = stored(load, "hub-loads")
+    dealt = split_join(pairs.select("a", "b"), load, "a")
+    few = dealt.where("parts <= 1").select("a", "b").join(of("b"), "b").join(of("a"), "a").where(similar("sa", "sb")).select("a", "b")
+    many = dealt.where("parts > 1").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b").join(of("b"), "b")
+    hubs = load.where("parts > 1").select("a", "parts").join(of("a"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "sa")
+    found = hubs.groupBy("a", "part").cogroup(many.groupBy("a", "part")).applyInPandas(against, "a bigint, b bigint")
+    return few.unionByName(found).distinct()
 
 
 def _remaining(buckets: DataFrame, labels: DataFrame, facts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -296,6 +296,32 @@ def test_blocks_of_a_bucket_find_the_same(docs, monkeypatch):
     assert {r.doc_id: r.component_id for r in out} == {i: c for i, (_, c) in want.items()}
 
 
+def test_a_hub_is_compared_in_parts(spark, monkeypatch):
+    """4000 distinct near copies of one text, whose smallest is a partner of all: parts of it find what one task finds."""
+    rng = np.random.default_rng(3)
+    base = prose(rng, "en", 120).split()
+    rows = []
+    for i in range(4000):
+        words = list(base)
+        words[int(rng.integers(0, 120))] = f"x{i}"
+        rows.append((i, " ".join(words)))
+    rows += [(4000 + i, prose(rng, "de", 60)) for i in range(50)]
+    near = spark.createDataFrame(rows, "doc_id bigint, text string")
+    monkeypatch.setattr(near_dup, "BLOCK_SHINGLES", 20_000)
+    held = []
+    real = near_dup.stored
+    monkeypatch.setattr(near_dup, "stored", lambda df, label: held.append((label, real(df, label))) or held[-1][1])
+    out = {r.doc_id: r for r in near_dup.near_duplicates(near).collect()}
+    sets = [{tuple(t.split()[j : j + 4]) for j in range(len(t.split()) - 3)} for _, t in rows]
+    assert all(100 * len(sets[0] & s) >= 80 * len(sets[0] | s) for s in sets[:4000])
+    assert all(out[i].component_id == (0 if i < 4000 else i) and out[i].n_shingles == len(sets[i]) for i in range(len(rows)))
+    named = dict(held)
+    loads = {r.a: r for r in named["hub-loads"].collect()}
+    assert loads[0]._rows == 3999 and loads[0].parts > 20
+    linked = {tuple(r) for r in named["links"].where("a = 0").collect()}
+    assert linked == {(0, b) for b in range(1, 4000)}
+
+
 def test_min_max_values_estimate_similarity():
     rng = np.random.default_rng(0)
     common, a, b = (rng.integers(0, 1 << 63, n, np.uint64) for n in (800, 100, 100))
