@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from kerbside.functions import boxes as bx
 from kerbside.functions.hashing import fraction
 from kerbside.functions.text import audit_key, clip_parts, file_stem, group_key, name_prefix, run_parts
-from kerbside.operators import annotations, datasets, evaluation, graph, matching, sequences, splits
+from kerbside.operators import annotations, datasets, evaluation, graph, matching, pseudo, sequences, splits, suite
 from kerbside.plans.fixtures import (
     BOXES_SQL, DOCUMENTS_SQL, STEMS_SQL, SUPPRESSED_SQL, VECTORS_SQL, Book, boxes, clip_stems, document_hashes, frames, index_runs, r6, read, split_groups, vector_hashes,
 )
@@ -480,3 +480,75 @@ def _coco(spark, d):
 def coco_summary(spark, d):
     made = evaluation.summary(_coco(spark, d))
     return made.select(*[r6(c).alias(c) for c in made.columns])
+
+
+_PSEUDO_SQL = f"""{BOXES_SQL}, fr AS (SELECT o_orderkey AS frame, o_orderstatus AS split, CASE WHEN o_orderkey % 2 = 0 THEN 'rw_' ELSE 'co_' END || o_orderkey AS stem FROM orders),
+    se AS (SELECT split, stem, frame, det, side, score, x1, y1, x2, y2, greatest(least(x1, 1919), 0) AS a1, greatest(least(y1, 1079), 0) AS a2, greatest(least(x2, 1919), 0) AS a3, greatest(least(y2, 1079), 0) AS a4
+        FROM b JOIN fr USING (frame) WHERE class_name = 'stop_sign')"""
+
+
+def _pseudo(spark, d):
+    """Frames with a prefix by their number, and the boxes as a teacher's detections, stop signs under its class number 11."""
+    stem = lambda c: F.concat(F.when(F.col(c) % 2 == 0, "rw_").otherwise("co_"), F.col(c).cast("string"))
+    known = frames(spark, d).withColumn("stem", stem("frame"))
+    found = boxes(spark, d, True).withColumns({"stem": stem("frame"), "class_id": F.when(F.col("class_name") == "stop_sign", 11).otherwise(0), "det_id": F.col("det")})
+    return known, found
+
+
+@book.add(f"""WITH {_PSEUDO_SQL} SELECT split, stem, 2 AS cls, round((a1 + a3) / 2 / 1920, 6) + 0.0 AS cx, round((a2 + a4) / 2 / 1080, 6) + 0.0 AS cy, round((a3 - a1) / 1920, 6) + 0.0 AS w, round((a4 - a2) / 1080, 6) + 0.0 AS h,
+    round(score, 6) + 0.0 AS score FROM se WHERE starts_with(stem, 'rw_') AND score > 0.55 AND a3 - a1 >= 6 AND a4 - a2 >= 6""")
+def pseudo_labels(spark, d):
+    known, found = _pseudo(spark, d)
+    return pseudo.complete(known, found, 11, 2, "rw_").labels.withColumns({c: r6(c) for c in ("cx", "cy", "w", "h", "score")})
+
+
+@book.add(f"""WITH {_PSEUDO_SQL}, su AS (SELECT * FROM se WHERE score > 0.55) SELECT split, count(*) AS images_scanned, count(*) FILTER (WHERE frame IN (SELECT frame FROM su)) AS images_modified,
+    (SELECT count(*) FROM su WHERE su.split = f.split AND starts_with(su.stem, 'rw_') AND a3 - a1 >= 6 AND a4 - a2 >= 6) AS boxes_added FROM fr f WHERE starts_with(stem, 'rw_') GROUP BY split""")
+def pseudo_label_statistics(spark, d):
+    return pseudo.complete(*_pseudo(spark, d), 11, 2, "rw_").statistics
+
+
+_MINED_SQL = f"""{_PSEUDO_SQL}, tr AS (SELECT * FROM se WHERE side = 'O'), dt AS (SELECT * FROM se WHERE side = 'F' AND score > 0.55 AND frame IN (SELECT frame FROM tr)),
+    iv AS (SELECT dt.frame, dt.det, dt.score, tr.split, tr.stem, tr.det AS truth, tr.a1, tr.a2, tr.a3, tr.a4, greatest(least(dt.x2, tr.x2) - greatest(dt.x1, tr.x1), 0) * greatest(least(dt.y2, tr.y2) - greatest(dt.y1, tr.y1), 0) AS both_,
+        (dt.x2 - dt.x1) * (dt.y2 - dt.y1) + (tr.x2 - tr.x1) * (tr.y2 - tr.y1) AS two FROM dt JOIN tr USING (frame)),
+    ag AS (SELECT * FROM iv QUALIFY row_number() OVER (PARTITION BY frame, det ORDER BY both_ / (two - both_) DESC, truth) = 1), ok AS (SELECT * FROM ag WHERE both_ / (two - both_) >= 0.35)"""
+
+
+@book.add(f"""WITH {_MINED_SQL} SELECT split, stem, det AS det_id, 2 AS cls, round((a1 + a3) / 2 / 1920, 6) + 0.0 AS cx, round((a2 + a4) / 2 / 1080, 6) + 0.0 AS cy, round((a3 - a1) / 1920, 6) + 0.0 AS w, round((a4 - a2) / 1080, 6) + 0.0 AS h,
+    round(score, 6) + 0.0 AS score FROM ok WHERE a3 - a1 >= 2 AND a4 - a2 >= 2""")
+def mined_labels(spark, d):
+    return _mined(spark, d).labels.withColumns({c: r6(c) for c in ("cx", "cy", "w", "h", "score")})
+
+
+@book.add(f"""WITH {_MINED_SQL}, n AS (SELECT count(*) AS n FROM dt), k AS (SELECT count(*) AS kept FROM ok) SELECT (SELECT count(DISTINCT frame) FROM tr) AS examined, kept, n - kept AS rejected, round(100 * (n - kept) / n, 6) + 0.0 AS rejected_pct FROM n, k""")
+def mined_statistics(spark, d):
+    return _mined(spark, d).statistics.withColumn("rejected_pct", r6("rejected_pct"))
+
+
+def _mined(spark, d):
+    known, found = _pseudo(spark, d)
+    truths = found.where("side = 'O' and class_id = 11").withColumn("truth_id", F.col("det"))
+    return pseudo.mine(known, found.where("side = 'F'"), truths, 11, 2, 0.55)
+
+
+def _variant_sql(name: str, kept: str) -> str:
+    both = "(SELECT * REPLACE ('O' AS side) FROM b UNION ALL SELECT * REPLACE ('F' AS side, x1 + frame % 7 AS x1, x2 + frame % 7 AS x2) FROM b)"
+    chosen = f"FROM {both} WHERE frame IN (SELECT frame FROM cs) AND (side = 'O' OR {kept})),\n    dt AS"
+    one = f"sn AS (SELECT o_orderkey AS frame, row_number() OVER (ORDER BY o_orderkey) - 1 AS i, count(*) OVER () AS c FROM orders), cs AS (SELECT frame FROM sn WHERE i % greatest(1, c // 300) = 0 AND i < greatest(1, c // 300) * 300), {_COCO_SQL}"
+    made = one.replace("FROM b),\n    dt AS", chosen)
+    of = lambda where, c: f"round(avg(ap) FILTER (WHERE {where}), 6) + 0.0 AS {c}"
+    all_ = "area_range = 'all'"
+    means = ", ".join([of(all_, "map_50_95"), of(f"{all_} AND threshold = 0.5", "map_50"), of("area_range = 'small'", "map_small"), of("area_range = 'large'", "map_large")])
+    return f"SELECT * FROM (WITH RECURSIVE {made} SELECT '{name}' AS variant, {means}, (SELECT count(*) FROM cs) AS eval_images FROM cm)"
+
+
+@book.add(f"{_variant_sql('whole', 'true')} UNION ALL {_variant_sql('sure', 'score > 0.7')}")
+def variant_accuracy(spark, d):
+    """Two detectors that see every box up to six pixels aside, one of which keeps what it is sure of, on the same 300 strided frames."""
+    rows = boxes(spark, d, True).withColumn("gt_id", F.col("frame") * 1000 + F.col("det"))
+    gt, aside = rows.drop("score"), F.col("frame") % 7
+    det = rows.withColumns({"det_id": F.col("gt_id"), "x1": F.col("x1") + aside, "x2": F.col("x2") + aside})
+    seen = lambda images, rows: rows.join(images.select("frame"), "frame", "left_semi")
+    variants = {"whole": lambda images: seen(images, det), "sure": lambda images: seen(images, det.where("score > 0.7"))}
+    made = suite.accuracies(variants, frames(spark, d), gt, "frame", 300)
+    return made.select("variant", *[r6(m).alias(m) for m in suite.METRICS], "eval_images")
