@@ -26,6 +26,8 @@ from pyspark.sql.types import StructType
 
 COLUMNS = "archive string, ordinal bigint, member string, size bigint, content binary"
 PARTITION_BYTES, BATCH_BYTES = 64 << 20, 16 << 20
+#: Files that a partition opens at most; each weighs as much, besides its size.
+FILES_A_PARTITION = 4096
 
 
 def store(path: str):
@@ -71,11 +73,12 @@ class _Place:
             if path.lower().endswith(".zip") and size > self.partition_bytes:
                 out += self._ranges(path)
                 continue
-            if together and held + size > self.partition_bytes:
+            cost = size + self.partition_bytes // FILES_A_PARTITION
+            if together and held + cost > self.partition_bytes:
                 out.append(Piece(together))
                 together, held = [], 0
             together.append(path)
-            held += size
+            held += cost
         return [*out, Piece(together)] if together else out
 
     def _ranges(self, path: str) -> list[Piece]:

@@ -121,3 +121,11 @@ def test_attempts_that_died_are_not_published(tmp_path):
         (tmp_path / "set" / writer.folder / own / "val" / "a.txt").write_text("0 1 1 1 1")
     writer.commit([ledger.Written("part-0-9", {"val": {"__images__": 1, "0": 1}}), None])
     assert os.listdir(f"{path}/{writer.folder}") == ["part-0-9"] and ledger.label_counts(path) == {"val": {"__images__": 1, "0": 1}}
+
+
+def test_small_files_are_dealt_by_their_number():
+    place = archives._Place("x", ".txt", 1 << 20, ("member",))
+    files = [(0, f"x/{i}.txt", i % 3) for i in range(10_000)]
+    pieces = place.pieces(files)
+    assert [p for piece in pieces for p in piece.files] == [f[1] for f in files]
+    assert 3 <= len(pieces) <= 4 and max(len(p.files) for p in pieces) <= archives.FILES_A_PARTITION
