@@ -134,6 +134,11 @@ class LabelWriter(DataSourceWriter):
                 system.delete_dir(left.path)  # of attempts that died
         entry = {"batch": self.batch, "folder": self.folder, "counts": {k: dict(sorted(v.items())) for k, v in sorted(total.items())}}
         publish(self.path, [*([] if self.overwrite else known), entry])
+        # a task of a job that failed may have written on after the job was aborted; only this writer is at work now
+        named = {b["folder"] for b in batches(self.path)}
+        for left in system.get_file_info(_inside(root)):
+            if left.base_name.startswith("labels-") and left.base_name not in named:
+                system.delete_dir(left.path)
 
     def abort(self, messages: list[Written | None]) -> None:
         system, root = store(self.path)
