@@ -552,3 +552,16 @@ def variant_accuracy(spark, d):
     variants = {"whole": lambda images: seen(images, det), "sure": lambda images: seen(images, det.where("score > 0.7"))}
     made = suite.accuracies(variants, frames(spark, d), gt, "frame", 300)
     return made.select("variant", *[r6(m).alias(m) for m in suite.METRICS], "eval_images")
+
+
+@book.add(f"""WITH {BOXES_SQL}, k AS (SELECT frame, list(round(x1, 6) + 0.0 ORDER BY x1, y1, x2, y2) AS lefts FROM b WHERE class_name = 'stop_sign' GROUP BY frame)
+    SELECT frame, len(lefts)::INT AS n, lefts[1] AS first_left, lefts[-1] AS last_left FROM k""")
+def sign_frames(spark, d):
+    made = readers.frames_with(boxes(spark, d).withColumnRenamed("class_name", "label"), "stop_sign", key="frame")
+    return made.select("frame", F.size("boxes").alias("n"), r6(F.element_at("boxes", 1)["x1"]).alias("first_left"), r6(F.element_at("boxes", -1)["x1"]).alias("last_left"))
+
+
+@book.add(f"WITH {STEMS_SQL} SELECT event_id, stem FROM s WHERE event_id % 30 = 0 ORDER BY event_id LIMIT 200")
+def strided_frames(spark, d):
+    """Every 30th frame, as far as the most frames that a scan of a video takes."""
+    return readers.strided_frames(clip_stems(spark, d), "event_id", 30, 200).select("event_id", "stem")

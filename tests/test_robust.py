@@ -111,3 +111,18 @@ def test_few_draws_where_all_agree(monkeypatch):
     a = np.random.default_rng(1).uniform(0, 100, (40, 2))
     robust.fit_homography(a, a + 3.0)
     assert len(drawn) == 1
+
+
+def test_rain_is_streaks_under_a_veil():
+    from kerbside.operators import pixels
+
+    dark = np.zeros((240, 320, 3), np.uint8)
+    made = [pixels.rain(dark, level, np.random.default_rng(4)).astype(float)[:, :, 0] for level in range(5)]
+    assert all(b.mean() > a.mean() for a, b in zip(made, made[1:], strict=False))
+    for level, img in enumerate(made):
+        assert img.min() == int(255 * pixels.RAIN["haze"][level])  # where no drop is, there is only the veil
+        down, aside = np.abs(np.diff(img, axis=0)).mean(), np.abs(np.diff(img, axis=1)).mean()
+        assert down < aside  # streaks are long and upright
+    assert (pixels.rain(dark, 2, np.random.default_rng(4)) == pixels.rain(dark, 2, np.random.default_rng(4))).all()
+    line = pixels.path(9, 0.0)
+    assert (line[4] == 1).all() and line.sum() == 9
