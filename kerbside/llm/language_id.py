@@ -151,15 +151,15 @@ def fit_languages(
     per_language: int = 2000,
     slots: int | None = None,
     share_of_best: float = 0.1,
-    least: int = 2,
+    least: int = 1,
 ) -> LanguageModel | None:
     """Learn the filter from rows that are not held out; None if there are none.
 
     About ``per_language`` rows of each language at most are read, whole, chosen
-    by a hash of the key.  By the method's rule a language contains an n-gram if
-    the sample has it ``least`` times there, at ``share_of_best`` or more of the
-    rate of the language that has it most; every such n-gram goes into the
-    filter.  The filter is put together on the executors, as the OR of masks by
+    by a hash of the key.  A language contains an n-gram if the sample has it
+    there, ``least`` times or more, at ``share_of_best`` or more of the rate of
+    the language that has it most: a word lent to another language would else be
+    that one's too.  Every such n-gram goes into the filter.  The filter is put together on the executors, as the OR of masks by
     slot; the driver gets its words alone.  Without ``slots`` there are eight to
     sixteen for each n-gram of the language with the most, so that the size
     follows the sample, which is bounded.
