@@ -428,3 +428,24 @@ def test_labels_of_all_boxes_have_fixed_decimals(spark):
     rows = made.collect()
     assert any(r.x1 < 0 for r in rows) and any(r.x1 % 1 for r in rows)
     assert all(r.label.endswith(f", {r.x1:.1f}m") and r.shown == f"{r.y2:.2f}" for r in rows)
+
+
+def test_a_detection_is_kept_in_one_row_and_long_runs_match_in_portions(spark, monkeypatch):
+    rng = random.Random(4)
+    cells = [(i, c, n) for i in range(30) for c in ("a", "b") for n in range(rng.choice([0, 1, 3, 12]))]
+    box = lambda: (lambda x, y, s: (float(x), float(y), float(x + s), float(y + s)))(rng.randint(0, 40), rng.randint(0, 40), rng.choice([20, 30, 31, 60, 120]))
+    edges = "x1 double, y1 double, x2 double, y2 double"
+    det = spark.createDataFrame([(i, c, 100 * k, rng.choice([0.2, 0.5, 0.9]), *box()) for k, (i, c, _) in enumerate(cells)], f"image_id int, class_name string, det_id int, score double, {edges}")
+    truths = spark.createDataFrame([(i, c, k, *box()) for k, (i, c, _) in enumerate(cells)], f"image_id int, class_name string, gt_id int, {edges}")
+    assert evaluation.verdicts(det, truths).count() == len(cells)  # not one per threshold and range
+    rows = evaluation.match(det, truths)
+    whole = sorted(map(tuple, rows.collect()))
+    assert len(whole) == 40 * len(cells)
+    # the counts of a class go on from one range partition to the next: as by the curve over all rows of a line
+    hits = rows.where("not ignored").join(evaluation.truth_counts(truths), ["class_name", "area_range"])
+    curve = evaluation.precision_recall(hits, ["class_name", "area_range", "threshold"], ["-score", "det_id"], F.col("tp"), F.col("n_gt"))
+    wanted = {tuple(r[:3]): tuple(r[3:]) for r in evaluation.interpolated(curve, ["class_name", "area_range", "threshold"]).collect()}
+    got = evaluation.average_precision(det, truths).collect()
+    assert any(r.ap > 0 for r in got)
+    for r in got:
+        assert (r.ap, r.recall) == pytest.approx(wanted.get(tuple(r[:3]), (0.0, 0.0)), abs=1e-12)
