@@ -71,3 +71,12 @@ def map_runs(df: DataFrame, keys: Sequence[str], order: Sequence, fn: Callable[[
         return {c: np.concatenate([np.asarray(m[c]) for m in made if c in m]) for c in names}
 
     return map_run_batches(df, keys, order, each, schema)
+
+
+def portions(weights, most: int = 1_000_000):
+    """Ranges of places whose weights sum to about ``most``, or which are one place."""
+    import numpy as np
+
+    share = (np.cumsum(weights) - weights) // most
+    edges = np.append(np.flatnonzero(np.diff(share, prepend=-1)), len(weights))
+    return list(zip(edges[:-1], edges[1:], strict=True))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbside.functions.geometry import time_to_collision
-from kerbside.operators.runs import map_runs
+from kerbside.operators.runs import map_run_batches, portions
 
 BUFFER = 12
 TRACKS = (
@@ -49,68 +49,105 @@ def endpoints(df: DataFrame, track: str, time: str, distance: str, ties: Sequenc
 
 
 class Tracks:
-    """All tracks of a clip as arrays, a line each in the order in which they were made.
+    """All tracks of a clip, or of many, as arrays, a line each in the order in which they were made.
 
-    A frame moves all lines at once: what the boxes and tracks share is one
-    matrix, from which the lines take their best free box of their class one
-    after the other.  ``evicted`` lines stay until ``drop_evicted``.
+    A frame moves all lines at once: of the pairs of a track and a box of its clip
+    and class that share enough, the tracks of a clip take their best free box
+    one after the other.  ``evicted`` lines stay until ``drop_evicted``.
     """
 
     NUMBERS = ("track_id", "age", "hits", "misses")
 
-    def __init__(self, min_overlap: float = 0.2, max_misses: int = 8) -> None:
+    def __init__(self, min_overlap: float = 0.2, max_misses: int = 8, clips: int = 1) -> None:
         import numpy as np
 
-        self.min_overlap, self.max_misses, self.next_id = min_overlap, max_misses, 1
+        self.min_overlap, self.max_misses, self.next_ids = min_overlap, max_misses, np.ones(clips, np.int64)
         self.box, self.class_name, self.evicted = np.zeros((0, 4)), np.zeros(0, object), np.zeros(0, bool)
+        self.clip = np.zeros(0, np.int64)
         self.counts = {k: np.zeros(0, np.int64) for k in self.NUMBERS}
         # the last BUFFER sightings, the newest last; places not yet used and unknown distances are NaN
         self.times, self.distances = np.full((0, BUFFER), np.nan), np.full((0, BUFFER), np.nan)
 
-    def advance(self, class_name, box, distance, time: float, shift=None) -> None:
+    @property
+    def next_id(self) -> int:
+        """The next track's id of the only clip."""
+        return int(self.next_ids[0])
+
+    def advance(self, class_name, box, distance, time: float, shift=None, clip=None, present=None) -> None:
         """One frame of boxes (n x 4), their classes and distances (NaN where unknown).
 
         ``shift`` (one line of dx, dy per live track) moves the tracks first, where
-        image motion is known; such kernels stay outside.
+        image motion is known; such kernels stay outside.  With several clips,
+        ``clip`` has the boxes' clips, ascending, and ``present`` tells of each clip whether it has a frame now.
         """
         import numpy as np
 
-        live = np.flatnonzero(~self.evicted)
+        clip = np.zeros(len(box), np.int64) if clip is None else clip
+        live = np.flatnonzero(~self.evicted if present is None else ~self.evicted & present[self.clip])
         if shift is not None:
             self.box[live] += np.tile(shift, 2)
         self.counts["age"][live] += 1
-        shared = _shared(self.box[live], box)
-        shared[self.class_name[live][:, None] != class_name[None, :]] = 0
-        took = np.full(len(live), -1)
-        for line in range(len(live) if len(box) else 0):
-            best = int(shared[line].argmax())  # the first of equals
-            if shared[line, best] > self.min_overlap:
-                took[line] = best
-                shared[:, best] = 0
+        took = self._choose(live, class_name, box, clip)
         seen, found = live[took >= 0], took[took >= 0]
         self.box[seen] = box[found]
         self.counts["hits"][seen] += 1
         self.counts["misses"][live] = np.where(took >= 0, 0, self.counts["misses"][live] + 1)
         self._remember(seen, distance[found], time)
         self.evicted |= self.counts["misses"] > self.max_misses
-        self._add(np.setdiff1d(np.arange(len(box)), found), class_name, box, distance, time)
+        self._add(np.setdiff1d(np.arange(len(box)), found), class_name, box, distance, time, clip)
+
+    def _choose(self, live, class_name, box, clip):
+        """The box that each live track takes, or -1."""
+        import numpy as np
+
+        took = np.full(len(live), -1)
+        first, last = (np.searchsorted(clip, self.clip[live], side) for side in ("left", "right"))
+        pairs = []
+        for a, b in portions(last - first):
+            many = (last - first)[a:b]
+            line = np.repeat(np.arange(a, b), many)
+            at = first[line] + np.arange(len(line)) - np.repeat(np.cumsum(many) - many, many)
+            same = self.class_name[live[line]] == class_name[at]
+            line, at = line[same], at[same]
+            shared = _shared(self.box[live[line]], box[at])
+            pairs.append([v[shared > self.min_overlap] for v in (line, at, shared)])
+        if not pairs:
+            return took
+        line, at, shared = (np.concatenate(v) for v in zip(*pairs, strict=True))
+        order = np.lexsort((at, -shared, line))  # a line's best box first, the first of equals
+        line, at = line[order], at[order]
+        while len(line):
+            # the first line of each clip that still has a free box takes its best one
+            lead = np.unique(self.clip[live[line]], return_index=True)[1]
+            alone = np.bincount(at)[at] == 1
+            # so does every line whose best box no other line wants
+            lead = np.union1d(lead, np.flatnonzero((np.diff(line, prepend=-1) != 0) & alone))
+            took[line[lead]] = at[lead]
+            used = np.zeros(len(box), bool)
+            used[at[lead]] = True
+            left = (took[line] < 0) & ~used[at]
+            line, at = line[left], at[left]
+        return took
 
     def _remember(self, lines, distance, time: float) -> None:
         for kept, new in ((self.times, time), (self.distances, distance)):
             kept[lines, :-1] = kept[lines, 1:]
             kept[lines, -1] = new
 
-    def _add(self, which, class_name, box, distance, time: float) -> None:
+    def _add(self, which, class_name, box, distance, time: float, clip) -> None:
         import numpy as np
 
-        n, start = len(which), len(self.box)
+        n, start, clip = len(which), len(self.box), clip[which]
+        new = np.bincount(clip, minlength=len(self.next_ids))
+        ids = self.next_ids[clip] + np.arange(n) - np.searchsorted(clip, clip)
+        self.clip = np.append(self.clip, clip)
         self.box = np.vstack([self.box, box[which]])
         self.class_name, self.evicted = np.append(self.class_name, class_name[which]), np.append(self.evicted, np.zeros(n, bool))
-        for name, first in (("track_id", self.next_id + np.arange(n)), ("age", 0), ("hits", 1), ("misses", 0)):
+        for name, first in (("track_id", ids), ("age", 0), ("hits", 1), ("misses", 0)):
             self.counts[name] = np.append(self.counts[name], np.broadcast_to(first, n))
         self.times, self.distances = (np.vstack([x, np.full((n, BUFFER), np.nan)]) for x in (self.times, self.distances))
         self._remember(start + np.arange(n), distance[which], time)
-        self.next_id += n
+        self.next_ids = self.next_ids + new
 
     def rows(self) -> dict[int, tuple]:
         """Each track's class, box, counts and buffers by its id, as plain values in the order of STATE."""
@@ -123,7 +160,7 @@ class Tracks:
 
         ids = sorted(rows)
         lines = [rows[k] for k in ids]
-        self.next_id, self.evicted = next_id, np.zeros(len(ids), bool)
+        self.next_ids, self.evicted, self.clip = np.array([next_id]), np.zeros(len(ids), bool), np.zeros(len(ids), np.int64)
         self.class_name = np.array([r[0] for r in lines], object)
         self.box = np.array([r[1:5] for r in lines], float).reshape(len(ids), 4)
         self.counts = {"track_id": np.array(ids, np.int64)} | {k: np.array([r[5 + i] for r in lines], np.int64) for i, k in enumerate(self.NUMBERS[1:])}
@@ -132,7 +169,7 @@ class Tracks:
 
     def drop_evicted(self) -> None:
         keep = ~self.evicted
-        for name in ("box", "class_name", "times", "distances", "evicted"):
+        for name in ("box", "class_name", "times", "distances", "evicted", "clip"):
             setattr(self, name, getattr(self, name)[keep])
         self.counts = {k: v[keep] for k, v in self.counts.items()}
 
@@ -158,21 +195,28 @@ class Tracks:
 
 
 def _shared(a, b):
-    """Intersection over union of every two boxes, 0 without a union."""
+    """Intersection over union of boxes in pairs, 0 without a union."""
     import numpy as np
 
-    low, high = np.maximum(a[:, None, :2], b[None, :, :2]), np.minimum(a[:, None, 2:], b[None, :, 2:])
-    both = np.prod(np.maximum(high - low, 0), 2)
-    union = np.prod(a[:, 2:] - a[:, :2], 1)[:, None] + np.prod(b[:, 2:] - b[:, :2], 1)[None, :] - both
+    low, high = np.maximum(a[:, :2], b[:, :2]), np.minimum(a[:, 2:], b[:, 2:])
+    both = np.prod(np.maximum(high - low, 0), 1)
+    union = np.prod(a[:, 2:] - a[:, :2], 1) + np.prod(b[:, 2:] - b[:, :2], 1) - both
     return np.divide(both, union, out=np.zeros(both.shape), where=union > 0)
 
 
+def boxed(rows: dict, at):
+    """Those of the rows ``at`` that hold a box."""
+    import pandas as pd
+
+    return at[~pd.isna(rows["class_name"][at])]
+
+
 def frame_arrays(rows: dict, at) -> tuple:
     """Classes, boxes and distances of the rows ``at`` that hold a box."""
     import numpy as np
     import pandas as pd
 
-    at = at[~pd.isna(rows["class_name"][at])]
+    at = boxed(rows, at)
     box = np.stack([rows[e][at].astype(float) for e in ("x1", "y1", "x2", "y2")], 1)
     return rows["class_name"][at], box, pd.to_numeric(pd.Series(rows["distance_m"][at])).to_numpy(float)
 
@@ -183,24 +227,34 @@ def track(df: DataFrame, clip: str, frame: str, order: str, frames: DataFrame |
     Rows have class_name, box and distance_m, in ``order`` within a frame.
     ``frames`` (clip, frame) names frames without boxes too, which age tracks;
     otherwise frames with boxes count.  Later choices depend on earlier ones, so
-    a clip is one run of sorted rows; clips are bounded and spread over the cluster.
+    a clip is one run of sorted rows, and the
+    clips of a batch go frame by frame together; clips are bounded and spread over the cluster.
     """
     rows = df.select(clip, frame, order, "class_name", *[F.col(e).cast("double") for e in ("x1", "y1", "x2", "y2")], "distance_m")
     if frames is not None:
         rows = frames.select(clip, frame).distinct().join(rows, [clip, frame], "left")
     key_type = dict(df.dtypes)[clip]
 
-    def run(rows):
+    def run(rows, starts):
         import numpy as np
 
-        tracks, at = Tracks(**options), rows[frame]
-        starts = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-        for n, lines in enumerate(np.split(np.arange(len(at)), starts[1:])):
-            tracks.advance(*frame_arrays(rows, lines), n * dt)
-        made = tracks.columns()
-        return {clip: [rows[clip][0]] * len(tracks.box)} | made
-
-    return map_runs(rows, [clip], [frame, order], run, f"`{clip}` {key_type}, {TRACKS}")
+        at, n = rows[frame], len(rows[frame])
+        of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, n)))  # a row's clip
+        fresh = np.append(True, at[1:] != at[:-1])
+        fresh[starts] = True
+        number = np.cumsum(fresh)
+        number -= number[starts][of]  # a row's frame in its clip, from 0
+        order = np.lexsort((np.arange(n), of, number))
+        tracks = Tracks(**options, clips=len(starts))
+        for lines in np.split(order, np.flatnonzero(np.diff(number[order])) + 1):
+            present = np.zeros(len(starts), bool)
+            present[of[lines]] = True
+            tracks.advance(*frame_arrays(rows, lines), number[lines[0]] * dt, clip=of[boxed(rows, lines)], present=present)
+        by_clip = np.argsort(tracks.clip, kind="stable")
+        made = {k: np.array(v, object)[by_clip] if isinstance(v, list) else v[by_clip] for k, v in tracks.columns().items()}
+        return {clip: rows[clip][starts][tracks.clip[by_clip]]} | made
+
+    return map_run_batches(rows, [clip], [frame, order], run, f"`{clip}` {key_type}, {TRACKS}")
 
 
 def confirmed(tracks: DataFrame, min_hits: int = 3) -> DataFrame:

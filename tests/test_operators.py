@@ -449,3 +449,41 @@ def test_a_detection_is_kept_in_one_row_and_long_runs_match_in_portions(spark, m
     assert any(r.ap > 0 for r in got)
     for r in got:
         assert (r.ap, r.recall) == pytest.approx(wanted.get(tuple(r[:3]), (0.0, 0.0)), abs=1e-12)
+
+
+def test_clips_advance_together_as_one_by_one():
+    rng = np.random.default_rng(2)
+    frames = [[(c, np.cumsum(rng.uniform(0, 30, (k, 1)), 0) + np.array([0, 0, 40, 50]) * rng.uniform(0.8, 1.2, (k, 1))) for c in range(40) if (k := int(rng.integers(0, 5))) or c % 2] for _ in range(15)]
+    together, calls = tracking.Tracks(max_misses=2, clips=40), 0
+    apart = [tracking.Tracks(max_misses=2) for _ in range(40)]
+    for n, frame in enumerate(frames):
+        present = np.zeros(40, bool)
+        present[[c for c, _ in frame]] = True
+        kinds = [np.array(["cone", "sign"], object)[rng.integers(0, 2, len(b))] for _, b in frame]
+        away = [rng.uniform(1, 9, len(b)) for _, b in frame]
+        together.advance(np.concatenate(kinds), np.concatenate([b for _, b in frame]), np.concatenate(away), float(n), clip=np.repeat([c for c, _ in frame], [len(b) for _, b in frame]), present=present)
+        calls += 1
+        for (c, b), k, a in zip(frame, kinds, away, strict=True):
+            _advance_by_matrix(apart[c], k, b, a, float(n))
+    assert calls == 15
+    rows = lambda t: {k: [str(x) for x in v] for k, v in t.columns().items()}
+    made = rows(together)
+    for c in range(40):
+        at = np.flatnonzero(together.clip == c)
+        assert {k: [v[i] for i in at] for k, v in made.items()} == rows(apart[c])
+
+
+def _advance_by_matrix(tracks, class_name, box, distance, time) -> None:
+    """One clip's frame with the choice written out over the whole matrix of overlaps."""
+
+    def choose(live, class_name, box, clip):
+        took, free = np.full(len(live), -1), np.ones(len(box), bool)
+        for line, at in enumerate(live):
+            shared = np.array([tracking._shared(tracks.box[[at]], box[[i]])[0] if free[i] and class_name[i] == tracks.class_name[at] else 0.0 for i in range(len(box))])
+            if len(box) and shared.max() > tracks.min_overlap:
+                took[line] = shared.argmax()
+                free[took[line]] = False
+        return took
+
+    tracks._choose = choose
+    tracks.advance(class_name, box, distance, time)
