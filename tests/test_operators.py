@@ -487,3 +487,52 @@ def _advance_by_matrix(tracks, class_name, box, distance, time) -> None:
 
     tracks._choose = choose
     tracks.advance(class_name, box, distance, time)
+
+
+@pytest.mark.parametrize("wide", [3, 64])
+def test_suppression_of_many_frames_at_once_equals_box_by_box(spark, wide):
+    rng = random.Random(6)
+    rows = [(i, k, rng.choice([0.3, 0.6, 0.9]), *(lambda x, y, s: (x, y, x + s, y + s))(rng.uniform(0, 40), rng.uniform(0, 40), rng.uniform(20, 60))) for i in range(60) for k in range(rng.choice([1, 2, 5, 30]))]
+    calls = spark.sparkContext.accumulator(0)
+
+    def counted(df, keys, order, fn, schema):
+        def called(*args):
+            calls.add(1)
+            return fn(*args)
+
+        return runs.map_run_batches(df, keys, order, called, schema)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(matching, "map_run_batches", counted)
+        made = matching.suppress(spark.createDataFrame(rows, f"frame int, id int, score double, {BOX}"), "frame", "id", wide=wide)
+        got = {(r.frame, r.id) for r in made.collect()}
+    assert calls.value < 30  # not one per frame
+    want = set()
+    for f in range(60):
+        held = []
+        for r in sorted((r for r in rows if r[0] == f), key=lambda r: (-r[2], r[1])):
+            a, area = r[3:], lambda b: (b[2] - b[0]) * (b[3] - b[1])
+            both = [max(min(a[2], b[2]) - max(a[0], b[0]), 0) * max(min(a[3], b[3]) - max(a[1], b[1]), 0) for b in held]
+            if not any(s > 0.45 * max(area(a) + area(b) - s, 1e-12) for s, b in zip(both, held, strict=True)):
+                held.append(a)
+                want.add((f, r[1]))
+    assert got == want
+
+
+def test_a_filter_on_a_range_does_not_repeat_the_cues(spark):
+    from kerbside.operators import ranging
+
+    rows = spark.createDataFrame([("cone", 900.0, 600.0, 960.0, 700.0)], f"class_name string, {BOX}")
+    made = ranging.estimate_ranges(rows).where("distance_m is not null and lateral_m between -10 and 10 and forward_m between 0.5 and 90")
+    assert made.count() == 1
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "height_sigma_m" not in " ".join(line for line in plan.splitlines() if "Filter" in line)
+
+
+def test_a_resplit_parses_each_stem_once(spark):
+    from kerbside.operators import datasets
+
+    stems = [(f"rw_oslo_{k:08x}_7_{i}",) for k in range(5) for i in range(4)] + [(f"rw_roads_{i}",) for i in range(0, 60, 2)] + [("coco_1",)]
+    made = datasets.resplit(spark.createDataFrame(stems, "stem string")).assignment
+    assert made.count() == len(stems) - 8
+    assert "RLIKE" not in made._jdf.queryExecution().optimizedPlan().toString().upper()
