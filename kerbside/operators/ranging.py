@@ -95,7 +95,10 @@ def estimate_ranges(df: DataFrame, setup: RangingSetup | None = None, image_size
     rows = rows.withColumns({"_fs": _size_gate(cam, cfg), "_fp": _plane_gate(cam, cfg)})
     cues = dict(zip(("_zs", "_ws"), _size_cue(cam, cfg), strict=True)) | dict(zip(("_zp", "_wp"), _plane_cue(cam, cfg), strict=True))
     left_out = {"ground_only": ("_zs", "_ws"), "size_only": ("_zp", "_wp")}.get(cfg.fusion, ())
-    rows = rows.withColumns(cues | {k: F.lit(None).cast("double") for k in left_out})
+    cues |= {k: F.lit(None).cast("double") for k in left_out}
+    # A filter on a result is pushed down by substitution as far as here: it does not pass a generator,
+    # or it would hold the cues several times over and no longer compile.
+    rows = rows.select("*", F.inline_outer(F.array(F.struct(*[v.alias(k) for k, v in cues.items()]))))
     # Each line below refers to a cue as rarely as it can: a filter on a result is
     # pushed down by substitution, and repeated references would multiply there.
     zs, ws, zp, wp = (F.col(c) for c in ("_zs", "_ws", "_zp", "_wp"))
