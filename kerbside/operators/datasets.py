@@ -12,6 +12,7 @@ from kerbside.functions import boxes
 from kerbside.functions.hashing import fraction
 from kerbside.functions.text import audit_key, clip_parts, group_key, run_parts
 from kerbside.operators import annotations, evaluation, graph, pixels, sequences, splits
+from kerbside.storage import cut
 
 
 @dataclass(frozen=True)
@@ -70,16 +71,18 @@ def resplit(frames: DataFrame, share: float = 0.27, seed: int = 0, code: str | N
     seeded order until a source's share is reached.
     """
     parsed = frames.select("stem", group_key(F.col("stem")).alias("_g"), run_parts(F.col("stem")).alias("_r"), clip_parts(F.col("stem")).isNotNull().alias("_clip"))
-    parsed = parsed.select("stem", "_g.source", "_g.grp", "_r.prefix", "_r.idx", "_clip")
+    # kept, as each frame's patterns are costly and every step below reads them, some more than once
+    parsed = cut(parsed.select("stem", "_g.source", "_g.grp", "_r.prefix", "_r.idx", "_clip"))
     numbered = F.col("idx").isNotNull() & ~F.col("_clip")
-    cut = sequences.segment_runs(parsed.where(numbered), "prefix", "idx", ["stem"])
-    cut = sequences.embargo(cut, ["prefix", "island", "chunk"], "idx", ["stem"])
-    dropped = cut.where("dropped").select("stem")
-    runs = cut.where("not dropped").select("stem", "source", F.concat_ws("/", "prefix", F.col("island").cast("string"), F.col("chunk").cast("string")).alias("grp"))
+    tails = sequences.segment_runs(parsed.where(numbered), "prefix", "idx", ["stem"])
+    tails = sequences.embargo(cut(tails), ["prefix", "island", "chunk"], "idx", ["stem"])
+    dropped = tails.where("dropped").select("stem")
+    runs = tails.where("not dropped").select("stem", "source", F.concat_ws("/", "prefix", F.col("island").cast("string"), F.col("chunk").cast("string")).alias("grp"))
     members = parsed.where(~numbered).select("stem", "source", "grp").unionByName(runs)
     if code is not None:
         labels = graph.components(graph.band_pairs(frames, "stem", code, within=within))
         members = graph.merge_groups(members, labels, "stem", ["source", "grp"])
+    members = cut(members)
     groups = members.groupBy("source", "grp").agg(F.count("*").alias("n"))
     filled = splits.greedy_fill(groups, "source", fraction(F.concat_ws("/", "source", "grp"), seed), "n", share, ["grp"])
     return Resplit(members.join(filled.select("source", "grp", "split"), ["source", "grp"]), dropped, splits.split_summary(filled, "source", "n"))
