@@ -62,3 +62,26 @@ def test_nothing_to_find(spark, rows):
     assert found(graph.nearest_by_radius(df.limit(0), df, "id", "code")) == {}
     alone = df.where("id = 0")
     assert found(graph.nearest_by_radius(alone, alone, "id", "code")) == {}
+
+
+@pytest.mark.parametrize("block", [7, 1000])
+def test_pairs_of_a_query_set_and_all_rows_stay_in_their_task(spark, rows, block):
+    df = spark.createDataFrame(rows, "id bigint, code bigint").repartition(3)
+    made = graph.compared(df.where("id % 5 = 0"), df, "id", "code", best=2, block=block)
+    assert "NestedLoop" not in made._jdf.queryExecution().toString()
+    got = {}
+    for r in sorted(made.collect(), key=lambda r: (r.query, r.place)):
+        got.setdefault(r.query, []).append((r.distance, r.match))
+    near = lambda q, a: sorted((bin((a ^ b) & (2**64 - 1)).count("1"), k) for k, b in rows if b is not None and k != q)[:2]
+    assert got == {q: near(q, a) for q, a in rows if q % 5 == 0 and a is not None}
+    assert {r.place for r in made.collect()} == {0, 1}
+
+
+def test_codes_without_neighbours_are_compared_in_place(spark):
+    rng = random.Random(3)
+    rows = [(i, signed(rng.getrandbits(64))) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id bigint, code bigint")
+    made = graph.nearest_by_radius(df, df, "id", "code")
+    assert "CoGroups" in made._jdf.queryExecution().toString()
+    some = rows[::60]
+    assert {k: v for k, v in found(made).items() if k % 60 == 0} == brute(some, rows)
