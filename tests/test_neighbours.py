@@ -85,3 +85,12 @@ def test_codes_without_neighbours_are_compared_in_place(spark):
     assert "CoGroups" in made._jdf.queryExecution().toString()
     some = rows[::60]
     assert {k: v for k, v in found(made).items() if k % 60 == 0} == brute(some, rows)
+
+
+def test_both_sides_of_a_search_share_their_codes(spark, monkeypatch):
+    import __spark_entry__
+
+    seen = []
+    monkeypatch.setattr(graph, "nearest_by_radius", lambda queries, corpus, *args, **options: seen.extend([queries, corpus]) or queries)
+    __spark_entry__.queries()["hamming_nn_within"](spark, __spark_entry__.SMOKE_DIR)
+    assert all("Generate" not in side._jdf.queryExecution().optimizedPlan().toString() for side in seen) and len(seen) == 2
