@@ -30,7 +30,7 @@ import math
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import count, groupby, repeat
+from itertools import accumulate, count, groupby, repeat
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -156,28 +156,64 @@ def first_values(bias, seed: int) -> dict:
     }
 
 
-def sums(rows, begin, size):
-    """Sums of runs of lines, the runs one after the other and none empty."""
+def longest_first(size):
+    """Order of runs by their sizes, longest first."""
     import numpy as np
 
-    out, live = rows.take(begin, 0), np.flatnonzero(size > 1)
-    for k in range(1, 5):  # most runs are short
-        if not len(live):
-            return out
-        out[live] = out.take(live, 0) + rows.take(begin.take(live) + k, 0)
-        live = live[size.take(live) > k + 1]
+    return np.argsort(-size.astype(np.int16), kind="stable")  # 16 bits are sorted by digits
+
+
+def layers(size):
+    """How many runs have a first line, a second one and so on; with the longest first, these are the runs in front."""
+    import numpy as np
+
+    return (len(size) - np.cumsum(np.bincount(size))[:-1]).tolist()
+
+
+def sums(rows, begin, size, lines=None, few: int = 24):
+    """Sums of runs of lines, none empty; ``lines`` has the places in ``rows`` of the lines if they do not lie in order."""
+    import numpy as np
+
+    short = np.minimum(size, few)
+    order = longest_first(short)
+    first, of = begin.take(order), lambda i: rows.take(i if lines is None else lines.take(i), 0)
+    out = of(first)
+    for k, end in enumerate(layers(short)[1:], 1):  # most runs are short
+        out[:end] += of(first[:end] + k)
+    back = np.empty_like(order)
+    back[order] = np.arange(len(order))
+    out = out.take(back, 0)
+    live = np.flatnonzero(size > few)
     if len(live):
-        many = size.take(live) - 5
-        flat = np.arange(many.sum()) + np.repeat(begin.take(live) + 5 - (np.cumsum(many) - many), many)
-        out[live] = out.take(live, 0) + np.add.reduceat(rows.take(flat, 0), np.cumsum(many) - many)
+        many = size.take(live) - few
+        at = np.cumsum(many) - many
+        out[live] += np.add.reduceat(of(np.arange(many.sum()) + np.repeat(begin.take(live) + few - at, many)), at)
     return out
 
 
+def spans(ends: list):
+    """Where layers that lie one after the other begin and end, and how many runs they have."""
+    return [(b - end, b, end) for b, end in zip(accumulate(ends), ends, strict=True)]
+
+
+def squashed(z, offsets):
+    """Hidden layer of sums of inputs, which are overwritten, with a last column of ones."""
+    import numpy as np
+
+    h = np.ones((len(z), HIDDEN + 1), np.float32)
+    z += offsets
+    h[:, :-1] = np.tanh(z, out=z)
+    return h
+
+
 class Network:
     """The window network on word numbers; ``tables`` from Vocabulary.tables."""
 
     def __init__(self, tables: dict, values: dict) -> None:
+        import numpy as np
+
         self.tables, self.values = tables, values
+        self.beyond = (tables["size"] - tables["upper"]).astype(np.int16)  # turns of each way beyond the upper nodes
 
     def stream(self, texts: list):
         """Input vectors of texts (word numbers) one after the other, with two edges before, between and after them."""
@@ -187,17 +223,23 @@ class Network:
         return self.tables["inputs"].take(np.concatenate([edge, *(x for t in texts for x in (t, edge))]))
 
     def ways(self, leaves):
-        """The ways to leaves in two parts, near the root and beyond: nodes, turns (1 right, -1 left), the leaf's place of each, and their number by leaf."""
+        """Places with a leaf (none at -1), those with the most turns beyond the upper nodes first, and their ways, near the root and beyond:
+        nodes and turns (1 right, -1 left) of each, then the places of the upper ones.  Of the lower ones all first
+        turns come first and so on; with them go the ends of these layers."""
         import numpy as np
 
-        start, size, upper = (self.tables[k].take(leaves) for k in ("start", "size", "upper"))
-        out, places = [], np.arange(len(leaves))
-        for first, many in ((start, upper), (start + upper, size - upper)):
-            flat = np.repeat(first - (np.cumsum(many) - many), many)
-            flat += np.arange(len(flat))
-            turns = self.tables["turns"].take(flat)
-            out.append((turns >> 1, ((turns & 1) * 2 - 1).astype(np.float32), np.repeat(places, many), many))
-        return out
+        own = np.flatnonzero(leaves >= 0)
+        mine = leaves.take(own)
+        order = longest_first(self.beyond.take(mine))
+        own, mine = own.take(order), mine.take(order)
+        start, upper = self.tables["start"].take(mine), self.tables["upper"].take(mine)
+        ends, far = layers(self.beyond.take(mine)), start + upper
+        near = np.repeat(start - (np.cumsum(upper) - upper), upper)
+        near += np.arange(len(near))
+        far = np.concatenate([far[:end] + k for k, end in enumerate(ends)] or [far[:0]])
+        near, far = (self.tables["turns"].take(flat) for flat in (near, far))
+        turn = lambda x: ((x & 1) * 2 - 1).astype(np.float32)
+        return own, (near >> 1, turn(near), np.repeat(own, upper)), (far >> 1, turn(far), ends)
 
     def hidden(self, wide):
         """Inputs and hidden layer of all places of a stream but the two at either end; the layer has a last column of ones."""
@@ -206,33 +248,82 @@ class Network:
         layer, n = self.values["layer"], len(wide) - 4
         e = self.values["embed"].take(wide, 0)
         x = np.concatenate([e[2 + o : 2 + o + n] for o in OFFSETS], 1)
-        h = np.ones((n, HIDDEN + 1), np.float32)
-        np.tanh(x @ layer[:-1] + layer[-1], out=h[:, :-1])
-        return x, h
+        return x, squashed(x @ layer[:-1], layer[-1])
 
-    def odds(self, h, upper, lower):
-        """Log odds of the turns of both parts, the places of the first among all odds, and for the second the hidden values and the node beside each turn."""
+    def odds(self, h, own, upper, lower, parts: list):
+        """Log odds of the turns of both parts, the places of the first among all odds, and for the second the hidden values and the nodes beside
+        the turns.  ``parts``: places whose upper odds are one matrix product, as its rounding depends on how many there are."""
         import numpy as np
 
-        near, far = self.values["upper"], self.values["lower"]
-        place = upper[2] * len(near) + upper[0]
-        top = (h @ near.T).ravel().take(place)
-        mine, theirs = np.repeat(h[:, HIDDEN - NARROW :], lower[3], 0), far.take(lower[0] - UPPER, 0)
-        return top * upper[1], np.einsum("ij,ij->i", theirs, mine) * lower[1], place, mine, theirs
+        near, mine = self.values["upper"], h[:, HIDDEN - NARROW :].take(own, 0)
+        top = np.empty((len(h), len(near)), np.float32)
+        for a, b in parts:
+            np.matmul(h[a:b], near.T, out=top[a:b])
+        place = upper[2] * len(near)
+        place += upper[0]
+        theirs = self.values["lower"].take(lower[0] - UPPER, 0)
+        met = np.empty_like(theirs)
+        for a, b, end in spans(lower[2]):
+            np.multiply(theirs[a:b], mine[:end], out=met[a:b])
+        low = met[:, 0].copy()
+        for j in range(1, NARROW + 1):  # always in this order, whatever the number of turns
+            low += met[:, j]
+        low *= lower[1]
+        return top.ravel().take(place) * upper[1], low, place, mine, theirs
+
+    def costs(self, texts: Iterator, block: int = 4096) -> Iterator:
+        """Arrays of one value per word, minus its log-probability, for each text (word numbers) in turn.
+
+        Short texts go together; what a word gets does not depend on the texts beside its own.
+        """
+        import numpy as np
+
+        # what each input vector adds to the hidden layer from each offset
+        layer = self.values["layer"]
+        adds = np.concatenate([self.values["embed"] @ layer[j * WIDTH : (j + 1) * WIDTH] for j in range(len(OFFSETS))], 1)
+        edge = np.full(2, -1, np.int32)
+
+        def flush():
+            wide, leaves = self.stream(held), np.concatenate([x for t in held for x in (t, edge)])[:-2]
+            begins = accumulate((len(t) + 2 for t in held[:-1]), initial=0)
+            parts = [(a, min(a + block, at + len(t))) for at, t in zip(begins, held, strict=True) for a in range(at, at + len(t), block)]
+            out = np.zeros(len(leaves))
+            while parts:
+                at, run = parts[0][0], 1
+                while run < len(parts) and parts[run][1] - at <= block:
+                    run += 1
+                end = parts[run - 1][1]
+                now = adds.take(wide[at : end + 4], 0)
+                z = now[: end - at, :HIDDEN].copy()  # of the first offset, -2
+                for j, o in enumerate(OFFSETS[1:], 1):
+                    z += now[2 + o : 2 + o + end - at, j * HIDDEN : (j + 1) * HIDDEN]
+                own, upper, lower = self.ways(leaves[at:end])
+                top, low, *_ = self.odds(squashed(z, layer[-1]), own, upper, lower, [(a - at, b - at) for a, b in parts[:run]])
+                top, low = (np.log(1 + np.exp(np.minimum(-odds, np.float32(60)))) for odds in (top, low))
+                out[at:end] = np.bincount(upper[2], top, end - at)
+                deep = np.zeros(len(own))
+                for a, b, last in spans(lower[2]):
+                    deep[:last] += low[a:b]
+                out[at:end][own] += deep
+                del parts[:run]
+            at = 0
+            for t in held:
+                yield out[at : at + len(t)]
+                at += len(t) + 2
+
+        held, size = [], 0
+        for ids in texts:
+            held.append(ids)
+            size += len(ids) + 2
+            if size >= 4 * block:
+                yield from flush()
+                held, size = [], 0
+        if held:
+            yield from flush()
 
     def log_probabilities(self, ids, block: int = 4096):
         """One value per word number of a text."""
-        import numpy as np
-
-        wide, out = self.stream([ids]), np.zeros(len(ids), np.float64)
-        for at in range(0, len(ids), block):
-            _, h = self.hidden(wide[at : at + block + 4])
-            ways = self.ways(ids[at : at + block])
-            h = h[: len(ids) - at]
-            for way, odds in zip(ways, self.odds(h, *ways), strict=False):
-                cost = np.log(1 + np.exp(np.minimum(-odds, np.float32(60))))
-                out[at : at + block] -= np.bincount(way[2], cost, len(h))
-        return out
+        return -next(self.costs(iter([ids]), block))
 
 
 class Trainer(Network):
@@ -249,7 +340,7 @@ class Trainer(Network):
     def _move(self, name: str, rows, uses, grad) -> None:
         import numpy as np
 
-        power = self.power[name].take(rows) + np.einsum("ij,ij->i", grad, grad) / np.float32(grad.shape[1])
+        power = self.power[name].take(rows) + grad**2 @ np.full(grad.shape[1], 1 / grad.shape[1], np.float32)
         self.power[name][rows] = power
         grad *= (np.float32(self.rate) / np.sqrt(power + np.float32(1e-8)))[:, None]
         self.values[name][rows] = self.values[name].take(rows, 0) - grad
@@ -260,10 +351,10 @@ class Trainer(Network):
         import numpy as np
 
         packed = np.sort(places.astype(np.int64) << 32 | np.arange(len(places)))
-        order, places = packed & 0xFFFFFFFF, packed >> 32
-        begin = np.flatnonzero(np.diff(places, prepend=-1))
+        lines, places = packed & 0xFFFFFFFF, packed >> 32
+        begin = np.flatnonzero(np.concatenate([[True], places[1:] != places[:-1]]))
         uses = np.diff(begin, append=len(places))
-        self._move(name, places[begin], uses, sums(grad.take(order, 0), begin, uses))
+        self._move(name, places[begin], uses, sums(grad, begin, uses, lines))
 
     def step(self, wide, leaves) -> None:
         """wide: input vectors of a stream; leaves: the word of each place between its ends of two, -1 at an edge."""
@@ -271,35 +362,33 @@ class Trainer(Network):
 
         n, layer, near = len(leaves), self.values["layer"], self.values["upper"]
         x, h = self.hidden(wide)
-        own = np.flatnonzero(leaves >= 0)
-        mine_h = h.take(own, 0)
-        upper, lower = self.ways(leaves.take(own))
-        top, low, place, mine, theirs = self.odds(mine_h, upper, lower)
-        # what is missing of each turn's probability, towards the other side
+        own, upper, lower = self.ways(leaves)
+        top, low, place, mine, theirs = self.odds(h, own, upper, lower, [(0, n)])
+        # what is missed of each turn's probability, towards the other side
         missed = [-way[1] / (1 + np.exp(np.clip(odds, -30, 30))) for odds, way in ((top, upper), (low, lower))]
-        share = np.zeros(len(own) * len(near), np.float32)
+        share = np.zeros(n * len(near), np.float32)
         share[place] = missed[0]
-        share = share.reshape(len(own), len(near))
-        some = share @ near[:, :-1]
+        share = share.reshape(n, len(near))
+        back = share @ near[:, :-1]
         uses = np.bincount(upper[0], minlength=len(near))
         used = np.flatnonzero(uses)
-        grad = share.T @ mine_h
+        grad = share.T @ h
         if len(low):
-            theirs *= missed[1][:, None]
-            mine *= missed[1][:, None]
-            deep = np.flatnonzero(lower[3])
-            many = lower[3].take(deep)
-            some[deep, HIDDEN - NARROW :] += sums(theirs, np.cumsum(many) - many, many)[:, :-1]
-            self._gathered("lower", lower[0] - UPPER, mine)
+            gone = np.repeat(missed[1], theirs.shape[1]).reshape(theirs.shape)
+            theirs *= gone
+            deep = np.zeros_like(mine)
+            for a, b, end in spans(lower[2]):
+                deep[:end] += theirs[a:b]
+                gone[a:b] *= mine[:end]
+            back[own, HIDDEN - NARROW :] += deep[:, :-1]
+            self._gathered("lower", lower[0] - UPPER, gone)
         if len(used):
             self._move("upper", used, uses[used], grad.take(used, 0))
-        back = np.zeros((n, HIDDEN), np.float32)
-        back[own] = some
         back *= 1 - h[:, :-1] ** 2
         inputs, around = back @ layer[:-1].T, np.zeros((n + 4, WIDTH), np.float32)
         for j, o in enumerate(OFFSETS):
             around[2 + o : 2 + o + n] += inputs[:, j * WIDTH : (j + 1) * WIDTH]
-        self._move("layer", np.arange(len(layer)), len(own), np.vstack([x.T @ back, back.sum(0)[None]]))
+        self._move("layer", np.arange(len(layer)), len(own), np.vstack([x.T @ back, np.ones((1, n), np.float32) @ back]))
         self._gathered("embed", wide, around)
 
     def learn(self, texts: Iterator) -> None:
@@ -553,10 +642,9 @@ def score_encoded(rows: DataFrame, model: LanguageModel, key: str) -> DataFrame:
         net = Network(*shared.value)
         for batch in batches:
             n, s = [], []
-            for value in batch.column(2):
-                p = net.log_probabilities(np.frombuffer(value.as_py(), np.int32))
-                n.append(len(p))
-                s.append(float(p.sum()))
+            for cost in net.costs(np.frombuffer(value.as_py(), np.int32) for value in batch.column(2)):
+                n.append(len(cost))
+                s.append(-float(cost.sum()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(s, pa.float64()), batch.column(3)], names=[key, "_id", "n", "s", "m"])
 
     judged = rows.select(key, "_id", "ids", F.size("rare").cast("long").alias("m")).mapInArrow(run, f"`{key}` {kind}, _id bigint, n bigint, s double, m bigint")
