@@ -27,10 +27,9 @@ the exchange of parameters both grow slower than the corpus.
 from __future__ import annotations
 
 import math
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import accumulate, count, groupby, repeat
+from itertools import accumulate, groupby, repeat
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -415,8 +414,32 @@ class Trainer(Network):
             flush()
 
 
-def tokenised(df: DataFrame, key: str, text: str, chunk: int = 1_000_000) -> DataFrame:
-    """The texts in chunks of ``chunk`` words or one text more: keys, marks (hashes of key and text), texts (of word
+def word_bound(texts):
+    """At least as many words as each of the texts (an Arrow array of bytes) has."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    return pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64) // 2 + 1
+
+
+def numbered(texts):
+    """Words of texts (an Arrow array of bytes), A-Z in lower case, as numbers by first use: numbers of all texts, the ends of the texts among them, and the words."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    # the functions of letters go by bytes and leave those beyond ASCII alone, so the bytes need not be valid text
+    lower = pc.ascii_lower(texts.cast(pa.binary()).view(pa.string()))
+    words = pc.ascii_split_whitespace(lower)
+    flat = pc.list_flatten(words)
+    real = pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0  # white space at an end leaves an empty word
+    ends = np.concatenate([[0], np.cumsum(real)])[words.offsets.to_numpy()[1:] - words.offsets[0].as_py()].astype(np.int64)
+    coded = (flat if real.all() else flat.filter(pa.array(real))).dictionary_encode()
+    return coded.indices.to_numpy(), ends, coded.dictionary.view(pa.binary())
+
+
+def tokenised(df: DataFrame, key: str, text: str, chunk: int = 3_000_000) -> DataFrame:
+    """The texts in chunks that could have ``chunk`` words, or one text more: keys, marks (hashes of key and text), texts (of word
     numbers, as bytes), and the words that the numbers stand for (bytes, A-Z in lower case) with their counts."""
     kind = df.select(F.col(key)).schema[0].dataType.simpleString()
     rows = df.select(F.col(key).alias("key"), F.xxhash64(key, text).alias("mark"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
@@ -425,33 +448,29 @@ def tokenised(df: DataFrame, key: str, text: str, chunk: int = 1_000_000) -> Dat
         import numpy as np
         import pyarrow as pa
 
-        keys, marks, texts, size, seen = [], [], [], 0, defaultdict(count().__next__)
-        type_ = None
-
-        def out():
-            n = np.bincount(np.concatenate(texts), minlength=len(seen)) if size else np.zeros(0, np.int64)
-            made = pa.RecordBatch.from_arrays(
-                [pa.array([keys], pa.list_(type_)), pa.array([marks], pa.list_(pa.int64())), pa.array([[t.tobytes() for t in texts]], pa.list_(pa.binary())),
-                 pa.array([list(seen)], pa.list_(pa.binary())), pa.array([n], pa.list_(pa.int64()))],
-                names=["keys", "marks", "texts", "words", "counts"],
-            )
-            for x in (keys, marks, texts):
-                x.clear()
-            return made
-
+        held, size = [], 0
         for batch in batches:
-            type_ = batch.column(0).type
-            for k, m, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                words = value.as_py().lower().split()
-                keys.append(k)
-                marks.append(m)
-                texts.append(np.fromiter(map(seen.__getitem__, words), np.int32, len(words)))
-                size += len(words)
+            ends = np.cumsum(word_bound(batch.column(2)))
+            while batch.num_rows:
+                many = int(np.searchsorted(ends, chunk - size)) + 1  # as many texts as reach the size of a chunk
+                held.append(batch.slice(0, many))
+                size += int(ends[min(many, len(ends)) - 1])
+                batch, ends = batch.slice(many), ends[many:] - ends[min(many, len(ends)) - 1]
                 if size >= chunk:
-                    yield out()
-                    size, seen = 0, defaultdict(count().__next__)
-        if keys:
-            yield out()
+                    yield made(pa.Table.from_batches(held).combine_chunks())
+                    held, size = [], 0
+        if held:
+            yield made(pa.Table.from_batches(held).combine_chunks())
+
+    def made(part):
+        import numpy as np
+        import pyarrow as pa
+
+        keys, marks, texts = (part.column(c).combine_chunks() for c in range(3))
+        number, ends, words = numbered(texts)
+        ids = pa.Array.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(np.concatenate([[0], ends * 4])), pa.py_buffer(number)])
+        lists = (keys, marks, ids.cast(pa.binary()), words, pa.array(np.bincount(number, minlength=len(words)).astype(np.int64)))
+        return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays([0, len(x)], x) for x in lists], names=["keys", "marks", "texts", "words", "counts"])
 
     return rows.mapInArrow(run, f"keys array<{kind}>, marks array<bigint>, texts array<binary>, words array<binary>, counts array<bigint>")
 
@@ -503,25 +522,20 @@ def encoded(chunks: DataFrame, words: Vocabulary, key: str) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         known = {w: i for i, w in enumerate(shared.value)}
         for batch in batches:
             for row in range(batch.num_rows):
                 keys, marks, texts, local = (batch.column(c)[row].values for c in range(4))
                 number, h = numbers(local.to_pylist(), known)
-                h = h.view(np.int64)
-                ids, rare, size, at = [], [], 0, 0
-                for i, value in enumerate(texts):
-                    own = np.frombuffer(value.as_py(), np.int32)
-                    ids.append(number.take(own))
-                    rare.append(h.take(own[ids[-1] >= len(known)]))
-                    size += len(own)
-                    if size > 1_000_000 or i == len(texts) - 1:
-                        yield pa.RecordBatch.from_arrays(
-                            [keys[at : i + 1], marks[at : i + 1], pa.array([x.tobytes() for x in ids], pa.binary()), pa.array(rare, pa.list_(pa.int64()))],
-                            names=[key, "_id", "ids", "rare"],
-                        )
-                        ids, rare, size, at = [], [], 0, i + 1
+                ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)) // 4
+                own = np.frombuffer(b"".join(texts.to_pylist()), np.int32)
+                ids = number.take(own)
+                far = np.flatnonzero(ids >= len(known))
+                rare = pa.ListArray.from_arrays(np.searchsorted(far, np.concatenate([[0], ends])).astype(np.int32), pa.array(h.view(np.int64).take(own.take(far))))
+                ids = pa.Array.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(np.concatenate([[0], ends * 4])), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([keys, marks, ids.cast(pa.binary()), rare], names=[key, "_id", "ids", "rare"])
 
     return chunks.select("keys", "marks", "texts", "words").mapInArrow(run, f"`{key}` {kind}, _id bigint, ids binary, rare array<bigint>")
 

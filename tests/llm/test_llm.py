@@ -641,6 +641,70 @@ def test_gradient_lowers_the_cost():
     assert cost() < 0.6 * before
 
 
+def test_short_texts_are_scored_together(fitted, monkeypatch):
+    model, _ = fitted
+    net, calls, ways = lm_scoring.Network(model.vocabulary.tables(), model.values), [], lm_scoring.Network.ways
+    rng = np.random.default_rng(3)
+    texts = [rng.integers(0, 300 + lm_scoring.RARE, n).astype(np.int32) for n in (0, 1, 9000, 2, *rng.integers(0, 60, 300), 0)]
+    alone = [net.log_probabilities(t) for t in texts]
+    monkeypatch.setattr(lm_scoring.Network, "ways", lambda *a: calls.append(1) or ways(*a))
+    together = list(net.costs(iter(texts)))
+    assert len(calls) < 10  # not one for each text
+    assert len(together) == len(texts) and all(len(a) == len(b) and np.allclose(a, -b, rtol=0, atol=1e-9) for a, b in zip(alone, together, strict=True))
+
+
+def test_words_are_numbered_as_bytes():
+    import pyarrow as pa
+
+    texts = [b"", b"   ", b" A\x0bb\x1c\xffZ \xc3\x89 a\x0c", b"\xc2\xa0x \x85 y\x00 Y", b"\t\n\r q", b"q A"]
+    number, ends, words = lm_scoring.numbered(pa.array([b"before", *texts], pa.binary()).slice(1))
+    split = [t.lower().split() for t in texts]
+    assert [words[int(i)].as_py() for i in number] == [w for t in split for w in t]
+    assert ends.tolist() == np.cumsum([len(t) for t in split]).tolist() and len(set(words.to_pylist())) == len(words)
+
+
+def test_chunks_hold_every_text(spark, docs):
+    few, one = (lm_scoring.tokenised(docs.coalesce(2), "doc_id", "text", chunk=n).collect() for n in (40, 1 << 40))
+    assert len(few) > 20 > len(one)
+    want = collections.Counter((r.doc_id, tuple((r.text or "").encode().lower().split())) for r in docs.collect())
+    for made in (few, one):
+        got = collections.Counter((k, tuple(r["words"][i] for i in np.frombuffer(t, np.int32))) for r in made for k, t in zip(r["keys"], r["texts"], strict=True))
+        assert got == want
+        assert sum(sum(r["counts"]) for r in made) == sum(len(words) * n for (_, words), n in want.items())
+
+
+def test_a_step_equals_the_formula():
+    """Gradients word by word and turn by turn, then one move of each row."""
+    width, hidden, upper = lm_scoring.WIDTH, lm_scoring.HIDDEN, lm_scoring.UPPER
+    known = lm_scoring.Vocabulary([b"w%d" % i for i in range(300)], np.arange(900, 600, -1), (0,) * lm_scoring.RARE, 1, 0)
+    tables, rng = known.tables(), np.random.default_rng(4)
+    values = lm_scoring.first_values(tables["bias"], 1)
+    for kind in ("upper", "lower"):
+        values[kind] += rng.standard_normal(values[kind].shape).astype(np.float32) * 0.3
+    ids = np.concatenate([rng.integers(0, 300 + lm_scoring.RARE, 200), [5] * 60]).astype(np.int32)
+    trainer = lm_scoring.Trainer(tables, values)
+    trainer.learn([ids])
+    grads = {k: np.zeros(v.shape) for k, v in values.items()}
+    layer, edge = values["layer"].astype(float), len(tables["inputs"]) - 1
+    for i, word in enumerate(ids):
+        around = [tables["inputs"][ids[i + o] if 0 <= i + o < len(ids) else edge] for o in lm_scoring.OFFSETS]
+        x = np.append(np.concatenate([values["embed"][k] for k in around]).astype(float), 1.0)
+        h, back = np.append(np.tanh(x @ layer), 1.0), np.zeros(hidden + 1)
+        for turn in tables["turns"][tables["start"][word] :][: tables["size"][word]]:
+            node, side = turn >> 1, (turn & 1) * 2 - 1
+            kind, row, first = ("upper", node, 0) if node < upper else ("lower", node - upper, hidden - lm_scoring.NARROW)
+            missed = -side / (1 + math.exp(side * (h[first:] @ values[kind][row])))
+            grads[kind][row] += missed * h[first:]
+            back[first:] += missed * values[kind][row]
+        back = back[:-1] * (1 - h[:-1] ** 2)
+        grads["layer"] += np.outer(x, back)
+        for k, part in zip(around, (layer[:-1] @ back).reshape(-1, width), strict=True):
+            grads["embed"][k] += part
+    for kind, g in grads.items():
+        want = values[kind] - lm_scoring.RATE * g / np.sqrt((g**2).mean(1) + 1e-8)[:, None]
+        assert np.allclose(trainer.values[kind], want, atol=2e-3), kind
+
+
 #: Names that operators use inside, or give out.
 CLASHES = (
     "_node", "_kept_node", "_kept_mark", "_text", "_hash", "_mix_mark", "_mix_key", "_mix_text", "_key", "_part", "_hits", "_found", "_judged", "_id", "_lang", "_words", "_block",
